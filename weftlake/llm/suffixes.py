@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import drop, free_shuffles, table
 
 TRIGGER, RUN = 20, 256
-BATCH, SEGMENT = 2 << 20, 1 << 20
+BATCH, SEGMENT = 2 << 20, 1 << 18
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: no document is later
 _B = 0x9E3779B97F4A7C15 | 1
 _tables: dict[int, tuple] = {}
@@ -180,6 +180,15 @@ def _map(df: DataFrame, f, fields: str) -> DataFrame:
 DONE = "array<struct<doc_id:long,n_bytes:long,n_removed:long,spans:array<struct<start:long,end:long>>,kept:binary,kept_sha256:string>>"
 
 
+def _narrow(x) -> bytes:
+    """Document ids in 4 bytes each where they fit, else in 8."""
+    return x.astype("u4" if len(x) and 0 <= x.min() and x.max() < 1 << 32 else "i8").tobytes()
+
+
+def _wide(x: bytes, n: int):
+    return _u8(x, "u4" if len(x) == 4 * n else "i8").astype("i8")
+
+
 def _dictionary(names, firsts, buckets: int, batch_id: int, flags=None) -> Iterator[dict]:
     """A batch's rows for one exchange: its distinct names in order, dealt by their high bits, each with its first document
     and a flag. flags: by place, whether to set; the flag of a name is set if any of its places' is."""
@@ -197,12 +206,13 @@ def _dictionary(names, firsts, buckets: int, batch_id: int, flags=None) -> Itera
     bucket = ((n >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edge = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))[0]
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield {"bucket": int(bucket[a]), "batch": batch_id, "names": n[a:b].tobytes(), "firsts": d[a:b].tobytes(), "flags": np.packbits(flag[a:b]).tobytes()}
+        yield {"bucket": int(bucket[a]), "batch": batch_id, "names": n[a:b].tobytes(), "firsts": _narrow(d[a:b]), "flags": np.packbits(flag[a:b]).tobytes()}
 
 
-def _exchange(rows: DataFrame, parse: bool) -> DataFrame:
+def _exchange(rows: DataFrame, parse: bool, flags_matter: bool = True) -> DataFrame:
     """(batch, answers: one for each of the batch's names, in order). For the parse: the batches that hold the name, 0 if
-    only one document does. Otherwise: the first document of the name, and the batches in which its flag is set."""
+    only one document does. Otherwise: whether an earlier document than this batch's first has the name, and
+    for the names where none has, the batches in which the name's flag is set."""
     def gather(key, t):
         import numpy as np
         import pyarrow as pa
@@ -222,11 +232,11 @@ def _exchange(rows: DataFrame, parse: bool) -> DataFrame:
                 c = count[a:b]
                 out.append(np.packbits(c > 0).tobytes() + c[c > 0].tobytes())
         else:
-            docs = np.concatenate([_u8(x.as_py(), "i8") for x in t.column("firsts")])
+            docs = np.concatenate([_wide(x.as_py(), k) for x, k in zip(t.column("firsts"), sizes, strict=True)])
             least = np.full(len(many), NO_ID)
             np.minimum.at(least, back, docs)
-            least, sole = least[back], flagged.astype("u4")[back]
-            out = [least[a:b].tobytes() + sole[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            later, sole = least[back] < docs, flagged.astype("u4")[back]
+            out = [np.packbits(later[a:b]).tobytes() + (sole[a:b][~later[a:b]].tobytes() if flags_matter else b"") for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"bucket": t.column("bucket"), "to": t.column("batch"), "size": pa.array(sizes.astype("i4")), "answer": pa.array(out, pa.binary())})
 
     told = rows.groupBy("bucket").applyInArrow(gather, "bucket int, to long, size int, answer binary")
@@ -272,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
     w = table(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(work, "batch long, ids binary, lens binary, text binary, bytes long"), "work")
     total = w.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(256, total >> 20)
+    buckets = max(256, total >> 23)
     dictionary = "bucket int, batch long, names binary, firsts binary, flags binary"
 
     def doc_of(ids, ends, start):
@@ -340,23 +350,30 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
     answers2 = _exchange(_map(v.select("batch", "ids", "lens", "start", "trigger", "phrase"), level2, dictionary), False)
 
-    def told(row, names):
+    def told(row, names, docs):
+        """Of each place: whether an earlier document has its name too, and the batches that flagged the name."""
         import numpy as np
 
-        least, sole = [np.empty(0, "i8")], [np.empty(0, "u4")]
+        later, sole = [np.zeros(0, bool)], [np.zeros(0, "u4")]
         for a in row["answers"] or []:
-            least.append(_u8(a["answer"][: 8 * a["size"]], "i8"))
-            sole.append(_u8(a["answer"][8 * a["size"] :], "u4"))
+            n = a["size"]
+            bits = np.unpackbits(_u8(a["answer"][: (n + 7) // 8], "u1"))[:n] > 0
+            c = np.zeros(n, "u4")
+            if len(a["answer"]) > (n + 7) // 8:
+                c[~bits] = _u8(a["answer"][(n + 7) // 8 :], "u4")
+            later.append(bits)
+            sole.append(c)
         i = _ordinals(names)
-        return np.concatenate(least)[i], np.concatenate(sole)[i]
+        first = np.full(len(np.concatenate(later)), NO_ID)
+        np.minimum.at(first, i, docs)
+        return np.concatenate(later)[i] | (first[i] < docs), np.concatenate(sole)[i]
 
     def level2_told(row):
         import numpy as np
 
         start, size = _u8(row["start"], "i8"), _u8(row["size"], "u2")
         ids, ends = _u8(row["ids"], "i8"), np.cumsum(_u8(row["lens"], "i8"))
-        least, sole = told(row, _u8(row["phrase"]))
-        later = least < doc_of(ids, ends, start)
+        later, sole = told(row, _u8(row["phrase"]), doc_of(ids, ends, start))
         ask = ~later & (sole != _u8(row["count"], "u4"))
         yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"start": start[later].tobytes(), "size": size[later].tobytes(), "ask_start": start[ask].tobytes(), "ask_size": size[ask].tobytes()}
 
@@ -377,15 +394,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         if len(p):
             yield from _dictionary(string_names(data, ends, p, length), doc_of(ids, ends, p), buckets, row["batch"])
 
-    answers3 = _exchange(_map(u.select("batch", "ids", "lens", "text", "ask_start", "ask_size"), level3, dictionary), False)
+    answers3 = _exchange(_map(u.select("batch", "ids", "lens", "text", "ask_start", "ask_size"), level3, dictionary), False, False)
 
     def level3_told(row):
         import numpy as np
 
         ids, ends, data = _unpack(row)
         p = places(row)
-        least, _ = told(row, string_names(data, ends, p, length))
-        p = p[least < doc_of(ids, ends, p)]
+        later, _ = told(row, string_names(data, ends, p, length), doc_of(ids, ends, p))
+        p = p[later]
         start, size = _u8(row["start"], "i8"), _u8(row["size"], "u2").astype("i8")
         cover = np.zeros(len(data) + 1, "i8")
         np.add.at(cover, start, 1)
