@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 20, key: s
     gone = table(repeated_lines(docs, min_lines, min_words, key, text).groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set("i")).alias("_gone")), "gone")
     lines = F.split(F.col(text), "\n", -1)
     word = lambda x: F.rlike(x, F.lit(WORD))
-    d = docs.join(gone, docs[key] == gone["_doc"], "left").drop("_doc")
+    # what is deleted grows with the corpus: merged at every size, never broadcast
+    d = docs.join(gone.hint("merge"), docs[key] == gone["_doc"], "left").drop("_doc")
     none = F.array().cast("array<int>")
     d = d.withColumn("_gone", F.coalesce("_gone", none))
     # _gone counts the lines with a word: to places among all lines, then what is left of those
