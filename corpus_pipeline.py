@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     d = docs.select(*COLUMNS)
     classes = simhash.near_duplicates(d)
     gone = table(classes.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return d.join(gone, d.doc_id.eqNullSafe(gone["_id"]), "left_anti")
+    return d.join(gone.hint("merge"), d.doc_id.eqNullSafe(gone["_id"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
