@@ -1,0 +1,40 @@
+"""Word lists, patterns and tables that results depend on, stated as they are."""
+
+STOP_WORDS = (
+    "the", "and", "for", "are", "was", "were", "this", "that", "with", "from", "what", "how", "why",
+    "who", "when", "has", "have", "had", "its", "about", "into", "over", "than", "then", "they", "them",
+)
+NAV = r"(?i)/(login|sign-?in|sign-?up|about|contact|privacy|terms|category|categories|tag|tags|author|search|advertise|subscribe|account|cart|pricing)(/|$|\?)|^https?://[^/]+/?$"
+AGGREGATOR = r"(?i)(^|[./])(google|bing|duckduckgo|youtube|reddit|facebook|twitter|x|linkedin|instagram|pinterest)\.[a-z]"
+HOMEPAGE = r"(?i)^https?://[^/]+/?$"
+BLOCKED = r"(?i)verify you are human|attention required|cloudflare|access denied|request blocked|enable javascript|unusual traffic|just a moment|checking your browser"
+PAYWALL = r"(?i)subscribe to (read|continue)|already a subscriber|metered|this article is for subscribers|to continue reading|create a free account to|sign in to read"
+DATED = r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+20\d\d|\b\d+\s+(?:hours?|days?|minutes?)\s+ago\b|20\d\d-\d\d-\d\d"
+FIRST_DATE = r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+20\d\d|20\d\d-\d\d-\d\d"
+FRAMEWORKS = r"(?i)(?:react|vue|angular|svelte|next|nuxt|gatsby|remix)[\w.-]*\.js"
+EMPTY_ROOT = r"""(?i)<div\s+id=["'](?:root|app|__next|__nuxt)["']\s*>\s*</div>"""
+NOSCRIPT = r"(?is)<noscript[^>]*>.{100,}</noscript>"
+SUBSTANTIAL = r"(?i)<(?:p|h[1-6]|li|td|article|section|main)[^>]*>[^<]{50,}</"
+INLINE_LOGIC = r"(?is)<script[^>]*>.{200,}</script>"
+APP_PATH = r"/(?:app|dashboard|settings|console|portal)\b"
+APP_HOSTS = ("app.", "dashboard.", "console.", "portal.")
+CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{303F}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{FF00}-\x{FFEF}]"
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
+LADDER = ("direct", "stealth-retry", "logged-in", "wayback", "archive-today", "reader")
+REMOVED_TAGS = ("script", "style", "noscript", "iframe", "svg", 'link[rel="stylesheet"]', "meta")
+NOISE = (
+    '[class*="cookie"]', '[class*="banner"]', '[class*="popup"]', '[class*="modal"]', '[class*="overlay"]',
+    '[class*="newsletter"]', '[class*="subscribe"]', '[class*="social"]', '[class*="share"]', '[class*="sidebar"]',
+    '[class*="widget"]', '[class*="advertisement"]', '[class*="ad-"]', '[class*="tracking"]', '[class*="analytics"]',
+    '[id*="cookie"]', '[id*="banner"]', '[id*="popup"]', '[id*="modal"]', '[id*="overlay"]', '[id*="newsletter"]',
+    '[id*="sidebar"]', '[id*="advertisement"]', '[aria-hidden="true"]', "[hidden]", "nav", "footer", "header",
+    '[role="banner"]', '[role="navigation"]', '[role="complementary"]', '[role="contentinfo"]',
+)
+CATEGORIES = (
+    "Armed conflicts and attacks", "Arts and culture", "Business and economy", "Disasters and accidents",
+    "Health and environment", "International relations", "Law and crime", "Politics and elections",
+    "Science and technology", "Sports",
+)
+RRF_K, PRUNE_DAYS = 60, 90
+#: White space as ECMAScript's \s and trim see it.
+JS_SPACE = r"[\x09-\x0D\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"

@@ -2,10 +2,477 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import constants as C, scoring as S, text as T, urls as U
+from ..operators import chunk as K, crawl as X, page as P, ranking as R, track as M
+from ..sources import feeds as B
+from ..streaming import jobs as J
 
-def oracle_sql() -> dict:
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+WS = C.JS_SPACE
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# What SQL says of the same things. DuckDB's functions count code points, as the tables here need.
+def sq_squeeze(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{WS}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def sq_tokens(x: str) -> str:
+    one = f"regexp_replace({x}, '(?s)```.*?```', ' CODE_BLOCK ', 'g')"
+    two = f"regexp_replace({one}, '`[^`]+`', ' INLINE_CODE ', 'g')"
+    code = f"list_concat(regexp_extract_all({x}, '(?s)```.*?```'), regexp_extract_all({one}, '`[^`]+`'))"
+    return f"CASE WHEN {x} = '' THEN 0 ELSE CAST(greatest(1, coalesce(list_sum(list_transform({code}, lambda b: ceil(length(b) / 3.5::DOUBLE))), 0) + ceil(len(regexp_extract_all({two}, '{C.CJK}')) * 1.5::DOUBLE) + ceil(len(regexp_extract_all(regexp_replace({two}, '{C.CJK}', ' ', 'g'), '[^{WS[1:-1]}]+')) * 1.33::DOUBLE)) AS BIGINT) END"
+
+
+def sq_terms(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
+    return f"list_filter(regexp_extract_all(lower({x}), '[0-9]+\\.[0-9]+|[a-z][a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({stop}))"
+
+
+def sq_relevance(terms: list[str], x: str, title: str | None = None) -> str:
+    parts = []
+    for t in terms:
+        f = f"len(list_filter({sq_terms(x)}, lambda w: w = '{t}'))::DOUBLE"
+        boost = f" * CASE WHEN list_contains({sq_terms(title)}, '{t}') THEN 1.5::DOUBLE ELSE 1::DOUBLE END" if title else ""
+        parts.append(f"({f} * 2.5::DOUBLE / ({f} + 1.5::DOUBLE){boost})")
+    return f"(({' + '.join(parts)}) / {len(terms) * 2.5}::DOUBLE)"
+
+
+def sq_prose(x: str) -> str:
+    link = r"\[[^\]]*\]\([^)]*\)"
+    return sq_squeeze(f"regexp_replace({x}, '{link}', '', 'g')")
+
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+
+
+@query(
+    f"""
+WITH t AS (SELECT page_id, url, html, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' +', ' ', 'g')) AS title FROM pages)
+SELECT lang, count(*) AS pages, round(avg({sq_tokens('html')}), 6) AS avg_html_tokens, CAST(max(length(title)) AS BIGINT) AS longest_title FROM t GROUP BY 1
+"""
+)
+def page_profile(spark, d):
+    """By language: pages, tokens of their html, longest title (runs of blanks counted once)."""
+    p = _read(spark, d, "pages").withColumn("html_tokens", T.token_estimate(F.coalesce("html", F.lit(""))))
+    p = P.parse(p, ("meta",))
+    title = F.trim(F.regexp_replace("meta.title", " +", " "))
+    return p.groupBy(F.col("meta.language").alias("lang")).agg(F.count("*").alias("pages"), F.round(F.avg("html_tokens"), 6).alias("avg_html_tokens"), F.max(F.length(title)).cast("long").alias("longest_title"))
+
+
+@query(
+    r"""
+WITH h AS (SELECT page_id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1), lambda x: x <> '' AND NOT x[1] = '#'), lambda x: regexp_replace(regexp_replace(x, '#.*$', ''), '/+$', '')))) AS href FROM pages)
+SELECT page_id, count(*) AS links, count(*) FILTER (WHERE NOT href LIKE 'http%') AS internal FROM h GROUP BY 1
+"""
+)
+def page_links_internal(spark, d):
+    p = P.parse(_read(spark, d, "pages"), ("links",)).select("page_id", F.inline("links"))
+    return p.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if("is_internal").alias("internal"))
+
+
+@query()
+def page_metadata(spark, d):
+    return P.parse(_read(spark, d, "pages"), ("meta",)).select("page_id", "meta.*")
+
+
+@query()
+def page_clean_markdown(spark, d):
+    p = P.parse(_read(spark, d, "pages"), ("clean_html", "markdown"))
+    return p.select("page_id", F.length("clean_html").alias("clean_chars"), "markdown", T.plain_text(F.col("markdown")).alias("text"), T.token_estimate(F.col("markdown")).alias("tokens"))
+
+
+@query()
+def page_scrape(spark, d):
+    p = P.scrape(_read(spark, d, "pages"))
+    return p.select("page_id", F.col("meta.title").alias("title"), "markdown_tokens", "html_tokens", "reduction", "content_hash", F.size("links").alias("links"))
+
+
+@query()
+def agent_extract(spark, d):
+    return P.agent_extract(_read(spark, d, "pages")).select("page_id", "title", "approx_tokens", "captcha", "publish_date")
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items FROM pages")
+def css_extract(spark, d):
+    p = P.parse(_read(spark, d, "pages"), ("meta", "css"), css={"items": "li", "title": "title"})
+    return p.select("page_id", F.col("meta.language").alias("lang"), F.size(F.element_at("css", "items")).cast("long").alias("items"))
+
+
+_EXTRA = "concat('<html><head><meta name=\"author\" content=\"', source, '\"><meta property=\"og:image\" content=\"i', cast(doc_id as {s}), '.png\"><script type=\"application/ld+json\">{{\"id\":', cast(doc_id as {s}), '}}</script></head><body><table><tr><th>a</th><th>b</th></tr><tr><td>', cast(doc_id as {s}), '</td><td>', lang, '</td></tr></table></body></html>')"
+
+
+@query("SELECT doc_id, source AS author, 'i' || doc_id || '.png' AS image, '{\"id\":' || doc_id || '}' AS json_ld, 'a,b' AS headers, doc_id || ',' || lang AS cells FROM documents")
+def structured_extract(spark, d):
+    p = _read(spark, d, "documents").select("doc_id", F.expr(_EXTRA.format(s="string")).alias("html"), F.lit("https://x.org/").alias("url"))
+    p = P.parse(p, ("meta_tags", "json_ld", "tables"))
+    t = F.get("tables", F.lit(0))
+    return p.select("doc_id", F.element_at("meta_tags", "author").alias("author"), F.element_at("meta_tags", "og:image").alias("image"), F.array_join("json_ld", ",").alias("json_ld"), F.array_join(t["headers"], ",").alias("headers"), F.array_join(F.flatten(t["rows"]), ",").alias("cells"))
+
+
+@query(f"SELECT doc_id, {sq_tokens('text')} AS tokens FROM documents")
+def text_tokens(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+_DECORATED = "concat('# ', lang, ' ```x = 1``` [', source, '](https://x.org/', cast(doc_id as {s}), ') `code` ', text, ' March 5, 2024, 3 days ago and 2024-02-', cast(10 + doc_id % 10 as {s}))"
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, {_DECORATED.format(s="varchar")} AS md FROM documents)
+SELECT doc_id, sha256({sq_squeeze("regexp_replace(regexp_replace(md, '(?s)```.*?```', '', 'g'), '[#*_`\\[\\]()>|-]', '', 'g')")}) AS plain, sha256({sq_prose('md')}) AS prose, {sq_tokens('md')} AS tokens, left({sq_prose('md')}, 600) AS snippet,
+       array_to_string(list_slice(regexp_extract_all(md, '{C.DATED}'), 1, 5), '|') AS dated, regexp_extract(md, '{C.FIRST_DATE}') AS first_date FROM t
+"""
+)
+def text_plain(spark, d):
+    t = _read(spark, d, "documents").select("doc_id", F.expr(_DECORATED.format(s="string")).alias("md"))
+    md = F.col("md")
+    return t.select("doc_id", F.sha2(T.plain_text(md), 256).alias("plain"), F.sha2(T.prose(md), 256).alias("prose"), T.token_estimate(md).alias("tokens"), T.snippet(md).alias("snippet"), F.array_join(T.dated_strings(md), "|").alias("dated"), T.first_date(md).alias("first_date"))
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, lower({sq_squeeze("regexp_replace(text, '<[^>]+>', '', 'g')")}) AS s FROM documents WHERE length(text) < 3000),
+c AS (SELECT doc_id, list_concat([2166136261::BIGINT], list_transform(CASE WHEN s = '' THEN [] ELSE string_split(s, '') END, lambda c: unicode(c)::BIGINT)) AS u FROM t),
+h AS (SELECT doc_id, list_reduce(u, lambda h, c: ((((CASE WHEN xor(h, c) >= 2147483648 THEN xor(h, c) - 4294967296 ELSE xor(h, c) END)::DOUBLE * 16777619::DOUBLE)::HUGEINT % 4294967296 + 4294967296) % 4294967296)::BIGINT) AS v FROM c)
+SELECT doc_id, lpad(lower(to_hex(v)), 8, '0') AS content_hash FROM h
+"""
+)
+def content_fingerprint(spark, d):
+    return _read(spark, d, "documents").where("length(text) < 3000").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, lower({sq_squeeze("regexp_replace(text, '<[^>]+>', '', 'g')")}) AS s FROM documents) GROUP BY s")
+def exact_dedup(spark, d):
+    return R.exact_dedup(_read(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
+
+
+_HEADED = "concat('intro ', lang, chr(10), '# one', chr(10), text, chr(10), chr(10), '## two', chr(10), chr(10), left(text, 200), chr(10), '#nothead', chr(10), '### three', chr(10), right(text, 100))"
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, {_HEADED} AS md FROM documents),
+p AS (SELECT doc_id, list_filter(string_split(regexp_replace(md, '(^|\\n)(#{{1,6}}\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')) AS parts FROM t)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS sections, sha256(array_to_string(parts, '|')) AS digest FROM p
+"""
+)
+def chunk_sections(spark, d):
+    t = _read(spark, d, "documents").select("doc_id", F.expr(_HEADED).alias("md"))
+    parts = K.sections(F.col("md"))
+    return t.select("doc_id", F.size(parts).cast("long").alias("sections"), F.sha2(F.array_join(parts, "|"), 256).alias("digest"))
+
+
+@query()
+def chunk_pack(spark, d):
+    t = _read(spark, d, "documents").select("doc_id", F.expr(_HEADED).alias("markdown"))
+    return K.chunk(t, 300, 20).select("doc_id", F.inline("chunks"))
+
+
+@query(
+    f"""
+WITH t AS (SELECT page_id, url, regexp_replace(url, '(?s)#.*$', '') AS bare FROM pages),
+u AS (SELECT *, regexp_extract(bare, '(?s)^[a-z]+://[^/?#]*([^?]*)', 1) AS rest, list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND regexp_extract(p, '^[^=]*') NOT IN ({", ".join(f"'{x}'" for x in C.TRACKING)})) AS kept FROM t)
+SELECT page_id, regexp_replace(regexp_extract(bare, '^([a-z]+)://', 1) || '://' || regexp_replace(lower(regexp_extract(bare, '{HOST}', 1)), '^www\\.', '') || CASE WHEN rest = '' THEN '/' ELSE rest END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, '/$', '') AS search_key,
+       regexp_replace(bare, '/+$', '') AS frontier_key, regexp_replace(url, '(?s)[?#].*$', '') AS item_key, regexp_replace(regexp_replace(url, '(?s)[?#].*$', ''), '/+$', '') AS mention_key FROM u
+"""
+)
+def url_normalize(spark, d):
+    c = F.col("url")
+    return _read(spark, d, "pages").select("page_id", U.search_key(c).alias("search_key"), U.frontier_key(c).alias("frontier_key"), U.item_key(c).alias("item_key"), U.mention_key(c).alias("mention_key"))
+
+
+@query(
+    """
+WITH t AS (SELECT page_id, url, url LIKE 'https://%' AS s, encode(url) AS raw FROM pages)
+SELECT page_id, CASE WHEN s THEN url ELSE 'https://www.bing.com/ck/a?x=1&u=a2zzz&y=2' END AS url FROM t
+"""
+)
+def decode_redirect(spark, d):
+    p = _read(spark, d, "pages")
+    b64 = F.regexp_replace(F.translate(F.base64(F.encode("url", "utf-8")), "+/", "-_"), "[=\r\n]", "")
+    wrapped = F.when(F.startswith("url", F.lit("https://")), F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), b64, F.lit("&y=2"))).otherwise(F.lit("https://www.bing.com/ck/a?x=1&u=a2zzz&y=2"))
+    return p.select("page_id", U.unwrap_redirect(wrapped).alias("url"))
+
+
+@query(
+    f"""
+WITH h AS (SELECT page_id AS ord, url, regexp_matches(url, '{C.HOMEPAGE}') AS home FROM pages WHERE NOT regexp_matches(url, '{C.AGGREGATOR}')),
+k AS (SELECT * FROM h WHERE home OR NOT regexp_matches(url, '{C.NAV}'))
+SELECT ord, url FROM (SELECT * FROM k WHERE NOT home UNION ALL SELECT * FROM (SELECT * FROM k WHERE home ORDER BY ord LIMIT 1)) ORDER BY ord LIMIT 20
+"""
+)
+def seed_filter(spark, d):
+    return R.seeds(_read(spark, d, "pages").select(F.col("page_id").alias("ord"), "url"), 20)
+
+
+@query(r"SELECT page_id FROM pages WHERE regexp_matches(url, '^https://[^/]*\.example\.com/.*$') AND NOT regexp_matches(url, '^.*/[^/]*page=[^/]*$') AND NOT regexp_matches(url, '^.*/[^/]*utm_[^/]*$')")
+def glob_filter(spark, d):
+    return R.glob_filter(_read(spark, d, "pages"), "url", ["https://*.example.com/**"], ["**/*page=*", "**/*utm_*"]).select("page_id")
+
+
+def _sq_tier(score: str) -> str:
+    return f"CASE WHEN {score} > 0.5 THEN 'browser' WHEN {score} > 0.2 THEN 'jsdom' ELSE 'http' END"
+
+
+_SHELL = "CASE WHEN page_id % 4 = 0 THEN html WHEN page_id % 4 = 1 THEN concat('<div id=\"root\"></div><script src=\"react.min.js\"></script>', left(html, 60)) WHEN page_id % 4 = 2 THEN left(html, 420) ELSE concat('<noscript>', left(text, 150), '</noscript><script>1</script><p>', left(text, 300), '</p>') END"
+_SQ_BODY = sq_squeeze("regexp_replace(regexp_replace(h, '(?is)<script.*?</script>', '', 'g'), '<[^>]+>', ' ', 'g')")
+
+
+@query(
+    f"""
+WITH t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://app.') WHEN page_id % 3 = 1 THEN url || '#/x' ELSE url || '/dashboard' END AS url FROM pages),
+s AS (SELECT page_id, CASE WHEN url LIKE '%#/%' OR url LIKE '%#!/%' THEN 0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(url, '{C.APP_PATH}') THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(lower(regexp_extract(url, '{HOST}', 1)), '^(app|dashboard|console|portal)\\.') THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS score FROM t)
+SELECT page_id, score, {_sq_tier('score')} AS tier FROM s
+"""
+)
+def tier_prefetch(spark, d):
+    url = F.expr("CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://app.') WHEN page_id % 3 = 1 THEN url || '#/x' ELSE url || '/dashboard' END")
+    return _read(spark, d, "pages").select("page_id", S.tier_before(url).alias("t")).select("page_id", "t.score", "t.tier")
+
+
+@query(
+    f"""
+WITH t AS (SELECT page_id, {_SHELL} AS h FROM pages JOIN documents ON page_id = doc_id),
+b AS (SELECT *, length({_SQ_BODY}) AS n, len(regexp_extract_all(h, '(?i)<script')) AS scripts, regexp_matches(h, '{C.INLINE_LOGIC}') AS inl FROM t),
+s AS (SELECT page_id, greatest(0::DOUBLE, CASE WHEN regexp_matches(h, '{C.EMPTY_ROOT.replace("'", "''")}') THEN 0.35::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(h, '{C.NOSCRIPT}') THEN 0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(h, '{C.FRAMEWORKS}') THEN 0.2::DOUBLE ELSE 0::DOUBLE END
+  + CASE WHEN n < 200 AND (scripts >= 1 OR inl) THEN 0.6::DOUBLE WHEN n < 600 AND (scripts > 2 OR inl) THEN 0.3::DOUBLE ELSE 0::DOUBLE END
+  - CASE WHEN regexp_matches(h, '{C.SUBSTANTIAL}') THEN 0.4::DOUBLE ELSE 0::DOUBLE END - CASE WHEN n > 2000 THEN 0.4::DOUBLE ELSE 0::DOUBLE END - CASE WHEN n > 500 THEN 0.2::DOUBLE ELSE 0::DOUBLE END) AS score FROM b)
+SELECT page_id, round(score, 9) AS score, {_sq_tier('score')} AS tier FROM s
+"""
+)
+def tier_postfetch(spark, d):
+    p, t = _read(spark, d, "pages"), _read(spark, d, "documents").select("doc_id", "text")
+    h = p.join(t, p.page_id == t.doc_id).select("page_id", F.expr(_SHELL).alias("h"))
+    return h.select("page_id", S.tier_after(F.col("h")).alias("t")).select("page_id", F.round("t.score", 9).alias("score"), "t.tier")
+
+
+@query(f"SELECT host, max_by(tier, page_id) AS tier FROM (SELECT page_id, lower(regexp_extract(url, '{HOST}', 1)) AS host, CASE page_id % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'jsdom' ELSE 'browser' END AS tier FROM pages WHERE page_id % 5 <> 0) GROUP BY 1")
+def tier_memory(spark, d):
+    o = _read(spark, d, "pages").select(U.host(F.col("url")).alias("host"), F.expr("CASE page_id % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'jsdom' ELSE 'browser' END").alias("tier"), F.col("page_id").alias("ts"), (F.col("page_id") % 5 != 0).alias("success"))
+    return R.tier_memory(o)
+
+
+_CLASSED = "CASE doc_id % 5 WHEN 0 THEN concat('Already a subscriber? ', text) WHEN 1 THEN concat('Just a moment ', left(text, 300)) WHEN 2 THEN left(text, 150) WHEN 3 THEN concat('metered ', left(text, 80)) ELSE text END"
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, lang || ' ' || left(md, 4000) AS head, length({sq_prose('md')}) AS n FROM (SELECT doc_id, lang, {_CLASSED} AS md FROM documents))
+SELECT doc_id, CASE WHEN regexp_matches(head, '{C.PAYWALL}') THEN CASE WHEN n >= 600 THEN 'paywall-soft' ELSE 'paywall-hard' END WHEN regexp_matches(head, '{C.BLOCKED}') AND n < 800 THEN 'blocked' WHEN n < 200 THEN 'thin' ELSE 'good' END AS page_class FROM t
+"""
+)
+def page_class(spark, d):
+    t = _read(spark, d, "documents").select("doc_id", "lang", F.expr(_CLASSED).alias("md"))
+    return t.select("doc_id", S.page_class(F.col("lang"), F.col("md")).alias("page_class"))
+
+
+TERMS = ["tion", "ing", "that", "erth", "anly"]
+
+
+@query(f"SELECT doc_id, round({sq_relevance(TERMS, 'text', 'left(text, 60)')}, 9) AS score FROM documents ORDER BY 2 DESC, 1 LIMIT 50")
+def bm25_rank(spark, d):
+    t = _read(spark, d, "documents").select("doc_id", F.round(S.relevance(TERMS, F.col("text"), F.left("text", F.lit(60))), 9).alias("score"))
+    return t.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, 'https://site.com/' || CASE doc_id % 4 WHEN 0 THEN '2026/06/big-news-story' WHEN 1 THEN 'login' WHEN 2 THEN 'a/' || lang ELSE 'tion-ing-x' END AS href, left(text, 200) AS txt FROM documents),
+p AS (SELECT *, lower(regexp_extract(href, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS path FROM t)
+SELECT doc_id, round({sq_relevance(TERMS, 'txt')} * 4 + {" + ".join(f"CASE WHEN contains(path, '{t}') THEN 1 ELSE 0 END" for t in TERMS)} + CASE WHEN regexp_matches(path, '/20[0-9][0-9]/') THEN 2 ELSE 0 END
+  + CASE WHEN len(regexp_extract_all(path, '-')) >= 2 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(path, '[^/]+')) >= 2 THEN 1 ELSE 0 END - CASE WHEN regexp_matches(href, '{C.NAV}') THEN 6 ELSE 0 END - CASE WHEN regexp_matches(href, '{C.AGGREGATOR}') THEN 8 ELSE 0 END, 9) AS score FROM p
+"""
+)
+def link_score(spark, d):
+    href = F.expr("concat('https://site.com/', CASE doc_id % 4 WHEN 0 THEN '2026/06/big-news-story' WHEN 1 THEN 'login' WHEN 2 THEN concat('a/', lang) ELSE 'tion-ing-x' END)")
+    return _read(spark, d, "documents").select("doc_id", F.round(S.link_score(href, F.left("text", F.lit(200)), TERMS), 9).alias("score"))
+
+
+@query("SELECT o_orderkey, round(date_diff('microsecond', o_orderdate, TIMESTAMP '1998-12-01') / 8.64e10, 9) AS days, round(CASE WHEN o_orderdate >= TIMESTAMP '1998-12-01' THEN 1 ELSE pow(0.5::DOUBLE, date_diff('microsecond', o_orderdate, TIMESTAMP '1998-12-01') / 8.64e10 / 30) END, 9) AS recency FROM orders")
+def recency(spark, d):
+    days = S.age_days(F.col("o_orderdate").cast("timestamp"), F.lit("1998-12-01 00:00:00").cast("timestamp"))
+    return _read(spark, d, "orders").select("o_orderkey", F.round(days, 9).alias("days"), F.round(S.recency(days), 9).alias("recency"))
+
+
+@query(
+    """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS a, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS b, row_number() OVER (ORDER BY doc_id) - 1 AS c FROM documents),
+h AS (SELECT doc_id, 1 AS e, 'A' AS engine, a AS rank FROM r WHERE a < 40 UNION ALL SELECT doc_id, 2, 'B', b FROM r WHERE b < 40 UNION ALL SELECT doc_id, 3, 'C', c FROM r WHERE c < 40),
+g AS (SELECT 'https://x.org/' || doc_id AS url, round(sum(1.0::DOUBLE / (61 + rank)), 4) AS score, string_agg(engine, ',' ORDER BY e) AS engines, min(e * 1000 + rank) AS first FROM h GROUP BY doc_id)
+SELECT url, score, engines FROM g ORDER BY score DESC, first LIMIT 20
+"""
+)
+def rrf_fuse(spark, d):
+    t = _read(spark, d, "documents")
+    parts = []
+    for no, (engine, order) in enumerate((("A", [F.desc("n_chars"), "doc_id"]), ("B", ["n_chars", "doc_id"]), ("C", ["doc_id"])), 1):
+        top = t.orderBy(*order).limit(40)
+        parts.append(top.select(F.lit(engine).alias("engine"), F.lit(no).alias("engine_no"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"), F.lit("t").alias("title"), F.concat(F.lit("https://www.x.org/"), "doc_id", F.lit("?ref=a")).alias("url"), F.lit("").alias("snippet")))
+    g = R.rrf(parts[0].union(parts[1]).union(parts[2]), 20)
+    return g.select(F.regexp_replace(F.regexp_replace("url", "www.", ""), r"\?ref=a$", "").alias("url"), "score", F.array_join("engines", ",").alias("engines"))
+
+
+@query("SELECT page_id, url FROM pages")
+def sitemap_scan(spark, d):
+    x = _read(spark, d, "pages").select("page_id", F.concat(F.lit("<urlset><url><LOC>"), "url", F.lit("</LOC></url></urlset>")).alias("xml"))
+    return x.select("page_id", F.explode(B.sitemap_urls(F.col("xml"))).alias("url"))
+
+
+@query(
+    """
+WITH t AS (SELECT source AS feed, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord FROM documents)
+SELECT feed, CAST(ord AS BIGINT) AS ord, 'T ' || doc_id AS title, 'https://x.org/' || doc_id AS url, '2024-01-' || (10 + doc_id % 10) AS date FROM t WHERE ord < 12
+"""
+)
+def feed_parse(spark, d):
+    item = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<item><title><![CDATA[T "), "doc_id", F.lit("]]></title><link>https://x.org/"), "doc_id", F.lit("</link><pubDate>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</pubDate></item>")))
+    item = item.otherwise(F.concat(F.lit('<entry><title>T <b>'), "doc_id", F.lit("</b></title><link href='https://x.org/"), "doc_id", F.lit("'/><updated>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</updated></entry>")))
+    first = _read(spark, d, "documents").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 20")
+    f = first.groupBy(F.col("source").alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]), "\n"), F.lit("</rss>")).alias("xml"))
+    return B.feed_items(f).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(
+    """
+WITH g AS (SELECT event_type AS category, props AS text, min(strftime(ts, '%Y-%m-%d')) AS date, min(event_id) AS ord FROM events GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY date DESC, ord) AS place FROM g)
+SELECT category, text, date, CAST(place AS BIGINT) AS place FROM p WHERE place <= 60
+"""
+)
+def events_by_category(spark, d):
+    e = _read(spark, d, "events").select(F.col("event_type").alias("category"), F.col("props").alias("text"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("ord"))
+    return B.dedup_events(e).select("category", "text", "date", F.col("place").cast("long").alias("place"))
+
+
+WATCH = [("tion", ["ing"]), ("erth", []), ("anly", ["oned", "shing"]), ("zzz", [])]
+
+
+@query(
+    f"""
+WITH m AS ({" UNION ALL ".join(f"SELECT '{n}' AS entity, doc_id FROM documents WHERE regexp_matches(left(text, 400), '(?i)(^|[^A-Za-z0-9_])({'|'.join([n, *a])})([^A-Za-z0-9_]|$)')" for n, a in WATCH)}),
+k AS (SELECT entity, doc_id % 1000 AS u, min(doc_id) AS ord FROM m GROUP BY 1, 2),
+w AS (SELECT unnest([{", ".join(f"'{n}'" for n, _ in WATCH)}]) AS entity)
+SELECT w.entity, count(*) FILTER (WHERE u % 3 <> 0) AS n_new, count(*) FILTER (WHERE u IS NOT NULL) AS total_known FROM w LEFT JOIN k ON k.entity = w.entity GROUP BY 1
+"""
+)
+def entity_track_batch(spark, d):
+    items = _read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.lit("").alias("title"), F.left("text", F.lit(400)).alias("snippet"), F.concat(F.lit("https://x.org/"), F.col("doc_id") % 1000, F.lit("/?q=1")).alias("url"))
+    found = M.mentions(items, WATCH).select("entity", "url_key", "ord")
+    known = found.select("entity", "url_key").where(F.regexp_extract("url_key", "([0-9]+)$", 1).cast("long") % 3 == 0).distinct()
+    new = M.new_mentions(found, known)
+    return M.digest(WATCH, new, known.select("entity", "url_key").union(new.select("entity", "url_key"))).select("entity", "n_new", "total_known")
+
+
+@query()
+def digest_render(spark, d):
+    items = _read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.left("text", F.lit(40)).alias("title"), F.lit("").alias("snippet"), F.concat(F.lit("https://x.org/"), "doc_id").alias("url"))
+    return M.render(M.mentions(items, WATCH))
+
+
+@query(
+    """
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), e AS (SELECT doc_id AS src, (doc_id * 3 + k + 1) % n AS dst FROM documents, n, unnest([1, 2]) AS t(k)),
+r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 4)
+SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1
+"""
+)
+def crawl_bfs(spark, d):
+    docs = _read(spark, d, "documents")
+    n = docs.count()
+    pages = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("content_hash"))
+    edges = docs.select(F.col("doc_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("dst", (F.col("src") * 3 + F.col("pos") + 1) % n)
+    return X.crawl(pages, edges, 0, 1_000_000, 4).select("id", F.col("depth").cast("long").alias("depth"))
+
+
+@query("SELECT url FROM (SELECT url, min(o) AS o FROM (SELECT url, page_id AS o FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1000000 + page_id FROM pages) GROUP BY 1) ORDER BY o LIMIT 100")
+def map_site(spark, d):
+    p = _read(spark, d, "pages").select("url", F.col("page_id").alias("ord"))
+    return X.map_site(p.where("ord % 2 = 0"), p, 100)
+
+
+@query(
+    """
+WITH s AS (SELECT doc_id, k, list_extract(['direct', 'stealth-retry', 'logged-in', 'wayback', 'archive-today', 'reader'], k) AS strategy, list_extract(['captcha', 'blocked', 'thin', 'good', 'paywall-soft', 'paywall-hard', 'blocked'], 1 + CAST((doc_id * 5 + k * k * 3) % 7 AS INT)) AS c FROM documents, unnest([1, 2, 3, 4, 5, 6]) AS t(k)),
+t AS (SELECT *, CASE WHEN c IN ('good', 'paywall-soft') THEN 'ok' WHEN k <= 3 AND c IN ('captcha', 'paywall-hard') THEN 'human' END AS ends FROM s),
+f AS (SELECT doc_id, min(k) FILTER (WHERE ends IS NOT NULL) AS k FROM t GROUP BY 1)
+SELECT CAST(f.doc_id AS VARCHAR) AS url, coalesce(t.ends = 'ok', false) AS ok, CASE WHEN t.ends = 'ok' THEN t.strategy END AS via, CASE WHEN t.ends = 'ok' THEN NULL ELSE coalesce(t.c, 'blocked') END AS reason, coalesce(t.ends = 'human', false) AS needs_human, CAST(coalesce(f.k, 6) AS BIGINT) AS tried
+FROM f LEFT JOIN t ON t.doc_id = f.doc_id AND t.k = f.k
+"""
+)
+def reach_ladder(spark, d):
+    k = F.explode(F.sequence(F.lit(1), F.lit(6)))
+    s = _read(spark, d, "documents").select("doc_id", k.alias("k"))
+    c = F.element_at(F.array(*map(F.lit, ("captcha", "blocked", "thin", "good", "paywall-soft", "paywall-hard", "blocked"))), (1 + (F.col("doc_id") * 5 + F.col("k") * F.col("k") * 3) % 7).cast("int"))
+    s = s.select(F.col("doc_id").cast("string").alias("url"), F.element_at(F.array(*map(F.lit, C.LADDER)), F.col("k")).alias("strategy"), c.alias("page_class"))
+    return M.reach(s).withColumn("tried", F.size("tried").cast("long"))
+
+
+@query(
+    """
+SELECT conv_id, count(*) FILTER (WHERE t <> '') AS segments, sha256(string_agg('**[' || CAST(turn * 70 // 60 AS VARCHAR) || ':' || lpad(CAST(turn * 70 % 60 AS VARCHAR), 2, '0') || ']** ' || t, chr(10) ORDER BY turn) FILTER (WHERE t <> '')) AS rendered
+FROM (SELECT conv_id, turn, trim(regexp_replace(role || ' & ' || text, '\\s+', ' ', 'g')) AS t FROM conversations) GROUP BY 1
+"""
+)
+def transcript_parse(spark, d):
+    t = F.regexp_replace(F.concat("role", F.lit(" &amp; "), "text"), r"\s+", " ")
+    seg = F.concat(F.lit('<text start="'), F.col("turn") * 70, F.lit('" dur="5.5">'), t, F.lit("</text>"))
+    x = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", seg.alias("s")))), lambda x: x["s"]), "").alias("xml"))
+    x = x.withColumn("seg", B.captions(F.col("xml")))
+    return x.select("conv_id", F.size("seg").cast("long").alias("segments"), F.sha2(B.render_transcript(F.col("seg")), 256).alias("rendered"))
+
+
+@query("SELECT CAST(9 - i AS BIGINT) AS ord, strftime(DATE '2024-02-21' + CAST(i AS INT), '%Y-%m-%d') AS date FROM range(10) t(i)")
+def day_pages(spark, d):
+    return B.day_pages(spark, 10, "2024-03-01").select("ord", "date")
+
+
+@query("SELECT doc_id, category, CAST(pos AS BIGINT) AS pos, text FROM (SELECT doc_id, 'Sports' AS category, 0 AS pos, 'first item ' || doc_id || ' of the day' AS text FROM documents UNION ALL SELECT doc_id, 'Law and crime', 0, 'a linked item ' || doc_id || ' here' FROM documents)")
+def day_events(spark, d):
+    md = F.concat(F.lit("intro text that is long enough\nLaw and crime\na **linked** [item"), F.lit(" "), "doc_id", F.lit("](https://x) here\nSports\nfirst item "), "doc_id", F.lit(" of the day - short"))
+    t = _read(spark, d, "documents").select(F.col("doc_id").alias("date"), md.alias("markdown"))
+    return B.day_events(t).select(F.col("date").alias("doc_id"), "category", F.col("pos").cast("long").alias("pos"), "text")
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS at, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def stream_window(spark, d):
+    out = J.run_available(J.window_counts(J.read_table(spark, d, "events")), "complete")
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type", "n", "value")
+
+
+@query(
+    f"""
+SELECT entity, count(DISTINCT doc_id % 1000) AS n FROM ({" UNION ALL ".join(f"SELECT '{n}' AS entity, doc_id FROM documents WHERE regexp_matches(left(text, 400), '(?i)(^|[^A-Za-z0-9_])({'|'.join([n, *a])})([^A-Za-z0-9_]|$)')" for n, a in WATCH)}) GROUP BY 1
+"""
+)
+def stream_track(spark, d):
+    items = J.read_table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.lit("").alias("title"), F.left("text", F.lit(400)).alias("snippet"), F.concat(F.lit("https://x.org/"), F.col("doc_id") % 1000, F.lit("/?q=1")).alias("url"), F.lit("2024-01-01").cast("timestamp").alias("seen"))
+    found = M.mentions(items, WATCH).select("entity", "url_key", "seen")
+    return J.run_available(J.new_mentions_stream(found)).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
