@@ -240,7 +240,9 @@ def _exchange(rows: DataFrame, parse: bool, flags_matter: bool = True) -> DataFr
         return pa.table({"bucket": t.column("bucket"), "to": t.column("batch"), "size": pa.array(sizes.astype("i4")), "answer": pa.array(out, pa.binary())})
 
     told = rows.groupBy("bucket").applyInArrow(gather, "bucket int, to long, size int, answer binary")
-    return table(told.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("bucket", "size", "answer"))).alias("answers")), "answers")
+    out = table(told.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("bucket", "size", "answer"))).alias("answers")), "answers")
+    free_shuffles(rows.sparkSession)  # the exchange itself, before its answers are joined
+    return out
 
 
 def _ordinals(names):
