@@ -38,3 +38,27 @@ CATEGORIES = (
 RRF_K, PRUNE_DAYS = 60, 90
 #: White space as ECMAScript's \s and trim see it.
 JS_SPACE = r"[\x09-\x0D\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+VIDEO_HOSTS = ("www.youtube.com", "youtube.com", "m.youtube.com", "youtu.be")
+#: The feeds of a subject, the searches that go with them ({M} month, {Y} year), and the entities tracked by default.
+DOMAIN_FEEDS = {
+    "ai": ("https://news.ycombinator.com/rss", "http://export.arxiv.org/rss/cs.AI", "https://www.reddit.com/r/LocalLLaMA/.rss", "https://www.reddit.com/r/MachineLearning/.rss"),
+    "markets": ("https://www.federalreserve.gov/feeds/press_all.xml", "https://www.reddit.com/r/economics/.rss", "https://www.reddit.com/r/StockMarket/.rss"),
+    "youtube": ("https://www.tubefilter.com/feed/", "https://www.reddit.com/r/PartneredYoutube/.rss", "https://www.reddit.com/r/NewTubers/.rss"),
+    "crypto": ("https://www.coindesk.com/arc/outboundfeeds/rss/", "https://cointelegraph.com/rss", "https://www.reddit.com/r/CryptoCurrency/.rss"),
+}
+DOMAIN_SEARCHES = {
+    "ai": ("major AI model release announcement {M} {Y}", "AI company breakthrough record {M} {Y}"),
+    "markets": ("stock market Federal Reserve decision {M} {Y}", "record market move {M} {Y}"),
+    "youtube": ("YouTube subscriber milestone record {M} {Y}", "YouTube creator record announcement {M} {Y}"),
+    "crypto": ("cryptocurrency bitcoin record milestone {M} {Y}", "major crypto announcement {M} {Y}"),
+}
+WATCHLIST = (
+    ("MrBeast", "person", ("Jimmy Donaldson", "Mr Beast"), ("youtube",)),
+    ("Anthropic", "org", ("Claude",), ("ai",)),
+    ("OpenAI", "org", ("ChatGPT", "GPT-5"), ("ai",)),
+    ("Google DeepMind", "org", ("Gemini",), ("ai",)),
+    ("xAI", "org", ("Grok",), ("ai",)),
+    ("Nvidia", "org", ("NVDA",), ("ai", "markets")),
+    ("Federal Reserve", "org", ("FOMC", "the Fed"), ("markets",)),
+    ("Bitcoin", "ticker", ("BTC",), ("crypto",)),
+)

@@ -48,6 +48,31 @@ def unwrap_redirect(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("bing.com/ck/a")) & F.startswith(plain, F.lit("http")), plain).otherwise(c)
 
 
+def unwrap_parameter(c: Column, name: str = "uddg") -> Column:
+    """A redirect's decoded parameter, decoded once more where that works; urls without it stay."""
+    raw = F.regexp_extract(c, rf"[?&]{name}=([^&#]*)", 1)
+    once = F.try_url_decode(raw)
+    twice = F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))
+    return F.when(raw != "", F.coalesce(twice, once, c)).otherwise(c)
+
+
+def raw_capture(c: Column) -> Column:
+    """An archive's capture without its frame: id_ after the time stamp, the first one only."""
+    return F.regexp_replace(c, r"^(.*?/web/[0-9]+)/", "$1id_/")
+
+
+def file_name(c: Column) -> Column:
+    """A url as the name of a markdown file: no scheme, other characters than letters and digits as _, at most 100, then .md."""
+    return F.concat(F.left(F.regexp_replace(F.regexp_replace(c, "^(.*?)https?://", "$1"), "[^a-zA-Z0-9]", "_"), F.lit(100)), F.lit(".md"))
+
+
+def video_id(c: Column) -> Column:
+    """The id of a video url of the four hosts, empty where there is none; null for other urls."""
+    path = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/?([^?#]*)", 1)
+    param = F.regexp_extract(F.regexp_extract(c, r"\?([^#]*)", 1), r"(?:^|&)v=([^&]*)", 1)
+    return F.when(host(c) == "youtu.be", path).when(host(c).isin(*C.VIDEO_HOSTS), F.coalesce(F.try_url_decode(param), param))
+
+
 def glob_regex(pattern: str) -> str:
     """A glob over a whole url: * stays within a path segment, ** doesn't, ? is one character of a segment, {a,b} alternates."""
     out, i, depth = "", 0, 0

@@ -19,8 +19,10 @@ FIELDS = {
     "meta_tags": "map<string,string>",
     "css": "map<string,array<string>>",
     "captcha": "boolean",
+    "readable": "struct<ok:boolean,title:string,byline:string,excerpt:string,html:string,text:string,markdown:string>",
 }
-CAPTCHA = 'iframe[src*="captcha"], [class*="captcha"], [id*="captcha"], [class*="cf-challenge"]'
+#: Elements that mark a challenge page.
+CAPTCHA = 'iframe[src*="recaptcha"], iframe[src*="hcaptcha"], .g-recaptcha, #cf-challenge-stage'
 
 
 def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_html", "markdown"), css: Mapping[str, str] | None = None, url: str = "url", html: str = "html", keep_nav: bool = False, keep_footer: bool = False) -> DataFrame:
@@ -32,7 +34,7 @@ def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_htm
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from ..functions import dom
+        from ..functions import dom, readable
 
         for batch in batches:
             out: dict[str, list] = {f: [] for f in fields}
@@ -54,6 +56,10 @@ def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_htm
                     out["css"].append([(k, [n.text().strip(dom.SPACE) for n in dom.select(root, s)]) for k, s in css.items()])
                 if "captcha" in out:
                     out["captcha"].append(bool(dom.select(root, CAPTCHA)))
+                if "readable" in out:
+                    a = readable.article(root, page)
+                    content = a.pop("content")
+                    out["readable"].append({**a, "html": dom.inner_html(content) if content else None, "markdown": dom.markdown(content) if content else None})
                 if "clean_html" in out or "markdown" in out:
                     main = dom.clean(root, keep_nav, keep_footer)
                     if "clean_html" in out:
@@ -73,13 +79,25 @@ def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_htm
 def scrape(pages: DataFrame) -> DataFrame:
     """The whole page record: metadata, markdown, text, links, token counts, reduction and content hash."""
     d = pages.withColumn("html_tokens", T.token_estimate(F.coalesce("html", F.lit(""))))
-    d = parse(d, ("meta", "links", "markdown"))
+    return finish(parse(d, ("meta", "links", "markdown")))
+
+
+def finish(d: DataFrame) -> DataFrame:
+    """The native columns of a page record that has its markdown and html_tokens."""
     d = d.withColumn("text", T.plain_text(F.col("markdown"))).withColumn("markdown_tokens", T.token_estimate(F.col("markdown")))
     return d.withColumn("reduction", T.reduction(F.col("markdown_tokens"), F.col("html_tokens"))).withColumn("content_hash", T.content_hash(F.col("markdown")))
 
 
-def agent_extract(pages: DataFrame) -> DataFrame:
-    """title, markdown, approx_tokens (a quarter of the units), captcha, publish_date: the tag's, else the first date in the markdown."""
-    d = parse(pages, ("meta", "markdown", "captcha"))
+def agent_extract(pages: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """title, markdown, approx_tokens (a quarter of the units), captcha, publish_date, extracted_via.
+
+    The article found by density where it has 200 characters or more, else the cleaned page. The date is the tag's, else
+    the first one in the markdown. `more` names further fields of the same parse.
+    """
+    d = parse(pages, ("meta", "markdown", "captcha", "readable", *more))
+    dense = F.col("readable.ok") & (T.len16(F.coalesce("readable.text", F.lit(""))) >= 200)
+    d = d.withColumn("extracted_via", F.when(dense, "readability").otherwise("cleaner")).withColumn("markdown", F.when(dense, F.col("readable.markdown")).otherwise(F.col("markdown")))
     date = F.coalesce(F.nullif(F.col("meta.published_at"), F.lit("")), T.first_date(F.col("markdown")))
-    return d.withColumn("title", F.col("meta.title")).withColumn("approx_tokens", T.js_round(T.len16(F.col("markdown")) / 4).cast("long")).withColumn("publish_date", date).drop("meta")
+    title = F.coalesce(F.when(F.col("readable.ok"), F.nullif(F.col("readable.title"), F.lit(""))), F.col("meta.title"))
+    d = d.withColumn("title", title).withColumn("approx_tokens", T.js_round(T.len16(F.col("markdown")) / 4).cast("long"))
+    return d.withColumn("publish_date", date).drop("meta", "readable")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scoring as S, text as T, urls as U
-from ..operators import chunk as K, crawl as X, page as P, ranking as R, track as M
-from ..sources import feeds as B
+from ..operators import browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M
+from ..sources import feeds as B, results as E, state as A
 from ..streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,6 +470,125 @@ def stream_track(spark, d):
     return J.run_available(J.new_mentions_stream(found)).groupBy("entity").agg(F.count("*").alias("n"))
 
 
+@query()
+def readable_extract(spark, d):
+    """The article of each page by density."""
+    p = P.parse(_read(spark, d, "pages"), ("readable",))
+    return p.select("page_id", "readable.ok", "readable.title", F.length("readable.text").alias("chars"), "readable.markdown")
+
+
+_RESULT = """CASE doc_id % 3
+WHEN 0 THEN concat('<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2F', doc_id, '&amp;rut=1">T ', doc_id, '</a><a class="result__snippet">s <b>', lang, '</b></a></div><div class="result"><a class="result__a" href="/y">no url</a></div>')
+WHEN 1 THEN concat('<ol><li class="b_algo"><h2><a href="https://x.org/', doc_id, '">T ', doc_id, '</a></h2><div class="b_caption"><p>s ', lang, '</p></div></li></ol>')
+ELSE concat('<ul class="results-standard"><li class="r1"><a class="ob" href="z">z</a><h2><a class="title" href="https://x.org/', doc_id, '">T ', doc_id, '</a></h2><p class="s">s ', lang, '</p></li></ul>') END"""
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS query, CASE doc_id % 3 WHEN 0 THEN 'duckduckgo' WHEN 1 THEN 'bing' ELSE 'mojeek' END AS engine, 0::BIGINT AS rank, 'T ' || doc_id AS title, 'https://x.org/' || doc_id AS url, 's ' || lang AS snippet FROM documents")
+def serp_hits(spark, d):
+    """Hits of result pages of three engines, redirects unwrapped."""
+    r = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("query"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'duckduckgo' WHEN 1 THEN 'bing' ELSE 'mojeek' END").alias("engine"), F.expr(_RESULT).alias("html"))
+    return E.hits(r).select("query", "engine", F.col("rank").cast("long").alias("rank"), "title", "url", "snippet")
+
+
+@query("SELECT source AS query, 'https://x.org/' || k AS url, round(sum(1.0::DOUBLE / 61), 4) AS score, CAST(count(*) AS BIGINT) AS engines FROM (SELECT source, doc_id % 2 AS k, doc_id % 3 AS e FROM documents GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def web_search(spark, d):
+    """Result pages of three engines fused for each query."""
+    one = _read(spark, d, "documents").select(F.col("source").alias("query"), (F.col("doc_id") % 2).alias("doc_id"), (F.col("doc_id") % 3).alias("e")).distinct()
+    html = F.concat(F.lit('<li class="b_algo"><h2><a href="https://x.org/'), "doc_id", F.lit('">t</a></h2></li>'))
+    names = F.element_at(F.array(F.lit("duckduckgo"), F.lit("bing"), F.lit("mojeek")), (F.col("e") + 1).cast("int"))
+    other = F.concat(F.lit('<div class="result"><a class="result__a" href="https://x.org/'), "doc_id", F.lit('">t</a></div>'))
+    third = F.concat(F.lit('<ol class="results"><li><h2><a href="https://x.org/'), "doc_id", F.lit('">t</a></h2></li></ol>'))
+    r = one.select("query", names.alias("engine"), F.when(F.col("e") == 1, html).when(F.col("e") == 0, other).otherwise(third).alias("html"))
+    return E.search(r).select("query", "url", "score", F.size("engines").cast("long").alias("engines"))
+
+
+_VIDEO = """concat('<script>var ytInitialPlayerResponse = {"videoDetails":{"videoId":"v', doc_id, '","title":"T ', doc_id, '","author":"', lang, '","channelId":"c","viewCount":"', doc_id * 1000, '","lengthSeconds":"', doc_id + 60, '","shortDescription":"about","keywords":["a","b"],"isLiveContent":false,"thumbnail":{"thumbnails":[{"url":"i1"},{"url":"i2"}]}}};</script><script>var ytInitialData = {"a":[{"chapterRenderer":{"title":{"simpleText":"one"},"timeRangeStartMillis":65000}}]};</script>')"""
+
+
+@query(
+    """
+WITH t AS (SELECT doc_id, lang, doc_id * 1000 AS v, doc_id + 60 AS s FROM documents)
+SELECT doc_id, 'v' || doc_id AS video_id, 'T ' || doc_id AS title, v AS views, s AS duration, 'i2' AS image, sha256('# T ' || doc_id || chr(10) || chr(10) || '**' || lang || '** | ' || CASE WHEN v >= 1000000 THEN printf('%.1fM', v / 1e6) WHEN v >= 1000 THEN printf('%.1fK', v / 1e3) ELSE v::VARCHAR END || ' views | ' || CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') ELSE (s // 60) || ':' || lpad((s % 60)::VARCHAR, 2, '0') END
+  || replace('@@## Description@@about@@**Tags:** a, b@@## Chapters@@- **1:05** — one@', '@', chr(10))) AS rendered FROM t
+"""
+)
+def video_page(spark, d):
+    """Video records of pages with embedded JSON."""
+    p = _read(spark, d, "documents").select("doc_id", F.concat(F.lit("https://www.youtube.com/watch?v=v"), "doc_id", F.lit("&t=1")).alias("url"), F.expr(_VIDEO).alias("html"))
+    v = E.video_pages(p)
+    return v.select("doc_id", "video.video_id", "video.title", "video.views", "video.duration", "video.image", F.sha2("video.markdown", 256).alias("rendered"))
+
+
+@query("SELECT url, 'https://web.archive.org/web/2024' || page_id || 'id_/' || url AS raw, regexp_replace(regexp_replace(url, 'https?://', ''), '[^a-zA-Z0-9]', '_', 'g')[:100] || '.md' AS file_name FROM pages")
+def url_files(spark, d):
+    """Raw captures and file names of urls."""
+    capture = F.concat(F.lit("https://web.archive.org/web/2024"), "page_id", F.lit("/"), "url")
+    return _read(spark, d, "pages").select("url", U.raw_capture(capture).alias("raw"), U.file_name(F.col("url")).alias("file_name"))
+
+
+@query("SELECT doc_id, doc_id % 7 <= 3 AND doc_id % 2 = 0 AS from_cache FROM documents")
+def cache_lookup(spark, d):
+    """Which urls a cache with an age limit of three hours still answers."""
+    t = _read(spark, d, "documents").select("doc_id", F.concat(F.lit("https://x.org/"), "doc_id").alias("url"))
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    cache = t.where("doc_id % 2 = 0").select("url", F.timestamp_seconds(F.unix_seconds(now) - F.col("doc_id") % 7 * 3600).alias("fetched_at"), F.lit("m").alias("markdown"))
+    return A.lookup(t, cache, now, 3 * 3600).select("doc_id", "from_cache")
+
+
+@query("SELECT seq FROM (SELECT doc_id AS seq, sum(coalesce(length(text), 0)) OVER (ORDER BY doc_id DESC) AS s FROM documents) WHERE s <= 50000 OR seq = (SELECT max(doc_id) FROM documents)")
+def cache_evict(spark, d):
+    """What first-in-first-out eviction leaves of a cache of 50,000 characters."""
+    return A.evict(_read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.coalesce(F.length("text"), F.lit(0)).alias("size")), 50_000).select("seq")
+
+
+@query(f"SELECT page_id, (row_number() OVER (PARTITION BY lower(regexp_extract(url, '{HOST}', 1)) ORDER BY page_id) - 1) / 2.0::DOUBLE AS at FROM pages")
+def host_pace(spark, d):
+    """The second from which each request may go, at two a second for each host."""
+    return A.pace(_read(spark, d, "pages").select("page_id", F.col("page_id").alias("ord"), "url")).select("page_id", "at")
+
+
+@query("""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, 'second' AS mark FROM pages WHERE page_id % 2 = 0 AND page_id % 3 <> 0""")
+def plugin_chain(spark, d):
+    """Two plugins: one drops requests and marks records, one rewrites html and overwrites the mark."""
+    pages = _read(spark, d, "pages")
+    one = G.Plugin("one", before_fetch=lambda r: r.where("page_id % 2 = 0"), extract=lambda: F.create_map(F.lit("lang"), F.col("meta.language"), F.lit("mark"), F.lit("first")))
+    two = G.Plugin("two", before_process=lambda html, url: F.replace(html, F.lit("</title>"), F.lit("!</title>")), extract=lambda: F.create_map(F.lit("mark"), F.lit("second")), after_process=lambda r: r.where("page_id % 3 <> 0 and meta.title like '%!'"))
+    out = G.scrape(pages.select("page_id", "url"), pages, [one, two])
+    return out.select("page_id", F.col("extracted")["lang"].alias("lang"), F.col("extracted")["mark"].alias("mark"))
+
+
+@query(
+    """
+WITH f AS (SELECT unnest(range(13)) AS i), t AS (SELECT i, CASE WHEN i < 4 THEN 'ai' WHEN i < 7 THEN 'markets' WHEN i < 10 THEN 'youtube' ELSE 'crypto' END AS domain, CASE WHEN k = 0 THEN 'https://x.org/shared' ELSE 'https://x.org/' || i || '-' || k END AS url FROM f, unnest(range(3)) AS r(k) WHERE i % 5 <> 4)
+SELECT domain, url FROM (SELECT domain, url, row_number() OVER (PARTITION BY url ORDER BY i) AS n FROM t) WHERE n = 1
+"""
+)
+def discover_feeds(spark, d):
+    """The known feeds' items (a failed feed among each five), each url once."""
+    item = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("<item><title>t</title><link>https://x.org/"), F.when(k == 0, "shared").otherwise(F.concat(F.col("feed_ord").cast("string"), F.lit("-"), k.cast("string"))), F.lit("</link></item>")))
+    feeds = E.feed_registry(spark).select("feed", F.when(F.col("feed_ord") % 5 == 4, 500).otherwise(200).alias("status"), F.array_join(item, "").alias("xml"))
+    return E.discover_domains(spark, feeds, "2024-01-02")[0].select("domain", "url")
+
+
+def linked_pages(docs: DataFrame) -> DataFrame:
+    """Pages made of documents, each linked to three others."""
+    n = F.lit(97)
+    href = lambda k: F.concat(F.lit("https://h"), (F.col("doc_id") + k) % 7, F.lit(".org/2024/big-story-"), (F.col("doc_id") * 3 + k) % n)
+    link = lambda k: F.concat(F.lit("<a href='"), href(k), F.lit("'>more "), F.col("lang"), F.lit(" story</a>"))
+    body = F.concat(F.lit("<html><head><title>Story "), "doc_id", F.lit("</title></head><body><article><p>story "), "text", F.lit("</p>"), *[link(k) for k in range(3)], F.lit("</article></body></html>"))
+    return docs.where("text is not null").select(F.concat(F.lit("https://h"), F.col("doc_id") % 7, F.lit(".org/2024/big-story-"), F.col("doc_id") % n).alias("url"), "doc_id", body.alias("html"))
+
+
+@query()
+def browse_story(spark, d):
+    """A best-first reading for a query over linked pages."""
+    p = linked_pages(_read(spark, d, "documents"))
+    first = p.groupBy("url").agg(F.min("doc_id").alias("doc_id")).select(F.col("url").alias("u"), F.col("doc_id").alias("i"))
+    p = p.join(first, (p.url == F.col("u")) & (p.doc_id == F.col("i")), "left_semi")
+    hits = p.orderBy("doc_id").limit(10).select(F.col("doc_id").alias("ord"), "url")
+    return W.browse(p.select("url", "html"), "story", hits)[0].select("hop", "url", "title", "depth", "relevance", "snippet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
