@@ -324,3 +324,19 @@ def test_pipeline(spark, docs):
         d = stage(spark, d, "")
         assert d.columns == list(c.COLUMNS), name
     assert c.STAGES[-1][1](spark, d, "").count() >= d.count()
+
+
+def test_vectors_pairs_beside_a_large_group(spark):
+    """A group of 700 near copies and 300 pairs far from it in one label: every link is found."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    lone = r.normal(size=(300, 32))
+    x = np.concatenate([r.normal(size=(1, 32)) + 0.03 * r.normal(size=(700, 32)), lone, lone + 0.02 * r.normal(size=lone.shape)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    out, audit = vectors.near_vectors(spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>"))
+    got = {row["vec_id"]: row["n_links"] for row in out.collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert all(row["found"] >= vectors.RECALL * row["there"] for row in audit.collect())

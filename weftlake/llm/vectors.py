@@ -2,8 +2,9 @@
 
 Vectors of a label make cells of at most about CELL rows (one, for a smaller label; overlapping ones by nearest
 pivots beyond). In a cell, overlapping shards of about SHARD rows each give a pruned graph; a row's lists are united;
-blocks of queries then search the cell's graph: greedily from the shards' medoids, then from hit to hit as long as
-the similarity stays in range.
+blocks of queries then search the cell's graph: greedily from the shards' medoids and the query's own place, then from
+hit to hit as long as the similarity stays in range. The own place matters: the lists of a large group of near copies
+stay within it, and a search that starts there from a medoid would never leave it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ CELL, SHARD, BLOCK = 16384, 1024, 4096
 DEGREE, CANDIDATES, SLACK, BEAM, DENSE = 24, 64, 1.2, 32, 128
 #: Pivots come from a sample of at most so many rows in all; queries that each task holds against brute force; what they must reach.
 MAX_PIVOTS, AUDIT, RECALL = 65536, 64, 0.97
+#: The widest beam; a task that doesn't reach RECALL with it reads all its ranges off the cell.
+MAX_BEAM = 256
 
 
 def _unit(batch, name: str):
@@ -107,7 +110,7 @@ def search(x, adj, queries, entries, limit: float, beam: int = BEAM):
             ids[who], sims[who], done[who] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
 
         who = np.arange(m)
-        merge(who, *look(who, np.repeat(entries[None, :], m, 0)))
+        merge(who, *look(who, np.concatenate([np.repeat(entries[None, :], m, 0), queries[lo : lo + m, None]], 1)))
         while True:
             best = np.where(done, -9.0, sims).argmax(axis=1)
             who = np.nonzero(~done[np.arange(m), best])[0]
@@ -118,11 +121,12 @@ def search(x, adj, queries, entries, limit: float, beam: int = BEAM):
             merge(who, *look(who, adj[node]))
         # from hit to hit; a query with very many hits has its range read off the cell
         opened = np.zeros((m, n + 1), bool)
+        whole = np.zeros(m, bool)
         while True:
-            dense = np.nonzero(hit.sum(axis=1) > DENSE)[0]
+            dense = np.nonzero(~whole & (hit.sum(axis=1) > DENSE))[0]
             if len(dense):
                 hit[dense, :n] |= q[dense] @ x.T >= limit
-                opened[dense] = True
+                opened[dense] = whole[dense] = True
             todo = hit & ~opened
             who = np.nonzero(todo.any(axis=1))[0]
             if not len(who):
@@ -176,7 +180,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
     Links join vectors of equal, non-null labels and equal lengths whose cosine in double precision is at least limit.
     Null vectors, zero vectors and those that hold nulls or non-finite numbers have no links. Equal vectors are one row
     from the start and count as linked to each other. In each task up to AUDIT queries are held against brute force; below
-    RECALL the task searches again with twice the beam, up to the cell's size. An empty table gives an empty result.
+    RECALL the task searches again with twice the beam, up to MAX_BEAM, and then reads its ranges off the cell. An empty table gives an empty result.
     """
     v = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding"))
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
@@ -234,27 +238,38 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
         while True:
             hit = search(x, adj, queries, entries, limit, beam)
             found = int((hit[np.searchsorted(queries, asked)] & truth).sum())
-            if found >= RECALL * truth.sum() or beam >= len(x):
+            if found >= RECALL * truth.sum():
                 break
             beam *= 2
+            if beam > MAX_BEAM:
+                for lo in range(0, len(queries), 256):
+                    hit[lo : lo + 256] |= x[queries[lo : lo + 256]] @ x.T >= limit
+                hit[np.arange(len(queries)), queries] = False
+                found = int(truth.sum())
+                break
         # a pair that stands together in several cells counts in the first of them
         here = int(t.column("grp")[0].as_py().rpartition("/")[2])
         cells_of = t.column("cells").to_pylist()
+        lower = [[c for c in own if c < here] for own in cells_of]
+        width = max(map(len, lower))
+        earlier = np.array([c + [-1] * (width - len(c)) for c in lower], "i8").reshape(len(x), width)
         count = np.zeros(len(queries), "i8")
-        if all(len(c) == 1 for c in cells_of):
-            count = (hit * weight[None, :]).sum(axis=1)
-        else:
-            for k, i in enumerate(queries):
-                own = set(cells_of[i])
-                count[k] = sum(int(weight[j]) for j in np.nonzero(hit[k])[0] if min(own & set(cells_of[j])) == here)
         # enough edges to connect what is linked: the least place that each reaches over this task's hits
         least = np.arange(len(x))
-        qi, hj = np.nonzero(hit)
-        qi = queries[qi]
+        blocks = range(0, len(queries), 256)
+        for lo in blocks:
+            counted = hit[lo : lo + 256].copy()
+            for i in range(width):
+                mine = earlier[queries[lo : lo + 256], i][:, None]
+                for j in range(width):
+                    counted &= (mine != earlier[None, :, j]) | (mine < 0)
+            count[lo : lo + 256] = counted @ weight
         while True:
             new = least.copy()
-            np.minimum.at(new, qi, least[hj])
-            np.minimum.at(new, hj, least[qi])
+            for lo in blocks:
+                h, at = hit[lo : lo + 256], queries[lo : lo + 256]
+                new[at] = np.minimum(new[at], np.where(h, new[None, :], len(x)).min(axis=1))
+                np.minimum(new, np.where(h, new[at][:, None], len(x)).min(axis=0), out=new)
             new = np.minimum(new, new[new])
             if (new == least).all():
                 break
