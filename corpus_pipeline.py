@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftlake.llm import lines, mixing, packing, quality, simhash
+from weftlake.llm import lines, minhash, mixing, packing, quality
 from weftlake.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,11 +22,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows without an id go where their group has one."""
-    d = docs.select(*COLUMNS)
-    classes = simhash.near_duplicates(d)
-    gone = table(classes.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return d.join(gone.hint("merge"), d.doc_id.eqNullSafe(gone["_id"]), "left_anti")
+    """Of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more, chained) the document with the smallest id stays; rows without an id go where their group has one."""
+    d = minhash.near_groups(docs.select(*COLUMNS))
+    first = table(d.groupBy("near_group").agg(F.min("doc_id").alias("first")).withColumnRenamed("near_group", "g"), "first")
+    gone = d.join(first, F.col("near_group") == F.col("g")).where("not (doc_id <=> first)").select(F.col("doc_id").alias("_id"))
+    gone = table(gone.distinct(), "gone")
+    return d.join(gone.hint("merge"), d.doc_id.eqNullSafe(gone["_id"]), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(table(packing.token_pieces(docs), "pieces"))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("mixing", mix_sources), ("packing", best_fit_packing)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("mixing", mix_sources), ("packing", best_fit_packing)]
 
 #: No SQL gives these rows (Golay keys, seeded draws and best-fit packing); tests hold each stage against brute force.
 ORACLE_SQL = None
