@@ -22,12 +22,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more, chained) the document with the smallest id stays; rows without an id go where their group has one."""
-    d = minhash.near_groups(docs.select(*COLUMNS))
-    first = table(d.groupBy("near_group").agg(F.min("doc_id").alias("first")).withColumnRenamed("near_group", "g"), "first")
-    gone = d.join(first, F.col("near_group") == F.col("g")).where("not (doc_id <=> first)").select(F.col("doc_id").alias("_id"))
-    gone = table(gone.distinct(), "gone")
-    return d.join(gone.hint("merge"), d.doc_id.eqNullSafe(gone["_id"]), "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more, chained) stays.
+
+    It is the one with the smallest id; rows without an id come last, and of rows with one id the least by a hash of the
+    columns stays. What goes is decided for each row, so an id that is null or repeated elsewhere takes nothing along.
+    """
+    d = minhash.near_groups(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash")))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "row")
+    kept = table(d.groupBy("near_group").agg(F.min(place).alias("first")).select(F.col("first.row").alias("_row")), "kept")
+    return d.join(kept.hint("merge"), F.col("row") == F.col("_row"), "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

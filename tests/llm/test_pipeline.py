@@ -62,3 +62,20 @@ def test_near_in_ranges(monkeypatch):
     brute = [[len({*a.tolist()} & {*b.tolist()}) >= 0.8 * len({*a.tolist()} | {*b.tolist()}) for b in sets] for a in sets]
     monkeypatch.setattr(minhash, "RANGE", 100)
     assert minhash.near(sets).tolist() == want == brute
+
+
+def test_near_dedup_keeps_one_row_a_group(spark):
+    """Null ids and repeated ids: rows are kept or not by their own group."""
+    texts = near_copies(seed=6, n=4)
+    ids = [None if i % 3 == 0 else i // 4 for i in range(len(texts))] + [None, 900, 900]
+    texts += ["a clean text that only a row without an id has", "the first text of a repeated id", "the second text, unlike the first, of a repeated id"]
+    want = groups(texts)
+    least = {}
+    for i, g in enumerate(want):
+        least[g] = min(least.get(g, (True, 0)), (ids[i] is None, ids[i] or 0))
+    d = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in zip(ids, texts)], DOC)
+    got = [(r["doc_id"], r["text"]) for r in c.near_dedup(spark, d, "").collect()]
+    assert len(got) == len(set(want)) and set(got) <= set(zip(ids, texts))
+    group_of = dict(zip(texts, want))
+    assert {group_of[t]: (k is None, k or 0) for k, t in got} == least
+    assert {(None, texts[-3]), (900, texts[-2]), (900, texts[-1])} <= set(got)
