@@ -161,6 +161,12 @@ def content_fingerprint(spark, d):
     return _read(spark, d, "documents").where("length(text) < 3000").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
 
 
+@query()
+def content_fingerprint_whole(spark, d):
+    """The fingerprint of every document, however long; null for a null text."""
+    return _read(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
 @query(f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, lower({sq_squeeze("regexp_replace(text, '<[^>]+>', '', 'g')")}) AS s FROM documents) GROUP BY s")
 def exact_dedup(spark, d):
     return R.exact_dedup(_read(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
