@@ -476,6 +476,42 @@ def stream_track(spark, d):
     return J.run_available(J.new_mentions_stream(found)).groupBy("entity").agg(F.count("*").alias("n"))
 
 
+_NAMED = " UNION ALL ".join(f"SELECT '{n}' AS entity, doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])({'|'.join([n, *a])})([^A-Za-z0-9_]|$)')" for n, a in WATCH)
+
+
+def _whole_items(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("ord"), F.lit("").alias("title"), F.col("text").alias("snippet"), F.concat(F.lit("https://x.org/"), "doc_id", F.lit("/?q=1")).alias("url"))
+
+
+@query(
+    f"""
+WITH m AS ({_NAMED}), w AS (SELECT unnest([{", ".join(f"'{n}'" for n, _ in WATCH)}]) AS entity)
+SELECT w.entity, count(DISTINCT doc_id) FILTER (WHERE doc_id % 3 <> 0) AS n_new, count(DISTINCT doc_id) AS total_known FROM w LEFT JOIN m ON m.entity = w.entity GROUP BY 1
+"""
+)
+def entity_track_whole(spark, d):
+    """New and known mentions over whole texts, a url a document."""
+    found = M.mentions(_whole_items(_read(spark, d, "documents")), WATCH).select("entity", "url_key", "ord")
+    known = found.select("entity", "url_key").where(F.regexp_extract("url_key", "([0-9]+)$", 1).cast("long") % 3 == 0).distinct()
+    new = M.new_mentions(found, known)
+    return M.digest(WATCH, new, known.union(new.select("entity", "url_key"))).select("entity", "n_new", "total_known")
+
+
+@query(f"SELECT entity, count(DISTINCT doc_id) AS n FROM ({_NAMED}) GROUP BY 1")
+def stream_track_whole(spark, d):
+    """Mentions as they come over whole texts, a url a document."""
+    items = _whole_items(J.read_table(spark, d, "documents")).withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
+    found = M.mentions(items, WATCH).select("entity", "url_key", "seen")
+    return J.run_available(J.new_mentions_stream(found)).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@query()
+def digest_render_whole(spark, d):
+    """The digest's first lines an entity, over whole texts."""
+    items = _whole_items(_read(spark, d, "documents")).withColumn("title", F.left("snippet", F.lit(40)))
+    return M.render(M.mentions(items, WATCH))
+
+
 @query()
 def readable_extract(spark, d):
     """The article of each page by density."""
