@@ -34,22 +34,58 @@ def none(spark):
     return spark.createDataFrame([], DOC)
 
 
-def test_suffixes(spark, docs, none):
-    got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs).collect()}
+def removed(rows):
+    """By brute force: of each document (id, text) the bytes that a 50-byte string covers which also starts in an earlier one."""
     first: dict[bytes, int] = {}
-    for i, text, *_ in documents():
-        b = (text or "").encode()
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    for i, b in texts:
+        for q in range(len(b) - 49):
+            if i is not None:
+                first[b[q : q + 50]] = min(i, first.get(b[q : q + 50], i))
+    out = []
+    for i, b in texts:
         gone = [False] * len(b)
         for q in range(len(b) - 49):
-            if first.setdefault(b[q : q + 50], i) < i:
+            f = first.get(b[q : q + 50])
+            if f is not None and (i is None or f < i):
                 gone[q : q + 50] = [True] * 50
+        out.append((i, b, gone))
+    return out
+
+
+def check_removed(rows, got):
+    want = removed(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    mine = []
+    for i, b, gone in want:
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        r = got[i]
-        assert (r["n_bytes"], r["n_removed"], bytes(r["kept"]), r["kept_sha256"]) == (len(b), sum(gone), kept, hashlib.sha256(kept).hexdigest())
-        assert sum(s["end"] - s["start"] for s in r["spans"]) == sum(gone)
+        runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        mine.append((i, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got), key=key) == sorted(mine, key=key)
+    return sum(sum(g) for _, _, g in want)
+
+
+@pytest.mark.parametrize("small", [{}, {"batch": 2000, "share": 500}, {"batch": 2000, "hot": 1}, {"batch": 500, "hot": 4, "together": 300}])
+def test_suffixes(spark, docs, none, small):
+    rows = [(i, t) for i, t, *_ in documents()]
+    assert check_removed(rows, suffixes.remove_repeats(docs, **small).collect()) > 1000
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in suffixes.remove_repeats(docs, **small).collect())
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_suffixes_of_hard_rows(spark):
+    """Null and repeated ids, a long text, texts of one byte, a short stretch in every document among other words."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randrange(2, 9)))
+    common = "a stretch of thirty-odd bytes, no more"
+    rows = [(i // 2 if i % 7 else None, " ".join(word() for _ in range(r.randrange(20))) + common + " ".join(word() for _ in range(r.randrange(20)))) for i in range(300)]
+    long = " ".join(word() for _ in range(20_000))
+    rows += [(500, long), (501, long[1000:90_000] + "x" + long[:1000]), (502, "x" * 5000), (503, "x" * 49), (504, "x" * 50), (505, None), (506, ""), (502, "x" * 60), (None, long[:200])]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_removed int")
+    for small in ({}, {"batch": 4000, "hot": 8, "together": 2000}):
+        assert check_removed(rows, suffixes.remove_repeats(d, **small).collect()) > 90_000
+
+
 def test_suffixes_segments(monkeypatch):
     import numpy as np
 
@@ -57,18 +93,29 @@ def test_suffixes_segments(monkeypatch):
     data, ends = np.frombuffer(text, "u1"), np.array([700, 5000, len(text)])
     monkeypatch.setattr(suffixes, "SEGMENT", 1000)
     suffixes._tables.clear()
-    start, size, trigger, _ = suffixes.phrases(data, ends, 50)
+    start, size, trigger = suffixes.phrases(data, ends, 50)
     places = np.concatenate([np.arange(a, a + n) for a, n in zip(start, size, strict=True)])
     assert sorted(places) == [q for a, b in ((0, 700), (700, 5000), (5000, len(text))) for q in range(a, b - 49)]
     of = {}
     for a, n, t in zip(start, size, trigger, strict=True):
         for q in range(a, a + n):
             assert of.setdefault(text[q : q + 50], t) == t
-    names = suffixes.string_names(data, ends, np.sort(places), 50)
-    assert len({(text[q : q + 50], h) for q, h in zip(np.sort(places), names, strict=True)}) == len(set(names)) == len(of)
     suffixes._tables.clear()
 
 
+@pytest.mark.parametrize("length", [5, 8, 9, 50])
+def test_suffix_ranks(length):
+    import numpy as np
+
+    r = random.Random(length)
+    parts = [bytes(r.choices(b"ab\x00\xff", k=r.randrange(length, 3 * length))) for _ in range(40)]
+    begin = np.append(0, np.cumsum([len(p) for p in parts]))
+    got = suffixes.ranks(np.frombuffer(b"".join(parts), "u1"), begin, length).tolist()
+    strings = [p[k : k + length] for p in parts for k in range(len(p))]
+    order = {x: n for n, x in enumerate(sorted({x for x in strings if len(x) == length}))}
+    assert got == [order.get(x, -1) for x in strings]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_bins(seed):
     r = random.Random(seed)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import prefix_sums
+
 #: Fixed: what opens a control string, and what closes it. <s> </s> [INST] [/INST] <<SYS>> <</SYS>> [IMAGE:n] [AUDIO:n] [DOCUMENT:n]
 _OPEN = r"(<</|<<|</|<|\[/|\[)"
 _CLOSE = r"(s>|SYS>>|INST\]|(?:IMAGE|AUDIO|DOCUMENT):[0-9]+\])"
@@ -56,18 +58,14 @@ def format_chat(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     head = lambda t: F.concat(F.lit("<s>[INST]"), escape(t["role"]), F.lit("[/INST]"))
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), t["body"].alias("body"), (t["role"] == assistant).alias("loss"), F.concat(head(t), t["body"], F.lit("</s>")).alias("all")))
     c = c.withColumn("pieces", pieces)
-    none = F.array().cast("array<struct<start:long,length:long>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-
-    def step(acc, p):
-        span = F.array(F.struct((acc["at"] + F.length(p["head"])).cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length")))
-        return F.struct((acc["at"] + F.length(p["all"])).cast("long").alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
+    starts = prefix_sums(F.transform("pieces", lambda p: F.length(p["all"]).cast("long")))
+    span = lambda p, at: F.when(p["loss"], F.struct((at + F.length(p["head"])).cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length")))
+    spans = F.array_compact(F.zip_with("pieces", starts, span))
     attachments = F.flatten(F.transform("turns", lambda t, i: F.transform(t["att"], lambda a: F.struct(i.alias("turn_place"), a["place"].alias("place"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))))
     return c.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["all"]), "").alias("formatted"),
-        F.aggregate("pieces", start, step, lambda a: a["spans"]).alias("loss_spans"),
+        spans.alias("loss_spans"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]).alias("expanded_tokens"),
     )
@@ -81,9 +79,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7, formatted and read back; null texts and roles count as empty, repeated rows stay."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    role = F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int"))
+    rows = rows.unionByName(spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text")))
     part = F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("n_tokens")))
     f = read_back(format_chat(rows.select("conv_id", "turn", "role", part.alias("parts"))))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of characters other than the space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors share no folder")
         base = f"file://{tempfile.gettempdir()}/checkpoints/weftlake"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -48,8 +50,25 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+def let(c: Column, f) -> Column:
+    """f(c) with c worked out once: lambdas have no common subexpressions."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def prefix_sums(xs: Column, block: int = 256) -> Column:
+    """Of an array<long>: the sum of what stands before each element. Within blocks, then over blocks, as appending to one array costs its square."""
+    none = F.array().cast("array<long>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+    def sums(values):
+        return F.aggregate(values, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def joined(blocks):
+        before = sums(F.transform(blocks, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, s: F.transform(b["out"], lambda o: o + s)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda k: sums(F.slice(xs, k * block + 1, F.lit(block))))
+    return F.when(F.size(xs) > 0, let(blocks, joined)).otherwise(none)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

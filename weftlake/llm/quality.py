@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
-#: Rules of a document beside the base ones: symbols by word and repeated lines by line, and the host's rate from which they count.
-SOFT_SYMBOLS, SOFT_LINES, HOST_RATE = 0.1, 0.3, 0.5
+#: Rules of a document beside the base ones: symbols by word and repeated lines by line.
+SOFT_SYMBOLS, SOFT_LINES = 0.1, 0.3
+#: A host is bad if the odds of failing there are so many times the prior's, even at so many standard deviations below its rate.
+HOST_ODDS, DEVIATIONS = 3.0, 3.0
+#: Documents from which on a host's weight in the prior hardly grows: a host with a third of all documents counts as about one host.
+FULL_WEIGHT = 20
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = b"#*$%&|<>"
 
@@ -67,44 +71,54 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(flags: DataFrame, host: str = "source") -> DataFrame:
-    """flags(host, failed boolean): host, n, failed, rate shrunk by a beta prior that the hosts' own rates give (moments).
+    """flags(host, failed boolean): host, n, failed, rate, low, prior_mean; rates shrunk by a beta prior that the hosts' own rates give (moments).
 
-    Hosts of one document and of a billion are shrunk by the same prior. Sums are combined before the shuffle, and what
+    In the prior a host weighs n/(n + FULL_WEIGHT), so that neither a host of one document nor the largest one rules it.
+    low lies DEVIATIONS standard deviations of the posterior below rate. Sums are combined before the shuffle, and what
     is left has a row for each host. Where the rates don't vary the prior is their mean with the weight of 1e6 documents.
     """
     h = flags.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
     h = table(h, "hosts")
-    rate = F.col("failed") / F.col("n")
-    m = h.agg((F.sum("failed") / F.sum("n")).alias("mean"), (F.sum(F.col("n") * rate * rate) / F.sum("n")).alias("square"), (F.sum(F.lit(1.0)) / F.sum(1.0 / F.col("n"))).alias("typical"))
-    # the variance of the rates, without what sampling alone gives a host of typical size
-    noise = F.col("mean") * (1 - F.col("mean")) / F.col("typical")
-    var = F.greatest(F.col("square") - F.col("mean") * F.col("mean") - noise, F.lit(0.0))
-    weight = F.when(var > 0, F.greatest(F.least(F.col("mean") * (1 - F.col("mean")) / var - 1, F.lit(1e6)), F.lit(1.0))).otherwise(F.lit(1e6))
-    m = m.select("mean", weight.alias("weight"))
-    # one row: the two numbers of the prior
-    prior = m.first()
-    mean, weight = float(prior["mean"] or 0.0), float(prior["weight"] or 1e6)
-    return h.withColumn("rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
-
-
-def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, host: str = "source", text: str = "text", host_rate: float = HOST_RATE) -> DataFrame:
-    """docs' columns with MEASURES, base_failed, soft_failed, host_bad and kept.
+    n, rate = F.col("n"), F.col("failed") / F.col("n")
+    w = n / (n + FULL_WEIGHT)
+    m = h.agg(F.sum(w).alias("w"), F.sum(w * rate).alias("wr"), F.sum(w * rate * rate).alias("wrr"), F.sum(w / n).alias("wn")).first()  # four sums
+    mean = m["wr"] / m["w"] if m["w"] else 0.0
+    # the variance of the rates, without what sampling alone gives
+    var = max((m["wrr"] - mean * m["wr"]) / m["w"] - mean * (1 - mean) * m["wn"] / m["w"], 0.0) if m["w"] else 0.0
+    weight = max(min(mean * (1 - mean) / var - 1, 1e6), 1.0) if var > 0 else 1e6
+    h = h.withColumn("rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))).withColumn("prior_mean", F.lit(float(mean)))
+    return h.withColumn("low", F.greatest(F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(weight + 1))), F.lit(0.0)))
+
+
+def bad_hosts(rates: DataFrame, odds: float = HOST_ODDS) -> DataFrame:
+    """Of host_rates' rows the hosts whose documents fail far more often than the corpus leads to expect."""
+    mean = F.least(F.greatest("prior_mean", F.lit(1e-6)), F.lit(1 - 1e-6))
+    return rates.where(F.col("low") * (1 - mean) >= odds * mean * (1 - F.col("low")))
+
+
+def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, host: str = "source", text: str = "text", odds: float = HOST_ODDS, with_text: bool = True) -> DataFrame:
+    """docs' columns (text only if with_text) with MEASURES, base_failed, soft_failed, host_bad and kept.
 
     base_failed: fewer than min_words, or more than max_repeat_percent of the words in repeated windows. soft_failed:
-    base_failed, or many symbols, or many repeated lines. A host whose shrunk rate of soft failures reaches host_rate
-    is bad, and a bad host's documents must pass the soft rules too; elsewhere the base rules alone decide, so a clean
-    document is kept wherever it stands. Null texts have no words and fail; null hosts are a host of their own; repeated
-    rows are judged alike; an empty table gives an empty result.
+    base_failed, or many symbols, or many repeated lines. A host is bad by its shrunk rate of soft failures against the
+    corpus (bad_hosts), and a bad host's documents must pass the soft rules too; elsewhere the base rules alone decide,
+    so a clean document is kept wherever it stands. Null texts have no words and fail; null hosts are a host of their
+    own; repeated rows are judged alike; an empty table gives an empty result; columns of docs that have the name of an
+    added one are replaced by it. Texts are measured once: the measures are written and read twice.
     """
-    d = with_measures(docs, text)
+    added = {"base_failed", "soft_failed", "host_bad", "kept"}
+    d = with_measures(docs.select(*[c for c in docs.columns if c not in added]), text)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     soft = base | (F.col("n_symbols") > SOFT_SYMBOLS * F.col("n_words")) | (F.col("n_dup_lines") > SOFT_LINES * F.col("n_lines"))
     d = d.withColumn("base_failed", base).withColumn("soft_failed", soft)
-    bad = table(host_rates(d.select(host, F.col("soft_failed").alias("failed")), host).where(F.col("rate") >= host_rate).select(F.col("host").alias("bad_host"), F.lit(True).alias("host_bad")), "bad-hosts")
-    d = d.join(bad, d[host].eqNullSafe(bad.bad_host), "left").drop("bad_host").withColumn("host_bad", F.coalesce("host_bad", F.lit(False)))
+    d = table(d if with_text else d.drop(text), "measured")
+    bad = bad_hosts(host_rates(d.select(F.col(host).alias("_host"), F.col("soft_failed").alias("failed")), "_host"), odds)
+    bad = table(bad.select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad")), "bad-hosts")
+    d = d.join(bad, d[host].eqNullSafe(bad["_bad_host"]), "left").withColumn("host_bad", F.coalesce("_bad", F.lit(False))).drop("_bad_host", "_bad")
     return d.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed")))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    """Every document's measures and verdict (see judge): null and empty texts fail by their words, repeated rows are judged alike."""
+    d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), with_text=False)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_bad")

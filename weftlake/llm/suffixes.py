@@ -1,20 +1,25 @@
-"""Suffix-array dedup of bytes by prefix-free parsing, in three exchanges that each carry a dictionary and not the corpus.
+"""Suffix-array dedup of bytes by prefix-free parsing, in exchanges that each carry a dictionary and not the corpus.
 
 Triggers: a rolling hash of 20 bytes is taken at every place, and the least one in a 50-byte string is that string's
 trigger. Every 50-byte string holds one, and equal strings hold equal ones. A phrase is a maximal stretch whose 50-byte
 strings share a trigger (cut after 256 of them); neighbouring phrases overlap by 49 bytes, so each 50-byte prefix of a
-suffix lies in one phrase. The suffixes of the corpus, compared to 50 bytes, then fall into the order of (trigger, phrase
-suffix), which is built a level at a time, each level sorted by a 64-bit fingerprint of what it names:
-
-1. the parse, by trigger: only triggers of two or more documents go on (in invented text a few in a hundred);
-2. the dictionary, by phrase: the first document of each distinct phrase. All copies of a phrase are settled by it;
-3. the suffixes of dictionary phrases whose trigger has other phrases too: the first document of each 50-byte string.
-
-Equal neighbours in an order are an interval of common prefixes of 50 bytes or more; its first document keeps the string,
-every other one loses it. Fingerprints replace the lexicographic comparison, as only such intervals are asked for.
-
-A level's exchange holds each name once for each batch of documents (with its first document there), so a passage that
-a third of all documents share costs a third of the batches, not of the rows, and no task gathers its places.
+suffix lies in one phrase, and the order of the corpus's suffixes, to 50 bytes, follows from the parse (which phrase
+stands where) and the dictionary (the order of the suffixes of its phrases):
+
+1. the parse, by trigger: only triggers of two or more documents go on (a hash that meets another by chance lets more
+   through, and decides nothing);
+2. the dictionary, by phrase (128-bit names of their bytes): the first document of each distinct phrase. All copies of
+   a phrase are settled by it, and so is a phrase whose trigger has no other phrase;
+3. the other phrases of the dictionary, each once, as bytes, triggers together: a suffix array of these phrases by prefix
+   doubling (ranks of 8, 16, 32 and then 50 bytes), in which equal ranks are an interval whose common prefix is 50 bytes
+   or longer. Its first document keeps the string, every other one loses it.
+
+A trigger that stands at very many places (a short stretch that a third of all documents hold, each among other words) would
+put as many phrases into one task. Its strings are named one by one instead (128 bits) and dealt by their names.
+
+An exchange holds each name once for each batch of documents, so a passage that a third of all documents share costs a
+third of the batches, not of the rows, and no task gathers its places. Batches are of 8 MB and a task's share of the names
+is that of 32 MB of text, so an exchange has a row for each pair of them: 10 million rows for 50 GB, of 300 names each.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import drop, free_shuffles, table
 
 TRIGGER, RUN = 20, 256
-BATCH, SEGMENT = 2 << 20, 1 << 18
+BATCH, SEGMENT, SHARE = 8 << 20, 1 << 18, 32 << 20
+#: Places (about) from which on a trigger's strings are dealt one by one, and bytes of the dictionary that are sorted together.
+HOT, SORTED = 1 << 13, 1 << 20
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: no document is later
 _B = 0x9E3779B97F4A7C15 | 1
 _tables: dict[int, tuple] = {}
@@ -73,7 +80,7 @@ def _segments(data, ends, length: int):
 
 
 def phrases(data, ends, length: int):
-    """Of documents joined (ends: where each ends): first place, number of strings, trigger's name, phrase's name."""
+    """Of documents joined (ends: where each ends): of each phrase its first place, number of strings and trigger."""
     import numpy as np
 
     out = []
@@ -100,25 +107,45 @@ def phrases(data, ends, length: int):
             pieces = -(-size // RUN)
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start, size = np.repeat(start, pieces) + nth * RUN, np.minimum(np.repeat(size, pieces) - nth * RUN, RUN)
-            stop = start + size - 1 + length
-            phrase = _mix(((sums[stop] - sums[start]) * down[start]) ^ _mix(size.astype("u8")))
-            out.append((start + lo, size, _mix(low[start] + np.uint64(1)), phrase))
+            out.append((start + lo, size, _mix(low[start] + np.uint64(1))))
     if not out:
-        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, "u8")
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "u8")
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def string_names(data, ends, places, length: int):
-    """Names of the strings that start at places (sorted)."""
+def digests(data, start, stop):
+    """128-bit names of the bytes from start to stop: [n, 2]."""
     import numpy as np
+    import xxhash
 
-    out = np.empty(len(places), "u8")
-    for lo, part, sums, down, fits, _ in _segments(data, ends, length):
-        a, b = np.searchsorted(places, lo), np.searchsorted(places, lo + len(fits))
-        p = places[a:b] - lo
-        with np.errstate(over="ignore"):
-            out[a:b] = _mix((sums[p + length] - sums[p]) * down[p])
-    return out
+    f, m = xxhash.xxh3_128_digest, memoryview(data)
+    return np.frombuffer(b"".join(f(m[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), "u8").reshape(-1, 2).copy()
+
+
+def ranks(data, begin, length: int):
+    """Of phrases joined (begin: where each begins, the end of all last): for every place the rank of the `length` bytes that
+    start there among all such strings, by prefix doubling; -1 where the phrase holds fewer."""
+    import numpy as np
+
+    n = len(data)
+    left = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)
+    key, have = np.zeros(n, "u8"), min(8, length)
+    for k in range(have):  # big-endian, so that ranks are in the order of the bytes
+        key[: n - k] = key[: n - k] << np.uint64(8) | data[k:]
+        if k:
+            key[n - k :] <<= np.uint64(8)
+    while True:
+        fits = np.nonzero(left >= have)[0]
+        _, back = np.unique(key[fits], return_inverse=True)
+        rank = np.full(n, -1)
+        rank[fits] = back
+        if have == length:
+            return rank
+        step = min(have, length - have)
+        have += step
+        fits = np.nonzero(left >= have)[0]
+        key = np.zeros(n, "u8")
+        key[fits] = rank[fits].astype("u8") * np.uint64(len(rank) + 1) + rank[fits + step].astype("u8")
 
 
 def _u8(x, kind="u8"):
@@ -177,6 +204,16 @@ def _map(df: DataFrame, f, fields: str) -> DataFrame:
     return df.mapInArrow(run, fields.replace("array", DONE))
 
 
+def _deal(df: DataFrame, f) -> DataFrame:
+    """mapInArrow for a function from a work row to tables of the rows of an exchange."""
+    def run(batches: Iterator) -> Iterator:
+        yield from (y for x in _rows(batches) for y in f(x))
+
+    return df.mapInArrow(run, EXCHANGE)
+
+
+#: A row of an exchange: names (and their second halves, or texts with lengths) of a batch for a bucket, with first documents.
+EXCHANGE = "kind int, bucket int, batch long, names binary, more binary, lens binary, firsts binary"
 DONE = "array<struct<doc_id:long,n_bytes:long,n_removed:long,spans:array<struct<start:long,end:long>>,kept:binary,kept_sha256:string>>"
 
 
@@ -189,76 +226,169 @@ def _wide(x: bytes, n: int):
     return _u8(x, "u4" if len(x) == 4 * n else "i8").astype("i8")
 
 
-def _dictionary(names, firsts, buckets: int, batch_id: int, flags=None) -> Iterator[dict]:
-    """A batch's rows for one exchange: its distinct names in order, dealt by their high bits, each with its first document
-    and a flag. flags: by place, whether to set; the flag of a name is set if any of its places' is."""
+def _buckets(names, buckets: int):
+    """The bucket of each name, by its high bits (in the order of the names)."""
     import numpy as np
 
+    return ((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _binary(data, width):
+    """A binary array of consecutive pieces of data (widths in bytes)."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = np.concatenate([[0], np.cumsum(width)]).astype("i4")
+    return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+
+
+def _dealt(kind: int, batch_id: int, bucket, names, more=None, lens=None, firsts=None, texts=None):
+    """The rows of one batch for one exchange: entries (ordered by bucket) cut where the bucket changes."""
+    import numpy as np
+    import pyarrow as pa
+
     if not len(names):
         return
-    order = np.lexsort((firsts, names))
-    n, d = names[order], firsts[order]
-    new = np.ones(len(n), bool)
-    new[1:] = n[1:] != n[:-1]
-    start = np.nonzero(new)[0]
-    flag = np.maximum.reduceat(flags[order], start) if flags is not None else np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
-    n, d = n[start], d[start]
-    bucket = ((n >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edge = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))[0]
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield {"bucket": int(bucket[a]), "batch": batch_id, "names": n[a:b].tobytes(), "firsts": _narrow(d[a:b]), "flags": np.packbits(flag[a:b]).tobytes()}
-
-
-def _exchange(rows: DataFrame, parse: bool, flags_matter: bool = True) -> DataFrame:
-    """(batch, answers: one for each of the batch's names, in order). For the parse: the batches that hold the name, 0 if
-    only one document does. Otherwise: whether an earlier document than this batch's first has the name, and
-    for the names where none has, the batches in which the name's flag is set."""
-    def gather(key, t):
-        import numpy as np
-        import pyarrow as pa
+    edge = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]])
+    n = np.diff(edge)
+    empty = _binary(b"", np.zeros(len(n), "i8"))
+    if texts is not None:
+        size = np.add.reduceat(texts[1], edge[:-1])
+        more_col = _binary(texts[0], size)
+    else:
+        more_col = empty if more is None else _binary(more.tobytes(), n * 8)
+    first_col = empty
+    if firsts is not None:
+        raw = _narrow(firsts)
+        first_col = _binary(raw, n * (len(raw) // len(firsts)))
+    cols = [pa.array(np.full(len(n), kind, "i4")), pa.array(bucket[edge[:-1]].astype("i4")), pa.array(np.full(len(n), batch_id, "i8")), _binary(names.tobytes(), n * names.itemsize), more_col, empty if lens is None else _binary(lens.astype("u2").tobytes(), n * 2), first_col]
+    yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in EXCHANGE.split(", ")])
+
+
+def _groups(*keys):
+    """Of entries by their keys (most significant last): the number of each one's group, groups by order, and how many there are."""
+    import numpy as np
+
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    group = np.empty(len(order), "i8")
+    group[order] = np.cumsum(new)
+    return group, int(new.sum()) + 1 if len(order) else 0
+
+
+def _gather(key, t, length: int, hot: int, together: int):
+    """What an exchange answers to each of its rows, in the row's order.
+
+    kind 0, the parse: for each trigger the batches that hold it, 0 if only one document does, and HOT_BIT if it stands
+    at very many places. Kind 1, names of phrases: a bit, whether an earlier document than the row's has the name, and for
+    the others the batches in which the phrase is its trigger's only one. Kind 2, names of strings: the bit alone. Kind 3,
+    phrases as bytes: the bit for each string in them.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-        t = t.combine_chunks()
-        names = [_u8(x.as_py()) for x in t.column("names")]
-        sizes = np.array([len(x) for x in names])
-        flags = np.concatenate([np.unpackbits(_u8(x.as_py(), "u1"))[:k] for x, k in zip(t.column("flags"), sizes, strict=True)]).astype("i8")
-        _, back = np.unique(np.concatenate(names), return_inverse=True)
-        many = np.bincount(back)
-        flagged = np.bincount(back, weights=flags).astype("i8")
-        at = np.append(0, np.cumsum(sizes))
-        if parse:
-            count = np.where((many > 1) | (flagged > 0), many, 0).astype("u4")[back]
-            out = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                c = count[a:b]
-                out.append(np.packbits(c > 0).tobytes() + c[c > 0].tobytes())
+    t = t.combine_chunks()
+    kind, rows = key[0].as_py(), t.num_rows
+    col = lambda c: [x.as_buffer() for x in t.column(c)]
+    wide = "u4" if kind == 3 else "u8"
+    names = [_u8(x, wide) for x in col("names")]
+    sizes = np.array([len(x) for x in names])
+    at = np.append(0, np.cumsum(sizes))
+    every = np.concatenate(names)
+    out = []
+    if kind == 0:
+        code = (every & np.uint64(31)).astype("i8")
+        u, back = np.unique(every >> np.uint64(5), return_inverse=True)
+        many = np.bincount(back, minlength=len(u))
+        shared = (many > 1) | (np.bincount(back, weights=code & 1, minlength=len(u)) > 0)
+        places = np.bincount(back, weights=1 << (code >> 1), minlength=len(u))
+        count = np.where(shared, many | np.where(places > hot, HOT_BIT, 0), 0).astype("u4")[back]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            c = count[a:b]
+            out.append(np.packbits(c > 0).tobytes() + c[c > 0].tobytes())
+    else:
+        docs = np.concatenate([_wide(x.to_pybytes(), k) for x, k in zip(col("firsts"), sizes, strict=True)])
+        if kind == 3:
+            lens = np.concatenate([_u8(x, "u2") for x in col("lens")]).astype("i8")
+            text = np.concatenate([_u8(x, "u1") for x in col("more")])
+            start = np.append(0, np.cumsum(lens + length - 1))
+            later = np.zeros(int(lens.sum()), bool)
+            place = np.append(0, np.cumsum(lens))
+            order = np.argsort(every, kind="stable")
+            trigger = every[order]
+            # blocks of whole triggers, of about so many bytes
+            edge = np.append(np.nonzero(np.concatenate([[True], trigger[1:] != trigger[:-1]]))[0], len(order))
+            filled = np.append(0, np.cumsum((lens + length - 1)[order]))[edge]
+            cut = np.unique(np.searchsorted(filled, np.arange(0, filled[-1] + together, together)).clip(max=len(edge) - 1))
+            for lo, hi in zip(edge[cut[:-1]], edge[cut[1:]], strict=True):
+                of = order[lo:hi]
+                begin = np.append(0, np.cumsum((lens + length - 1)[of]))
+                piece = np.concatenate([text[start[i] : start[i + 1]] for i in of])
+                rank = ranks(piece, begin, length)
+                own = np.repeat(np.arange(len(of)), np.diff(begin))[rank >= 0]
+                rank = rank[rank >= 0]
+                least = np.full(rank.max() + 1, NO_ID)
+                np.minimum.at(least, rank, docs[of][own])
+                to = np.repeat(place[of] - np.append(0, np.cumsum(lens[of]))[:-1], lens[of]) + np.arange(len(rank))
+                later[to] = least[rank] < docs[of][own]
+            at = place[at]
         else:
-            docs = np.concatenate([_wide(x.as_py(), k) for x, k in zip(t.column("firsts"), sizes, strict=True)])
-            least = np.full(len(many), NO_ID)
+            more = np.concatenate([_u8(x) for x in col("more")])
+            flag = (more & np.uint64(1)).astype("i8")
+            back, n = _groups(more >> np.uint64(1), every)
+            least = np.full(n, NO_ID)
             np.minimum.at(least, back, docs)
-            later, sole = least[back] < docs, flagged.astype("u4")[back]
-            out = [np.packbits(later[a:b]).tobytes() + (sole[a:b][~later[a:b]].tobytes() if flags_matter else b"") for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"bucket": t.column("bucket"), "to": t.column("batch"), "size": pa.array(sizes.astype("i4")), "answer": pa.array(out, pa.binary())})
+            later = least[back] < docs
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            out.append(np.packbits(later[a:b]).tobytes())
+        if kind == 1:
+            sole = np.bincount(back, weights=flag, minlength=n).astype("u4")[back]
+            out = [x + sole[a:b][~later[a:b]].tobytes() for x, a, b in zip(out, at[:-1], at[1:], strict=True)]
+    return pa.table({"kind": t.column("kind"), "bucket": t.column("bucket"), "to": t.column("batch"), "size": pa.array(np.diff(at).astype("i4")), "answer": pa.array(out, pa.binary())})
+
 
-    told = rows.groupBy("bucket").applyInArrow(gather, "bucket int, to long, size int, answer binary")
-    out = table(told.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("bucket", "size", "answer"))).alias("answers")), "answers")
+def _exchange(rows: DataFrame, length: int, hot: int = HOT, together: int = SORTED) -> DataFrame:
+    """(to: the batch, answers: those to its rows, in their order)."""
+    def gather(key, t):
+        return _gather(key, t, length, hot, together)
+
+    told = rows.groupBy("kind", "bucket").applyInArrow(gather, "kind int, bucket int, to long, size int, answer binary")
+    out = table(told.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "size", "answer"))).alias("answers")), "answers")
     free_shuffles(rows.sparkSession)  # the exchange itself, before its answers are joined
     return out
 
 
-def _ordinals(names):
-    """The place of each name among the distinct ones."""
+def _bits(row, kind: int):
+    """The bits of the answers of a kind, one after another, and for kinds 0 and 1 the numbers that follow them."""
     import numpy as np
 
-    return np.unique(names, return_inverse=True)[1]
+    bits, numbers = [np.zeros(0, bool)], [np.zeros(0, "u4")]
+    for a in row["answers"] or []:
+        if a["kind"] == kind:
+            n = a["size"]
+            x = np.unpackbits(_u8(a["answer"][: (n + 7) // 8], "u1"))[:n] > 0
+            bits.append(x)
+            if kind < 2:
+                c = np.zeros(n, "u4")
+                c[x if kind == 0 else ~x] = _u8(a["answer"][(n + 7) // 8 :], "u4")
+                numbers.append(c)
+    return np.concatenate(bits), np.concatenate(numbers)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
+HOT_BIT = 1 << 31
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", with_kept: bool = True, batch: int = BATCH, share: int = SHARE, hot: int = HOT, together: int = SORTED) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, spans (the maximal removed runs: start, end), kept (the bytes left;
     null unless with_kept) and kept_sha256. Bytes covered by a string of `length` bytes that also starts in a document with a smaller key go.
 
     Null texts are empty, and texts shorter than length lose nothing. Rows without a key come back with a null key and
-    count as later than all; rows of one key count as one document; an empty table gives an empty result. Names are 64
-    bits: n distinct names of a level meet by chance with odds of n*n/2^65.
+    count as later than all; rows of one key count as one document; an empty table gives an empty result; other columns
+    are ignored. Phrases are equal by 128-bit names (n distinct ones meet by chance with odds n*n/2^128), strings by their
+    bytes, but for those of hot triggers, which go by 128-bit names too.
     """
     spark = docs.sparkSession
 
@@ -274,7 +404,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
                     ids.append(NO_ID if i is None else i)
                     texts.append(raw)
                     size += len(raw)
-                    if size >= BATCH:
+                    if size >= batch:
                         yield _packed(task << 32 | seq, ids, texts) | {"bytes": size}
                         ids, texts, size, seq = [], [], 0, seq + 1
             if ids:
@@ -284,8 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
     w = table(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(work, "batch long, ids binary, lens binary, text binary, bytes long"), "work")
     total = w.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(256, total >> 23)
-    dictionary = "bucket int, batch long, names binary, firsts binary, flags binary"
+    buckets = max(16, total // share)
 
     def doc_of(ids, ends, start):
         import numpy as np
@@ -293,28 +422,36 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         return ids[np.searchsorted(ends, start, "right")]
 
     def level1(row):
+        import numpy as np
+
         ids, ends, data = _unpack(row)
-        start, _, trigger, _ = phrases(data, ends, length)
-        for r in _dictionary(trigger, doc_of(ids, ends, start), buckets, row["batch"]):
-            yield r | {"firsts": b""}
+        start, _, trigger = phrases(data, ends, length)
+        if not len(start):
+            return
+        docs = doc_of(ids, ends, start)
+        name = trigger >> np.uint64(5)
+        order = np.argsort(name, kind="stable")
+        n, d = name[order], docs[order]
+        first = np.concatenate([[True], n[1:] != n[:-1]])
+        at = np.nonzero(first)[0]
+        places = np.diff(np.append(at, len(n)))
+        several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+        code = np.minimum(np.ceil(np.log2(places)).astype("u8"), np.uint64(15)) << np.uint64(1) | several.astype("u8")
+        name = n[at] << np.uint64(5)
+        yield from _dealt(0, row["batch"], _buckets(name, buckets), name | code)
 
-    answers = _exchange(_map(w.select("batch", "ids", "lens", "text"), level1, dictionary), True)
+    answers = _exchange(_deal(w.select("batch", "ids", "lens", "text"), level1), length, hot)
 
     def level1_told(row):
         import numpy as np
 
         ids, ends, data = _unpack(row)
-        start, size, trigger, phrase = phrases(data, ends, length)
-        told = [np.zeros(0, "u4")]
-        for a in row["answers"] or []:
-            n = a["size"]
-            bits = np.unpackbits(_u8(a["answer"][: (n + 7) // 8], "u1"))[:n]
-            c = np.zeros(n, "u4")
-            c[bits > 0] = _u8(a["answer"][(n + 7) // 8 :], "u4")
-            told.append(c)
-        count = np.concatenate(told)[_ordinals(trigger)]
+        start, size, trigger = phrases(data, ends, length)
+        trigger = trigger >> np.uint64(5) << np.uint64(5)
+        count = _bits(row, 0)[1][np.unique(trigger, return_inverse=True)[1]] if len(start) else np.zeros(0, "u4")
         live = count > 0
-        start, size, trigger, phrase, count = (x[live] for x in (start, size, trigger, phrase, count))
+        start, size, trigger, count = (x[live] for x in (start, size, trigger, count))
+        phrase = digests(data, start, start + size - 1 + length)
         doc = np.searchsorted(ends, start, "right")
         pending = np.zeros(len(ids), bool)
         pending[doc] = True
@@ -332,85 +469,132 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     drop(w, answers)
     free_shuffles(spark)
 
-    def level2(row):
+    def distinct(row):
+        """Of a parse row: (high, low) names of the distinct phrases in order, the number of each place's phrase, the first document of each distinct one, whether it is its trigger's only one here, each place's document."""
         import numpy as np
 
-        phrase, trigger = _u8(row["phrase"]), _u8(row["trigger"])
-        if not len(phrase):
-            return
+        phrase, trigger = _u8(row["phrase"]).reshape(-1, 2), _u8(row["trigger"])
         ids, ends = _u8(row["ids"], "i8"), np.cumsum(_u8(row["lens"], "i8"))
-        # is a phrase the only one of its trigger in this batch
-        order = np.lexsort((phrase, trigger))
-        t, p = trigger[order], phrase[order]
-        first = np.concatenate([[True], t[1:] != t[:-1]])
-        group = np.cumsum(first) - 1
-        at = np.nonzero(first)[0]
-        only = np.minimum.reduceat(p, at) == np.maximum.reduceat(p, at)
-        sole = np.empty(len(p), bool)
-        sole[order] = only[group]
-        yield from _dictionary(phrase, doc_of(ids, ends, _u8(row["start"], "i8")), buckets, row["batch"], sole)
+        docs = doc_of(ids, ends, _u8(row["start"], "i8"))
+        high, low = phrase[:, 0], phrase[:, 1] | np.uint64(1)
+        number, n = _groups(low, high)
+        at = np.empty(n, "i8")
+        at[number] = np.arange(len(number))
+        first = np.full(n, NO_ID)
+        np.minimum.at(first, number, docs)
+        _, t = np.unique(trigger, return_inverse=True)
+        least, most = np.full(t.max() + 1, n), np.full(t.max() + 1, -1)
+        np.minimum.at(least, t, number)
+        np.maximum.at(most, t, number)
+        sole = (least == most)[t[at]]
+        return high[at], low[at], number, first, sole, docs
 
-    answers2 = _exchange(_map(v.select("batch", "ids", "lens", "start", "trigger", "phrase"), level2, dictionary), False)
-
-    def told(row, names, docs):
-        """Of each place: whether an earlier document has its name too, and the batches that flagged the name."""
+    def level2(row):
         import numpy as np
 
-        later, sole = [np.zeros(0, bool)], [np.zeros(0, "u4")]
-        for a in row["answers"] or []:
-            n = a["size"]
-            bits = np.unpackbits(_u8(a["answer"][: (n + 7) // 8], "u1"))[:n] > 0
-            c = np.zeros(n, "u4")
-            if len(a["answer"]) > (n + 7) // 8:
-                c[~bits] = _u8(a["answer"][(n + 7) // 8 :], "u4")
-            later.append(bits)
-            sole.append(c)
-        i = _ordinals(names)
-        first = np.full(len(np.concatenate(later)), NO_ID)
-        np.minimum.at(first, i, docs)
-        return np.concatenate(later)[i] | (first[i] < docs), np.concatenate(sole)[i]
+        if len(row["phrase"]):
+            high, low, _, first, sole, _ = distinct(row)
+            yield from _dealt(1, row["batch"], _buckets(high, buckets), high, low - (~sole).astype("u8"), None, first)
+
+    answers2 = _exchange(_deal(v.select("batch", "ids", "lens", "start", "trigger", "phrase"), level2), length)
 
     def level2_told(row):
         import numpy as np
 
-        start, size = _u8(row["start"], "i8"), _u8(row["size"], "u2")
-        ids, ends = _u8(row["ids"], "i8"), np.cumsum(_u8(row["lens"], "i8"))
-        later, sole = told(row, _u8(row["phrase"]), doc_of(ids, ends, start))
-        ask = ~later & (sole != _u8(row["count"], "u4"))
-        yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"start": start[later].tobytes(), "size": size[later].tobytes(), "ask_start": start[ask].tobytes(), "ask_size": size[ask].tobytes()}
-
-    u = table(_map(v.drop("trigger", "done").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, ask_start binary, ask_size binary"), "dictionary")
+        start, size, trigger, count = _u8(row["start"], "i8"), _u8(row["size"], "u2"), _u8(row["trigger"]), _u8(row["count"], "u4")
+        later, ask = np.zeros(len(start), bool), np.zeros(len(start), bool)
+        number, one = np.zeros(len(start), "i8"), np.zeros(0, "i8")
+        if len(start):
+            _, _, number, first, _, docs = distinct(row)
+            earlier, sole = _bits(row, 1)
+            later = earlier[number] | (first[number] < docs)
+            ask = ~later & (sole[number] != count & (HOT_BIT - 1))
+            # of the asked places of a phrase, all of one document, the first stands for them
+            asked = np.nonzero(ask)[0]
+            u, one, back = np.unique(number[asked], return_index=True, return_inverse=True)
+            one, number = asked[one], back
+        hot = count[one] >= HOT_BIT
+        yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"start": start[later].tobytes(), "size": size[later].tobytes(), "ask_start": start[ask].tobytes(), "ask_number": number.astype("u4").tobytes() if len(one) else b"", "one_start": start[one].tobytes(), "one_size": size[one].tobytes(), "one_trigger": trigger[one].tobytes(), "one_hot": hot.astype("u1").tobytes()}
+
+    asks = "ask_start binary, ask_number binary, one_start binary, one_size binary, one_trigger binary, one_hot binary"
+    u = table(_map(v.drop("done").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, {asks}"), "dictionary")
     done = table(v.select(F.explode("done").alias("x")).select("x.*"), "done")
     drop(v, answers2)
     free_shuffles(spark)
 
-    def places(row):
+    def asked(row):
+        """Of a dictionary row: for the hot phrases and the others, in the order in which they are dealt: numbers, starts, sizes, triggers."""
         import numpy as np
 
-        start, size = _u8(row["ask_start"], "i8"), _u8(row["ask_size"], "u2").astype("i8")
-        return np.sort(np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        start, size, trigger, hot = _u8(row["one_start"], "i8"), _u8(row["one_size"], "u2").astype("i8"), _u8(row["one_trigger"]), _u8(row["one_hot"], "u1") > 0
+        h = np.nonzero(hot)[0]
+        c = np.nonzero(~hot)[0]
+        c = c[np.argsort(trigger[c], kind="stable")]
+        return (h, start[h], size[h]), (c, start[c], size[c], trigger[c])
+
+    def spread(start, size):
+        """The places start, start + 1, ... (size of them) of each entry."""
+        import numpy as np
+
+        return np.repeat(start - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+
+    def hot_strings(data, ids, ends, start, size):
+        """Of the strings of the hot phrases: the number of each one's distinct name, and the names in order with their first documents."""
+        import numpy as np
+
+        p = spread(start, size)
+        names = digests(data, p, p + length)
+        high, low = names[:, 0], names[:, 1] | np.uint64(1)
+        number, n = _groups(low, high)
+        at = np.empty(n, "i8")
+        at[number] = np.arange(len(number))
+        docs, first = doc_of(ids, ends, p), np.full(n, NO_ID)
+        np.minimum.at(first, number, docs)
+        return number, high[at], low[at], first, docs
 
     def level3(row):
+        import numpy as np
+
+        if not len(row["one_start"]):
+            return
         ids, ends, data = _unpack(row)
-        p = places(row)
-        if len(p):
-            yield from _dictionary(string_names(data, ends, p, length), doc_of(ids, ends, p), buckets, row["batch"])
+        (_, hot_start, hot_size), (_, start, size, trigger) = asked(row)
+        if len(hot_start):
+            _, high, low, first, _ = hot_strings(data, ids, ends, hot_start, hot_size)
+            yield from _dealt(2, row["batch"], _buckets(high, buckets), high, low, None, first)
+        if len(start):
+            raw = data.tobytes()
+            text = b"".join([raw[a:b] for a, b in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)])
+            yield from _dealt(3, row["batch"], _buckets(trigger, buckets), (trigger >> np.uint64(5)).astype("u4"), None, size, doc_of(ids, ends, start), (text, size + length - 1))
 
-    answers3 = _exchange(_map(u.select("batch", "ids", "lens", "text", "ask_start", "ask_size"), level3, dictionary), False, False)
+    answers3 = _exchange(_deal(u.select("batch", "ids", "lens", "text", *[x.split()[0] for x in asks.split(", ")]), level3), length, hot, together)
 
     def level3_told(row):
         import numpy as np
 
         ids, ends, data = _unpack(row)
-        p = places(row)
-        later, _ = told(row, string_names(data, ends, p, length), doc_of(ids, ends, p))
-        p = p[later]
-        start, size = _u8(row["start"], "i8"), _u8(row["size"], "u2").astype("i8")
         cover = np.zeros(len(data) + 1, "i8")
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + size - 1 + length, -1)
-        np.add.at(cover, p, 1)
-        np.add.at(cover, p + length, -1)
+
+        def cut(a, b):
+            np.add.at(cover, a, 1)
+            np.add.at(cover, b, -1)
+
+        start, size = _u8(row["start"], "i8"), _u8(row["size"], "u2").astype("i8")
+        cut(start, start + size - 1 + length)
+        if len(row["one_start"]):
+            (hot, hot_start, hot_size), (cold, _, cold_size, _) = asked(row)
+            size = _u8(row["one_size"], "u2").astype("i8")
+            at = np.append(0, np.cumsum(size))
+            later = np.zeros(at[-1], bool)  # for each string of each phrase that was asked for
+            if len(hot):
+                number, _, _, first, docs = hot_strings(data, ids, ends, hot_start, hot_size)
+                later[spread(at[hot], hot_size)] = _bits(row, 2)[0][number] | (first[number] < docs)
+            if len(cold):
+                later[spread(at[cold], cold_size)] = _bits(row, 3)[0]
+            number = _u8(row["ask_number"], "u4")
+            of, p = spread(at[number], size[number]), spread(_u8(row["ask_start"], "i8"), size[number])
+            p = p[later[of]]
+            cut(p, p + length)
         gone = np.cumsum(cover[:-1]) > 0
         out, begin = [], 0
         for i, end in zip(ids, ends, strict=True):
@@ -427,5 +611,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes, removed bytes and runs, and the hash of what is left (see remove_repeats for nulls, ties and repeats)."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -1,17 +1,23 @@
-"""URL filters: a sorted array of 64-bit digests, memory-mapped, probed by binary search and confirmed on the strings."""
+"""URL filters: a sorted array of 64-bit digests, memory-mapped, probed by binary search and confirmed on the strings.
+
+The array is built once, by the driver; Spark ships its file to each executor, whose workers map it, so that they share its pages.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The rules of the query: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Beyond this many bytes of rules the array isn't sent to the executors and the rules are joined instead.
+#: Beyond this many bytes of rules the array isn't sent to the executors; the rules are joined instead, with the same result.
 MAX_RULE_BYTES = 256 << 20
+_opened: dict[str, DigestArray] = {}
 
 
 def split_url(c):
@@ -23,34 +29,54 @@ def split_url(c):
 
 
 class DigestArray:
-    """Sorted xxhash64 keys of strings in a memory-mapped file; equal keys stand side by side, so collisions are resolved on the strings."""
+    """Sorted xxhash64 keys of strings with the strings behind them, in one mapped file; equal keys stand side by side, so collisions are resolved on the strings.
+
+    File, in unsigned little-endian numbers: how many (8 bytes), the keys (8 each), the end of each string (8 each), a
+    number that belongs to it (4 each), the strings in UTF-8.
+    """
+
+    def __init__(self, path: str):
+        import numpy as np
+
+        with open(path, "rb") as f:
+            n = int.from_bytes(f.read(8), "little")
+        whole = np.memmap(path, dtype="u1", mode="r")
+        self.keys, self.ends, self.values = whole[8 : 8 + 8 * n].view("<u8"), whole[8 + 8 * n : 8 + 16 * n].view("<u8"), whole[8 + 16 * n : 8 + 20 * n].view("<u4")
+        self.strings = whole[8 + 20 * n :]
 
-    def __init__(self, names: Sequence[str]):
+    @staticmethod
+    def write(path: str, names: Sequence[str], values: Sequence[int]) -> None:
         import numpy as np
         import xxhash
 
-        keys = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in names), dtype="u8", count=len(names))
+        raw = [x.encode("utf-8", "surrogatepass") for x in names]
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, raw), "<u8", len(raw))
         order = np.argsort(keys, kind="stable")
-        self.names = [names[i] for i in order]
-        fd, path = tempfile.mkstemp(suffix=".digests")
-        with os.fdopen(fd, "wb") as f:
-            f.write(keys[order].tobytes() or b"\0")
-        self.keys = np.memmap(path, dtype="u8", mode="r", shape=(len(names),)) if names else np.empty(0, "u8")
-        os.unlink(path)  # the mapping lives on; nothing stays in the executor's folder
-
-    def find(self, probes: Sequence[str]):
-        """The index into names of each probe, or -1."""
+        with open(path, "wb") as f:
+            f.write(len(raw).to_bytes(8, "little"))
+            f.write(keys[order].tobytes())
+            f.write(np.cumsum([len(raw[i]) for i in order], dtype="<u8").tobytes())
+            f.write(np.asarray(values, "<u4")[order].tobytes())
+            for i in order:
+                f.write(raw[i])
+
+    def name(self, i: int) -> bytes:
+        return self.strings[int(self.ends[i - 1]) if i else 0 : int(self.ends[i])].tobytes()
+
+    def find(self, probes: Sequence[bytes]):
+        """The place of each probe in the array, or -1."""
         import numpy as np
         import xxhash
 
-        h = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in probes), dtype="u8", count=len(probes))
+        out = np.full(len(probes), -1, "i8")
+        if not len(self.keys):
+            return out
+        h = np.fromiter(map(xxhash.xxh64_intdigest, probes), "u8", len(probes))
         at = np.searchsorted(self.keys, h, side="left")
-        out = np.full(len(probes), -1, dtype="i8")
-        live = np.nonzero((at < len(self.keys)) & (np.take(self.keys, at, mode="clip") == h))[0] if len(self.keys) else []
-        for i in live:
+        for i in np.nonzero(np.take(self.keys, at, mode="clip") == h)[0]:
             j = int(at[i])
             while j < len(self.keys) and self.keys[j] == h[i]:
-                if self.names[j] == probes[i]:
+                if self.name(j) == probes[i]:
                     out[i] = j
                     break
                 j += 1
@@ -60,37 +86,50 @@ class DigestArray:
 def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
     """urls(any columns, host, path): adds rule and verdict.
 
-    A rule fits its host and all subdomains if the path starts with the rule's; the longest rule string wins, and a url
-    that no rule fits gets the default. Probes are the host's suffixes at dots, each with the prefixes of the path that
-    have the length of some rule's path. A repeated (host, path) rule keeps its last verdict. Empty hosts fit nothing.
+    A rule fits its host and all subdomains if the path starts with the rule's; the longest rule string wins, of equally
+    long ones that with the longer host, and a url that no rule fits gets the default. Probes are the host's suffixes at
+    dots, each with the prefixes of the path that have the length of some rule's path. A repeated (host, path) rule has
+    the greatest of its verdicts as strings (block before allow). Empty and null hosts fit nothing; repeated rows are
+    judged alike; an empty table gives an empty result; columns named rule or verdict are replaced.
     """
+    urls = urls.drop("rule", "verdict")
     if sum(len(h) + len(p) for h, p, _ in rules) > MAX_RULE_BYTES:
-        raise ValueError("the rules exceed MAX_RULE_BYTES; use match_rules_joined")
-    verdicts = {h + p: v for h, p, v in rules}
-    lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
-    known = sorted(verdicts)
+        return match_rules_joined(urls, urls.sparkSession.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string"), default)
+    chosen: dict[str, str] = {}
+    for h, p, v in rules:
+        chosen[h + p] = max(v, chosen.get(h + p, v))
+    kinds = sorted(set(chosen.values()))
+    lengths = sorted({len(p) for _, p, _ in rules})
+    file = f"rules-{uuid.uuid4().hex}.digests"
+    with tempfile.TemporaryDirectory() as folder:
+        at = os.path.join(folder, file)
+        DigestArray.write(at, list(chosen), [kinds.index(v) for v in chosen.values()])
+        urls.sparkSession.sparkContext.addFile(at)  # copied at once; executors fetch it from the driver
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
 
     def probe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        array = DigestArray(known)
+        array = _opened.get(file) or _opened.setdefault(file, DigestArray(SparkFiles.get(file)))
         for batch in batches:
             probes, owner = [], []
             for i, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+                heads = [(path or "")[:n] for n in lengths if n <= len(path or "")]
                 labels = host.split(".") if host else []
                 for k in range(len(labels)):
                     suffix = ".".join(labels[k:])
-                    for n in lengths:
-                        if n <= len(path):
-                            probes.append(suffix + path[:n])
-                            owner.append(i)
-            best: list[str | None] = [None] * batch.num_rows
-            for i, j in zip(owner, array.find(probes), strict=True):
-                if j >= 0 and (best[i] is None or len(array.names[j]) > len(best[i])):
-                    best[i] = array.names[j]
-            verdict = [default if b is None else verdicts[b] for b in best]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
+                    probes.extend((suffix + x).encode("utf-8", "surrogatepass") for x in heads)
+                    owner.extend([i] * len(heads))
+            best: list[tuple[int, str, int] | None] = [None] * batch.num_rows
+            # longer hosts come first, so of equally long rules the first found stays
+            for i, j in zip(owner, array.find(probes).tolist(), strict=True):
+                if j >= 0:
+                    name = array.name(j).decode("utf-8", "surrogatepass")
+                    if best[i] is None or len(name) > best[i][0]:
+                        best[i] = (len(name), name, j)
+            rule = pa.array([b and b[1] for b in best], pa.string())
+            verdict = pa.array([kinds[array.values[b[2]]] if b else default for b in best], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], [*batch.schema.names, "rule", "verdict"])
 
     return urls.mapInArrow(probe, f"{fields}, rule string, verdict string")
 
@@ -98,19 +137,23 @@ def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 def match_rules_joined(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """As match_rules, for rules(rule_host, rule_path, rule_verdict) of any number: the same probes, joined on their digest and string.
 
-    urls must have a key column page_id. Only hits come back, one each: a hot host costs rows, not pairs.
+    Each distinct (host, path) is probed once, and only its best hit comes back: a hot host costs rows, not pairs.
     """
-    r = rules.select(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("v"), F.length("rule_path").alias("n")).dropDuplicates(["rule"]).withColumn("h", F.xxhash64("rule"))
-    lengths = r.select("n").distinct()
-    labels = F.split("host", r"\.")
+    urls = urls.drop("rule", "verdict")
+    r = rules.groupBy(F.concat("rule_host", "rule_path").alias("_rule")).agg(F.max("rule_verdict").alias("_v")).withColumn("_h", F.xxhash64("_rule"))
+    lengths = rules.select(F.length("rule_path").alias("_n")).distinct()
+    labels = F.split("_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
-    p = urls.where("host <> ''").select("page_id", "path", F.explode(suffixes).alias("suffix")).join(F.broadcast(lengths), F.col("n") <= F.length("path"))  # path lengths: a few hundred at most
-    p = p.select("page_id", F.expr("concat(suffix, left(path, n))").alias("probe")).withColumn("h", F.xxhash64("probe"))
-    hits = p.join(r, (p.h == r.h) & (p.probe == r.rule)).groupBy("page_id").agg(F.max_by(F.struct("rule", "v"), F.length("rule")).alias("x"))
-    return urls.join(hits, "page_id", "left").withColumn("rule", F.col("x.rule")).withColumn("verdict", F.coalesce("x.v", F.lit(default))).drop("x")
+    p = urls.where("host <> '' and path is not null").select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
+    p = p.select("_host", "_path", F.explode(suffixes).alias("_suffix")).join(F.broadcast(lengths), F.col("_n") <= F.length("_path"))  # path lengths: a few hundred at most
+    p = p.select("_host", "_path", F.length("_suffix").alias("_s"), F.expr("concat(_suffix, left(_path, _n))").alias("_probe")).withColumn("_g", F.xxhash64("_probe"))
+    hits = p.join(r, (p["_g"] == r["_h"]) & (p["_probe"] == r["_rule"])).groupBy("_host", "_path").agg(F.max_by(F.struct("_rule", "_v"), F.struct(F.length("_rule"), "_s")).alias("_x"))
+    out = urls.join(hits, (urls["host"] == hits["_host"]) & (urls["path"] == hits["_path"]), "left")
+    return out.withColumn("rule", F.col("_x._rule")).withColumn("verdict", F.coalesce("_x._v", F.lit(default))).drop("_x", "_host", "_path")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; a null url has neither host nor rule and is allowed (see match_rules)."""
     host, path = split_url(F.col("url"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host.alias("host"), path.alias("path"))
     return match_rules(pages).select("page_id", "host", "path", "rule", "verdict")
