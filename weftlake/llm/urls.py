@@ -5,9 +5,12 @@ The array is built once, by the driver; Spark ships its file to each executor, w
 
 from __future__ import annotations
 
+import atexit
+import functools
+import hashlib
 import os
+import shutil
 import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark import SparkFiles
@@ -28,6 +31,14 @@ def split_url(c):
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+@functools.cache
+def _folder() -> str:
+    """The driver's own folder for the arrays that it serves; it goes when the driver ends."""
+    path = tempfile.mkdtemp(prefix="rules-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 class DigestArray:
     """Sorted xxhash64 keys of strings with the strings behind them, in one mapped file; equal keys stand side by side, so collisions are resolved on the strings.
 
@@ -100,11 +111,11 @@ def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         chosen[h + p] = max(v, chosen.get(h + p, v))
     kinds = sorted(set(chosen.values()))
     lengths = sorted({len(p) for _, p, _ in rules})
-    file = f"rules-{uuid.uuid4().hex}.digests"
-    with tempfile.TemporaryDirectory() as folder:
-        at = os.path.join(folder, file)
+    file = f"rules-{hashlib.sha256(repr(sorted(chosen.items())).encode('utf-8', 'surrogatepass')).hexdigest()[:32]}.digests"
+    at = os.path.join(_folder(), file)
+    if not os.path.exists(at):
         DigestArray.write(at, list(chosen), [kinds.index(v) for v in chosen.values()])
-        urls.sparkSession.sparkContext.addFile(at)  # copied at once; executors fetch it from the driver
+    urls.sparkSession.sparkContext.addFile(at)  # executors fetch it from the driver, which therefore keeps it
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
 
     def probe(batches: Iterator) -> Iterator:
