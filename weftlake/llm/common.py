@@ -26,7 +26,7 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a work table in the shared folder and rereads it, so that a lost executor costs no earlier step."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftlake-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftlake_path = path
     return out

@@ -19,7 +19,7 @@ put as many phrases into one task. Its strings are named one by one instead (128
 
 An exchange holds each name once for each batch of documents, so a passage that a third of all documents share costs a
 third of the batches, not of the rows, and no task gathers its places. Batches are of 8 MB and a task's share of the names
-is that of 32 MB of text, so an exchange has a row for each pair of them: 10 million rows for 50 GB, of 300 names each.
+is that of 16 MB of text, so an exchange has a row for each pair of them: 20 million rows for 50 GB, of 170 names each.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import drop, free_shuffles, table
 
 TRIGGER, RUN = 20, 256
-BATCH, SEGMENT, SHARE = 8 << 20, 1 << 18, 32 << 20
+BATCH, SEGMENT, SHARE = 8 << 20, 1 << 18, 16 << 20
 #: Places (about) from which on a trigger's strings are dealt one by one, and bytes of the dictionary that are sorted together.
 HOT, SORTED = 1 << 13, 1 << 20
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: no document is later
@@ -451,7 +451,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         count = _bits(row, 0)[1][np.unique(trigger, return_inverse=True)[1]] if len(start) else np.zeros(0, "u4")
         live = count > 0
         start, size, trigger, count = (x[live] for x in (start, size, trigger, count))
-        phrase = digests(data, start, start + size - 1 + length)
         doc = np.searchsorted(ends, start, "right")
         pending = np.zeros(len(ids), bool)
         pending[doc] = True
@@ -462,20 +461,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         shift = np.cumsum(np.where(pending, 0, ends - begin))  # what goes before a pending document
         start = start - shift[doc]
         some = np.nonzero(pending)[0]
-        yield _packed(row["batch"], ids[some], [texts[i] for i in some]) | {"start": start.tobytes(), "size": size.astype("u2").tobytes(), "trigger": trigger.tobytes(), "phrase": phrase.tobytes(), "count": count.tobytes(), "done": done}
+        yield _packed(row["batch"], ids[some], [texts[i] for i in some]) | {"gap": np.diff(start, prepend=0).astype("u4").tobytes(), "size": size.astype("u2").tobytes(), "trigger": trigger.tobytes(), "count": count.tobytes(), "done": done}
 
-    kept = "batch long, ids binary, lens binary, text binary, start binary, size binary"
-    v = table(_map(w.drop("bytes").join(answers, F.col("batch") == F.col("to"), "left").drop("to"), level1_told, f"{kept}, trigger binary, phrase binary, count binary, done array"), "parse")
+    kept = "batch long, ids binary, lens binary, text binary"
+    v = table(_map(w.drop("bytes").join(answers, F.col("batch") == F.col("to"), "left").drop("to"), level1_told, f"{kept}, gap binary, size binary, trigger binary, count binary, done array"), "parse")
     drop(w, answers)
     free_shuffles(spark)
 
     def distinct(row):
-        """Of a parse row: (high, low) names of the distinct phrases in order, the number of each place's phrase, the first document of each distinct one, whether it is its trigger's only one here, each place's document."""
+        """Of a parse row: (high, low) names of the distinct phrases in order, the number of each place's phrase, the first document of each distinct one, whether it is its trigger's only one here, each place's document and start."""
         import numpy as np
 
-        phrase, trigger = _u8(row["phrase"]).reshape(-1, 2), _u8(row["trigger"])
-        ids, ends = _u8(row["ids"], "i8"), np.cumsum(_u8(row["lens"], "i8"))
-        docs = doc_of(ids, ends, _u8(row["start"], "i8"))
+        trigger = _u8(row["trigger"])
+        ids, ends, data = _unpack(row)
+        start = np.cumsum(_u8(row["gap"], "u4").astype("i8"))
+        phrase = digests(data, start, start + _u8(row["size"], "u2") - 1 + length)
+        docs = doc_of(ids, ends, start)
         high, low = phrase[:, 0], phrase[:, 1] | np.uint64(1)
         number, n = _groups(low, high)
         at = np.empty(n, "i8")
@@ -487,25 +488,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         np.minimum.at(least, t, number)
         np.maximum.at(most, t, number)
         sole = (least == most)[t[at]]
-        return high[at], low[at], number, first, sole, docs
+        return high[at], low[at], number, first, sole, docs, start
 
     def level2(row):
         import numpy as np
 
-        if len(row["phrase"]):
-            high, low, _, first, sole, _ = distinct(row)
+        if len(row["gap"]):
+            high, low, _, first, sole, _, _ = distinct(row)
             yield from _dealt(1, row["batch"], _buckets(high, buckets), high, low - (~sole).astype("u8"), None, first)
 
-    answers2 = _exchange(_deal(v.select("batch", "ids", "lens", "start", "trigger", "phrase"), level2), length)
+    answers2 = _exchange(_deal(v.select("batch", "ids", "lens", "text", "gap", "size", "trigger"), level2), length)
 
     def level2_told(row):
         import numpy as np
 
-        start, size, trigger, count = _u8(row["start"], "i8"), _u8(row["size"], "u2"), _u8(row["trigger"]), _u8(row["count"], "u4")
+        size, trigger, count = _u8(row["size"], "u2"), _u8(row["trigger"]), _u8(row["count"], "u4")
+        start = np.zeros(len(size), "i8")
         later, ask = np.zeros(len(start), bool), np.zeros(len(start), bool)
         number, one = np.zeros(len(start), "i8"), np.zeros(0, "i8")
         if len(start):
-            _, _, number, first, _, docs = distinct(row)
+            _, _, number, first, _, docs, start = distinct(row)
             earlier, sole = _bits(row, 1)
             later = earlier[number] | (first[number] < docs)
             ask = ~later & (sole[number] != count & (HOT_BIT - 1))
@@ -514,10 +516,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             u, one, back = np.unique(number[asked], return_index=True, return_inverse=True)
             one, number = asked[one], back
         hot = count[one] >= HOT_BIT
-        yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"start": start[later].tobytes(), "size": size[later].tobytes(), "ask_start": start[ask].tobytes(), "ask_number": number.astype("u4").tobytes() if len(one) else b"", "one_start": start[one].tobytes(), "one_size": size[one].tobytes(), "one_trigger": trigger[one].tobytes(), "one_hot": hot.astype("u1").tobytes()}
+        # what the phrases with an earlier copy cover, as runs
+        a, b = start[later], start[later] + size[later] - 1 + length
+        head = np.ones(len(a), bool)
+        head[1:] = a[1:] > b[:-1]
+        a, b = a[head], b[np.append(np.nonzero(head)[0][1:] - 1, len(b) - 1)] if len(b) else b
+        yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"gone_start": a.tobytes(), "gone_end": b.tobytes(), "ask_start": start[ask].tobytes(), "ask_number": number.astype("u4").tobytes() if len(one) else b"", "one_start": start[one].tobytes(), "one_size": size[one].tobytes(), "one_trigger": trigger[one].tobytes(), "one_hot": hot.astype("u1").tobytes()}
 
     asks = "ask_start binary, ask_number binary, one_start binary, one_size binary, one_trigger binary, one_hot binary"
-    u = table(_map(v.drop("done").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, {asks}"), "dictionary")
+    u = table(_map(v.drop("done").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, gone_start binary, gone_end binary, {asks}"), "dictionary")
     done = table(v.select(F.explode("done").alias("x")).select("x.*"), "done")
     drop(v, answers2)
     free_shuffles(spark)
@@ -579,8 +586,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             np.add.at(cover, a, 1)
             np.add.at(cover, b, -1)
 
-        start, size = _u8(row["start"], "i8"), _u8(row["size"], "u2").astype("i8")
-        cut(start, start + size - 1 + length)
+        cut(_u8(row["gone_start"], "i8"), _u8(row["gone_end"], "i8"))
         if len(row["one_start"]):
             (hot, hot_start, hot_size), (cold, _, cold_size, _) = asked(row)
             size = _u8(row["one_size"], "u2").astype("i8")
