@@ -225,27 +225,86 @@ def test_chat(spark):
     assert chat.format_chat(mixed.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("min_lines", "min_words"), [(2, 20), (3, 99), (1, 1)])
-def test_lines(spark, docs, none, min_lines, min_words):
+def without_repeats(rows, min_lines, min_words):
+    """By brute force: of each (key, text), in the order of the keys, the text left, lines, removed lines, maximal repeated runs and the longest."""
     word = re.compile(r"[^\x20\x09-\x0D]")
-    seqs = {i: [x for x in (t or "").split("\n") if word.search(x)] for i, t, *_ in documents()}
-    seen, gone = {}, {}
-    for i, s in seqs.items():
+    seen, out = set(), []
+    for _, text in rows:
+        s = [x for x in (text or "").split("\n") if word.search(x)]
+        ends = []
         for a in range(len(s)):
-            for n in {1, min_lines}:
-                run = tuple(s[a : a + n])
-                if len(run) == n and (n == min_lines or len(run[0].split()) >= min_words) and seen.setdefault((n, run), (i, a)) != (i, a):
-                    gone.setdefault(i, set()).update(range(a, a + n))
-    for r in lines.dedup_lines(docs, min_lines, min_words).collect():
-        g, k, out, t = gone.get(r["doc_id"], set()), -1, [], dict((d[0], d[1]) for d in documents())[r["doc_id"]]
-        for x in (t or "").split("\n"):
+            n = 0
+            while a + n < len(s) and tuple(s[a : a + n + 1]) in seen | {tuple(s[b : b + n + 1]) for b in range(a)}:
+                n += 1
+            ends.append(a + n)
+        runs = [(a, e) for a, e in enumerate(ends) if e > a and (a == 0 or ends[a - 1] < e)]
+        gone, sizes = set(), []
+        for a, e in runs:
+            if e - a >= min_lines:
+                gone.update(range(a, e))
+                sizes.append(e - a)
+        for a, e in enumerate(ends):
+            if a not in gone and e > a and len(re.findall(r"[^\x20\x09-\x0D]+", s[a])) >= min_words:
+                gone.add(a)
+                sizes.append(1)
+        left, k = [], -1
+        for x in (text or "").split("\n"):
             k += bool(word.search(x))
-            if not (word.search(x) and k in g):
-                out.append(x)
-        assert (r["text"], r["n_removed_lines"]) == (None if t is None else "\n".join(out), len(g))
+            if not (word.search(x) and k in gone):
+                left.append(x)
+        out.append((None if text is None else "\n".join(left), len(s), len(gone), len(sizes), max(sizes, default=0)))
+        seen |= {tuple(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1)}
+    return out
+
+
+def line_rows(seed=2):
+    """Texts of runs cut from a few long ones, overlapping and touching, with lines of 20 words, blanks, nulls and whole copies."""
+    r = random.Random(seed)
+    base = [[f"line {k} of {j}" + " w" * (20 if r.random() < 0.1 else 0) for k in range(40)] for j in range(3)]
+    texts = []
+    for i in range(70):
+        s = []
+        for _ in range(r.randrange(1, 5)):
+            j, a = r.randrange(3), r.randrange(36)
+            s += base[j][a : a + r.randrange(1, 23)] + [r.choice(["", f"own {r.randrange(90)}", " "])]
+        texts.append(r.choice([None, "", " \n", "one line", "one line" + " x" * 20]) if i % 9 == 4 else texts[r.randrange(i)] if i % 11 == 7 else "\n".join(s))
+    return [(3 * i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("min_lines", "min_words"), [(2, 20), (3, 99), (1, 1), (5, 20)])
+def test_lines(spark, docs, none, min_lines, min_words):
+    for rows in ([(i, t) for i, t, *_ in documents()], line_rows()):
+        d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_runs int")
+        got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed_lines"], x["n_runs"], x["longest_run"]) for x in lines.dedup_lines(d, min_lines, min_words).collect()}
+        assert [got[i] for i, _ in rows] == without_repeats(rows, min_lines, min_words)
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_hard_rows(spark):
+    """Null and repeated keys, repeated rows, a very long text, columns with the operator's own names."""
+    long = "\n".join(f"l {k * k % 5003}" for k in range(5000))
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "x\ny"), (2, "a\nb"), (None, "x\ny\nz"), (None, None), (3, long), (4, long[:20_000]), (5, "q\n" + long[9:20_000])]
+    d = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, _gone int")
+    out = sorted(((x["doc_id"], x["text"] or "", x["n_removed_lines"], x["n_runs"]) for x in lines.dedup_lines(d).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert out[:4] == [(1, "a\nb\nc", 0, 0), (1, "a\nb\nc", 0, 0), (1, "x\ny", 0, 0), (2, "", 2, 1)]
+    unique = [(3, long), (4, long[:20_000]), (5, "q\n" + long[9:20_000])]
+    want = without_repeats_of_one(unique)
+    assert [(x[0], x[2]) for x in out[4:7]] == want
+    assert out[7:] == [(None, "", 0, 0), (None, "z", 2, 1)]
+
+
+def without_repeats_of_one(rows):
+    """(key, removed lines) by windows of two lines, for texts without lines of 20 words."""
+    seen, out = {}, []
+    for i, t in rows:
+        s, gone = t.split("\n"), set()
+        for a in range(len(s) - 1):
+            if seen.setdefault((s[a], s[a + 1]), (i, a)) != (i, a):
+                gone |= {a, a + 1}
+        out.append((i, len(gone)))
+    return out
+
+
 def test_mixing(spark, docs, none):
     rows = mixing.mix(docs).collect()
     size: dict = {}
