@@ -400,7 +400,7 @@ def test_urls(spark):
             assert (g["host"], g["path"], g["rule"], g["verdict"]) == (h, p, *fit)
 
 
-def test_vectors(spark, monkeypatch):
+def test_vectors(spark):
     import numpy as np
 
     r = np.random.default_rng(7)
@@ -446,3 +446,56 @@ def test_vectors_pairs_beside_a_large_group(spark):
     got = {row["vec_id"]: row["n_links"] for row in out.collect()}
     assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
     assert all(row["found"] >= vectors.RECALL * row["there"] for row in audit.collect())
+
+
+@pytest.mark.parametrize("small", [{"cell": 128, "shard": 64, "block": 50}, {"cell": 400, "shard": 32, "block": 4096}])
+def test_vectors_of_many_cells(spark, small):
+    """Labels of many cells, one of them a single group of near copies that no overlap of cells holds together: nearly every link is found, none made up."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    lone = r.normal(size=(400, 24))
+    x = np.concatenate([r.normal(size=(1, 24)) * 2 + 0.13 * r.normal(size=(900, 24)), lone, lone + 0.03 * r.normal(size=lone.shape), lone[:50]])
+    label = np.array([0] * 900 + [1] * 850)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    out, audit = vectors.near_vectors(spark.createDataFrame([(i, int(label[i]), v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>"), **small)
+    got = {row["vec_id"]: (row["n_links"], row["component_id"]) for row in out.collect()}
+    mine, want = np.array([got[i][0] for i in range(len(x))]), near.sum(axis=1)
+    assert (mine <= want).all()
+    for k in (0, 1):
+        assert mine[label == k].sum() >= 0.97 * want[label == k].sum()
+    assert {row["scope"] for row in audit.collect()} == {"cell", "label"}
+    least = np.arange(len(x))
+    while True:
+        new = np.minimum(least, np.where(near, least[None, :], len(x)).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    if (mine == want).all():
+        assert [got[i][1] for i in range(len(x))] == least.tolist()
+
+
+def test_vectors_compared_whole(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(8, 5))[r.integers(0, 8, 300)] + 0.12 * r.normal(size=(300, 5))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame([("g", i, 1, v.tolist()) for i, v in enumerate(x)], "grp string, rep long, n long, embedding array<double>")
+    got = vectors._whole(rows, 40, 0.98).collect()
+    count, parent = np.zeros(300, int), list(range(300))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for row in got:
+        if row["kind"] == "links":
+            count[row["a"]] += row["b"]
+        else:
+            assert find(row["a"]) is not None
+            p, q = sorted((find(row["a"]), find(row["b"])))
+            parent[q] = p
+    assert count.tolist() == near.sum(axis=1).tolist()
+    assert all(find(i) == find(j) for i, j in zip(*np.nonzero(near), strict=True))
+    assert len({find(i) for i in range(300)}) >= 2

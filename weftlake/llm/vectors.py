@@ -5,6 +5,10 @@ pivots beyond). In a cell, overlapping shards of about SHARD rows each give a pr
 blocks of queries then search the cell's graph: greedily from the shards' medoids and the query's own place, then from
 hit to hit as long as the similarity stays in range. The own place matters: the lists of a large group of near copies
 stay within it, and a search that starts there from a medoid would never leave it.
+
+Recall is held against brute force twice. In each task some queries are compared with their whole cell; across cells, a sample of
+rows is compared with every row of its label, as two linked rows may share no cell (a group of near copies that is larger than
+a cell, above all). Labels that miss RECALL there are compared whole, a pair of blocks a task.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from .common import components, table
 CELL, SHARD, BLOCK = 16384, 1024, 4096
 #: Lists' length, candidates of the pruning, its slack, the beam, and the hits from which a query's range is read off the cell whole.
 DEGREE, CANDIDATES, SLACK, BEAM, DENSE = 24, 64, 1.2, 32, 128
-#: Pivots come from a sample of at most so many rows in all; queries that each task holds against brute force; what they must reach.
-MAX_PIVOTS, AUDIT, RECALL = 65536, 64, 0.97
+#: Bytes of pivots, and of sampled rows, that driver and broadcast hold at most (float32); queries that each task holds against brute force; what they must reach.
+PIVOT_BYTES, SAMPLE_BYTES, AUDIT, RECALL = 64 << 20, 16 << 20, 64, 0.97
 #: The widest beam; a task that doesn't reach RECALL with it reads all its ranges off the cell.
 MAX_BEAM = 256
 
@@ -139,11 +143,27 @@ def search(x, adj, queries, entries, limit: float, beam: int = BEAM):
     return out
 
 
-def _assign(rows: DataFrame, pivots: DataFrame, overlap: int, name: str) -> DataFrame:
-    """rows(grp string, rep, embedding, ...): adds an array column `name` of the numbers of the nearest pivots of the row's group ([0] where it has none)."""
+def _drawn(rows: DataFrame, seed: int, most: int) -> dict[str, list]:
+    """rows(grp, rep, embedding, share: to be taken): about that many of each group's rows by a hash of rep, thinned alike to `most` bytes in all; (reps, float32 units) by group."""
+    import numpy as np
+
+    due = rows.agg(F.sum(F.col("share") * F.size("embedding") * 4).alias("b")).first()["b"] or 0.0
+    thin = min(1.0, 0.9 * most / due) if due else 1.0
+    draw = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < (F.col("share") * F.lit(thin * (1 << 30))).cast("long")
     found: dict[str, list] = {}
-    for r in pivots.limit(MAX_PIVOTS).collect():  # a sample of bounded size
-        found.setdefault(r["grp"], []).append(list(r["embedding"]))
+    for r in rows.where(draw).select("grp", "rep", F.transform("embedding", lambda x: x.cast("float")).alias("e")).orderBy("rep").toLocalIterator():  # at most so many bytes
+        found.setdefault(r["grp"], []).append((r["rep"], np.array(r["e"], "f4")))
+    return {g: (np.array([x[0] for x in v]), np.stack([x[1] for x in v])) for g, v in found.items()}
+
+
+def _assign(rows: DataFrame, cell: int, overlap: int) -> DataFrame:
+    """rows(grp string, rep, embedding, ...): adds cells, the numbers of the nearest pivots of the row's group ([0] where it has none).
+
+    A group of more than cell // 2 rows has a pivot for each so many. Past PIVOT_BYTES of pivots all groups have fewer, larger
+    cells, and a cell past 4 * cell rows is dealt by hash (what that loses is found by the audit across cells).
+    """
+    n = table(rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > cell // 2).select(F.col("grp").alias("g"), "n"), "group-sizes")
+    found = _drawn(rows.join(n, F.col("grp") == F.col("g")).withColumn("share", F.lit(2.0 / cell)), 11, PIVOT_BYTES)
     sent = rows.sparkSession.sparkContext.broadcast(found)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
@@ -151,7 +171,7 @@ def _assign(rows: DataFrame, pivots: DataFrame, overlap: int, name: str) -> Data
         import numpy as np
         import pyarrow as pa
 
-        units = {g: (p := np.array(v, "f8")) / np.linalg.norm(p, axis=1, keepdims=True) for g, v in sent.value.items()}
+        units = {g: p / np.linalg.norm(p.astype("f8"), axis=1, keepdims=True) for g, (_, p) in sent.value.items()}
         for batch in batches:
             groups = np.array(batch.column("grp").to_pylist(), dtype=object)
             out: list = [[0]] * batch.num_rows
@@ -162,25 +182,113 @@ def _assign(rows: DataFrame, pivots: DataFrame, overlap: int, name: str) -> Data
                     near = np.argpartition(-(_unit(batch.take(pa.array(of)), "embedding") @ units[g].T), k - 1, axis=1)[:, :k]
                     for i, v in zip(of, np.sort(near, axis=1), strict=True):
                         out[i] = v.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+
+    return rows.mapInArrow(run, f"{fields}, cells array<int>")
+
+
+def _shards(x, shard: int, overlap: int = 2):
+    """Of a cell's rows: overlapping shards by the nearest of its own pivots, places in each."""
+    import numpy as np
+
+    n = max(1, -(-2 * len(x) // shard)) if len(x) > shard else 1
+    if n == 1:
+        return [np.arange(len(x))]
+    pivots = x[np.random.default_rng(len(x)).choice(len(x), n, replace=False)]
+    near = np.concatenate([np.argpartition(-(x[lo : lo + 4096] @ pivots.T), overlap - 1, axis=1)[:, :overlap] for lo in range(0, len(x), 4096)])
+    out = []
+    for k in range(n):
+        of = np.nonzero((near == k).any(axis=1))[0]
+        # a group of copies may crowd about one pivot: more shards, of rows in turn
+        parts = -(-len(of) // (2 * shard))
+        out += [of[j::parts] for j in range(parts)]
+    return out
+
+
+def _across(rows: DataFrame, links: DataFrame, cell: int, limit: float) -> tuple[list[str], DataFrame]:
+    """rows(grp, rep, n, embedding) and what was found (r, links): the groups of several cells that miss RECALL against brute force, and (grp, asked, found, there)."""
+    n = table(rows.groupBy("grp").agg(F.count("*").alias("many")).where(F.col("many") > cell // 2).select(F.col("grp").alias("g"), "many"), "split-groups")
+    split = rows.join(n, F.col("grp") == F.col("g")).drop("g")
+    sample = _drawn(split.withColumn("share", F.least(F.lit(4.0 * AUDIT) / F.col("many"), F.lit(1.0))), 13, SAMPLE_BYTES)
+    sent = rows.sparkSession.sparkContext.broadcast(sample)
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    return rows.mapInArrow(run, f"{fields}, {name} array<int>")
+        units = {g: (reps, p / np.linalg.norm(p.astype("f8"), axis=1, keepdims=True)) for g, (reps, p) in sent.value.items()}
+        total = {g: np.zeros(len(reps), "i8") for g, (reps, _) in units.items()}
+        for batch in batches:
+            groups = np.array(batch.column("grp").to_pylist(), dtype=object)
+            own, weight = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
+            for g in set(groups) & set(units):
+                of = np.nonzero(groups == g)[0]
+                reps, p = units[g]
+                near = (p @ _unit(batch.take(pa.array(of)), "embedding").T >= limit) & (reps[:, None] != own[None, of])
+                total[g] += near @ weight[of]
+        for g, (reps, _) in units.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(reps), pa.string()), pa.array(reps), pa.array(total[g])], ["grp", "rep", "there"])
+
+    there = split.select("grp", "rep", "n", "embedding").mapInArrow(compare, "grp string, rep long, there long").groupBy("grp", "rep").agg(F.sum("there").alias("there"))
+    told = there.join(links, F.col("rep") == F.col("r"), "left").groupBy("grp").agg(F.count("*").alias("asked"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("there"))).alias("found"), F.sum("there").alias("there"))
+    told = table(told, "across")
+    return [r["grp"] for r in told.where(F.col("found") < RECALL * F.col("there")).select("grp").collect()], told  # split groups with a sample: fewer than its rows
+
+
+def _whole(rows: DataFrame, block: int, limit: float) -> DataFrame:
+    """rows(grp, rep, n, embedding): every link of every group, as (kind, a, b, c) rows like hunt's: links' numbers and edges enough to connect them.
+
+    A group's rows are dealt to blocks; a task compares two of them, so its memory is bounded whatever the group, and no pair is a row.
+    """
+    n = table(rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).select(F.col("grp").alias("g"), "blocks"), "whole-groups")
+    d = rows.join(n, F.col("grp") == F.col("g")).drop("g").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "embedding")
+
+    def compare(t):
+        import numpy as np
+        import pyarrow as pa
 
+        t = t.combine_chunks()
+        t = t.take(pa.array(np.argsort(t.column("rep").to_numpy())))
+        x, reps, weight, mine = _unit(t, "embedding"), t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("mine").to_numpy()
+        a, b = (np.nonzero(mine == t.column(c)[0].as_py())[0] for c in ("i", "j"))
+        parts = range(0, len(a), 512)
+        near = np.empty((len(a), len(b)), bool)
+        for lo in parts:
+            near[lo : lo + 512] = (x[a[lo : lo + 512]] @ x[b].T >= limit) & (a[lo : lo + 512, None] != b[None, :])
+        count = np.zeros(len(x), "i8")
+        count[a] = near @ weight[b]
+        if a[0] != b[0]:
+            count[b] = weight[a] @ near
+        # enough edges to connect what is linked here: the least place that each reaches
+        least = np.arange(len(x))
+        while True:
+            new = least.copy()
+            for lo in parts:
+                h, at = near[lo : lo + 512], a[lo : lo + 512]
+                new[at] = np.minimum(new[at], np.where(h, new[b][None, :], len(x)).min(axis=1))
+                new[b] = np.minimum(new[b], np.where(h, new[at][:, None], len(x)).min(axis=0))
+            new = np.minimum(new, new[new])
+            if (new == least).all():
+                break
+            least = new
+        told, edge = np.nonzero(count)[0], np.nonzero(least != np.arange(len(x)))[0]
+        kind = ["links"] * len(told) + ["edge"] * len(edge)
+        return pa.table({"kind": pa.array(kind, pa.string()), "a": pa.array(np.concatenate([reps[told], reps[edge]])), "b": pa.array(np.concatenate([count[told], reps[least[edge]]])), "c": pa.array(np.zeros(len(kind), "i8"))})
 
-def _pivots(rows: DataFrame, size: int) -> DataFrame:
-    """About one row in `size` of each group that has more, drawn by a hash of rep."""
-    n = table(rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > size).select(F.col("grp").alias("g"), "n"), "group-sizes")
-    draw = F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)) < (F.lit(1 << 30) / size).cast("long")
-    return rows.where(draw).join(n, F.col("grp") == F.col("g")).select("grp", "rep", "embedding").orderBy(F.xxhash64(F.lit(12), "rep"))
+    return d.groupBy("grp", "i", "j").applyInArrow(compare, "kind string, a long, b long, c long")
 
 
-def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(one row a vector: key, n_links, component_id, kept; audit: cell, block, asked, found, there, beam).
+def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", label: str = "label", vector: str = "embedding", cell: int = CELL, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(one row a vector: key, n_links, component_id, kept; audit: scope, asked, found, there).
 
     Links join vectors of equal, non-null labels and equal lengths whose cosine in double precision is at least limit.
     Null vectors, zero vectors and those that hold nulls or non-finite numbers have no links. Equal vectors are one row
     from the start and count as linked to each other. In each task up to AUDIT queries are held against brute force; below
-    RECALL the task searches again with twice the beam, up to MAX_BEAM, and then reads its ranges off the cell. An empty table gives an empty result.
+    RECALL the task searches again with twice the beam, up to MAX_BEAM, and then reads its ranges off the cell. Groups of several
+    cells that miss RECALL across them are compared whole. Rows that repeat key and vector count as two vectors; null keys have
+    no links; an empty table gives an empty result; other columns are ignored. The audit has a row a task and a split group.
     """
     v = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding"))
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
@@ -189,29 +297,34 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
     v = table(v.drop("label"), "vectors")
     uniq = table(v.where("grp is not null and id is not null").groupBy("grp", "h", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "unique")
     rows = uniq.select("grp", "rep", "n", "embedding")
-    rows = _assign(rows, _pivots(rows, CELL // 2), 3, "cells")
-    cells = table(rows.withColumn("cell", F.explode("cells")).withColumn("grp", F.concat_ws("/", "grp", F.col("cell").cast("string"))).drop("cell"), "cells")
-    sharded = table(_assign(cells, _pivots(cells, SHARD), 2, "shards"), "shards")
+    cells = _assign(rows, cell, 3).withColumn("cell", F.explode("cells"))
+    cells = table(cells.withColumn("own", F.col("grp")).withColumn("grp", F.concat_ws("/", "grp", F.col("cell").cast("string"))).drop("cell"), "cells")
+    size = table(cells.groupBy("grp").agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("parts")).where("parts > 1").select(F.col("grp").alias("g"), "parts"), "large-cells")
+    part = F.pmod(F.xxhash64(F.lit(14), "rep"), F.col("parts")).cast("int")
+    cells = cells.join(size, F.col("grp") == F.col("g"), "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("g", "parts")
 
     def build(pdf):
         import numpy as np
         import pyarrow as pa
 
         t = pdf.combine_chunks()
-        x = _unit(t, "embedding")
-        adj = pruned_graph(x)
-        reps = t.column("rep").to_numpy()
-        lists = [reps[a[a >= 0]] for a in adj]
-        medoid = int((x @ x.mean(axis=0)).argmax())
-        return pa.table({"grp": t.column("grp"), "rep": t.column("rep"), "near": pa.array(lists, pa.list_(pa.int64())), "medoid": pa.array(np.arange(len(x)) == medoid)})
-
-    lists = sharded.select("grp", "rep", "embedding", F.explode("shards").alias("shard")).groupBy("grp", "shard").applyInArrow(build, "grp string, rep long, near array<long>, medoid boolean")
-    # union of a row's lists: a few short ones, one from each shard that it lies in
-    lists = lists.groupBy("grp", "rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
-    lists = table(lists.withColumnRenamed("grp", "g").withColumnRenamed("rep", "r"), "lists")
-    graph = cells.join(lists, (cells.grp == lists.g) & (cells.rep == lists.r)).drop("g", "r")
-    blocks = table(cells.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks")).select(F.col("grp").alias("g"), "blocks"), "blocks")
-    graph = graph.join(blocks, F.col("grp") == F.col("g")).drop("g").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        t = t.take(pa.array(np.argsort(t.column("rep").to_numpy())))
+        x, reps = _unit(t, "embedding"), t.column("rep").to_numpy()
+        lists: list[set] = [set() for _ in reps]
+        medoid = np.zeros(len(reps), bool)
+        for of in _shards(x, shard):
+            if not len(of):
+                continue
+            y = x[of]
+            medoid[of[int((y @ y.mean(axis=0)).argmax())]] = True
+            for i, a in zip(of, pruned_graph(y), strict=True):
+                lists[i].update(reps[of[a[a >= 0]]].tolist())  # the union of a row's lists, one from each shard that it lies in
+        return pa.table({"g": t.column("grp"), "p": t.column("part"), "r": t.column("rep"), "near": pa.array([sorted(a) for a in lists], pa.list_(pa.int64())), "medoid": pa.array(medoid)})
+
+    lists = table(cells.select("grp", "part", "rep", "embedding").groupBy("grp", "part").applyInArrow(build, "g string, p int, r long, near array<long>, medoid boolean"), "lists")
+    graph = cells.join(lists, (F.col("grp") == F.col("g")) & (F.col("part") == F.col("p")) & (F.col("rep") == F.col("r"))).drop("g", "p", "r")
+    blocks = table(cells.groupBy("grp", "part").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks")).select(F.col("grp").alias("g"), F.col("part").alias("p"), "blocks"), "blocks")
+    graph = graph.join(blocks, (F.col("grp") == F.col("g")) & (F.col("part") == F.col("p"))).drop("g", "p").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     graph = table(graph, "graph").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.col("block") == F.col("mine"))
 
     def hunt(key, pdf):
@@ -230,7 +343,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
         queries = np.nonzero(t.column("ask").to_numpy(zero_copy_only=False))[0]
         entries = np.nonzero(t.column("medoid").to_numpy(zero_copy_only=False))[0]
         if not len(queries):
-            return pa.table({c: pa.array([], k) for c, k in zip(("kind", "a", "b", "c"), (pa.string(), *[pa.int64()] * 3), strict=True)})
+            return pa.table({c: pa.array([], k) for c, k in zip(("own", "kind", "a", "b", "c"), (pa.string(), pa.string(), *[pa.int64()] * 3), strict=True)})
         asked = queries[:: max(1, len(queries) // AUDIT)][:AUDIT]
         truth = x[asked] @ x.T >= limit
         truth[np.arange(len(asked)), asked] = False
@@ -279,18 +392,25 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
         a = np.concatenate([reps[queries], reps[touched], [len(asked)]])
         b = np.concatenate([count, reps[least[touched]], [found]])
         c = np.concatenate([np.zeros(len(queries) + len(touched), "i8"), [int(truth.sum())]])
-        return pa.table({"kind": pa.array(kind), "a": pa.array(a.astype("i8")), "b": pa.array(b.astype("i8")), "c": pa.array(c.astype("i8"))})
-
-    found = table(graph.groupBy("grp", "block").applyInArrow(hunt, "kind string, a long, b long, c long"), "found")
+        return pa.table({"own": pa.array([t.column("own")[0].as_py()] * len(kind), pa.string()), "kind": pa.array(kind), "a": pa.array(a.astype("i8")), "b": pa.array(b.astype("i8")), "c": pa.array(c.astype("i8"))})
+
+    found = table(graph.groupBy("grp", "part", "block").applyInArrow(hunt, "own string, kind string, a long, b long, c long"), "found")
+    counts = found.where("kind = 'links'").groupBy(F.col("a").alias("r")).agg(F.sum("b").alias("links"))
+    missed, across = _across(rows, counts, cell, limit)
+    audit = found.where("kind = 'audit'").select(F.lit("cell").alias("scope"), F.col("a").alias("asked"), F.col("b").alias("found"), F.col("c").alias("there"))
+    audit = audit.union(across.select(F.lit("label"), "asked", "found", "there"))
+    if missed:
+        again = table(_whole(rows.where(F.col("grp").isin(missed)), block, limit), "whole")
+        found = found.where(~F.col("own").isin(missed)).drop("own").unionByName(again)
     links = found.where("kind = 'links'").groupBy(F.col("a").alias("r")).agg(F.sum("b").alias("links"))
     parts = components(found.where("kind = 'edge'").select("a", "b"))
     judged = uniq.join(links, F.col("rep") == F.col("r"), "left").join(parts, F.col("rep") == F.col("node"), "left")
     judged = table(judged.select(F.col("grp").alias("g2"), F.col("h").alias("h2"), F.col("embedding").alias("e2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "judged")
     out = v.join(judged, (F.col("h") == F.col("h2")) & (F.col("grp") == F.col("g2")) & (F.col("embedding") == F.col("e2")), "left")
     out = out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    audit = found.where("kind = 'audit'").select(F.col("a").alias("asked"), F.col("b").alias("found"), F.col("c").alias("there"))
     return out.withColumn("kept", F.col(key) == F.col("component_id")), audit
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component (see near_vectors for nulls, ties and repeats)."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
