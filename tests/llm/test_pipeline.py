@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as c
-from weftlake.llm import minhash
+from weftlake.llm import minhash, simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,7 +51,7 @@ def test_near_dedup(spark):
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
     assert sorted(r["doc_id"] for r in c.near_dedup(spark, d, "").collect()) == sorted(set(want))
     for block in (1, 3):
-        got = {r["doc_id"]: r["near_group"] for r in minhash.near_groups(d, block=block).collect()}
+        got = {r["doc_id"]: r["near_group"] for r in simhash.near_groups(d, block=block).collect()}
         assert len(set(got.values())) == len(set(zip(got.values(), (want[i] for i in got)))) == len(set(want))
     assert c.near_dedup(spark, d.limit(0), "").count() == 0
 

@@ -22,24 +22,46 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths of the work tables that this driver has written and not deleted.
+made: list[str] = []
+
+
 def table(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a work table in the shared folder and rereads it, so that a lost executor costs no earlier step."""
+    """Writes df as a work table in the shared folder and rereads it, so that a lost executor costs no earlier step.
+
+    Operators drop() those that no result reads any more. A lazy result still reads its last ones: a caller that has written
+    it somewhere can delete_made() what was made for it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftlake-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftlake_path = path
+    made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in made:
+        made.remove(path)
+
+
 def drop(*frames: DataFrame) -> None:
-    """Deletes work tables that nothing reads any more, and lets Spark remove the shuffle files of finished jobs."""
+    """Deletes work tables that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_weftlake_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def delete_made(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the work tables made since (a length of `made` then), but one."""
+    keep = getattr(but, "_weftlake_path", None)
+    for path in made[since:]:
+        if path != keep:
+            _delete(spark, path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

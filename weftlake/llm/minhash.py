@@ -1,19 +1,7 @@
-"""Near groups of rows by word shingles: MinHash bands propose, the shingle sets decide.
-
-Rows of equal shingle sets are one node from the start. A node's 120 minima make 24 band keys; two sets of Jaccard
-similarity J share a key with odds 1-(1-J^5)^24: 0.9999 at 0.8, more above. Nodes that keys chain together are a
-candidate group; in it all pairs are compared by their whole sets, in blocks of nodes, so what the keys propose is
-decided exactly and no pair is ever a row.
-"""
+"""What decides between texts by their word shingles: shingle sets, MinHash band keys, and the comparison of whole sets in blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, functions as F
-
-from .common import components, free_shuffles, table
-
 WORDS, SIMILARITY = 5, 0.8
 BANDS, PER_BAND = 24, 5
 #: Nodes of a block; a task compares two blocks.
@@ -40,7 +28,7 @@ def shingles(text: str | None, words: int = WORDS):
     return np.unique(np.fromiter((f(whole[starts[i] : ends[min(i + words, len(w)) - 1]], 42) for i in range(n)), "u8", n))
 
 
-def _band_keys(s, flip, times):
+def band_keys(s, flip, times):
     """The keys of a set's bands: hashes of the minima of PER_BAND seeded rehashes each."""
     import numpy as np
     import xxhash
@@ -80,78 +68,3 @@ def near(sets: list, similarity: float = SIMILARITY):
             common += m @ m.T
     np.fill_diagonal(common, size)
     return common >= similarity * (size[:, None] + size[None, :] - common) - 1e-9
-
-
-def near_groups(docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """docs with row (long, one value a row) and near_group: equal where texts are joined by links of at least that similarity.
-
-    Null and wordless texts are one group. An empty table gives an empty result.
-    """
-    def sign(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        r = np.random.default_rng(17)
-        flip, times = r.integers(0, 1 << 64, (2, BANDS * PER_BAND), "u8")
-        times |= np.uint64(1)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                nodes, keys = [], []
-                for t in part.column(text):
-                    s = shingles(t.as_py(), words)
-                    nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
-                    keys.append(np.array(_band_keys(s, flip, times), "u8").view("i8"))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.array(nodes, "u8").view("i8")), pa.array(keys, pa.list_(pa.int64()))], ["row", "node", "keys"])
-
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets = [shingles(t.as_py(), words).view("i8") for t in part.column(text)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    def compare(pdf):
-        import numpy as np
-        import pyarrow as pa
-
-        t = pdf.combine_chunks()
-        nodes = t.column("node").to_numpy()
-        link = near([x.values.to_numpy().view("u8") for x in t.column("shingles")], similarity)
-        least = np.arange(len(nodes))
-        while True:
-            new = np.where(link, least[None, :], len(nodes)).min(axis=1)
-            new = np.minimum(new, new[new])
-            if (new == least).all():
-                break
-            least = new
-        of = np.nonzero(least != np.arange(len(nodes)))[0]
-        return pa.table({"a": nodes[of], "b": nodes[least[of]]})
-
-    # written once, so that row is settled; later steps read only the columns they need
-    rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    signed = table(rows.select("row", text).mapInArrow(sign, "row long, node long, keys array<long>"), "signed")
-    keys = table(signed.select("node", F.explode("keys").alias("key")).distinct(), "band-keys")
-    shared = table(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "shared-bands")
-    star = keys.join(shared.hint("merge"), keys.key == shared.k).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    group = components(star).select(F.col("node").alias("g_node"), F.col("component").alias("g"))
-    blocks = group.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("g", "g2")
-    group = table(group.join(blocks, F.col("g") == F.col("g2")).select("g_node", "g", "blocks"), "candidate-blocks")
-    first = table(signed.groupBy("node").agg(F.min("row").alias("first")).join(group, F.col("node") == F.col("g_node")).select("first", "node", "g", "blocks"), "candidate-rows")
-    texts = table(rows.select("row", text).join(first.hint("merge"), F.col("row") == F.col("first")).select("node", text, "g", "blocks"), "candidate-texts")
-    sets = table(texts.select("node", text).mapInArrow(cut, "node long, shingles array<long>"), "shingle-sets")
-    free_shuffles(docs.sparkSession)
-    # each pair of blocks of a group is one task's work; a node goes to the pairs that its own block is in
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = texts.select("node", "g", "blocks").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(F.col("node").alias("s_node"), "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    tasks = table(sets.join(spread.hint("merge"), F.col("node") == F.col("s_node")).select("g", "i", "j", "node", "shingles"), "compared")
-    found = components(tasks.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long"))
-    free_shuffles(docs.sparkSession)
-    found = table(found.select(F.col("node").alias("f_node"), "component"), "near-groups")
-    out = signed.select("row", "node").join(found.hint("merge"), F.col("node") == F.col("f_node"), "left")
-    out = table(out.select(F.col("row").alias("r"), F.coalesce("component", "node").alias("near_group")), "grouped")
-    return rows.join(out.hint("merge"), F.col("row") == F.col("r")).drop("r")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, table
+from .common import WORD, drop, table
 
 BINS = 4096
 
@@ -76,7 +76,9 @@ def source_rule(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoc
     # a rest that no bin passes takes them all
     rule = plan.join(third, plan.source.eqNullSafe(third.s3), "left")
     cut = F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.coalesce("cut", F.lit(BINS * BINS)))
-    return table(rule.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), cut.alias("_cut"), F.coalesce("tie", F.lit(0)).alias("_tie")), "rule")
+    out = table(rule.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), cut.alias("_cut"), F.coalesce("tie", F.lit(0)).alias("_tie")), "rule")
+    drop(bins, plan, first, second)
+    return out
 
 
 def _copies(max_epochs: float) -> Column:

@@ -118,7 +118,8 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     sent = spark.sparkContext.broadcast(starts)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = table(by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("task").alias("t"), F.col("length").alias("l"), "before"), "ranks")
-    ranked = pieces.join(first, (pieces.task == first.t) & (pieces.length == first.l)).withColumn("rank", F.col("before") + F.col("nth")).drop("t", "l", "before", "task", "nth")
+    # ranks grow with the tasks: merged at every size, never broadcast
+    ranked = pieces.join(first.hint("merge"), (pieces.task == first.t) & (pieces.length == first.l)).withColumn("rank", F.col("before") + F.col("nth")).drop("t", "l", "before", "task", "nth")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
 
     def place(batches: Iterator) -> Iterator:

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, free_shuffles, table
+from . import minhash
+from .common import components, drop, free_shuffles, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xAE3  # fixed: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -39,12 +40,18 @@ def fingerprint(text: str | None) -> int:
         at += len(w) + 1
         ends.append(at)
     starts = [0, *(e + 1 for e in ends)]
-    h = np.fromiter((f(whole[a:b], 42) for a, b in zip(starts, ends[2:], strict=False)), "<u8", n)
+    return majority(np.fromiter((f(whole[a:b], 42) for a, b in zip(starts, ends[2:], strict=False)), "<u8", n))
+
+
+def majority(h) -> int:
+    """The bits that are set in over half of the hashes (none: 0)."""
+    import numpy as np
+
     total = np.zeros(64, "i8")
-    for lo in range(0, n, 1 << 16):
-        part = h[lo : lo + (1 << 16)]
+    for lo in range(0, len(h), 1 << 16):
+        part = np.ascontiguousarray(h[lo : lo + (1 << 16)])
         total += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,6 +194,95 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     return d.join(named, d.fp == named.f, "left").select(F.col(key), "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS, similarity: float = minhash.SIMILARITY, block: int = minhash.BLOCK, group: int = GROUP) -> DataFrame:
+    """docs with row (long, one value a row) and near_group: equal where texts are joined by links of at least that Jaccard similarity of their sets of word shingles.
+
+    Rows of equal shingle sets are one node from the start. Golay keys propose the pairs of nodes whose fingerprints (of the
+    sets, as above) differ in at most 2 bits. At a similarity of 0.8 a bit differs with odds of about 0.15, so fingerprints of
+    64 bits differ in 10, out of reach of any such key; those pairs are proposed by MinHash bands: a node's 120 minima
+    make 24 keys, and two sets of similarity J share one with odds 1-(1-J^5)^24, 0.9999 at 0.8 and more above. Nodes that keys chain
+    together are a candidate group; in it all pairs are compared by their whole sets, in blocks of nodes, so what the keys
+    propose is decided exactly and no pair is ever a row. Null and wordless texts are one group; repeated rows are in one
+    group; an empty table gives an empty result; docs must not have columns named row or near_group.
+    """
+    def sign(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        r = np.random.default_rng(17)
+        flip, times = r.integers(0, 1 << 64, (2, minhash.BANDS * minhash.PER_BAND), "u8")
+        times |= np.uint64(1)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                nodes, keys, prints = [], [], []
+                for t in part.column(text):
+                    s = minhash.shingles(t.as_py(), words)
+                    nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
+                    keys.append(np.array(minhash.band_keys(s, flip, times), "u8").view("i8"))
+                    prints.append(majority(s))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.array(nodes, "u8").view("i8")), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, "u8").view("i8"))], ["row", "node", "keys", "fp"])
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [minhash.shingles(t.as_py(), words).view("i8") for t in part.column(text)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    def compare(pdf):
+        import numpy as np
+        import pyarrow as pa
+
+        t = pdf.combine_chunks()
+        nodes = t.column("node").to_numpy()
+        link = minhash.near([x.values.to_numpy().view("u8") for x in t.column("shingles")], similarity)
+        least = np.arange(len(nodes))
+        while True:
+            new = np.where(link, least[None, :], len(nodes)).min(axis=1)
+            new = np.minimum(new, new[new])
+            if (new == least).all():
+                break
+            least = new
+        of = np.nonzero(least != np.arange(len(nodes)))[0]
+        return pa.table({"a": nodes[of], "b": nodes[least[of]]})
+
+    # written once, so that row is settled; later steps read only the columns they need
+    rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    signed = table(rows.select("row", text).mapInArrow(sign, "row long, node long, keys array<long>, fp long"), "signed")
+    keys = table(signed.select("node", F.explode("keys").alias("key")).distinct(), "band-keys")
+    shared = table(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "shared-bands")
+    prints = table(signed.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    same = signed.select("fp", "node").distinct().join(prints.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    star = keys.join(shared.hint("merge"), keys.key == shared.k).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    star = star.union(same).union(links(prints, group))
+    group = components(star).select(F.col("node").alias("g_node"), F.col("component").alias("g"))
+    blocks = group.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("g", "g2")
+    group = table(group.join(blocks, F.col("g") == F.col("g2")).select("g_node", "g", "blocks"), "candidate-blocks")
+    drop(keys, shared, prints)
+    first = table(signed.groupBy("node").agg(F.min("row").alias("first")).join(group, F.col("node") == F.col("g_node")).select("first", "node", "g", "blocks"), "candidate-rows")
+    texts = table(rows.select("row", text).join(first.hint("merge"), F.col("row") == F.col("first")).select("node", text, "g", "blocks"), "candidate-texts")
+    sets = table(texts.select("node", text).mapInArrow(cut, "node long, shingles array<long>"), "shingle-sets")
+    free_shuffles(docs.sparkSession)
+    # each pair of blocks of a group is one task's work; a node goes to the pairs that its own block is in
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = texts.select("node", "g", "blocks").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select(F.col("node").alias("s_node"), "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    tasks = table(sets.join(spread.hint("merge"), F.col("node") == F.col("s_node")).select("g", "i", "j", "node", "shingles"), "compared")
+    drop(group, first, texts, sets)
+    found = components(tasks.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long"))
+    free_shuffles(docs.sparkSession)
+    found = table(found.select(F.col("node").alias("f_node"), "component"), "near-groups")
+    out = signed.select("row", "node").join(found.hint("merge"), F.col("node") == F.col("f_node"), "left")
+    out = table(out.select(F.col("row").alias("r"), F.coalesce("component", "node").alias("near_group")), "grouped")
+    drop(tasks, signed, found)
+    return rows.join(out.hint("merge"), F.col("row") == F.col("r")).drop("r")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class (see near_duplicates for nulls, ties and repeats)."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
