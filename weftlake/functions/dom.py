@@ -7,6 +7,7 @@ once a page.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -179,24 +180,58 @@ def inner_html(n: Node) -> str:
     return "".join(_html(c) for c in n.children)
 
 
-def clean(root: Node, keep_nav: bool = False, keep_footer: bool = False) -> Node:
-    """Takes noise out of the tree (in place) and gives the main content, or the body."""
-    for css in C.REMOVED_TAGS:
-        for n in select(root, css):
-            n.remove()
+class _Test:
+    """Whether a node fits any of some selectors of one step, by its tag or by the attributes that it has."""
+
+    def __init__(self, selectors):
+        self.tags: set[str] = set()
+        self.attrs: dict[str, list[tuple]] = {}
+        for css in selectors:
+            for steps in compile_selector(css):
+                (_, tag, tests), = steps
+                if tests:
+                    name = tests[0][2].lower() or ("id" if tests[0][0] else "class")
+                    self.attrs.setdefault(name, []).append((tag, tests))
+                else:
+                    self.tags.add(tag.lower())
+
+    def __call__(self, n: Node) -> bool:
+        if n.tag in self.tags:
+            return True
+        for name in n.attrs:
+            for tag, tests in self.attrs.get(name, ()):
+                if _fits(n, tag, tests):
+                    return True
+        return False
+
+
+@functools.cache
+def _noise(keep_nav: bool, keep_footer: bool) -> tuple[_Test, _Test]:
     spared = {x for x, keep in (("nav", keep_nav), ('[role="navigation"]', keep_nav), ("footer", keep_footer), ('[role="contentinfo"]', keep_footer)) if keep}
-    for css in C.NOISE:
-        if css not in spared:
-            for n in select(root, css):
-                if n.tag not in ("main", "article"):
-                    n.remove()
-    for n in select(root, "div, span, p"):
-        if not any(isinstance(c, Node) for c in n.children) and not n.text().strip(SPACE):
+    return _Test(C.REMOVED_TAGS), _Test(x for x in C.NOISE if x not in spared)
+
+
+def clean(root: Node, keep_nav: bool = False, keep_footer: bool = False) -> Node:
+    """Takes noise out of the tree (in place, in one walk) and gives the main content, or the body."""
+    removed, noise = _noise(keep_nav, keep_footer)
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        kept = [c for c in n.children if not isinstance(c, Node) or not (removed(c) or (c.tag not in ("main", "article") and noise(c)))]
+        if len(kept) < len(n.children):
+            n.children = kept
+        stack.extend(c for c in kept if isinstance(c, Node))
+    main = body = None
+    for n in list(root.walk()):
+        if n.tag in ("div", "span", "p") and not any(isinstance(c, Node) for c in n.children) and not n.text().strip(SPACE):
             n.remove()
-    main = next(iter(select(root, 'main, article, [role="main"]')), None)
+        elif main is None and (n.tag in ("main", "article") or n.attrs.get("role") == "main"):
+            main = n
+        if body is None and n.tag == "body":
+            body = n
     if main is not None and len(main.text().strip(SPACE)) > 100:
         return main
-    return next(iter(select(root, "body")), root)
+    return body if body is not None else root
 
 
 _RUN = re.compile(f"[{SPACE}]+")
@@ -277,6 +312,20 @@ def links(root: Node, base: str) -> list[tuple[str, str, str | None, bool]]:
     return list(out.values())
 
 
+def agent_links(root: Node, base: str) -> list[tuple[str, str]]:
+    """(address, text of at most 120 characters) of the page's http links, hashes and all, each address once."""
+    out: dict[str, str] = {}
+    for a in root.walk():
+        if a.tag == "a" and "href" in a.attrs:
+            try:
+                href = urljoin(base, a.attrs["href"].strip(SPACE))
+            except ValueError:
+                continue
+            if href.startswith("http") and href not in out:
+                out[href] = a.text().strip(SPACE)[:120]
+    return list(out.items())
+
+
 def metadata(root: Node, url: str) -> dict:
     metas = [n for n in root.walk() if n.tag == "meta"]
 

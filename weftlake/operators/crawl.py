@@ -2,52 +2,107 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..sources.state import scratch
+from . import plugins as G, ranking as R
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A wave's result in the shared folder (spark.checkpoint.dir), so that waves don't pile up in one plan."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/weftlake"
-    path = f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+TIERS = ("http", "jsdom", "browser")
 
 
-def crawl(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50, max_depth: int = 10) -> DataFrame:
-    """pages(id, content_hash), edges(src, dst, pos): the pages yielded, (id, depth, ord).
+class Crawl(NamedTuple):
+    """pages (id, depth, ord), tiers (tier, n: pages read, repeated ones too, each tier with a row), errors (id, depth: urls without a page)."""
+
+    pages: DataFrame
+    tiers: DataFrame
+    errors: DataFrame
+
+
+def links_followed(edges: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()) -> DataFrame:
+    """edges(src, dst, pos; url and parent_url where the ids aren't urls): those that a crawl may follow, by globs and the plugins' filters."""
+    url = F.col("url") if "url" in edges.columns else F.col("dst").cast("string")
+    parent = F.col("parent_url") if "parent_url" in edges.columns else F.col("src").cast("string")
+    d = R.glob_filter(edges.withColumn("_url", url), "_url", include, exclude).drop("_url")
+    return d.where(G.allowed(plugins, url, parent)) if plugins else d
+
+
+def crawl_report(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()) -> Crawl:
+    """pages(id, content_hash; tier if there), edges (see links_followed).
 
     A wave is the whole frontier of one depth, cut to what the budget leaves, in the order of (parent's place, pos).
-    Pages that repeat a content hash use budget, aren't yielded, and aren't followed; ids without a page use none.
+    Pages that repeat a content hash use budget, aren't yielded, and aren't followed; ids without a page use none and are
+    reported. content_hash should tell contents apart whatever their number (text.content_key does). The seed is read
+    whatever the globs say. Waves, ids seen and hashes are appended to folders in the shared one, so that plans don't grow
+    from wave to wave; places are numbered by range, so that no task orders a whole frontier.
     """
-    wave = _cut(pages.sparkSession.createDataFrame([(seed, 0)], f"id {pages.schema['id'].dataType.simpleString()}, ord long"))
-    seen, hashes, out, used = wave.select("id"), None, None, 0
+    spark = pages.sparkSession
+    at = scratch(spark, "crawl")
+    kind = pages.schema["id"].dataType.simpleString()
+    tier = F.col("tier") if "tier" in pages.columns else F.lit(None).cast("string")
+    pages = pages.select("id", F.col("content_hash").cast("string").alias("content_hash"), tier.alias("tier"))
+    edges = links_followed(edges, include, exclude, plugins).select("src", "dst", "pos")
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("append").parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    wave = put(spark.createDataFrame([(seed, 0)], f"id {kind}, ord long"), "wave-0")
+    seen = put(wave.select("id"), "seen")
+    read = out = None
+    used = 0
     for depth in range(max_depth + 1):
-        got = wave.join(pages, "id")
-        got = _cut(got.orderBy("ord").limit(max_pages - used))
+        got = wave.join(pages, "id").orderBy("ord").limit(max_pages - used).withColumn("depth", F.lit(depth))
+        got.write.parquet(f"{at}/got-{depth}")
+        got = spark.read.schema(got.schema).parquet(f"{at}/got-{depth}")
         n = got.count()
+        put(wave.join(pages.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")), "errors")
         if not n:
             break
         used += n
-        first = got.groupBy("content_hash").agg(F.min("ord").alias("ord"))
-        new = got.join(first, ["content_hash", "ord"], "left_semi")
-        if hashes is not None:
-            new = new.join(hashes, "content_hash", "left_anti")
-        new = _cut(new.select("id", "content_hash", "ord", F.lit(depth).alias("depth")))
-        hashes = new.select("content_hash") if hashes is None else hashes.union(new.select("content_hash"))
-        out = new if out is None else out.union(new)
+        put(got.groupBy("tier").agg(F.count("*").alias("n")), "tiers")
+        new = got.join(got.groupBy("content_hash").agg(F.min("ord").alias("ord")), ["content_hash", "ord"], "left_semi")
+        if read is not None:
+            new = new.join(read, "content_hash", "left_anti")
+        new.select("id", "content_hash", "ord", "depth").write.parquet(f"{at}/new-{depth}")
+        new = spark.read.parquet(f"{at}/new-{depth}")
+        read = put(new.select("content_hash"), "hashes")
+        out = put(new.select("id", "depth", "ord"), "pages")
         if used >= max_pages or depth == max_depth:
             break
         found = edges.join(new.select(F.col("id").alias("src"), F.col("ord").alias("parent")), "src")
         found = found.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("at")).join(seen, "id", "left_anti")
-        wave = _cut(found.select("id", F.row_number().over(Window.orderBy("at")).cast("long").alias("ord")))
-        seen = seen.union(wave.select("id"))
-    return out.select("id", "depth", "ord") if out is not None else wave.select("id", F.lit(0).alias("depth"), "ord").limit(0)
+        wave = put(found.orderBy("at").select("id", F.monotonically_increasing_id().alias("ord")), f"wave-{depth + 1}")
+        seen = put(wave.select("id"), "seen")
+    if out is None:
+        out = wave.select("id", F.lit(0).alias("depth"), "ord").limit(0)
+        tiers = spark.createDataFrame([], "tier string, n long")
+    else:
+        tiers = spark.read.schema("tier string, n long").parquet(f"{at}/tiers")
+    every = spark.createDataFrame([(t, 0) for t in TIERS], "tier string, n long")
+    tiers = tiers.union(every).groupBy("tier").agg(F.sum("n").alias("n"))
+    return Crawl(out, tiers, spark.read.schema(f"id {kind}, depth int").parquet(f"{at}/errors"))
+
+
+def crawl(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()) -> DataFrame:
+    """The pages yielded by crawl_report, (id, depth, ord)."""
+    return crawl_report(pages, edges, seed, max_pages, max_depth, include, exclude, plugins).pages
 
 
-def map_site(listed: DataFrame, crawled: DataFrame, max_urls: int) -> DataFrame:
+def merge_urls(listed: DataFrame, crawled: DataFrame, max_urls: int) -> DataFrame:
     """listed(url, ord) first, then crawled(url, ord) urls that aren't listed, up to max_urls."""
-    both = listed.select("url", F.struct(F.lit(0).alias("src"), F.col("ord").alias("ord")).alias("at")).union(crawled.select("url", F.struct(F.lit(1).alias("src"), F.col("ord").alias("ord")).alias("at")))
+    both = listed.select("url", F.struct(F.lit(0).alias("src"), F.lit(0).alias("depth"), F.col("ord").alias("ord")).alias("at"))
+    depth = F.col("depth") if "depth" in crawled.columns else F.lit(0)
+    both = both.union(crawled.select("url", F.struct(F.lit(1).alias("src"), depth.alias("depth"), F.col("ord").alias("ord")).alias("at")))
     return both.groupBy("url").agg(F.min("at").alias("at")).orderBy("at").limit(max_urls).select("url")
+
+
+def map_site(listed: DataFrame, max_urls: int, pages: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
+    """listed(url, ord), a site map's urls; where they are fewer than max_urls, a crawl of pages and edges (ids are urls) from the seed, three deep, fills up."""
+    first = listed.orderBy("ord").limit(max_urls)
+    n = first.count()
+    if n >= max_urls:
+        return first.select("url")
+    return merge_urls(first, crawl(pages, edges, seed, max_urls - n, 3).select(F.col("id").alias("url"), "depth", "ord"), max_urls)

@@ -12,6 +12,7 @@ from ..functions import text as T
 FIELDS = {
     "meta": "struct<title:string,description:string,language:string,author:string,published_at:string,og_image:string,canonical:string,robots:string>",
     "links": "array<struct<url:string,text:string,rel:string,is_internal:boolean>>",
+    "agent_links": "array<struct<href:string,text:string>>",
     "clean_html": "string",
     "markdown": "string",
     "json_ld": "array<string>",
@@ -45,6 +46,8 @@ def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_htm
                     out["meta"].append(dom.metadata(root, at))
                 if "links" in out:
                     out["links"].append([dict(zip(("url", "text", "rel", "is_internal"), x, strict=True)) for x in dom.links(root, at)])
+                if "agent_links" in out:
+                    out["agent_links"].append([dict(zip(("href", "text"), x, strict=True)) for x in dom.agent_links(root, at)])
                 if "json_ld" in out:
                     out["json_ld"].append(dom.json_ld(root))
                 if "tables" in out:
@@ -101,3 +104,17 @@ def agent_extract(pages: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     title = F.coalesce(F.when(F.col("readable.ok"), F.nullif(F.col("readable.title"), F.lit(""))), F.col("meta.title"))
     d = d.withColumn("title", title).withColumn("approx_tokens", T.js_round(T.len16(F.col("markdown")) / 4).cast("long"))
     return d.withColumn("publish_date", date).drop("meta", "readable")
+
+
+def extract_many(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """requests(url, ...) with agent_extract's title, markdown, approx_tokens, captcha, publish_date, extracted_via of snapshots(url, html).
+
+    Every request keeps its row: one without a page, or whose url is null, has an empty title and text, no tokens, and
+    extracted_via none. Of several snapshots of a url the greatest html is read; it is parsed once however often it is asked for.
+    """
+    asked = requests.select(F.col("url").alias("_r")).where("url is not null").distinct()
+    one = snapshots.groupBy("url").agg(F.max("html").alias("html")).join(asked, F.col("url") == F.col("_r"), "left_semi")
+    got = agent_extract(one).select(F.col("url").alias("_u"), "title", "markdown", "approx_tokens", "captcha", "publish_date", "extracted_via")
+    d = requests.join(got, F.col("url") == F.col("_u"), "left")
+    empty = {"title": F.lit(""), "markdown": F.lit(""), "approx_tokens": F.lit(0).cast("long"), "captcha": F.lit(False), "extracted_via": F.lit("none")}
+    return d.select(*requests.columns, *[F.coalesce(F.col(c), empty[c]).alias(c) if c in empty else F.col(c) for c in ("title", "markdown", "approx_tokens", "captcha", "publish_date", "extracted_via")])

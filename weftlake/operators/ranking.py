@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T, urls as U
@@ -36,11 +38,15 @@ def seeds(hits: DataFrame, max_seeds: int = 3) -> DataFrame:
     return pages.union(homes).orderBy("ord").limit(max_seeds).select("ord", "url")
 
 
-def exact_dedup(df: DataFrame, text: str, order: str) -> DataFrame:
-    """The first row (by order) of each content hash. Minima are combined before the shuffle; no window over a hot hash."""
-    d = df.withColumn("content_hash", T.content_hash(F.col(text)))
-    first = d.groupBy("content_hash").agg(F.min(order).alias("_first"))
-    return d.join(first.select(F.col("_first").alias(order)), order, "left_semi")
+def exact_dedup(df: DataFrame, text: str, order: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """The first row (by order) of each normalised text: order and the columns of keep (all, where None).
+
+    Texts are told apart by 256 bits, whatever their number. One pass: the first row is picked before the shuffle and after it,
+    with no window over a hot text. Null texts are one text; an empty table gives an empty result.
+    """
+    rest = [c for c in (df.columns if keep is None else keep) if c != order]
+    first = df.groupBy(T.content_key(F.col(text)).alias("_key")).agg(F.min_by(F.struct(order, *rest), order).alias("_first"))
+    return first.select("_first.*").select(*[c for c in df.columns if c == order or c in rest])
 
 
 def tier_memory(outcomes: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, urls as U
 from ..functions.scoring import parse_date
+from ..sources.state import append_log, read_state, scratch, write_state
 
 
 def pattern(terms: Sequence[str]) -> str:
@@ -25,17 +26,20 @@ def pattern(terms: Sequence[str]) -> str:
 def mentions(items: DataFrame, watchlist: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """items(title, snippet, url, ord, ...): a row for each entity (name, aliases) that the title or snippet names.
 
-    One pass with the entities' patterns as literals: no join of items with patterns."""
+    One pass with the entities' patterns as literals: no join of items with patterns. All patterns in one first leave the
+    items that name anyone, and only those are held against each.
+    """
     hay = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit("")))
+    anyone = "|".join(f"(?:{pattern([n, *a])})" for n, a in watchlist)
     hit = F.array_compact(F.array(*[F.when(F.rlike(hay, F.lit(pattern([n, *a]))), F.lit(n)) for n, a in watchlist]))
-    return items.withColumn("entity", F.explode(hit)).withColumn("url_key", U.mention_key(F.col("url")))
+    return items.where(F.rlike(hay, F.lit(anyone or "(?!)"))).withColumn("entity", F.explode(hit)).withColumn("url_key", U.mention_key(F.col("url")))
 
 
 def new_mentions(found: DataFrame, known: DataFrame) -> DataFrame:
-    """found(entity, url_key, ord, ...) that known(entity, url_key) doesn't hold; of equal ones the first by ord."""
-    first = found.groupBy("entity", "url_key").agg(F.min("ord").alias("_o")).select(F.col("entity").alias("_e"), F.col("url_key").alias("_u"), "_o")
-    d = found.join(first, (F.col("entity") == F.col("_e")) & (F.col("url_key") == F.col("_u")) & (F.col("ord") == F.col("_o"))).drop("_e", "_u", "_o")
-    return d.join(known.select("entity", "url_key"), ["entity", "url_key"], "left_anti")
+    """found(entity, url_key, ord, ...) that known(entity, url_key) doesn't hold; of equal ones the first by ord, picked before the shuffle."""
+    rest = [c for c in found.columns if c not in ("entity", "url_key")]
+    first = found.groupBy("entity", "url_key").agg(F.min_by(F.struct(*rest), "ord").alias("_x"))
+    return first.select("entity", "url_key", "_x.*").select(*found.columns).join(known.select("entity", "url_key"), ["entity", "url_key"], "left_anti")
 
 
 def prune(state: DataFrame, as_of, days: int = C.PRUNE_DAYS) -> DataFrame:
@@ -59,6 +63,48 @@ def render(new: DataFrame, per_entity: int = 8) -> DataFrame:
     return d.groupBy("entity").agg(F.concat(F.lit("## "), F.first("entity"), F.lit("\n"), F.array_join(lines, "\n")).alias("section"))
 
 
+def track(spark: SparkSession, entities: Sequence[tuple[str, Sequence[str], Sequence[str]]], sweeps: DataFrame, feed_items: DataFrame | None, state_path: str, now: str, log_path: str | None = None) -> DataFrame:
+    """One run of the tracker: reads the state, matches what searches and feeds gave, adds what is new, prunes, writes, reports.
+
+    entities are (name, aliases, domains). sweeps(entity, rank, title, url, snippet) are results of the entities' own searches;
+    feed_items(domain, feed, ord, title, url, date; snippet if there) count where an entity watches their domain (all, where
+    none watches any). Sweeps come before feeds, and of an entity's equal urls the first counts. Returns (entity, n_new,
+    total_known, section): new mentions of this run, what the state holds after pruning, and the digest's lines; a row an entity.
+    The new state is a version beside the old one, so a run that fails leaves the old one whole.
+    """
+    watch = [(n, list(a)) for n, a, _ in entities]
+    place = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(watch) for x in (n, i)])
+    text = lambda df: F.col("snippet") if "snippet" in df.columns else F.lit(None).cast("string")
+    at = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("string").alias("a"), b.cast("long").alias("b")).alias("ord")
+    none = F.lit(None).cast("string")
+    items = sweeps.select("title", "url", text(sweeps).alias("snippet"), F.concat(F.lit("sweep:"), "entity").alias("source"), none.alias("date"), at(0, F.lpad(F.coalesce(place[F.col("entity")], F.lit(len(watch))).cast("string"), 9, "0"), F.col("rank")))
+    if feed_items is not None:
+        domains = sorted({d for *_, ds in entities for d in ds})
+        own = feed_items.where(F.col("domain").isin(*domains)) if domains else feed_items
+        items = items.union(own.select("title", "url", text(own), F.col("feed"), F.col("date").cast("string"), at(1, F.col("feed"), F.col("ord"))))
+    state = read_state(spark, state_path)
+    new = new_mentions(mentions(items, watch), state)
+    new = new.select(*[F.col(c) for c in ("entity", "url_key", "title", "url", "source", "date", "ord")])
+    path = scratch(spark, "new-mentions")
+    new.write.parquet(path)
+    new = spark.read.schema(new.schema).parquet(path)
+    added = new.select("entity", "url_key", "title", "url", "source", F.lit(now).alias("first_seen"))
+    write_state(prune(state.unionByName(added), F.lit(now).cast("timestamp")), state_path)
+    out = digest(watch, new, read_state(spark, state_path)).join(render(new), "entity", "left")
+    if log_path:
+        line = out.agg(F.lit(now).alias("ran_at"), F.sum("n_new").alias("new_mentions"), F.map_from_entries(F.collect_list(F.struct("entity", "n_new"))).alias("by_entity"))
+        append_log(line, log_path)
+    return out
+
+
+def digest_text(out: DataFrame, now: str) -> DataFrame:
+    """(markdown): the digest of a run as one text, a section for each entity that has something new."""
+    total = F.sum("n_new")
+    head = F.concat(F.lit(f"# New developments\n_ran {now} · "), F.count("*").cast("string"), F.lit(" entities · "), total.cast("string"), F.lit(" new_\n\n"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n_new") > 0, F.struct("entity", "section")))), lambda x: x["section"]), "\n\n")
+    return out.agg(F.concat(head, F.when(total > 0, parts).otherwise(F.lit("_nothing new since last run._"))).alias("markdown"))
+
+
 def reach(snapshots: DataFrame, ladder: Sequence[str] = C.LADDER) -> DataFrame:
     """snapshots(url, strategy, page_class): url, ok, via, reason, needs_human, tried.
 

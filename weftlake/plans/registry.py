@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scoring as S, text as T, urls as U
-from ..operators import browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M
+from ..operators import adaptive as N, browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M
 from ..sources import feeds as B, results as E, state as A
 from ..streaming import jobs as J
 
@@ -151,25 +151,20 @@ def text_plain(spark, d):
 
 @query(
     f"""
-WITH t AS (SELECT doc_id, lower({sq_squeeze("regexp_replace(text, '<[^>]+>', '', 'g')")}) AS s FROM documents WHERE length(text) < 3000),
+WITH t AS (SELECT doc_id, lower({sq_squeeze("regexp_replace(text, '<[^>]+>', '', 'g')")}) AS s FROM documents),
 c AS (SELECT doc_id, list_concat([2166136261::BIGINT], list_transform(CASE WHEN s = '' THEN [] ELSE string_split(s, '') END, lambda c: unicode(c)::BIGINT)) AS u FROM t),
 h AS (SELECT doc_id, list_reduce(u, lambda h, c: ((((CASE WHEN xor(h, c) >= 2147483648 THEN xor(h, c) - 4294967296 ELSE xor(h, c) END)::DOUBLE * 16777619::DOUBLE)::HUGEINT % 4294967296 + 4294967296) % 4294967296)::BIGINT) AS v FROM c)
 SELECT doc_id, lpad(lower(to_hex(v)), 8, '0') AS content_hash FROM h
 """
 )
 def content_fingerprint(spark, d):
-    return _read(spark, d, "documents").where("length(text) < 3000").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
-
-
-@query()
-def content_fingerprint_whole(spark, d):
     """The fingerprint of every document, however long; null for a null text."""
     return _read(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query(f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, lower({sq_squeeze("regexp_replace(text, '<[^>]+>', '', 'g')")}) AS s FROM documents) GROUP BY s")
 def exact_dedup(spark, d):
-    return R.exact_dedup(_read(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
+    return R.exact_dedup(_read(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", keep=())
 
 
 _HEADED = "concat('intro ', lang, chr(10), '# one', chr(10), text, chr(10), chr(10), '## two', chr(10), chr(10), left(text, 200), chr(10), '#nothead', chr(10), '### three', chr(10), right(text, 100))"
@@ -240,7 +235,7 @@ def _sq_tier(score: str) -> str:
     return f"CASE WHEN {score} > 0.5 THEN 'browser' WHEN {score} > 0.2 THEN 'jsdom' ELSE 'http' END"
 
 
-_SHELL = "CASE WHEN page_id % 4 = 0 THEN html WHEN page_id % 4 = 1 THEN concat('<div id=\"root\"></div><script src=\"react.min.js\"></script>', left(html, 60)) WHEN page_id % 4 = 2 THEN left(html, 420) ELSE concat('<noscript>', left(text, 150), '</noscript><script>1</script><p>', left(text, 300), '</p>') END"
+_SHELL = "CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN concat('<div id=\"root\"></div><script src=\"react.min.js\"></script><!-- ', url, ' -->') WHEN 2 THEN concat('<noscript>', html, '</noscript><script>1</script>') ELSE regexp_replace(html, '<[^>]+>', ' '{g}) END"
 _SQ_BODY = sq_squeeze("regexp_replace(regexp_replace(h, '(?is)<script.*?</script>', '', 'g'), '<[^>]+>', ' ', 'g')")
 
 
@@ -258,7 +253,7 @@ def tier_prefetch(spark, d):
 
 @query(
     f"""
-WITH t AS (SELECT page_id, {_SHELL} AS h FROM pages JOIN documents ON page_id = doc_id),
+WITH t AS (SELECT page_id, {_SHELL.format(g=", 'g'")} AS h FROM pages),
 b AS (SELECT *, length({_SQ_BODY}) AS n, len(regexp_extract_all(h, '(?i)<script')) AS scripts, regexp_matches(h, '{C.INLINE_LOGIC}') AS inl FROM t),
 s AS (SELECT page_id, greatest(0::DOUBLE, CASE WHEN regexp_matches(h, '{C.EMPTY_ROOT.replace("'", "''")}') THEN 0.35::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(h, '{C.NOSCRIPT}') THEN 0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(h, '{C.FRAMEWORKS}') THEN 0.2::DOUBLE ELSE 0::DOUBLE END
   + CASE WHEN n < 200 AND (scripts >= 1 OR inl) THEN 0.6::DOUBLE WHEN n < 600 AND (scripts > 2 OR inl) THEN 0.3::DOUBLE ELSE 0::DOUBLE END
@@ -267,8 +262,7 @@ SELECT page_id, round(score, 9) AS score, {_sq_tier('score')} AS tier FROM s
 """
 )
 def tier_postfetch(spark, d):
-    p, t = _read(spark, d, "pages"), _read(spark, d, "documents").select("doc_id", "text")
-    h = p.join(t, p.page_id == t.doc_id).select("page_id", F.expr(_SHELL).alias("h"))
+    h = _read(spark, d, "pages").select("page_id", F.expr(_SHELL.format(g="")).alias("h"))
     return h.select("page_id", S.tier_after(F.col("h")).alias("t")).select("page_id", F.round("t.score", 9).alias("score"), "t.tier")
 
 
@@ -303,7 +297,7 @@ def bm25_rank(spark, d):
 
 @query(
     f"""
-WITH t AS (SELECT doc_id, 'https://site.com/' || CASE doc_id % 4 WHEN 0 THEN '2026/06/big-news-story' WHEN 1 THEN 'login' WHEN 2 THEN 'a/' || lang ELSE 'tion-ing-x' END AS href, left(text, 200) AS txt FROM documents),
+WITH t AS (SELECT doc_id, 'https://site.com/' || CASE doc_id % 4 WHEN 0 THEN '2026/06/big-news-story' WHEN 1 THEN 'login' WHEN 2 THEN 'a/' || lang ELSE 'tion-ing-x' END AS href, text AS txt FROM documents),
 p AS (SELECT *, lower(regexp_extract(href, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS path FROM t)
 SELECT doc_id, round({sq_relevance(TERMS, 'txt')} * 4 + {" + ".join(f"CASE WHEN contains(path, '{t}') THEN 1 ELSE 0 END" for t in TERMS)} + CASE WHEN regexp_matches(path, '/20[0-9][0-9]/') THEN 2 ELSE 0 END
   + CASE WHEN len(regexp_extract_all(path, '-')) >= 2 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(path, '[^/]+')) >= 2 THEN 1 ELSE 0 END - CASE WHEN regexp_matches(href, '{C.NAV}') THEN 6 ELSE 0 END - CASE WHEN regexp_matches(href, '{C.AGGREGATOR}') THEN 8 ELSE 0 END, 9) AS score FROM p
@@ -311,7 +305,7 @@ SELECT doc_id, round({sq_relevance(TERMS, 'txt')} * 4 + {" + ".join(f"CASE WHEN
 )
 def link_score(spark, d):
     href = F.expr("concat('https://site.com/', CASE doc_id % 4 WHEN 0 THEN '2026/06/big-news-story' WHEN 1 THEN 'login' WHEN 2 THEN concat('a/', lang) ELSE 'tion-ing-x' END)")
-    return _read(spark, d, "documents").select("doc_id", F.round(S.link_score(href, F.left("text", F.lit(200)), TERMS), 9).alias("score"))
+    return _read(spark, d, "documents").select("doc_id", F.round(S.link_score(href, F.col("text"), TERMS), 9).alias("score"))
 
 
 @query("SELECT o_orderkey, round(date_diff('microsecond', o_orderdate, TIMESTAMP '1998-12-01') / 8.64e10, 9) AS days, round(CASE WHEN o_orderdate >= TIMESTAMP '1998-12-01' THEN 1 ELSE pow(0.5::DOUBLE, date_diff('microsecond', o_orderdate, TIMESTAMP '1998-12-01') / 8.64e10 / 30) END, 9) AS recency FROM orders")
@@ -346,15 +340,15 @@ def sitemap_scan(spark, d):
 
 @query(
     """
-WITH t AS (SELECT source AS feed, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord FROM documents)
+WITH t AS (SELECT source || '-' || doc_id // 20 AS feed, doc_id, row_number() OVER (PARTITION BY source, doc_id // 20 ORDER BY doc_id) - 1 AS ord FROM documents)
 SELECT feed, CAST(ord AS BIGINT) AS ord, 'T ' || doc_id AS title, 'https://x.org/' || doc_id AS url, '2024-01-' || (10 + doc_id % 10) AS date FROM t WHERE ord < 12
 """
 )
 def feed_parse(spark, d):
     item = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<item><title><![CDATA[T "), "doc_id", F.lit("]]></title><link>https://x.org/"), "doc_id", F.lit("</link><pubDate>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</pubDate></item>")))
     item = item.otherwise(F.concat(F.lit('<entry><title>T <b>'), "doc_id", F.lit("</b></title><link href='https://x.org/"), "doc_id", F.lit("'/><updated>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</updated></entry>")))
-    first = _read(spark, d, "documents").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 20")
-    f = first.groupBy(F.col("source").alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]), "\n"), F.lit("</rss>")).alias("xml"))
+    # feeds of up to 20 documents, of which the operator reads the first 12
+    f = _read(spark, d, "documents").groupBy(F.concat("source", F.lit("-"), F.expr("doc_id div 20")).alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]), "\n"), F.lit("</rss>")).alias("xml"))
     return B.feed_items(f).withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -373,47 +367,132 @@ def events_by_category(spark, d):
 WATCH = [("tion", ["ing"]), ("erth", []), ("anly", ["oned", "shing"]), ("zzz", [])]
 
 
+_NAMED = " UNION ALL ".join(f"SELECT '{n}' AS entity, doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])({'|'.join([n, *a])})([^A-Za-z0-9_]|$)')" for n, a in WATCH)
+_WATCHED = f"SELECT unnest([{', '.join(f"'{n}'" for n, _ in WATCH)}]) AS entity"
+
+
+def _items(docs: DataFrame) -> DataFrame:
+    """A document as an item to track: its whole text, a url of its own."""
+    return docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("T "), "doc_id").alias("title"), F.col("text").alias("snippet"), F.concat(F.lit("https://x.org/"), "doc_id", F.lit("/?q=1")).alias("url"))
+
+
 @query(
     f"""
-WITH m AS ({" UNION ALL ".join(f"SELECT '{n}' AS entity, doc_id FROM documents WHERE regexp_matches(left(text, 400), '(?i)(^|[^A-Za-z0-9_])({'|'.join([n, *a])})([^A-Za-z0-9_]|$)')" for n, a in WATCH)}),
-k AS (SELECT entity, doc_id % 1000 AS u, min(doc_id) AS ord FROM m GROUP BY 1, 2),
-w AS (SELECT unnest([{", ".join(f"'{n}'" for n, _ in WATCH)}]) AS entity)
-SELECT w.entity, count(*) FILTER (WHERE u % 3 <> 0) AS n_new, count(*) FILTER (WHERE u IS NOT NULL) AS total_known FROM w LEFT JOIN k ON k.entity = w.entity GROUP BY 1
+WITH m AS ({_NAMED}), w AS ({_WATCHED})
+SELECT w.entity, count(DISTINCT doc_id) FILTER (WHERE doc_id % 3 <> 0) AS n_new, count(DISTINCT doc_id) AS total_known FROM w LEFT JOIN m ON m.entity = w.entity GROUP BY 1
 """
 )
 def entity_track_batch(spark, d):
-    items = _read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.lit("").alias("title"), F.left("text", F.lit(400)).alias("snippet"), F.concat(F.lit("https://x.org/"), F.col("doc_id") % 1000, F.lit("/?q=1")).alias("url"))
-    found = M.mentions(items, WATCH).select("entity", "url_key", "ord")
+    """New and known mentions over whole texts, a url a document."""
+    found = M.mentions(_items(_read(spark, d, "documents")), WATCH).select("entity", "url_key", "ord")
     known = found.select("entity", "url_key").where(F.regexp_extract("url_key", "([0-9]+)$", 1).cast("long") % 3 == 0).distinct()
     new = M.new_mentions(found, known)
-    return M.digest(WATCH, new, known.select("entity", "url_key").union(new.select("entity", "url_key"))).select("entity", "n_new", "total_known")
+    return M.digest(WATCH, new, known.union(new.select("entity", "url_key"))).select("entity", "n_new", "total_known")
 
 
-@query()
+@query(
+    f"""
+WITH m AS (SELECT entity, doc_id, row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS n FROM ({_NAMED}))
+SELECT entity, '## ' || entity || chr(10) || string_agg('- [T ' || doc_id || '](https://x.org/' || doc_id || '/?q=1)', chr(10) ORDER BY n) AS section FROM m WHERE n <= 8 GROUP BY 1
+"""
+)
 def digest_render(spark, d):
-    items = _read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.left("text", F.lit(40)).alias("title"), F.lit("").alias("snippet"), F.concat(F.lit("https://x.org/"), "doc_id").alias("url"))
-    return M.render(M.mentions(items, WATCH))
+    """The digest's first lines an entity, over whole texts."""
+    return M.render(M.mentions(_items(_read(spark, d, "documents")), WATCH))
 
 
 @query(
+    f"""
+WITH m AS ({_NAMED}), w AS ({_WATCHED}),
+c AS (SELECT entity, doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 WHEN doc_id % 4 < 3 THEN 1 END AS run FROM m),
+f AS (SELECT entity, doc_id, run FROM c WHERE run IS NOT NULL)
+SELECT w.entity, count(doc_id) FILTER (WHERE run = 1) AS n_new, count(doc_id) FILTER (WHERE run = 1 OR doc_id % 8 <> 0) AS total_known FROM w LEFT JOIN f ON f.entity = w.entity GROUP BY 1
+"""
+)
+def track_job(spark, d):
+    """Two runs of the whole job on one state table; the second one's digest.
+
+    The first run sees a quarter of the documents, half of them so long before the second that it prunes them; the second sees those again
+    and half of the others, as searches and as feed items.
     """
-WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), e AS (SELECT doc_id AS src, (doc_id * 3 + k + 1) % n AS dst FROM documents, n, unnest([1, 2]) AS t(k)),
-r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 4)
+    docs = _read(spark, d, "documents")
+    at = A.scratch(spark, "track")
+    entities = [(n, a, ["ai"]) for n, a in WATCH]
+    old = _items(docs.where("doc_id % 4 = 0"))
+    state = M.mentions(old, WATCH).select("entity", "url_key", "title", "url", F.lit("seen").alias("source"), F.when(F.col("ord") % 8 == 0, "2023-06-01").otherwise("2024-01-05").alias("first_seen"))
+    A.write_state(state, at)
+    again = _items(docs.where("doc_id % 4 in (0, 1)")).select(F.lit("tion").alias("entity"), F.col("ord").alias("rank"), "title", "url", "snippet")
+    feed = _items(docs.where("doc_id % 4 in (0, 2)")).select(F.lit("ai").alias("domain"), F.lit("f").alias("feed"), "ord", "title", "url", "snippet", F.lit(None).cast("string").alias("date"))
+    return M.track(spark, entities, again, feed, at, "2024-02-01 00:00:00").select("entity", "n_new", "total_known")
+
+
+_GRAPH = "n AS (SELECT count(*) AS n FROM documents), e AS (SELECT doc_id AS src, (doc_id * 3 + k + 1) % n AS dst FROM documents, n, unnest([1, 2]) AS t(k))"
+
+
+def _graph(docs: DataFrame) -> DataFrame:
+    """Two links from each document."""
+    n = docs.count()
+    return docs.select(F.col("doc_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("dst", (F.col("src") * 3 + F.col("pos") + 1) % n)
+
+
+@query(
+    f"""
+WITH RECURSIVE {_GRAPH},
+r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 10)
 SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1
 """
 )
 def crawl_bfs(spark, d):
     docs = _read(spark, d, "documents")
-    n = docs.count()
     pages = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("content_hash"))
-    edges = docs.select(F.col("doc_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("dst", (F.col("src") * 3 + F.col("pos") + 1) % n)
-    return X.crawl(pages, edges, 0, 1_000_000, 4).select("id", F.col("depth").cast("long").alias("depth"))
+    return X.crawl(pages, _graph(docs), 0, 1_000_000).select("id", F.col("depth").cast("long").alias("depth"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {_GRAPH},
+r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 6 AND r.id % 13 <> 5 AND e.dst % 10 < 9 AND e.dst % 10 <> 5 AND e.dst % 7 <> r.id % 7),
+f AS (SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1)
+SELECT 'tier' AS kind, t AS what, count(id) AS n FROM (SELECT unnest(['http', 'jsdom', 'browser']) AS t) LEFT JOIN f ON id % 13 <> 5 AND CASE id % 2 WHEN 0 THEN 'http' ELSE 'browser' END = t GROUP BY 2
+UNION ALL SELECT 'error', CAST(id AS VARCHAR), depth FROM f WHERE id % 13 = 5
+UNION ALL SELECT 'deepest', 'depth', max(depth) FROM f WHERE id % 13 <> 5
+"""
+)
+def crawl_report(spark, d):
+    """Crawl with globs and a plugin's url filter: pages by tier, urls without a page, the depth reached."""
+    docs = _read(spark, d, "documents")
+    at = lambda c: F.concat(F.lit("https://x.org/"), (F.col(c) % 10).cast("string"), F.lit("/"), F.col(c).cast("string"))
+    pages = docs.where("doc_id % 13 <> 5").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("content_hash"), F.when(F.col("doc_id") % 2 == 0, "http").otherwise("browser").alias("tier"))
+    edges = _graph(docs).withColumn("url", at("dst")).withColumn("parent_url", at("src"))
+    last = lambda u: F.regexp_extract(u, "([0-9]+)$", 1).cast("long")
+    plugin = G.Plugin("sevens", filter_url=lambda url, parent: last(url) % 7 != last(parent) % 7)
+    c = X.crawl_report(pages, edges, 0, 1_000_000, 6, include=["https://x.org/{0,1,2,3,4,5,6,7,8}/**"], exclude=["https://x.org/5/*"], plugins=[plugin])
+    tiers = c.tiers.select(F.lit("tier").alias("kind"), F.col("tier").alias("what"), "n")
+    errors = c.errors.select(F.lit("error"), F.col("id").cast("string"), F.col("depth").cast("long"))
+    return tiers.union(errors).union(c.pages.agg(F.max("depth").cast("long").alias("n")).select(F.lit("deepest"), F.lit("depth"), "n"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {_GRAPH},
+r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 3),
+f AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS url FROM documents WHERE doc_id % 50 = 0 AND doc_id < 400 UNION SELECT CAST(id AS VARCHAR) FROM f
+"""
+)
+def map_crawled(spark, d):
+    """A site map that is short: the crawl from the seed fills it up."""
+    docs = _read(spark, d, "documents")
+    listed = docs.where("doc_id % 50 = 0 and doc_id < 400").select(F.col("doc_id").cast("string").alias("url"), F.col("doc_id").alias("ord"))
+    pages = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("content_hash"))
+    edges = _graph(docs).select(F.col("src").cast("string").alias("src"), "pos", F.col("dst").cast("string").alias("dst"))
+    return X.map_site(listed, 100, pages, edges, "0")
 
 
 @query("SELECT url FROM (SELECT url, min(o) AS o FROM (SELECT url, page_id AS o FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1000000 + page_id FROM pages) GROUP BY 1) ORDER BY o LIMIT 100")
 def map_site(spark, d):
     p = _read(spark, d, "pages").select("url", F.col("page_id").alias("ord"))
-    return X.map_site(p.where("ord % 2 = 0"), p, 100)
+    return X.merge_urls(p.where("ord % 2 = 0"), p, 100)
 
 
 @query(
@@ -465,53 +544,14 @@ def stream_window(spark, d):
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type", "n", "value")
 
 
-@query(
-    f"""
-SELECT entity, count(DISTINCT doc_id % 1000) AS n FROM ({" UNION ALL ".join(f"SELECT '{n}' AS entity, doc_id FROM documents WHERE regexp_matches(left(text, 400), '(?i)(^|[^A-Za-z0-9_])({'|'.join([n, *a])})([^A-Za-z0-9_]|$)')" for n, a in WATCH)}) GROUP BY 1
-"""
-)
-def stream_track(spark, d):
-    items = J.read_table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.lit("").alias("title"), F.left("text", F.lit(400)).alias("snippet"), F.concat(F.lit("https://x.org/"), F.col("doc_id") % 1000, F.lit("/?q=1")).alias("url"), F.lit("2024-01-01").cast("timestamp").alias("seen"))
-    found = M.mentions(items, WATCH).select("entity", "url_key", "seen")
-    return J.run_available(J.new_mentions_stream(found)).groupBy("entity").agg(F.count("*").alias("n"))
-
-
-_NAMED = " UNION ALL ".join(f"SELECT '{n}' AS entity, doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])({'|'.join([n, *a])})([^A-Za-z0-9_]|$)')" for n, a in WATCH)
-
-
-def _whole_items(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("ord"), F.lit("").alias("title"), F.col("text").alias("snippet"), F.concat(F.lit("https://x.org/"), "doc_id", F.lit("/?q=1")).alias("url"))
-
-
-@query(
-    f"""
-WITH m AS ({_NAMED}), w AS (SELECT unnest([{", ".join(f"'{n}'" for n, _ in WATCH)}]) AS entity)
-SELECT w.entity, count(DISTINCT doc_id) FILTER (WHERE doc_id % 3 <> 0) AS n_new, count(DISTINCT doc_id) AS total_known FROM w LEFT JOIN m ON m.entity = w.entity GROUP BY 1
-"""
-)
-def entity_track_whole(spark, d):
-    """New and known mentions over whole texts, a url a document."""
-    found = M.mentions(_whole_items(_read(spark, d, "documents")), WATCH).select("entity", "url_key", "ord")
-    known = found.select("entity", "url_key").where(F.regexp_extract("url_key", "([0-9]+)$", 1).cast("long") % 3 == 0).distinct()
-    new = M.new_mentions(found, known)
-    return M.digest(WATCH, new, known.union(new.select("entity", "url_key"))).select("entity", "n_new", "total_known")
-
-
 @query(f"SELECT entity, count(DISTINCT doc_id) AS n FROM ({_NAMED}) GROUP BY 1")
-def stream_track_whole(spark, d):
+def stream_track(spark, d):
     """Mentions as they come over whole texts, a url a document."""
-    items = _whole_items(J.read_table(spark, d, "documents")).withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
+    items = _items(J.read_table(spark, d, "documents")).withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
     found = M.mentions(items, WATCH).select("entity", "url_key", "seen")
     return J.run_available(J.new_mentions_stream(found)).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-@query()
-def digest_render_whole(spark, d):
-    """The digest's first lines an entity, over whole texts."""
-    items = _whole_items(_read(spark, d, "documents")).withColumn("title", F.left("snippet", F.lit(40)))
-    return M.render(M.mentions(items, WATCH))
-
-
 @query()
 def readable_extract(spark, d):
     """The article of each page by density."""
@@ -532,15 +572,23 @@ def serp_hits(spark, d):
     return E.hits(r).select("query", "engine", F.col("rank").cast("long").alias("rank"), "title", "url", "snippet")
 
 
-@query("SELECT source AS query, 'https://x.org/' || k AS url, round(sum(1.0::DOUBLE / 61), 4) AS score, CAST(count(*) AS BIGINT) AS engines FROM (SELECT source, doc_id % 2 AS k, doc_id % 3 AS e FROM documents GROUP BY 1, 2, 3) GROUP BY 1, 2")
+@query(
+    """
+WITH t AS (SELECT 'q' || doc_id // 30 AS query, 'https://x.org/' || doc_id // 3 AS url, doc_id % 3 AS e, row_number() OVER (PARTITION BY doc_id // 30, doc_id % 3 ORDER BY n_chars, doc_id) - 1 AS rank FROM documents),
+g AS (SELECT query, url, round(sum(1.0::DOUBLE / (61 + rank)), 4) AS score, CAST(count(*) AS BIGINT) AS engines FROM t GROUP BY 1, 2)
+SELECT query, url, score, engines FROM g
+"""
+)
 def web_search(spark, d):
-    """Result pages of three engines fused for each query."""
-    one = _read(spark, d, "documents").select(F.col("source").alias("query"), (F.col("doc_id") % 2).alias("doc_id"), (F.col("doc_id") % 3).alias("e")).distinct()
-    html = F.concat(F.lit('<li class="b_algo"><h2><a href="https://x.org/'), "doc_id", F.lit('">t</a></h2></li>'))
-    names = F.element_at(F.array(F.lit("duckduckgo"), F.lit("bing"), F.lit("mojeek")), (F.col("e") + 1).cast("int"))
-    other = F.concat(F.lit('<div class="result"><a class="result__a" href="https://x.org/'), "doc_id", F.lit('">t</a></div>'))
-    third = F.concat(F.lit('<ol class="results"><li><h2><a href="https://x.org/'), "doc_id", F.lit('">t</a></h2></li></ol>'))
-    r = one.select("query", names.alias("engine"), F.when(F.col("e") == 1, html).when(F.col("e") == 0, other).otherwise(third).alias("html"))
+    """Result pages of three engines, ten results each, fused for each query."""
+    url = F.concat(F.lit("https://x.org/"), F.expr("doc_id div 3"))
+    one = F.concat(F.lit('<div class="result"><a class="result__a" href="'), url, F.lit('">t</a></div>'))
+    two = F.concat(F.lit('<li class="b_algo"><h2><a href="'), url, F.lit('">t</a></h2></li>'))
+    three = F.concat(F.lit('<ol class="results"><li><h2><a href="'), url, F.lit('">t</a></h2></li></ol>'))
+    e = F.col("doc_id") % 3
+    item = F.struct("n_chars", "doc_id", F.when(e == 0, one).when(e == 1, two).otherwise(three).alias("x"))
+    name = F.element_at(F.array(F.lit("duckduckgo"), F.lit("bing"), F.lit("mojeek")), (e + 1).cast("int"))
+    r = _read(spark, d, "documents").groupBy(F.concat(F.lit("q"), F.expr("doc_id div 30")).alias("query"), name.alias("engine")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]), "").alias("html"))
     return E.search(r).select("query", "url", "score", F.size("engines").cast("long").alias("engines"))
 
 
@@ -613,24 +661,121 @@ def discover_feeds(spark, d):
 
 
 def linked_pages(docs: DataFrame) -> DataFrame:
-    """Pages made of documents, each linked to three others."""
-    n = F.lit(97)
-    href = lambda k: F.concat(F.lit("https://h"), (F.col("doc_id") + k) % 7, F.lit(".org/2024/big-story-"), (F.col("doc_id") * 3 + k) % n)
-    link = lambda k: F.concat(F.lit("<a href='"), href(k), F.lit("'>more "), F.col("lang"), F.lit(" story</a>"))
-    body = F.concat(F.lit("<html><head><title>Story "), "doc_id", F.lit("</title></head><body><article><p>story "), "text", F.lit("</p>"), *[link(k) for k in range(3)], F.lit("</article></body></html>"))
-    return docs.where("text is not null").select(F.concat(F.lit("https://h"), F.col("doc_id") % 7, F.lit(".org/2024/big-story-"), F.col("doc_id") % n).alias("url"), "doc_id", body.alias("html"))
+    """Pages made of documents, a url each, linked to three others."""
+    n = docs.count()
+    at = lambda i: F.concat(F.lit("https://h"), i % 7, F.lit(".org/2024/big-story-"), i)
+    link = lambda k: F.concat(F.lit("<a href='"), at((F.col("doc_id") * 3 + k) % n), F.lit("'>more "), F.col("lang"), F.lit(" story</a>"))
+    body = F.concat(F.lit("<html><head><title>Story "), "doc_id", F.lit("</title></head><body><article><p>story "), F.coalesce("text", F.lit("")), F.lit("</p>"), *[link(k) for k in range(3)], F.lit("</article></body></html>"))
+    return docs.select(at(F.col("doc_id")).alias("url"), "doc_id", body.alias("html"))
 
 
 @query()
 def browse_story(spark, d):
     """A best-first reading for a query over linked pages."""
     p = linked_pages(_read(spark, d, "documents"))
-    first = p.groupBy("url").agg(F.min("doc_id").alias("doc_id")).select(F.col("url").alias("u"), F.col("doc_id").alias("i"))
-    p = p.join(first, (p.url == F.col("u")) & (p.doc_id == F.col("i")), "left_semi")
     hits = p.orderBy("doc_id").limit(10).select(F.col("doc_id").alias("ord"), "url")
     return W.browse(p.select("url", "html"), "story", hits)[0].select("hop", "url", "title", "depth", "relevance", "snippet")
 
 
+# What the queries above give that have no SQL as a whole, in a form that SQL can say.
+_SQ_ENTITIES = "replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_MARKUP = "[{ws}#*_`\\[\\]()>|-]+"
+_SQ_TITLE = "trim(" + _SQ_ENTITIES.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + ")"
+
+
+def _sq_letters(x: str) -> str:
+    return f"regexp_replace({x}, '[{WS[1:-1]}#*_`\\[\\]()>|-]+', '', 'g')"
+
+
+def _letters(c):
+    return F.regexp_replace(c, "[" + WS[1:-1] + r"#*_`\[\]()>|-]+", "")
+
+
+@query(f"""SELECT page_id, {_SQ_TITLE} AS title, '' AS description, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, '' AS author, '' AS published_at, CAST(NULL AS VARCHAR) AS og_image, url AS canonical, CAST(NULL AS VARCHAR) AS robots FROM pages""")
+def page_metadata_fields(spark, d):
+    """page_metadata's fields, for pages that have a title and a language and none of the others."""
+    return page_metadata(spark, d).withColumn("title", F.trim("title"))
+
+
+@query(
+    f"""
+WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|footer|head)[ >].*?</(script|style|nav|footer|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<!DOCTYPE[^>]*>', '') AS body FROM pages),
+a AS (SELECT *, regexp_extract(body, '(?s)<article>(.*?)</article>', 1) AS art FROM t),
+p AS (SELECT page_id, regexp_replace(CASE WHEN length(trim(regexp_replace(art, '<[^>]+>', '', 'g'))) > 100 THEN art ELSE body END, '<[^>]+>', '', 'g') AS x FROM a)
+SELECT page_id, sha256({_sq_letters(_SQ_ENTITIES.format(x='x'))}) AS letters FROM p
+"""
+)
+def page_clean_text(spark, d):
+    """The letters of page_clean_markdown's text, in order: what cleaning and markdown leave of a page, without blanks and marks."""
+    return page_clean_markdown(spark, d).select("page_id", F.sha2(_letters(F.col("text")), 256).alias("letters"))
+
+
+@query(f"""SELECT page_id, {_SQ_TITLE} AS title, {sq_tokens('html')} AS html_tokens, CAST(len(list_distinct(list_transform(list_filter(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1), lambda x: x <> '' AND NOT x[1] = '#'), lambda x: regexp_replace(regexp_replace(x, '#.*$', ''), '/+$', '')))) AS BIGINT) AS links FROM pages""")
+def page_scrape_record(spark, d):
+    """page_scrape's title, html tokens and number of links."""
+    return page_scrape(spark, d).select("page_id", F.trim("title").alias("title"), "html_tokens", F.col("links").cast("long").alias("links"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {_HEADED} AS md FROM documents) SELECT doc_id, sha256(regexp_replace(md, '{WS}+', '', 'g')) AS letters FROM t")
+def chunk_cover(spark, d):
+    """Chunks without overlap, joined again: nothing of the text is lost or said twice."""
+    t = _read(spark, d, "documents").select("doc_id", F.expr(_HEADED).alias("markdown"))
+    joined = F.array_join(F.transform("chunks", lambda c: c["content"]), "")
+    return K.chunk(t, 300).select("doc_id", F.sha2(F.regexp_replace(joined, WS + "+", ""), 256).alias("letters"))
+
+
+@query("""SELECT page_id, CAST(len(list_distinct(list_filter(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1), lambda x: x <> ''))) AS BIGINT) AS links FROM pages""")
+def page_agent_links(spark, d):
+    """The absolute links that a reader of a page sees, each address once."""
+    p = P.parse(_read(spark, d, "pages"), ("agent_links",))
+    return p.select("page_id", F.size(F.array_distinct(F.transform("agent_links", lambda x: x["href"]))).cast("long").alias("links"))
+
+
+@query(
+    """
+WITH s AS (SELECT page_id, url, 'https://x.org/' || page_id AS at, page_id % 5 AS k FROM pages)
+SELECT page_id, CASE WHEN k = 4 THEN '' ELSE 'T ' || page_id END AS title, k <> 4 AS found FROM s
+"""
+)
+def extract_many(spark, d):
+    """Every asked url's row, in order, an empty one where there is no page."""
+    p = _read(spark, d, "pages")
+    asked = p.select("page_id", F.col("page_id").alias("ord"), F.concat(F.lit("https://x.org/"), "page_id").alias("url"))
+    html = F.concat(F.lit("<html><head><title>T "), "page_id", F.lit("</title></head><body>"), "html", F.lit("</body></html>"))
+    snapshots = p.where("page_id % 5 <> 4").select(F.concat(F.lit("https://x.org/"), "page_id").alias("url"), html.alias("html"))
+    return P.extract_many(asked, snapshots).select("page_id", F.regexp_extract("title", "^(T [0-9]+|)", 1).alias("title"), (F.col("extracted_via") != "none").alias("found"))
+
+
+@query("SELECT doc_id, length(text) >= 200 AND doc_id % 3 <> 0 AS ok, CASE WHEN length(text) >= 200 AND doc_id % 3 <> 0 THEN CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT) END AS approx_tokens FROM documents WHERE text IS NOT NULL")
+def reader_pages(spark, d):
+    """A reader proxy's texts: those of status 200 and 200 characters or more."""
+    t = _read(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("https://x.org/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 3 == 0, 403).otherwise(200).alias("status"), F.col("text").alias("body"))
+    return E.reader(t).select("doc_id", "ok", "approx_tokens")
+
+
+_TIERED = "CASE WHEN page_id % 6 < 2 THEN '<div id=\"root\"></div><script src=\"react.min.js\"></script>' ELSE concat('<p>', url, '</p>', html) END"
+
+
+@query(
+    f"""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN url || '#/dashboard' ELSE url END AS url, lower(regexp_extract(url, '{HOST}', 1)) AS host, {_TIERED} AS h FROM pages),
+m AS (SELECT host, max_by(CASE page_id % 3 WHEN 0 THEN 'http' ELSE 'jsdom' END, page_id) AS tier FROM p WHERE page_id % 10 = 7 GROUP BY 1),
+b AS (SELECT p.*, m.tier AS learned, coalesce(m.tier, CASE WHEN page_id % 11 = 0 THEN 'jsdom' ELSE 'http' END) AS first FROM p LEFT JOIN m USING (host)),
+t AS (SELECT *, CASE WHEN page_id % 6 < 2 THEN 'browser' ELSE 'http' END AS after, page_id % 7 <> 0 AS has_http, page_id % 3 <> 0 AS has_jsdom, page_id % 4 <> 0 AS has_browser FROM b),
+u AS (SELECT *, CASE first WHEN 'http' THEN has_http ELSE has_jsdom END AS there FROM t)
+SELECT page_id, first, CASE WHEN there AND first = 'http' AND after = 'browser' AND has_browser THEN 'browser' WHEN there THEN first WHEN first = 'http' AND has_jsdom THEN 'jsdom' WHEN has_browser THEN 'browser' END AS tier FROM u
+"""
+)
+def adaptive_fetch(spark, d):
+    """Which tier's snapshot stands for each url: learned or scored first, escalated by the page, climbed where one is missing."""
+    p = _read(spark, d, "pages").withColumn("at", F.when(F.col("page_id") % 11 == 0, F.concat("url", F.lit("#/dashboard"))).otherwise(F.col("url")))
+    outcomes = p.where("page_id % 10 = 7").select(U.host(F.col("url")).alias("host"), F.when(F.col("page_id") % 3 == 0, "http").otherwise("jsdom").alias("tier"), F.col("page_id").alias("ts"), F.lit(True).alias("success"))
+    has = F.array_compact(F.array(*[F.when(F.col("page_id") % n != 0, t) for t, n in (("http", 7), ("jsdom", 3), ("browser", 4))]))
+    snapshots = p.select(F.concat("at", F.lit("|"), "page_id").alias("url"), F.explode(has).alias("tier"), F.expr(_TIERED).alias("html"))
+    asked = p.select("page_id", F.concat("at", F.lit("|"), "page_id").alias("url"))
+    return N.adaptive(asked, snapshots, R.tier_memory(outcomes)).select("page_id", F.col("predicted").alias("first"), "tier")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

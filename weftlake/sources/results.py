@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import constants as C, scoring as S, urls as U, video as V
+from ..functions import constants as C, scoring as S, text as T, urls as U, video as V
 from . import feeds as B
 
 #: Of each engine its number, and the selectors of a result, its title (a link) and its snippet.
@@ -55,6 +55,12 @@ def search(results: DataFrame, max_results: int = 10) -> DataFrame:
     return R.rrf(hits(results, max(max_results, 10)), max_results, ("query",))
 
 
+def reader(snapshots: DataFrame) -> DataFrame:
+    """snapshots(status, body, ...): adds ok, title, markdown, approx_tokens; not ok (and null) beside status 200 or under 200 characters."""
+    ok = F.coalesce((F.col("status") == 200) & (T.len16(F.col("body")) >= 200), F.lit(False))
+    return snapshots.withColumn("ok", ok).withColumn("title", F.when(F.col("ok"), "")).withColumn("markdown", F.when(F.col("ok"), F.col("body"))).withColumn("approx_tokens", T.js_round(T.len16(F.col("markdown")) / 4).cast("long"))
+
+
 def feed_registry(spark: SparkSession, domains: Sequence[str] | None = None) -> DataFrame:
     """(domain, feed, feed_ord) of the known feeds."""
     rows = [(d, f) for d in (domains or C.DOMAIN_FEEDS) for f in C.DOMAIN_FEEDS[d]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,6 +15,16 @@ _WATCH = "name string, type string, aliases array<string>, domains array<string>
 PART = 65536
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder (spark.checkpoint.dir); a local one where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors share no folder")
+        base = f"file://{tempfile.gettempdir()}/checkpoints/weftlake"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -40,6 +52,16 @@ def watchlist(spark: SparkSession, path: str | None = None) -> DataFrame:
     return stored if not stored.isEmpty() else spark.createDataFrame([(n, t, list(a), list(d)) for n, t, a, d in C.WATCHLIST], _WATCH)
 
 
+def append_log(row: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines."""
+    row.write.mode("append").json(path)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object."""
+    return df.select(F.to_json(F.struct("*")).alias("json"))
+
+
 def write_results(pages: DataFrame, path: str, form: str = "markdown") -> None:
     """Page records as one of markdown, html, text (parquet of url, file_name, content) or json (lines)."""
     if form == "json":

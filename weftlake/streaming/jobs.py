@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.state import scratch
+
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that the stream's source holds now, through a Parquet sink in the shared folder (append) or a memory table (others)."""
+    """Everything that the stream's source holds now, through Parquet in the shared folder: appended, or in other modes the last whole result."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/weftlake").rstrip("/")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").option("path", f"{at}/out").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
-    name = f"s{uuid.uuid4().hex}"
-    w.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    last: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out-{number}")
+        last[:] = [f"{at}/out-{number}"]
+
+    w.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
