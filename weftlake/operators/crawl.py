@@ -45,45 +45,35 @@ def crawl_report(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50,
     pages = pages.select("id", F.col("content_hash").cast("string").alias("content_hash"), tier.alias("tier"))
     edges = links_followed(edges, include, exclude, plugins).select("src", "dst", "pos")
 
-    def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("append").parquet(f"{at}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+    wide = f"id {kind}, ord long, content_hash string, tier string, depth int"
+    narrow = f"id {kind}, ord long, depth int"
 
-    wave = put(spark.createDataFrame([(seed, 0)], f"id {kind}, ord long"), "wave-0")
-    seen = put(wave.select("id"), "seen")
-    read = out = None
+    def put(df: DataFrame, name: str, depth: int, schema: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}/depth={depth}")
+        return spark.read.schema(schema).option("basePath", f"{at}/{name}").parquet(f"{at}/{name}/depth={depth}")
+
+    every = lambda name, schema: spark.read.schema(schema).parquet(f"{at}/{name}")
+    wave = put(spark.createDataFrame([(seed, 0)], f"id {kind}, ord long"), "wave", 0, narrow)
     used = 0
     for depth in range(max_depth + 1):
-        got = wave.join(pages, "id").orderBy("ord").limit(max_pages - used).withColumn("depth", F.lit(depth))
-        got.write.parquet(f"{at}/got-{depth}")
-        got = spark.read.schema(got.schema).parquet(f"{at}/got-{depth}")
+        got = put(wave.drop("depth").join(pages, "id").orderBy("ord").limit(max_pages - used).select("id", "ord", "content_hash", "tier"), "read", depth, wide)
         n = got.count()
-        put(wave.join(pages.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")), "errors")
         if not n:
             break
         used += n
-        put(got.groupBy("tier").agg(F.count("*").alias("n")), "tiers")
         new = got.join(got.groupBy("content_hash").agg(F.min("ord").alias("ord")), ["content_hash", "ord"], "left_semi")
-        if read is not None:
-            new = new.join(read, "content_hash", "left_anti")
-        new.select("id", "content_hash", "ord", "depth").write.parquet(f"{at}/new-{depth}")
-        new = spark.read.parquet(f"{at}/new-{depth}")
-        read = put(new.select("content_hash"), "hashes")
-        out = put(new.select("id", "depth", "ord"), "pages")
+        if depth:
+            new = new.join(every("new", wide).select("content_hash"), "content_hash", "left_anti")
+        new = put(new.select("id", "ord", "content_hash", "tier"), "new", depth, wide)
         if used >= max_pages or depth == max_depth:
             break
         found = edges.join(new.select(F.col("id").alias("src"), F.col("ord").alias("parent")), "src")
-        found = found.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("at")).join(seen, "id", "left_anti")
-        wave = put(found.orderBy("at").select("id", F.monotonically_increasing_id().alias("ord")), f"wave-{depth + 1}")
-        seen = put(wave.select("id"), "seen")
-    if out is None:
-        out = wave.select("id", F.lit(0).alias("depth"), "ord").limit(0)
-        tiers = spark.createDataFrame([], "tier string, n long")
-    else:
-        tiers = spark.read.schema("tier string, n long").parquet(f"{at}/tiers")
-    every = spark.createDataFrame([(t, 0) for t in TIERS], "tier string, n long")
-    tiers = tiers.union(every).groupBy("tier").agg(F.sum("n").alias("n"))
-    return Crawl(out, tiers, spark.read.schema(f"id {kind}, depth int").parquet(f"{at}/errors"))
+        found = found.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("at")).join(every("wave", narrow).select("id"), "id", "left_anti")
+        wave = put(found.orderBy("at").select("id", F.monotonically_increasing_id().alias("ord")), "wave", depth + 1, narrow)
+    out = every("new", wide).select("id", "depth", "ord") if used else wave.select("id", "depth", "ord").limit(0)
+    none = spark.createDataFrame([(t, 0) for t in TIERS], "tier string, n long")
+    tiers = every("read", wide).groupBy("tier").agg(F.count("*").alias("n")).union(none).groupBy("tier").agg(F.sum("n").alias("n"))
+    return Crawl(out, tiers, every("wave", narrow).join(pages.select("id"), "id", "left_anti").select("id", "depth"))
 
 
 def crawl(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()) -> DataFrame:
