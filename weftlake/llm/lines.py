@@ -78,11 +78,13 @@ def longest_earlier(lines: DataFrame) -> DataFrame:
         runs = table(runs, "asked-runs")
         found = _named(runs, ["k", "length", "fd", "fi", "fd2", "fi2"], "asked")
         yes = found.where(_later()).select(F.col("doc").alias("d"), F.col("i").alias("p"), F.col("length").alias("holds"))
-        told = bounds.withColumn("asked", F.when(F.col("low") < F.col("high"), end - F.col("i")))
+        # only what is open meets the answers
+        told = bounds.where("low < high").withColumn("asked", end - F.col("i"))
         told = told.join(yes, (told.doc == yes.d) & (told.i == yes.p) & (told.asked == yes.holds), "left")
         low = F.when(F.col("holds").isNotNull(), F.col("i") + F.col("holds")).otherwise(F.col("low"))
-        high = F.when(F.col("holds").isNull() & F.col("asked").isNotNull(), F.col("i") + F.col("asked") - 1).otherwise(F.col("high"))
-        new = table(_tightened(told.select("doc", "i", "k", low.alias("low"), high.alias("high"))), "bounds")
+        high = F.when(F.col("holds").isNull(), F.col("i") + F.col("asked") - 1).otherwise(F.col("high"))
+        told = told.select("doc", "i", "k", low.alias("low"), high.alias("high")).union(bounds.where("low >= high").select("doc", "i", "k", "low", "high"))
+        new = table(_tightened(told), "bounds")
         drop(runs, found, bounds)
         bounds, first = new, False
     words = levels[0].select(F.col("doc").alias("d"), F.col("i").alias("p"), "words")
