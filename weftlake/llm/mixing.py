@@ -11,26 +11,32 @@ from .common import WORD, drop, table
 BINS = 4096
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float] | None = (5, 2, 1), max_epochs: float = 3.0) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3.0) -> DataFrame:
     """sizes(source, source_size long): adds target double.
 
     The shares of the total follow the weights, dealt out in turn over the sources by code point, null last. A
-    source stops at max_epochs times its size, and what is cut off is reshared by weight until none is above.
-    Sorted by cap/weight the capped sources are a prefix, so one running sum over the sources finds the level.
-    The table has a row for each source, never for each document.
+    source stops at max_epochs times its size, and what is cut off is reshared by weight until none is above: the level
+    (a share by weight) rises from round to round as more sources are capped, and stays once no other is. Sources are numbered by
+    ranges, and a round takes three sums to the driver, so that millions of sources (domains) are never in one task.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    by_level = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("open", F.col("cap") / F.col("w") > F.col("level"))
-    # the level of the first source that isn't capped holds for all after it
-    first = F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("w")).alias("ratio"), F.col("level").alias("level")))).over(everything)
-    s = s.withColumn("at", first.getField("level"))
-    return s.select("source", "source_size", F.when(F.col("open"), F.col("w") * F.col("at")).otherwise(F.col("cap")).alias("target"))
+    s = sizes.select("source", F.col("source_size").cast("long").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    s = table(s.withColumn("_id", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_id", 33)), "source-order")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = s.groupBy("_range").agg(F.count("*").alias("_n")).select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    d = s.join(starts, F.col("_range") == F.col("_r")).select("source", "source_size", w.alias("_w"), (F.col("source_size") * F.lit(float(max_epochs))).alias("_cap"))
+    d = table(d, "source-weights")
+    all_of = d.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    size, weight, capped = float(all_of["size"] or 0), float(all_of["w"] or 0), -1
+    level = size / weight if weight else 0.0
+    while True:
+        r = d.where(F.col("_cap") <= F.col("_w") * F.lit(level)).agg(F.sum("_cap").alias("cap"), F.sum("_w").alias("w"), F.count("*").alias("n")).first()
+        if r["n"] == capped or weight <= (r["w"] or 0.0):
+            break
+        capped, level = r["n"], (size - (r["cap"] or 0.0)) / (weight - (r["w"] or 0.0))
+    drop(s)
+    return d.select("source", "source_size", F.least(F.col("_cap"), F.col("_w") * F.lit(level)).alias("target"))
 
 
 def _sized(docs: DataFrame, seed: int, key: str, text: str, source: str) -> DataFrame:
