@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, urls as U
 from ..functions.scoring import parse_date
-from ..sources.state import append_log, read_state, scratch, write_state
+from ..sources.state import append_log, read_state, settle, write_state
 
 
 def pattern(terms: Sequence[str]) -> str:
@@ -85,9 +85,7 @@ def track(spark: SparkSession, entities: Sequence[tuple[str, Sequence[str], Sequ
     state = read_state(spark, state_path)
     new = new_mentions(mentions(items, watch), state)
     new = new.select(*[F.col(c) for c in ("entity", "url_key", "title", "url", "source", "date", "ord")])
-    path = scratch(spark, "new-mentions")
-    new.write.parquet(path)
-    new = spark.read.schema(new.schema).parquet(path)
+    new = settle(new, "new-mentions")
     added = new.select("entity", "url_key", "title", "url", "source", F.lit(now).alias("first_seen"))
     write_state(prune(state.unionByName(added), F.lit(now).cast("timestamp")), state_path)
     out = digest(watch, new, read_state(spark, state_path)).join(render(new), "entity", "left")

@@ -384,7 +384,7 @@ SELECT w.entity, count(DISTINCT doc_id) FILTER (WHERE doc_id % 3 <> 0) AS n_new,
 )
 def entity_track_batch(spark, d):
     """New and known mentions over whole texts, a url a document."""
-    found = M.mentions(_items(_read(spark, d, "documents")), WATCH).select("entity", "url_key", "ord")
+    found = A.settle(M.mentions(_items(_read(spark, d, "documents")), WATCH).select("entity", "url_key", "ord"), "found")
     known = found.select("entity", "url_key").where(F.regexp_extract("url_key", "([0-9]+)$", 1).cast("long") % 3 == 0).distinct()
     new = M.new_mentions(found, known)
     return M.digest(WATCH, new, known.union(new.select("entity", "url_key"))).select("entity", "n_new", "total_known")
