@@ -79,3 +79,12 @@ def test_near_dedup_keeps_one_row_a_group(spark):
     group_of = dict(zip(texts, want))
     assert {group_of[t]: (k is None, k or 0) for k, t in got} == least
     assert {(None, texts[-3]), (900, texts[-2]), (900, texts[-1])} <= set(got)
+
+
+def test_near_groups_of_clashing_names(spark):
+    """Columns with the operator's own names, null and empty texts, an empty table."""
+    text = " ".join(f"w{k}" for k in range(60))
+    d = spark.createDataFrame([(1, text, 5, 6), (2, text + " more", 7, 8), (3, None, 9, 9), (4, "", 9, 9), (5, "alone", 9, 9)], "node long, text string, r long, row long")
+    out = {x["node"]: x["near_group"] for x in simhash.near_groups(d).collect()}
+    assert out[1] == out[2] != out[5] and out[3] == out[4] and len(set(out.values())) == 3
+    assert simhash.near_groups(d).columns == ["node", "text", "r", "row", "near_group"] and simhash.near_groups(d.limit(0)).count() == 0

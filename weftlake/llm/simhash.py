@@ -203,8 +203,12 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS,
     make 24 keys, and two sets of similarity J share one with odds 1-(1-J^5)^24, 0.9999 at 0.8 and more above. Nodes that keys chain
     together are a candidate group; in it all pairs are compared by their whole sets, in blocks of nodes, so what the keys
     propose is decided exactly and no pair is ever a row. Null and wordless texts are one group; repeated rows are in one
-    group; an empty table gives an empty result; docs must not have columns named row or near_group.
+    group; an empty table gives an empty result; columns of docs named row or near_group are replaced.
     """
+    columns = [c for c in docs.columns if c not in ("row", "near_group")]
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])  # whatever they are called
+    text = f"c{columns.index(text)}"
+
     def sign(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -279,7 +283,7 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS,
     out = signed.select("row", "node").join(found.hint("merge"), F.col("node") == F.col("f_node"), "left")
     out = table(out.select(F.col("row").alias("r"), F.coalesce("component", "node").alias("near_group")), "grouped")
     drop(tasks, signed, found)
-    return rows.join(out.hint("merge"), F.col("row") == F.col("r")).drop("r")
+    return rows.join(out.hint("merge"), F.col("row") == F.col("r")).drop("r").toDF(*columns, "row", "near_group")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
