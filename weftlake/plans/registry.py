@@ -776,6 +776,104 @@ def adaptive_fetch(spark, d):
     return N.adaptive(asked, snapshots, R.tier_memory(outcomes)).select("page_id", F.col("predicted").alias("first"), "tier")
 
 
+@query(
+    f"""
+WITH m AS ({_NAMED}), a AS (SELECT entity, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'no date' WHEN doc_id % 5 < 3 THEN '2024-01-0' || (1 + doc_id % 5) ELSE 'October 1, 2023' END AS seen FROM m)
+SELECT entity, seen, count(*) AS n FROM a WHERE seen <> 'October 1, 2023' GROUP BY 1, 2
+"""
+)
+def state_tables(spark, d):
+    """A state of mentions written, pruned into a second version, and read back: undated ones stay, old ones go."""
+    at = A.scratch(spark, "state")
+    seen = F.when(F.col("ord") % 5 == 0, "no date").when(F.col("ord") % 5 < 3, F.concat(F.lit("2024-01-0"), (F.col("ord") % 5 + 1).cast("string"))).otherwise("October 1, 2023")
+    found = M.mentions(_items(_read(spark, d, "documents")), WATCH)
+    A.write_state(found.select("entity", "url_key", "title", "url", F.lit("s").alias("source"), seen.alias("first_seen")), at)
+    A.write_state(M.prune(A.read_state(spark, at), F.lit("2024-03-01").cast("timestamp")), at)
+    return A.read_state(spark, at).groupBy("entity", F.col("first_seen").alias("seen")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT url, regexp_replace(regexp_replace(url, 'https?://', ''), '[^a-zA-Z0-9]', '_', 'g')[:100] || '.md' AS file_name, sha256(html) AS html, {_SQ_TITLE} AS title FROM pages")
+def results_files(spark, d):
+    """Page records written as files of html and as JSON lines, and read back."""
+    at = A.scratch(spark, "results")
+    p = P.parse(_read(spark, d, "pages").withColumn("raw", F.col("html")), ("meta",)).withColumnRenamed("raw", "html")
+    A.write_results(p, f"{at}/html", "html")
+    A.write_results(p.select("page_id", "url", F.trim("meta.title").alias("title")), f"{at}/json", "json")
+    titles = spark.read.schema("page_id long, url string, title string").json(f"{at}/json").groupBy("url").agg(F.max("title").alias("title"))
+    return spark.read.parquet(f"{at}/html").join(titles, "url").select("url", "file_name", F.sha2("content", 256).alias("html"), "title")
+
+
+@query(
+    """
+WITH f AS (SELECT unnest(range(13)) AS i),
+t AS (SELECT i, k, CASE WHEN i < 4 THEN 'ai' WHEN i < 7 THEN 'markets' WHEN i < 10 THEN 'youtube' ELSE 'crypto' END AS domain, CASE k WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2023-11-01' ELSE 'soon' END AS date FROM f, unnest(range(3)) AS r(k) WHERE i % 4 <> 3)
+SELECT domain, 'https://x.org/' || i || '-' || k AS url, date, (SELECT count(*) FROM f WHERE i % 4 <> 3) AS feeds_read, (SELECT count(*) FROM f WHERE i % 4 = 3) AS feeds_failed FROM t WHERE date <> '2023-11-01'
+"""
+)
+def discover_recent(spark, d):
+    """The feeds' items of the last 30 days and those without a readable date, with the counts of feeds read and failed."""
+    day = lambda k: F.when(k == 0, "2024-01-05").when(k == 1, "2023-11-01").otherwise("soon")
+    item = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("<item><title>t</title><link>https://x.org/"), F.col("feed_ord").cast("string"), F.lit("-"), k.cast("string"), F.lit("</link><pubDate>"), day(k), F.lit("</pubDate></item>")))
+    feeds = E.feed_registry(spark).select("feed", F.when(F.col("feed_ord") % 4 == 3, 404).otherwise(200).alias("status"), F.array_join(item, "").alias("xml"))
+    items, counts = E.discover_domains(spark, feeds, "2024-01-10", max_age_days=30)
+    return items.select("domain", "url", "date").crossJoin(F.broadcast(counts))  # one row
+
+
+@query("SELECT doc_id, category, place FROM (SELECT doc_id, 'Sports' AS category, 1::BIGINT AS place FROM documents) WHERE doc_id < 60 UNION ALL SELECT -1, 'Sports', 61 WHERE false")
+def discover_sports(spark, d):
+    """Events of a category by name over day pages, the 60 newest."""
+    md = F.concat(F.lit("intro text that is long enough to be a page of its own, whatever the day may have brought besides; "), F.repeat(F.lit("x"), F.lit(200)), F.lit("\nLaw and crime\na linked item here\nSports\nfirst item "), "doc_id", F.lit(" of the day\n"))
+    days = _read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.date_format(F.date_sub(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")), "yyyy-MM-dd").alias("date"), md.alias("markdown"))
+    e = E.discover(days, category="sport")
+    return e.select(F.regexp_extract("text", "([0-9]+)", 1).cast("long").alias("doc_id"), "category", F.lit(1).cast("long").alias("place"))
+
+
+@query(
+    """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS a, row_number() OVER (ORDER BY doc_id) - 1 AS b FROM documents),
+h AS (SELECT doc_id, 1 AS e, a AS rank, 'T ' || doc_id AS title, '' AS snippet FROM r WHERE a < 30 UNION ALL SELECT doc_id, 2, b, 'Long T ' || doc_id, 's ' || doc_id FROM r WHERE b < 30),
+g AS (SELECT doc_id, round(sum(1.0::DOUBLE / (61 + rank)), 4) AS score, arg_max(title, length(title)) AS title, max(snippet) AS snippet, arg_min(CASE e WHEN 1 THEN 'https://www.x.org/' ELSE 'https://x.org/' END || doc_id, e) AS url, min(e * 1000 + rank) AS first FROM h GROUP BY 1)
+SELECT url, title, snippet, score FROM g ORDER BY score DESC, first LIMIT 15
+"""
+)
+def rrf_fields(spark, d):
+    """What a fused result shows: the longest title, the first snippet that isn't empty, the first engine's url."""
+    t = _read(spark, d, "documents")
+    parts = []
+    for no, order, title, snippet, at in ((1, [F.desc("n_chars"), F.col("doc_id")], F.concat(F.lit("T "), "doc_id"), F.lit(""), "https://www.x.org/"), (2, [F.col("doc_id")], F.concat(F.lit("Long T "), "doc_id"), F.concat(F.lit("s "), "doc_id"), "https://x.org/")):
+        top = t.orderBy(*order).limit(30)
+        parts.append(top.select(F.lit(str(no)).alias("engine"), F.lit(no).alias("engine_no"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"), title.alias("title"), F.concat(F.lit(at), "doc_id").alias("url"), snippet.alias("snippet")))
+    return R.rrf(parts[0].union(parts[1]), 15).select("url", "title", "snippet", "score")
+
+
+@query(
+    f"""
+WITH t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://app.') WHEN page_id % 3 = 1 THEN url || '#/x' ELSE url || '/dashboard' END AS url FROM pages),
+s AS (SELECT page_id, CASE WHEN url LIKE '%#/%' OR url LIKE '%#!/%' THEN 0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(url, '{C.APP_PATH}') THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(lower(regexp_extract(url, '{HOST}', 1)), '^(app|dashboard|console|portal)\\.') THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS score FROM t)
+SELECT page_id, round(CASE WHEN score > 0.5 THEN least(score, 1) WHEN score > 0.2 THEN score ELSE 1 - score END, 9) AS confidence FROM s
+"""
+)
+def tier_confidence(spark, d):
+    """How sure the tier is that a url alone suggests."""
+    url = F.expr("CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://app.') WHEN page_id % 3 = 1 THEN concat(url, '#/x') ELSE concat(url, '/dashboard') END")
+    return _read(spark, d, "pages").select("page_id", F.round(S.tier_before(url)["confidence"], 9).alias("confidence"))
+
+
+@query(
+    f"""
+WITH s AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations),
+g AS (SELECT conv_id, string_agg(t, ' ' ORDER BY turn) FILTER (WHERE t <> '') AS whole, string_agg('**[' || CAST(turn * 70 // 60 AS VARCHAR) || ':' || lpad(CAST(turn * 70 % 60 AS VARCHAR), 2, '0') || ']** ' || t, chr(10) ORDER BY turn) FILTER (WHERE t <> '') AS lines FROM s GROUP BY 1)
+SELECT conv_id, CAST(len(string_split_regex(whole, '{WS}+')) AS BIGINT) AS words, sha256(CASE WHEN whole IS NULL THEN 'page' ELSE 'page' || repeat(chr(10), 2) || '## Transcript' || repeat(chr(10), 2) || lines END) AS markdown FROM g
+"""
+)
+def transcript_pages(spark, d):
+    """Pages with their captions' transcript: its words, and the markdown with it."""
+    t = F.replace(F.replace(F.replace(F.regexp_replace("text", r"\s+", " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    seg = F.concat(F.lit('<text start="'), F.col("turn") * 70, F.lit('" dur="5.5">'), t, F.lit("</text>"))
+    x = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", seg.alias("s")))), lambda x: x["s"]), "").alias("captions"))
+    return E.with_transcript(x.withColumn("markdown", F.lit("page"))).select("conv_id", "words", F.sha2("markdown", 256).alias("markdown"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
