@@ -100,6 +100,7 @@ def test_suffixes_segments(monkeypatch):
     for a, n, t in zip(start, size, trigger, strict=True):
         for q in range(a, a + n):
             assert of.setdefault(text[q : q + 50], t) == t
+    assert suffixes.triggers(data, start, 50).tolist() == trigger.tolist()
     suffixes._tables.clear()
 
 

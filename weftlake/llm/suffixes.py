@@ -113,6 +113,21 @@ def phrases(data, ends, length: int):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def triggers(data, start, length: int):
+    """phrases' trigger of the string at each start."""
+    import numpy as np
+
+    byte, up, down = _powers(SEGMENT + RUN + length + 1)
+    out, width = np.empty(len(start), "u8"), length - TRIGGER + 1
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(start), 1 << 13):
+            at = start[lo : lo + (1 << 13)]
+            sums = np.zeros((len(at), length + 1), "u8")
+            np.cumsum(byte[data[at[:, None] + np.arange(length)[None, :]]] * up[:length], axis=1, out=sums[:, 1:])
+            out[lo : lo + len(at)] = _mix(_mix((sums[:, TRIGGER:] - sums[:, :width]) * down[:width]).min(axis=1) + np.uint64(1))
+    return out
+
+
 def digests(data, start, stop):
     """128-bit names of the bytes from start to stop: [n, 2]."""
     import numpy as np
@@ -261,7 +276,7 @@ def _dealt(kind: int, batch_id: int, bucket, names, more=None, lens=None, firsts
     if firsts is not None:
         raw = _narrow(firsts)
         first_col = _binary(raw, n * (len(raw) // len(firsts)))
-    cols = [pa.array(np.full(len(n), kind, "i4")), pa.array(bucket[edge[:-1]].astype("i4")), pa.array(np.full(len(n), batch_id, "i8")), _binary(names.tobytes(), n * names.itemsize), more_col, empty if lens is None else _binary(lens.astype("u2").tobytes(), n * 2), first_col]
+    cols = [pa.array(np.full(len(n), kind, "i4")), pa.array(bucket[edge[:-1]].astype("i4")), pa.array(np.full(len(n), batch_id, "i8")), _binary(names.tobytes(), n * names.itemsize), more_col, empty if lens is None else _binary(lens.tobytes(), n * lens.itemsize), first_col]
     yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in EXCHANGE.split(", ")])
 
 
@@ -282,7 +297,7 @@ def _groups(*keys):
 def _gather(key, t, length: int, hot: int, together: int):
     """What an exchange answers to each of its rows, in the row's order.
 
-    kind 0, the parse: for each trigger the batches that hold it, 0 if only one document does, and HOT_BIT if it stands
+    kind 0, the parse, by 32 bits within the bucket: for each trigger the batches that hold it, 0 if only one document does, and HOT_BIT if it stands
     at very many places. Kind 1, names of phrases: a bit, whether an earlier document than the row's has the name, and for
     the others the batches in which the phrase is its trigger's only one. Kind 2, names of strings: the bit alone. Kind 3,
     phrases as bytes: the bit for each string in them.
@@ -293,15 +308,15 @@ def _gather(key, t, length: int, hot: int, together: int):
     t = t.combine_chunks()
     kind, rows = key[0].as_py(), t.num_rows
     col = lambda c: [x.as_buffer() for x in t.column(c)]
-    wide = "u4" if kind == 3 else "u8"
+    wide = "u8" if kind in (1, 2) else "u4"
     names = [_u8(x, wide) for x in col("names")]
     sizes = np.array([len(x) for x in names])
     at = np.append(0, np.cumsum(sizes))
     every = np.concatenate(names)
     out = []
     if kind == 0:
-        code = (every & np.uint64(31)).astype("i8")
-        u, back = np.unique(every >> np.uint64(5), return_inverse=True)
+        code = np.concatenate([_u8(x, "u1") for x in col("lens")]).astype("i8")
+        u, back = np.unique(every, return_inverse=True)
         many = np.bincount(back, minlength=len(u))
         shared = (many > 1) | (np.bincount(back, weights=code & 1, minlength=len(u)) > 0)
         places = np.bincount(back, weights=1 << (code >> 1), minlength=len(u))
@@ -436,9 +451,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         at = np.nonzero(first)[0]
         places = np.diff(np.append(at, len(n)))
         several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-        code = np.minimum(np.ceil(np.log2(places)).astype("u8"), np.uint64(15)) << np.uint64(1) | several.astype("u8")
-        name = n[at] << np.uint64(5)
-        yield from _dealt(0, row["batch"], _buckets(name, buckets), name | code)
+        code = np.minimum(np.ceil(np.log2(places)).astype("u1"), 15) << 1 | several.astype("u1")
+        yield from _dealt(0, row["batch"], _buckets(n[at] << np.uint64(5), buckets), n[at].astype("u4"), None, code.astype("u1"))
 
     answers = _exchange(_deal(w.select("batch", "ids", "lens", "text"), level1), length, hot)
 
@@ -451,6 +465,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         count = _bits(row, 0)[1][np.unique(trigger, return_inverse=True)[1]] if len(start) else np.zeros(0, "u4")
         live = count > 0
         start, size, trigger, count = (x[live] for x in (start, size, trigger, count))
+        # is a phrase the only one of its trigger in this batch
+        phrase = digests(data, start, start + size - 1 + length)
+        number, n = _groups(phrase[:, 1], phrase[:, 0])
+        sole = np.zeros(len(start), bool)
+        if n:
+            u, t = np.unique(trigger, return_inverse=True)
+            least, most = np.full(len(u), n), np.full(len(u), -1)
+            np.minimum.at(least, t, number)
+            np.maximum.at(most, t, number)
+            sole = (least == most)[t]
         doc = np.searchsorted(ends, start, "right")
         pending = np.zeros(len(ids), bool)
         pending[doc] = True
@@ -461,18 +485,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         shift = np.cumsum(np.where(pending, 0, ends - begin))  # what goes before a pending document
         start = start - shift[doc]
         some = np.nonzero(pending)[0]
-        yield _packed(row["batch"], ids[some], [texts[i] for i in some]) | {"gap": np.diff(start, prepend=0).astype("u4").tobytes(), "size": size.astype("u2").tobytes(), "trigger": trigger.tobytes(), "count": count.tobytes(), "done": done}
+        yield _packed(row["batch"], ids[some], [texts[i] for i in some]) | {"gap": np.diff(start, prepend=0).astype("u4").tobytes(), "size": size.astype("u2").tobytes(), "sole": np.packbits(sole).tobytes(), "count": count.tobytes(), "done": done}
 
     kept = "batch long, ids binary, lens binary, text binary"
-    v = table(_map(w.drop("bytes").join(answers, F.col("batch") == F.col("to"), "left").drop("to"), level1_told, f"{kept}, gap binary, size binary, trigger binary, count binary, done array"), "parse")
+    v = table(_map(w.drop("bytes").join(answers, F.col("batch") == F.col("to"), "left").drop("to"), level1_told, f"{kept}, gap binary, size binary, sole binary, count binary, done array"), "parse")
     drop(w, answers)
     free_shuffles(spark)
 
     def distinct(row):
-        """Of a parse row: (high, low) names of the distinct phrases in order, the number of each place's phrase, the first document of each distinct one, whether it is its trigger's only one here, each place's document and start."""
+        """Of a parse row: (high, low) names of the distinct phrases in order, the number of each place's phrase, the first document of each distinct one, the first place of each, each place's document and start, the bytes."""
         import numpy as np
 
-        trigger = _u8(row["trigger"])
         ids, ends, data = _unpack(row)
         start = np.cumsum(_u8(row["gap"], "u4").astype("i8"))
         phrase = digests(data, start, start + _u8(row["size"], "u2") - 1 + length)
@@ -483,31 +506,27 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         at[number] = np.arange(len(number))
         first = np.full(n, NO_ID)
         np.minimum.at(first, number, docs)
-        _, t = np.unique(trigger, return_inverse=True)
-        least, most = np.full(t.max() + 1, n), np.full(t.max() + 1, -1)
-        np.minimum.at(least, t, number)
-        np.maximum.at(most, t, number)
-        sole = (least == most)[t[at]]
-        return high[at], low[at], number, first, sole, docs, start
+        return high[at], low[at], number, first, at, docs, start, data
 
     def level2(row):
         import numpy as np
 
         if len(row["gap"]):
-            high, low, _, first, sole, _, _ = distinct(row)
+            high, low, number, first, at, *_ = distinct(row)
+            sole = np.unpackbits(_u8(row["sole"], "u1"))[: len(number)][at] > 0
             yield from _dealt(1, row["batch"], _buckets(high, buckets), high, low - (~sole).astype("u8"), None, first)
 
-    answers2 = _exchange(_deal(v.select("batch", "ids", "lens", "text", "gap", "size", "trigger"), level2), length)
+    answers2 = _exchange(_deal(v.select("batch", "ids", "lens", "text", "gap", "size", "sole"), level2), length)
 
     def level2_told(row):
         import numpy as np
 
-        size, trigger, count = _u8(row["size"], "u2"), _u8(row["trigger"]), _u8(row["count"], "u4")
+        size, count = _u8(row["size"], "u2"), _u8(row["count"], "u4")
         start = np.zeros(len(size), "i8")
         later, ask = np.zeros(len(start), bool), np.zeros(len(start), bool)
         number, one = np.zeros(len(start), "i8"), np.zeros(0, "i8")
         if len(start):
-            _, _, number, first, _, docs, start = distinct(row)
+            _, _, number, first, _, docs, start, data = distinct(row)
             earlier, sole = _bits(row, 1)
             later = earlier[number] | (first[number] < docs)
             ask = ~later & (sole[number] != count & (HOT_BIT - 1))
@@ -516,15 +535,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             u, one, back = np.unique(number[asked], return_index=True, return_inverse=True)
             one, number = asked[one], back
         hot = count[one] >= HOT_BIT
+        trigger = triggers(data, start[one], length) >> np.uint64(5) << np.uint64(5) if len(one) else np.zeros(0, "u8")
         # what the phrases with an earlier copy cover, as runs
         a, b = start[later], start[later] + size[later] - 1 + length
         head = np.ones(len(a), bool)
         head[1:] = a[1:] > b[:-1]
         a, b = a[head], b[np.append(np.nonzero(head)[0][1:] - 1, len(b) - 1)] if len(b) else b
-        yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"gone_start": a.tobytes(), "gone_end": b.tobytes(), "ask_start": start[ask].tobytes(), "ask_number": number.astype("u4").tobytes() if len(one) else b"", "one_start": start[one].tobytes(), "one_size": size[one].tobytes(), "one_trigger": trigger[one].tobytes(), "one_hot": hot.astype("u1").tobytes()}
+        yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"gone_start": a.tobytes(), "gone_end": b.tobytes(), "ask_start": start[ask].tobytes(), "ask_number": number.astype("u4").tobytes() if len(one) else b"", "one_start": start[one].tobytes(), "one_size": size[one].tobytes(), "one_trigger": trigger.tobytes(), "one_hot": hot.astype("u1").tobytes()}
 
     asks = "ask_start binary, ask_number binary, one_start binary, one_size binary, one_trigger binary, one_hot binary"
-    u = table(_map(v.drop("done").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, gone_start binary, gone_end binary, {asks}"), "dictionary")
+    u = table(_map(v.drop("done", "sole").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, gone_start binary, gone_end binary, {asks}"), "dictionary")
     done = table(v.select(F.explode("done").alias("x")).select("x.*"), "done")
     drop(v, answers2)
     free_shuffles(spark)
@@ -572,7 +592,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         if len(start):
             raw = data.tobytes()
             text = b"".join([raw[a:b] for a, b in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)])
-            yield from _dealt(3, row["batch"], _buckets(trigger, buckets), (trigger >> np.uint64(5)).astype("u4"), None, size, doc_of(ids, ends, start), (text, size + length - 1))
+            yield from _dealt(3, row["batch"], _buckets(trigger, buckets), (trigger >> np.uint64(5)).astype("u4"), None, size.astype("u2"), doc_of(ids, ends, start), (text, size + length - 1))
 
     answers3 = _exchange(_deal(u.select("batch", "ids", "lens", "text", *[x.split()[0] for x in asks.split(", ")]), level3), length, hot, together)
 
