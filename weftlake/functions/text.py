@@ -55,7 +55,10 @@ def token_estimate(c: Column) -> Column:
     code_tokens = F.aggregate(code, F.lit(0.0), lambda a, x: a + F.ceil(len16(x) / F.lit(3.5)))
     cjk = F.regexp_count(two, F.lit(C.CJK))
     words = F.regexp_count(F.regexp_replace(two, C.CJK, " "), F.lit("[^" + C.JS_SPACE[1:-1] + "]+"))
-    return F.when(c == "", F.lit(0)).otherwise(F.greatest(F.lit(1), code_tokens + F.ceil(cjk * F.lit(1.5)) + F.ceil(words * F.lit(1.33)))).cast("long")
+    whole = F.greatest(F.lit(1), code_tokens + F.ceil(cjk * F.lit(1.5)) + F.ceil(words * F.lit(1.33)))
+    # without a backtick and such characters, as most texts are, only words count: one pass
+    plain = F.greatest(F.lit(1), F.ceil(F.regexp_count(c, F.lit("[^" + C.JS_SPACE[1:-1] + "]+")) * F.lit(1.33)))
+    return F.when(c == "", F.lit(0)).when(~F.contains(c, F.lit("`")) & ~F.rlike(c, F.lit(C.CJK)), plain).otherwise(whole).cast("long")
 
 
 def reduction(markdown_tokens: Column, html_tokens: Column) -> Column:
