@@ -26,7 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 made: list[str] = []
 
 
-def table(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of an Arrow batch while a work table is written: whole texts in thousands would fill a batch of some hundred MB in the JVM and in Python.
+BATCH_ROWS = 1024
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def table(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Writes df as a work table in the shared folder and rereads it, so that a lost executor costs no earlier step.
 
     Operators drop() those that no result reads any more. A lazy result still reads its last ones: a caller that has written
@@ -34,7 +39,12 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftlake-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = int(spark.conf.get(_ROWS))
+    spark.conf.set(_ROWS, str(min(before, batch_rows) if before > 0 else batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_ROWS, str(before))
     out = spark.read.schema(df.schema).parquet(path)
     out._weftlake_path = path
     made.append(path)
@@ -64,6 +74,20 @@ def delete_made(spark: SparkSession, since: int = 0, but: DataFrame | None = Non
             _delete(spark, path)
 
 
+def trimmed(batches):
+    """batches, after which this Python worker gives free memory back: idle workers stay, with all that their last task took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files live until the driver collects the garbage of their plans; a long loop asks for that itself."""
     import gc

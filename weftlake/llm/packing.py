@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import table, trimmed
 
 END_ID = 2
 SPECIAL = "<|endoftext|>"
@@ -203,7 +203,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, key: str = "doc_id", tex
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], ["key", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return docs.select(key, text).mapInArrow(lambda batches: trimmed(run(batches)), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

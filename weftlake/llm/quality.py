@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import table, trimmed
 
 #: Rules of a document beside the base ones: symbols by word and repeated lines by line.
 SOFT_SYMBOLS, SOFT_LINES = 0.1, 0.3
@@ -67,7 +67,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
-    return out.mapInArrow(run, f"{fields}, {MEASURES}")
+    return out.mapInArrow(lambda batches: trimmed(run(batches)), f"{fields}, {MEASURES}")
 
 
 def host_rates(flags: DataFrame, host: str = "source") -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import minhash
-from .common import components, drop, free_shuffles, table
+from .common import components, drop, free_shuffles, table, trimmed
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xAE3  # fixed: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(text)), "u8", batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(fp.view("i8"))], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return docs.select(key, text).mapInArrow(lambda batches: trimmed(run(batches)), f"`{key}` {kind}, fp long")
 
 
 def _golay():
@@ -256,7 +256,7 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS,
 
     # written once, so that row is settled; later steps read only the columns they need
     rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    signed = table(rows.select("row", text).mapInArrow(sign, "row long, node long, keys array<long>, fp long"), "signed")
+    signed = table(rows.select("row", text).mapInArrow(lambda batches: trimmed(sign(batches)), "row long, node long, keys array<long>, fp long"), "signed")
     keys = table(signed.select("node", F.explode("keys").alias("key")).distinct(), "band-keys")
     shared = table(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "shared-bands")
     prints = table(signed.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
@@ -269,7 +269,7 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS,
     drop(keys, shared, prints)
     first = table(signed.groupBy("node").agg(F.min("row").alias("first")).join(group, F.col("node") == F.col("g_node")).select("first", "node", "g", "blocks"), "candidate-rows")
     texts = table(rows.select("row", text).join(first.hint("merge"), F.col("row") == F.col("first")).select("node", text, "g", "blocks"), "candidate-texts")
-    sets = table(texts.select("node", text).mapInArrow(cut, "node long, shingles array<long>"), "shingle-sets")
+    sets = table(texts.select("node", text).mapInArrow(lambda batches: trimmed(cut(batches)), "node long, shingles array<long>"), "shingle-sets")
     free_shuffles(docs.sparkSession)
     # each pair of blocks of a group is one task's work; a node goes to the pairs that its own block is in
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

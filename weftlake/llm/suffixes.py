@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import drop, free_shuffles, table
+from .common import drop, free_shuffles, table, trimmed
 
 TRIGGER, RUN = 20, 256
 BATCH, SEGMENT, SHARE = 8 << 20, 1 << 18, 16 << 20
@@ -216,7 +216,7 @@ def _map(df: DataFrame, f, fields: str) -> DataFrame:
         schema = pa.schema([(x.split()[0], kinds[x.split()[1] if not x.split()[1].startswith("array") else "done"]) for x in fields.split(", ")])
         yield from _emit((y for x in _rows(batches) for y in f(x)), schema)
 
-    return df.mapInArrow(run, fields.replace("array", DONE))
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), fields.replace("array", DONE))
 
 
 def _deal(df: DataFrame, f) -> DataFrame:
@@ -224,7 +224,7 @@ def _deal(df: DataFrame, f) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         yield from (y for x in _rows(batches) for y in f(x))
 
-    return df.mapInArrow(run, EXCHANGE)
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), EXCHANGE)
 
 
 #: A row of an exchange: names (and their second halves, or texts with lengths) of a batch for a bucket, with first documents.
@@ -371,7 +371,7 @@ def _exchange(rows: DataFrame, length: int, hot: int = HOT, together: int = SORT
         return _gather(key, t, length, hot, together)
 
     told = rows.groupBy("kind", "bucket").applyInArrow(gather, "kind int, bucket int, to long, size int, answer binary")
-    out = table(told.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "size", "answer"))).alias("answers")), "answers")
+    out = table(told.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "size", "answer"))).alias("answers")), "answers", 8)
     free_shuffles(rows.sparkSession)  # the exchange itself, before its answers are joined
     return out
 
@@ -488,7 +488,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         yield _packed(row["batch"], ids[some], [texts[i] for i in some]) | {"gap": np.diff(start, prepend=0).astype("u4").tobytes(), "size": size.astype("u2").tobytes(), "sole": np.packbits(sole).tobytes(), "count": count.tobytes(), "done": done}
 
     kept = "batch long, ids binary, lens binary, text binary"
-    v = table(_map(w.drop("bytes").join(answers, F.col("batch") == F.col("to"), "left").drop("to"), level1_told, f"{kept}, gap binary, size binary, sole binary, count binary, done array"), "parse")
+    v = table(_map(w.drop("bytes").join(answers, F.col("batch") == F.col("to"), "left").drop("to"), level1_told, f"{kept}, gap binary, size binary, sole binary, count binary, done array"), "parse", 8)
     drop(w, answers)
     free_shuffles(spark)
 
@@ -544,7 +544,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         yield {c: row[c] for c in ("batch", "ids", "lens", "text")} | {"gone_start": a.tobytes(), "gone_end": b.tobytes(), "ask_start": start[ask].tobytes(), "ask_number": number.astype("u4").tobytes() if len(one) else b"", "one_start": start[one].tobytes(), "one_size": size[one].tobytes(), "one_trigger": trigger.tobytes(), "one_hot": hot.astype("u1").tobytes()}
 
     asks = "ask_start binary, ask_number binary, one_start binary, one_size binary, one_trigger binary, one_hot binary"
-    u = table(_map(v.drop("done", "sole").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, gone_start binary, gone_end binary, {asks}"), "dictionary")
+    u = table(_map(v.drop("done", "sole").join(answers2, F.col("batch") == F.col("to"), "left").drop("to"), level2_told, f"{kept}, gone_start binary, gone_end binary, {asks}"), "dictionary", 8)
     done = table(v.select(F.explode("done").alias("x")).select("x.*"), "done")
     drop(v, answers2)
     free_shuffles(spark)
