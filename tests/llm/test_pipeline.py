@@ -88,3 +88,20 @@ def test_near_groups_of_clashing_names(spark):
     out = {x["node"]: x["near_group"] for x in simhash.near_groups(d).collect()}
     assert out[1] == out[2] != out[5] and out[3] == out[4] and len(set(out.values())) == 3
     assert simhash.near_groups(d).columns == ["node", "text", "r", "row", "near_group"] and simhash.near_groups(d.limit(0)).count() == 0
+
+
+def test_components_of_edges_that_turn(spark):
+    """Edges whose ends change places each time they are worked out: still one component."""
+    from weftlake.llm.common import components
+
+    def turned(batches):
+        import random
+
+        for b in batches:
+            b = b.copy()
+            turn = [random.random() < 0.5 for _ in range(len(b))]
+            b.loc[turn, ["a", "b"]] = b.loc[turn, ["b", "a"]].to_numpy()
+            yield b
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long").mapInPandas(turned, "a long, b long")
+    assert {r["component"] for r in components(edges).collect()} == {0}

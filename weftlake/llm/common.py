@@ -126,8 +126,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     give an empty result; null ends and loops are ignored.
     """
     spark = edges.sparkSession
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    # written before it is read twice: worked out twice, edges that depend on the order of rows would not match
+    once = table(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "once")
+    both = once
     both = table(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    drop(once)
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "component")

@@ -242,6 +242,7 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS,
         import pyarrow as pa
 
         t = pdf.combine_chunks()
+        t = t.take(pa.array(np.argsort(t.column("node").to_numpy())))  # rows come in any order
         nodes = t.column("node").to_numpy()
         link = minhash.near([x.values.to_numpy().view("u8") for x in t.column("shingles")], similarity)
         least = np.arange(len(nodes))
