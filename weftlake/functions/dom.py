@@ -19,6 +19,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: An opening tag of the key ends an open element of the value.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: A tree is no deeper: what stands deeper becomes a sibling, as in browsers, so that no walk up or down costs more than this by element.
+MAX_DEPTH = 256
+#: Quotes and lists that stand deeper within others of their kind are not marked or indented once more.
+MAX_NESTED = 32
 SPACE = "\t\n\v\f\r                  　﻿"
 
 
@@ -46,22 +50,24 @@ class Node:
                 stack.extend(reversed(n.children))
         return "".join(out)
 
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
-        self.at = self.root
+        self.at, self.depth = self.root, 0
+
+    def _leave(self, n: Node) -> None:
+        """Closes n, an open element, and all that is open in it."""
+        while self.at is not n:
+            self.at, self.depth = self.at.parent, self.depth - 1
+        self.at, self.depth = n.parent, self.depth - 1
 
     def _close(self, tags: set[str], within: frozenset[str]) -> None:
         n = self.at
         while n.parent is not None and n.tag not in within:
             if n.tag in tags:
-                self.at = n.parent
+                self._leave(n)
                 return
             n = n.parent
 
@@ -71,10 +77,12 @@ class _Builder(HTMLParser):
         if tag in ENDS:
             for _ in range(2):
                 self._close(ENDS[tag], frozenset({"ul", "ol", "dl", "table", "select", "#root"}))
+        if self.depth >= MAX_DEPTH and tag not in VOID:
+            self._leave(self.at)
         n = Node(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(n)
         if tag not in VOID:
-            self.at = n
+            self.at, self.depth = n, self.depth + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -85,7 +93,7 @@ class _Builder(HTMLParser):
         n = self.at
         while n.parent is not None:
             if n.tag == tag:
-                self.at = n.parent
+                self._leave(n)
                 return
             n = n.parent
 
@@ -222,10 +230,16 @@ def clean(root: Node, keep_nav: bool = False, keep_footer: bool = False) -> Node
             n.children = kept
         stack.extend(c for c in kept if isinstance(c, Node))
     main = body = None
+    empty = lambda n: n.tag in ("div", "span", "p") and not any(isinstance(c, Node) for c in n.children) and not "".join(n.children).strip(SPACE)
+    # an element that only holds empty ones stays: what is empty is told before any of them goes
+    gone = {id(n) for n in root.walk() if empty(n)}
     for n in list(root.walk()):
-        if n.tag in ("div", "span", "p") and not any(isinstance(c, Node) for c in n.children) and not n.text().strip(SPACE):
-            n.remove()
-        elif main is None and (n.tag in ("main", "article") or n.attrs.get("role") == "main"):
+        kept = [c for c in n.children if id(c) not in gone]
+        if len(kept) < len(n.children):
+            n.children = kept
+        if id(n) in gone:
+            continue
+        if main is None and (n.tag in ("main", "article") or n.attrs.get("role") == "main"):
             main = n
         if body is None and n.tag == "body":
             body = n
@@ -237,32 +251,39 @@ def clean(root: Node, keep_nav: bool = False, keep_footer: bool = False) -> Node
 _RUN = re.compile(f"[{SPACE}]+")
 
 
-def _inline(n: Node | str) -> str:
-    if isinstance(n, str):
-        return _RUN.sub(" ", n)
-    inside = lambda: "".join(_inline(c) for c in n.children)
+_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+
+
+class _Whole(str):
+    """A block's text between blank lines that an element around it need not look at again."""
+
+
+def _leaf(n: Node) -> str | None:
+    """The text of an element in a line whose children aren't read one by one, else None."""
     if n.tag == "br":
         return "  \n"
     if n.tag == "img":
-        side = lambda k: int(m[0]) if (m := re.match(r"\d+", n.attrs.get(k, ""))) else 100
+        side = lambda k: int(m[0]) if (m := re.match(r"\d{1,9}", n.attrs.get(k, ""))) else 100
         src, alt = n.attrs.get("src", ""), n.attrs.get("alt", "")
         bad = side("width") <= 1 or side("height") <= 1 or not src or src.startswith("data:image/gif") or not alt
         return "" if bad else f"![{alt}]({src})"
-    if n.tag == "a":
-        t = inside().strip()
-        return "" if not t else f"[{t}]({n.attrs['href']})" if n.attrs.get("href") else t
-    if n.tag in ("b", "strong", "i", "em", "code"):
-        mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}[n.tag]
-        t = n.text() if n.tag == "code" else inside()
-        core = t.strip()
-        return t if not core else t[: len(t) - len(t.lstrip())] + mark + core + mark + t[len(t.rstrip()) :]
-    if n.tag in BLOCK:
-        return "\n\n" + _blocks(n) + "\n\n"
-    return inside()
+    return _marked(n.text(), "`") if n.tag == "code" else None
 
 
-def _blocks(n: Node) -> str:
-    """The markdown of a block element's content."""
+def _marked(t: str, mark: str) -> str:
+    core = t.strip()
+    return t if not core else t[: len(t) - len(t.lstrip())] + mark + core + mark + t[len(t.rstrip()) :]
+
+
+def _inside(n: Node) -> list[Node | str]:
+    """The children that count in n's markdown."""
+    if n.tag in ("ul", "ol"):
+        return [c for c in n.children if isinstance(c, Node) and c.tag == "li"]
+    return [] if n.tag in ("pre", "hr") else n.children
+
+
+def _block(n: Node, parts: list[str], deep: bool) -> str:
+    """The markdown of a block element whose children's is `parts`; deep: past MAX_NESTED of its kind."""
     if n.tag == "pre":
         code = next((c for c in n.children if isinstance(c, Node) and c.tag == "code"), None)
         m = re.search(r"lang(?:uage)?-([\w+-]+)", code.attrs.get("class", "")) if code is not None else None
@@ -270,22 +291,64 @@ def _blocks(n: Node) -> str:
     if n.tag == "hr":
         return "---"
     if n.tag in ("ul", "ol"):
-        rows, k = [], 0
-        for c in n.children:
-            if isinstance(c, Node) and c.tag == "li":
-                k += 1
-                mark = "-   " if n.tag == "ul" else f"{k}.  "
-                rows.append(mark + _blocks(c).strip().replace("\n", "\n    "))
-        return "\n".join(rows)
-    body = "".join(_inline(c) for c in n.children)
-    body = re.sub(r"[ \t]*\n[ \t]*(?!\S)", "\n", body).strip(" \n") if n.tag not in ("#root",) else body.strip()
-    if re.fullmatch("h[1-6]", n.tag):
+        if deep:
+            return "\n".join(p.strip() for p in parts)
+        return "\n".join(("-   " if n.tag == "ul" else f"{k}.  ") + p.strip().replace("\n", "\n    ") for k, p in enumerate(parts, 1))
+    said = [p for p in parts if p != " "] if len(parts) < 4 else parts
+    if len(said) == 1 and isinstance(said[0], _Whole):
+        body = said[0][2:-2]
+    else:
+        body = "".join(parts)
+        body = re.sub(r"[ \t]*\n[ \t]*(?!\S)", "\n", body).strip(" \n") if n.tag != "#root" else body.strip()
+    if n.tag in _HEADS:
         return "#" * int(n.tag[1]) + " " + body if body else ""
-    if n.tag == "blockquote":
+    if n.tag == "blockquote" and not deep:
         return "> " + body.replace("\n", "\n> ")
     return body
 
 
+_HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_NESTED = frozenset(("blockquote", "ul", "ol"))
+_OWN = _HEADS | {"pre", "hr", "ul", "ol", "blockquote"}
+
+
+def _line(n: Node, parts: list[str], deep: bool) -> str:
+    """The markdown, within a line, of an element whose children's is `parts`."""
+    if n.tag in BLOCK:
+        body = _block(n, parts, deep)
+        return (_Whole if n.tag not in _OWN or n.tag == "blockquote" and body.strip("> ") else str)("\n\n" + body + "\n\n")
+    t = "".join(parts)
+    if n.tag == "a":
+        t = t.strip()
+        return "" if not t else f"[{t}]({n.attrs['href']})" if n.attrs.get("href") else t
+    return _marked(t, _MARKS[n.tag]) if n.tag in _MARKS else t
+
+
+def _blocks(n: Node) -> str:
+    """The markdown of a block element's content. Elements are closed from the leaves up, without recursion."""
+    stack: list[tuple] = [(n, False, iter(_inside(n)), [])]
+    while True:
+        at, in_line, todo, parts = stack[-1]
+        for c in todo:
+            if isinstance(c, str):
+                parts.append(_RUN.sub(" ", c))
+                continue
+            item = at.tag in ("ul", "ol")
+            t = None if item else _leaf(c)
+            if t is not None:
+                parts.append(t)
+                continue
+            stack.append((c, not item, iter(_inside(c) if item or c.tag in BLOCK else c.children), []))
+            break
+        else:
+            stack.pop()
+            deep = at.tag in _NESTED and sum(f[0].tag in _NESTED for f in stack) >= MAX_NESTED
+            t = _line(at, parts, deep) if in_line else _block(at, parts, deep)
+            if not stack:
+                return t
+            stack[-1][3].append(t)
+
+
 def markdown(n: Node) -> str:
     md = re.sub(r"\n{3,}", "\n\n", _blocks(n))
     return re.sub(r"[ \t]+(?=\n|$)", "", md).strip(SPACE)
@@ -293,7 +356,10 @@ def markdown(n: Node) -> str:
 
 def links(root: Node, base: str) -> list[tuple[str, str, str | None, bool]]:
     """(url, text, rel, internal) of each page's links, first of each url. Nothing where the base isn't an absolute url."""
-    home = urlsplit(base)
+    try:
+        home = urlsplit(base)
+    except ValueError:
+        return []
     if not home.scheme or not home.hostname:
         return []
     out: dict[str, tuple] = {}
@@ -354,7 +420,7 @@ def json_ld(root: Node) -> list[str]:
         if n.tag == "script" and n.attrs.get("type") == "application/ld+json":
             try:
                 out.append(json.dumps(json.loads(n.text()), separators=(",", ":"), ensure_ascii=False))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -84,8 +85,12 @@ def at(x, path: str):
     return x
 
 
+def _text(x) -> str | None:
+    return x if isinstance(x, str) else None
+
+
 def first(x, paths: tuple[str, ...], default: str = "") -> str:
-    return next((str(v) for p in paths if (v := at(x, p))), default)
+    return next((str(v) for p in paths if (v := at(x, p)) and not isinstance(v, dict | list)), default)
 
 
 def _record(x, table: dict) -> dict:
@@ -93,8 +98,19 @@ def _record(x, table: dict) -> dict:
 
 
 def _number(x) -> int | None:
-    m = re.match(r"\s*[+-]?\d+", str(x)) if x is not None else None
-    return int(m[0]) if m else None
+    """The whole number that a text or number begins with; None without one, and past 64 bits."""
+    m = re.match(r"\s*[+-]?\d{1,19}(?!\d)", str(x)) if isinstance(x, str | int | float) and not isinstance(x, bool) else None
+    n = int(m[0]) if m else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
+def _seconds(millis) -> float | None:
+    """None for what is no number, 0 for what is missing or empty."""
+    try:
+        t = float(millis or 0) / 1000 if isinstance(millis, str | int | float | None) else math.nan
+    except (ValueError, OverflowError):
+        return None
+    return t if math.isfinite(t) else None
 
 
 def _span(seconds: int) -> str:
@@ -102,19 +118,23 @@ def _span(seconds: int) -> str:
     return f"{h}:{rest // 60:02d}:{rest % 60:02d}" if h > 0 else f"{rest // 60}:{rest % 60:02d}"
 
 
+def _minutes(seconds: float | None) -> str:
+    return "NaN:NaN" if seconds is None else f"{int(seconds // 60)}:{int(seconds % 60):02d}"
+
+
 def _short(n: int) -> str:
     return next((f"{n / size:.1f}{unit}" for size, unit in ((10**9, "B"), (10**6, "M"), (10**3, "K")) if n >= size), str(n))
 
 
 def _video_markdown(v: dict) -> str:
     views, span = ("NaN" if v["views"] is None else _short(v["views"])), ("NaN:NaN" if v["duration"] is None else _span(v["duration"]))
-    blocks = [f"# {v['title']}\n", f"**{v['author']}** | {views} views | {span}\n"]
+    blocks = [f"# {v['title'] or ''}\n", f"**{v['author'] or ''}** | {views} views | {span}\n"]
     if v["description"]:
         blocks.append(f"## Description\n\n{v['description']}\n")
     if v["keywords"]:
         blocks.append(f"**Tags:** {', '.join(v['keywords'])}\n")
     if v["chapters"]:
-        blocks.append("## Chapters\n\n" + "".join(f"- **{int(c['time'] // 60)}:{int(c['time'] % 60):02d}** — {c['title']}\n" for c in v["chapters"]))
+        blocks.append("## Chapters\n\n" + "".join(f"- **{_minutes(c['time'])}** — {c['title']}\n" for c in v["chapters"]))
     if v["comments"]:
         blocks.append(f"## Top Comments ({v['n_comments']})\n\n" + "\n".join(f"> **{c['author']}** ({c['likes']} likes, {c['time']})\n> {c['text']}\n" for c in v["comments"][:SHOWN_COMMENTS]))
     if v["related"]:
@@ -137,8 +157,10 @@ def _channel_markdown(c: dict, known: bool) -> str:
 
 def _lockup(x) -> dict:
     out = {"title": first(x, LOCKUP_TITLE), "video_id": first(x, ("contentId",)), "views": "", "duration": first(x, LOCKUP_DURATION), "published": ""}
-    for row in at(x, LOCKUP_ROWS) or []:
-        for part in at(row, "metadataParts") or []:
+    rows = at(x, LOCKUP_ROWS)
+    for row in rows if isinstance(rows, list) else []:
+        parts = at(row, "metadataParts")
+        for part in parts if isinstance(parts, list) else []:
             t = first(part, ("text.content",))
             if "view" in t:
                 out["views"] = t
@@ -160,16 +182,17 @@ def videos_of(data) -> list[dict]:
 
 
 def extract(html: str, video_id: str) -> dict | None:
-    """TYPE of a video page (its player's data) or a channel's or list's page; None for others."""
+    """TYPE of a video page (its player's data) or a channel's or list's page; None for others. A value of another type than its field's is null."""
     player, data = embedded(html, "ytInitialPlayerResponse"), embedded(html, "ytInitialData")
     out = dict.fromkeys(FIELDS)
-    video = at(player, "videoDetails") if isinstance(player, dict) else None
-    if video:
+    video = at(player, "videoDetails")
+    if isinstance(video, dict) and video:
         comments = [{**_record(r, COMMENT), "likes": first(r, COMMENT["likes"], "0")} for x in under(data, "commentThreadRenderer") if (r := at(x, "comment.commentRenderer"))]
-        chapters = [{"title": first(c, CHAPTER_TITLE), "time": float(at(c, "timeRangeStartMillis") or 0) / 1000} for c in under(data, "chapterRenderer")]
-        out |= {"type": "video", "video_id": video_id, "title": video.get("title"), "author": video.get("author"), "channel_id": video.get("channelId"), "views": _number(video.get("viewCount"))}
-        out |= {"duration": _number(video.get("lengthSeconds")), "description": video.get("shortDescription"), "keywords": video.get("keywords") or [], "is_live": video.get("isLiveContent")}
-        out |= {"image": at(video, "thumbnail.thumbnails.-1.url"), "chapters": chapters, "n_comments": len(comments), "comments": comments[:MAX_COMMENTS]}
+        chapters = [{"title": first(c, CHAPTER_TITLE), "time": _seconds(at(c, "timeRangeStartMillis"))} for c in under(data, "chapterRenderer")]
+        words = video.get("keywords") if isinstance(video.get("keywords"), list) else []
+        out |= {"type": "video", "video_id": video_id, "title": _text(video.get("title")), "author": _text(video.get("author")), "channel_id": _text(video.get("channelId")), "views": _number(video.get("viewCount"))}
+        out |= {"duration": _number(video.get("lengthSeconds")), "description": _text(video.get("shortDescription")), "keywords": [k for k in words if isinstance(k, str)], "is_live": live if isinstance(live := video.get("isLiveContent"), bool) else None}
+        out |= {"image": _text(at(video, "thumbnail.thumbnails.-1.url")), "chapters": chapters, "n_comments": len(comments), "comments": comments[:MAX_COMMENTS]}
         out["related"] = [_record(x, RELATED) for x in list(under(data, "compactVideoRenderer"))[:MAX_RELATED]]
         out["markdown"] = _video_markdown(out)
         return out

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as T
+from ..functions import dom, text as T
 
 #: What parse() can add, and its type. Only what is asked for is worked out.
 FIELDS = {
@@ -20,6 +20,7 @@ FIELDS = {
     "meta_tags": "map<string,string>",
     "css": "map<string,array<string>>",
     "captcha": "boolean",
+    "parse_error": "string",
     "readable": "struct<ok:boolean,title:string,byline:string,excerpt:string,html:string,text:string,markdown:string>",
 }
 #: Elements that mark a challenge page.
@@ -27,48 +28,62 @@ CAPTCHA = 'iframe[src*="recaptcha"], iframe[src*="hcaptcha"], .g-recaptcha, #cf-
 
 
 def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_html", "markdown"), css: Mapping[str, str] | None = None, url: str = "url", html: str = "html", keep_nav: bool = False, keep_footer: bool = False) -> DataFrame:
-    """pages' columns without html, and the fields asked for. Null html counts as empty. Filter on urls before this call: no predicate passes it."""
+    """pages' columns without html, and the fields asked for. Null html counts as empty, and so does a page that can't be read (parse_error says why). Filter on urls before this call: no predicate passes it."""
     kept = [f for f in pages.schema.fields if f.name != html]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{f} {FIELDS[f]}" for f in fields])
     css = dict(css or {})
+    for x in css.values():
+        dom.compile_selector(x)  # one that isn't understood fails here, not on a worker
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from ..functions import dom, readable
+        from ..functions import readable
+
+        def read(page: str, at: str) -> dict:
+            row: dict = {}
+            root = dom.parse(page)
+            if "meta" in fields:
+                row["meta"] = dom.metadata(root, at)
+            if "links" in fields:
+                row["links"] = [dict(zip(("url", "text", "rel", "is_internal"), x, strict=True)) for x in dom.links(root, at)]
+            if "agent_links" in fields:
+                row["agent_links"] = [dict(zip(("href", "text"), x, strict=True)) for x in dom.agent_links(root, at)]
+            if "json_ld" in fields:
+                row["json_ld"] = dom.json_ld(root)
+            if "tables" in fields:
+                row["tables"] = dom.tables(root)
+            if "meta_tags" in fields:
+                pairs = {(n.attrs.get("name") or n.attrs.get("property")): n.attrs.get("content") for n in root.walk() if n.tag == "meta"}
+                row["meta_tags"] = [(k, v) for k, v in pairs.items() if k and v]
+            if "css" in fields:
+                row["css"] = [(k, [n.text().strip(dom.SPACE) for n in dom.select(root, s)]) for k, s in css.items()]
+            if "captcha" in fields:
+                row["captcha"] = bool(dom.select(root, CAPTCHA))
+            if "readable" in fields:
+                a = readable.article(root, page)
+                content = a.pop("content")
+                row["readable"] = {**a, "html": dom.inner_html(content) if content else None, "markdown": dom.markdown(content) if content else None}
+            if "clean_html" in fields or "markdown" in fields:
+                main = dom.clean(root, keep_nav, keep_footer)
+                if "clean_html" in fields:
+                    row["clean_html"] = dom.inner_html(main)
+                if "markdown" in fields:
+                    row["markdown"] = dom.markdown(main)
+            return row
 
         for batch in batches:
             out: dict[str, list] = {f: [] for f in fields}
             for page, at in zip(batch.column(html), batch.column(url), strict=True):
-                page, at = page.as_py() or "", at.as_py() or ""
-                root = dom.parse(page)
-                if "meta" in out:
-                    out["meta"].append(dom.metadata(root, at))
-                if "links" in out:
-                    out["links"].append([dict(zip(("url", "text", "rel", "is_internal"), x, strict=True)) for x in dom.links(root, at)])
-                if "agent_links" in out:
-                    out["agent_links"].append([dict(zip(("href", "text"), x, strict=True)) for x in dom.agent_links(root, at)])
-                if "json_ld" in out:
-                    out["json_ld"].append(dom.json_ld(root))
-                if "tables" in out:
-                    out["tables"].append(dom.tables(root))
-                if "meta_tags" in out:
-                    pairs = {(n.attrs.get("name") or n.attrs.get("property")): n.attrs.get("content") for n in root.walk() if n.tag == "meta"}
-                    out["meta_tags"].append([(k, v) for k, v in pairs.items() if k and v])
-                if "css" in out:
-                    out["css"].append([(k, [n.text().strip(dom.SPACE) for n in dom.select(root, s)]) for k, s in css.items()])
-                if "captcha" in out:
-                    out["captcha"].append(bool(dom.select(root, CAPTCHA)))
-                if "readable" in out:
-                    a = readable.article(root, page)
-                    content = a.pop("content")
-                    out["readable"].append({**a, "html": dom.inner_html(content) if content else None, "markdown": dom.markdown(content) if content else None})
-                if "clean_html" in out or "markdown" in out:
-                    main = dom.clean(root, keep_nav, keep_footer)
-                    if "clean_html" in out:
-                        out["clean_html"].append(dom.inner_html(main))
-                    if "markdown" in out:
-                        out["markdown"].append(dom.markdown(main))
+                why = None
+                try:
+                    row = read(page.as_py() or "", at.as_py() or "")
+                except MemoryError:
+                    raise
+                except Exception as e:  # one page, whatever is wrong with it, costs its own fields only
+                    row, why = read("", ""), f"{type(e).__name__}: {e}"[:200]
+                for f in fields:
+                    out[f].append(why if f == "parse_error" else row[f])
             cols = [batch.column(f.name) for f in kept] + [pa.array(out[f], types[f]) for f in fields]
             yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in kept), *fields])
 
@@ -82,7 +97,7 @@ def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_htm
 def scrape(pages: DataFrame) -> DataFrame:
     """The whole page record: metadata, markdown, text, links, token counts, reduction and content hash."""
     d = pages.withColumn("html_tokens", T.token_estimate(F.coalesce("html", F.lit(""))))
-    return finish(parse(d, ("meta", "links", "markdown")))
+    return finish(parse(d, ("meta", "links", "markdown", "parse_error")))
 
 
 def finish(d: DataFrame) -> DataFrame:
