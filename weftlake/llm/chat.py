@@ -28,13 +28,19 @@ def unescape(c: Column) -> Column:
 
 
 def _body(parts: Column) -> Column:
-    """The visitor: one string for a turn's parts; a part that isn't text leaves a numbered placeholder (the number is its place in the turn)."""
-    def visit(p, i):
-        kind = F.lower(F.coalesce(p["kind"], F.lit("text")))
-        mark = F.concat(F.lit("["), F.upper(kind), F.lit(":"), i.cast("string"), F.lit("]"))
-        return F.when(kind.isin(*EXPANDED), mark).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+    """The visitor: one string for a turn's parts; a part that isn't text leaves a numbered placeholder (the number is its place in the turn).
 
-    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit), "")
+    Texts that follow one another are joined before they are escaped, so that no control string arises where they meet.
+    """
+    every = F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p, i: F.struct(F.lower(F.coalesce(p["kind"], F.lit("text"))).alias("kind"), p["text"].alias("text"), i.alias("place")))
+
+    def visit(acc, p):
+        mark = F.concat(F.lit("["), F.upper(p["kind"]), F.lit(":"), p["place"].cast("string"), F.lit("]"))
+        other = p["kind"].isin(*EXPANDED)
+        done = F.when(other, F.concat(acc["done"], escape(acc["run"]), mark)).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(other, F.lit("")).otherwise(F.concat(acc["run"], F.coalesce(p["text"], F.lit("")))).alias("run"))
+
+    return F.aggregate(every, F.struct(F.lit("").alias("done"), F.lit("").alias("run")), visit, lambda acc: F.concat(acc["done"], escape(acc["run"])))
 
 
 def _attached(parts: Column) -> Column:
@@ -51,7 +57,8 @@ def format_chat(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     part's place, kind, ref, n_tokens), expanded_tokens. Turns stand by (turn, role, body), so repeated rows stay and
     ties have an order; null turns come first; a null role is written as an empty one; null and empty parts give an
     empty body; an unknown kind counts as text. Nothing is formatted for an empty table; other columns are ignored.
-    A conversation is one string, so its turns do meet in one task, as any reader of that string needs.
+    A conversation is one string, so its turns do meet in one task, as any reader of that string needs; rows without a
+    conv_id are one conversation.
     """
     body = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), _body(F.col("parts")).alias("body"), _attached(F.col("parts")).alias("att"))
     c = turns.select("conv_id", body.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
