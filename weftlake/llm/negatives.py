@@ -7,13 +7,14 @@ the window of scores (both ends), or if the upper one lies strictly beneath the
 first by its id. An anchor takes its best node first, one at a time down to the leaves, then more and more of them.
 
 The first search finds positives (same label, no window); the second one negatives (another label, a window for each positive). Each
-anchor is held against every part, in blocks of anchors: the parts' best are cut again by a window over each anchor and positive.
+anchor is held against every part, in blocks of anchors, in two rounds: about the square root of the parts give it a k-th best score, below
+which the other parts need not answer (a round in one would give k rows for each of them). What parts give is cut by a window over anchor and positive.
 Rows of equal label and vector differ by their ids only, so all but the smallest ids of such a group are left out of the trees: no search could return them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -128,13 +129,14 @@ def search(x, labels, rank, tree, q, q_label, self_rank, lo, hi, k: int, same: b
                 best[of, w] = -np.sort(-np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
 
 
-def _best(rows: DataFrame, anchors: DataFrame, parts: int, blocks: int, k: int, same: bool, at_once: int = AT_ONCE) -> DataFrame:
-    """rows(uid, id, label, dim, v, part) and anchors(uid, id, label, dim, v, block, scores array<long>: their positives', none at first): (anchor, slot, uid, id, score), the best k of each part.
+def _answers(rows: DataFrame, anchors: DataFrame, parts: tuple[int, int], blocks: int, k: int, same: bool, at_once: int = AT_ONCE) -> DataFrame:
+    """rows(uid, id, label, dim, v, part) and anchors(uid, id, label, dim, v, block, lows, highs array<long>): (anchor, slot, uid, id, score), the best k of each part in a range of parts.
 
-    A slot is a place in scores, with the window of 0.3 to 0.9 times that score, or 0 and no window. A task holds one part and one block.
+    A slot is a place in lows and highs, the window of scores there. A task holds one part and one block.
     """
-    left = rows.select("dim", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "uid", "id", "label", "v", F.array().cast("array<long>").alias("scores"))
-    right = anchors.select("dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(True).alias("asks"), "uid", "id", "label", "v", "scores")
+    none = F.array().cast("array<long>")
+    left = rows.where(F.col("part").between(parts[0], parts[1] - 1)).select("dim", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "uid", "id", "label", "v", none.alias("lows"), none.alias("highs"))
+    right = anchors.select("dim", F.explode(F.sequence(F.lit(parts[0]), F.lit(parts[1] - 1))).alias("part"), "block", F.lit(True).alias("asks"), "uid", "id", "label", "v", "lows", "highs")
 
     def run(t):
         import numpy as np
@@ -151,16 +153,13 @@ def _best(rows: DataFrame, anchors: DataFrame, parts: int, blocks: int, k: int,
         place = {u: i for i, u in enumerate(uid[of].tolist())}
         out = [[], [], [], []]
         who = np.nonzero(asks)[0]
-        given = t.column("scores").take(pa.array(who)).to_pylist()
+        given = [t.column(c).take(pa.array(who)).to_pylist() for c in ("lows", "highs")]
         for begin in range(0, len(who), at_once):
             some = who[begin : begin + at_once]
-            if same:
-                lo, hi = np.full((len(some), 1), -np.inf), np.full((len(some), 1), np.inf)
-            else:
-                s = [given[begin + i] for i in range(len(some))]
-                lo, hi = np.full((len(some), max(map(len, s))), 1.0), np.full((len(some), max(map(len, s))), 0.0)
-                for i, p in enumerate(s):
-                    lo[i, : len(p)], hi[i, : len(p)] = [-(-30 * y // 100) for y in p], [90 * y // 100 for y in p]
+            lows, highs = (g[begin : begin + at_once] for g in given)
+            lo, hi = np.full((len(some), max(map(len, lows))), 1.0), np.full((len(some), max(map(len, lows))), 0.0)
+            for i, (x_lo, x_hi) in enumerate(zip(lows, highs, strict=True)):
+                lo[i, : len(x_lo)], hi[i, : len(x_hi)] = x_lo, x_hi
             mine = np.array([place.get(u, -1) for u in uid[some].tolist()])
             best = search(x, own, rank, tree, v[some], label[some], mine, lo, hi, k, same)
             i, w, j = np.nonzero(best != np.iinfo("i8").min)
@@ -175,6 +174,21 @@ def _best(rows: DataFrame, anchors: DataFrame, parts: int, blocks: int, k: int,
     return left.unionByName(right).groupBy("dim", "part", "block").applyInArrow(run, "anchor long, slot int, uid long, id long, score long")
 
 
+def _best(rows: DataFrame, anchors: DataFrame, parts: int, blocks: int, k: int, same: bool) -> DataFrame:
+    """The best k of all parts: (anchor, slot, uid, id, score, rank from 1). Two rounds; the second one's windows begin at the k-th best score of the first."""
+    best = Window.partitionBy("anchor", "slot").orderBy(F.col("score").desc(), "id", "uid")
+    cut = lambda d: d.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = math.isqrt(parts - 1) + 1
+    found = table(cut(_answers(rows, anchors, (0, first), blocks, k, same)), "first-answers")
+    if first < parts:
+        floor = found.where(F.col("rank") == k).groupBy(F.col("anchor").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("floor"))  # a slot each
+        asked = anchors.join(floor, F.col("uid") == F.col("of"), "left").withColumn("lows", F.transform("lows", lambda x, i: F.greatest(x, F.coalesce(F.col("floor")[i], x)))).drop("of", "floor")
+        before = found
+        found = table(cut(before.drop("rank").unionByName(_answers(rows, asked, (first, parts), blocks, k, same))), "answers")
+        drop(before)
+    return found
+
+
 def hard_negatives(vectors: DataFrame, anchor: Column, label: Column, positives: int = 5, negatives: int = 10, key: str = "vec_id", vector: str = "embedding", part: int = PART, block: int = ANCHORS) -> DataFrame:
     """A row an anchor, positive and negative: anchor_id, positive_id long, rank int, negative_id, positive_score, negative_score long.
 
@@ -196,16 +210,16 @@ def hard_negatives(vectors: DataFrame, anchor: Column, label: Column, positives:
     parts = max(1, -(-n // min(part, max(LEAST_PART, n // PARTS))))
     blocks = max(1, -(-asked.count() // block))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "uid"), F.lit(parts)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "uid"), F.lit(blocks)).cast("int")).withColumn("scores", F.array().cast("array<long>"))
-    first = Window.partitionBy("anchor").orderBy(F.col("score").desc(), "id", "uid")
-    found = table(_best(rows, asked, parts, blocks, positives, True).withColumn("n", F.row_number().over(first)).where(F.col("n") <= positives), "positives")
-    of = found.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("p"))  # at most `positives`
-    asked = table(asked.drop("scores").join(of, F.col("uid") == F.col("anchor")).drop("anchor").withColumn("scores", F.col("p.score")), "anchors")
+    limit = F.lit(1 << 45)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "uid"), F.lit(blocks)).cast("int")).withColumns({"lows": F.array(-limit), "highs": F.array(limit)})
+    found = _best(rows, asked, parts, blocks, positives, True)
+    of = found.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("p"))  # at most `positives`
+    # 30 p <= 100 n <= 90 p, in whole numbers
+    windows = {"lows": F.transform("p", lambda x: F.ceil(x["score"] * 3 / F.lit(10.0))), "highs": F.transform("p", lambda x: F.floor(x["score"] * 9 / F.lit(10.0)))}
+    asked = table(asked.drop("lows", "highs").join(of, F.col("uid") == F.col("anchor")).drop("anchor").withColumns(windows), "anchors")
     drop(found)
-    first = Window.partitionBy("anchor", "slot").orderBy(F.col("score").desc(), "negative_id", "other")
-    best = _best(rows, asked, parts, blocks, negatives, False).withColumnsRenamed({"id": "negative_id", "uid": "other"})
-    best = best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives)
-    out = best.join(asked.select("uid", F.col("id").alias("anchor_id"), "p"), F.col("anchor") == F.col("uid"))
+    best = _best(rows, asked, parts, blocks, negatives, False)
+    out = best.select("anchor", "slot", "rank", F.col("id").alias("negative_id"), "score").join(asked.select("uid", F.col("id").alias("anchor_id"), "p"), F.col("anchor") == F.col("uid"))
     p = F.get("p", F.col("slot"))
     return out.select("anchor_id", p["id"].alias("positive_id"), F.col("rank").cast("int").alias("rank"), "negative_id", p["score"].alias("positive_score"), F.col("score").alias("negative_score"))
 
