@@ -29,6 +29,59 @@ def links_followed(edges: DataFrame, include: Sequence[str] = (), exclude: Seque
     return d.where(G.allowed(plugins, url, parent)) if plugins else d
 
 
+class Waves:
+    """A crawl's state in a folder, a wave for each depth: what the frontier holds, what was read of it, what was new.
+
+    step(depth) reads the waves before it and writes its own, over what a step that failed has left, so that it can be run again.
+    """
+
+    def __init__(self, at: str, pages: DataFrame, edges: DataFrame, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()):
+        self.at, self.spark, self.max_pages, self.max_depth = at, pages.sparkSession, max_pages, max_depth
+        kind = pages.schema["id"].dataType.simpleString()
+        tier = F.col("tier") if "tier" in pages.columns else F.lit(None).cast("string")
+        self.pages = pages.select("id", F.col("content_hash").cast("string").alias("content_hash"), tier.alias("tier"))
+        self.edges = links_followed(edges, include, exclude, plugins).select("src", "dst", "pos")
+        self.first = f"id {kind}, ord long"
+        self.schemas = {"wave": f"id {kind}, ord long, depth int", "read": f"id {kind}, ord long, content_hash string, tier string, depth int"}
+        self.schemas["new"] = self.schemas["read"]
+
+    def _put(self, df: DataFrame, name: str, depth: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.at}/{name}/depth={depth}")
+        return self._of(name, depth)
+
+    def _of(self, name: str, depth: int) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).option("basePath", f"{self.at}/{name}").parquet(f"{self.at}/{name}/depth={depth}")
+
+    def every(self, name: str, upto: int | None = None) -> DataFrame:
+        df = self.spark.read.schema(self.schemas[name]).parquet(f"{self.at}/{name}")
+        return df if upto is None else df.where(F.col("depth") <= upto)
+
+    def start(self, seed) -> None:
+        self._put(self.spark.createDataFrame([(seed, 0)], self.first), "wave", 0)
+
+    def step(self, depth: int, used: int | None = None) -> int:
+        """Reads the wave of a depth, `used` pages of the budget being spent (counted where not given), and writes the next one; pages read, negative where the crawl ends here."""
+        if used is None:
+            used = self.every("read", depth - 1).count() if depth else 0
+        got = self._put(self._of("wave", depth).drop("depth").join(self.pages, "id").orderBy("ord").limit(self.max_pages - used).select("id", "ord", "content_hash", "tier"), "read", depth)
+        n = got.count()
+        new = got.join(got.groupBy("content_hash").agg(F.min("ord").alias("ord")), ["content_hash", "ord"], "left_semi")
+        if depth:
+            new = new.join(self.every("new", depth - 1).select("content_hash"), "content_hash", "left_anti")
+        new = self._put(new.select("id", "ord", "content_hash", "tier"), "new", depth)
+        if not n or used + n >= self.max_pages or depth >= self.max_depth:
+            return -n - 1
+        found = self.edges.join(new.select(F.col("id").alias("src"), F.col("ord").alias("parent")), "src")
+        found = found.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("at")).join(self.every("wave", depth).select("id"), "id", "left_anti")
+        self._put(found.orderBy("at").select("id", F.monotonically_increasing_id().alias("ord")), "wave", depth + 1)
+        return n
+
+    def result(self) -> Crawl:
+        none = self.spark.createDataFrame([(t, 0) for t in TIERS], "tier string, n long")
+        tiers = self.every("read").groupBy("tier").agg(F.count("*").alias("n")).union(none).groupBy("tier").agg(F.sum("n").alias("n"))
+        return Crawl(self.every("new").select("id", "depth", "ord"), tiers, self.every("wave").join(self.pages.select("id"), "id", "left_anti").select("id", "depth"))
+
+
 def crawl_report(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()) -> Crawl:
     """pages(id, content_hash; tier if there), edges (see links_followed).
 
@@ -38,42 +91,12 @@ def crawl_report(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50,
     whatever the globs say. Waves, ids seen and hashes are appended to folders in the shared one, so that plans don't grow
     from wave to wave; places are numbered by range, so that no task orders a whole frontier.
     """
-    spark = pages.sparkSession
-    at = scratch(spark, "crawl")
-    kind = pages.schema["id"].dataType.simpleString()
-    tier = F.col("tier") if "tier" in pages.columns else F.lit(None).cast("string")
-    pages = pages.select("id", F.col("content_hash").cast("string").alias("content_hash"), tier.alias("tier"))
-    edges = links_followed(edges, include, exclude, plugins).select("src", "dst", "pos")
-
-    wide = f"id {kind}, ord long, content_hash string, tier string, depth int"
-    narrow = f"id {kind}, ord long, depth int"
-
-    def put(df: DataFrame, name: str, depth: int, schema: str) -> DataFrame:
-        df.write.parquet(f"{at}/{name}/depth={depth}")
-        return spark.read.schema(schema).option("basePath", f"{at}/{name}").parquet(f"{at}/{name}/depth={depth}")
-
-    every = lambda name, schema: spark.read.schema(schema).parquet(f"{at}/{name}")
-    wave = put(spark.createDataFrame([(seed, 0)], f"id {kind}, ord long"), "wave", 0, narrow)
-    used = 0
-    for depth in range(max_depth + 1):
-        got = put(wave.drop("depth").join(pages, "id").orderBy("ord").limit(max_pages - used).select("id", "ord", "content_hash", "tier"), "read", depth, wide)
-        n = got.count()
-        if not n:
-            break
-        used += n
-        new = got.join(got.groupBy("content_hash").agg(F.min("ord").alias("ord")), ["content_hash", "ord"], "left_semi")
-        if depth:
-            new = new.join(every("new", wide).select("content_hash"), "content_hash", "left_anti")
-        new = put(new.select("id", "ord", "content_hash", "tier"), "new", depth, wide)
-        if used >= max_pages or depth == max_depth:
-            break
-        found = edges.join(new.select(F.col("id").alias("src"), F.col("ord").alias("parent")), "src")
-        found = found.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("at")).join(every("wave", narrow).select("id"), "id", "left_anti")
-        wave = put(found.orderBy("at").select("id", F.monotonically_increasing_id().alias("ord")), "wave", depth + 1, narrow)
-    out = every("new", wide).select("id", "depth", "ord") if used else wave.select("id", "depth", "ord").limit(0)
-    none = spark.createDataFrame([(t, 0) for t in TIERS], "tier string, n long")
-    tiers = every("read", wide).groupBy("tier").agg(F.count("*").alias("n")).union(none).groupBy("tier").agg(F.sum("n").alias("n"))
-    return Crawl(out, tiers, every("wave", narrow).join(pages.select("id"), "id", "left_anti").select("id", "depth"))
+    w = Waves(scratch(pages.sparkSession, "crawl"), pages, edges, max_pages, max_depth, include, exclude, plugins)
+    w.start(seed)
+    used = depth = 0
+    while (n := w.step(depth, used)) >= 0:
+        used, depth = used + n, depth + 1
+    return w.result()
 
 
 def crawl(pages: DataFrame, edges: DataFrame, seed, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import constants as C, urls as U
 from ..functions.scoring import parse_date
 from ..sources.state import append_log, read_state, settle, write_state
+from . import watch as W
+
+#: Names and aliases up to which a watchlist is matched by patterns in the plan.
+PATTERNS = 64
 
 
 def pattern(terms: Sequence[str]) -> str:
@@ -27,8 +31,10 @@ def mentions(items: DataFrame, watchlist: Sequence[tuple[str, Sequence[str]]]) -
     """items(title, snippet, url, ord, ...): a row for each entity (name, aliases) that the title or snippet names.
 
     One pass with the entities' patterns as literals: no join of items with patterns. All patterns in one first leave the
-    items that name anyone, and only those are held against each.
+    items that name anyone, and only those are held against each. A list of more than PATTERNS names is an automaton's (watch.mentions).
     """
+    if sum(1 + len(a) for _, a in watchlist) > PATTERNS:
+        return W.mentions(items, watchlist)
     hay = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit("")))
     anyone = "|".join(f"(?:{pattern([n, *a])})" for n, a in watchlist)
     hit = F.array_compact(F.array(*[F.when(F.rlike(hay, F.lit(pattern([n, *a]))), F.lit(n)) for n, a in watchlist]))

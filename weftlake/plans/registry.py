@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scoring as S, text as T, urls as U
-from ..operators import adaptive as N, browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M
+from ..operators import adaptive as N, browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M, watch as WL
 from ..sources import feeds as B, results as E, state as A
-from ..streaming import jobs as J
+from ..streaming import cache as CS, crawler as CR, jobs as J, tracker as TS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -390,6 +390,23 @@ def entity_track_batch(spark, d):
     return M.digest(WATCH, new, known.union(new.select("entity", "url_key"))).select("entity", "n_new", "total_known")
 
 
+@query(
+    """
+WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), p AS (SELECT w[i] AS a, w[i + 1] AS b FROM w, unnest(range(1, len(w))) AS t(i)),
+names AS (SELECT DISTINCT lower(a || ' ' || b) AS name FROM p WHERE regexp_full_match(a, '[A-Za-z]+') AND regexp_full_match(b, '[A-Za-z]+')),
+d AS (SELECT doc_id, lower(text) AS t, text FROM documents WHERE text IS NOT NULL)
+SELECT name AS entity, count(*) AS n FROM names JOIN d ON contains(t, name) WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)') GROUP BY 1
+"""
+)
+def watch_large(spark, d):
+    """A watchlist of thousands of names (each pair of words of the benchmark's passages) over whole documents: how many name each."""
+    w = F.split("text", " ")
+    pairs = _read(spark, d, "benchmark").select(F.explode(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(w, i + 1).alias("b")))).alias("p"))
+    word = lambda c: c.rlike("^[A-Za-z]+$")
+    names = [r["name"] for r in pairs.where(word(F.col("p.a")) & word(F.col("p.b"))).select(F.lower(F.concat("p.a", F.lit(" "), "p.b")).alias("name")).distinct().orderBy("name").collect()]  # the watchlist
+    return WL.mentions(_items(_read(spark, d, "documents")).withColumn("title", F.lit(None).cast("string")), [(n, []) for n in names]).groupBy("entity").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""
 WITH m AS (SELECT entity, doc_id, row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS n FROM ({_NAMED}))
@@ -552,6 +569,73 @@ def stream_track(spark, d):
     return J.run_available(J.new_mentions_stream(found)).groupBy("entity").agg(F.count("*").alias("n"))
 
 
+_REQUESTS = "SELECT event_id AS seq, 'https://h/' || user_id || '/' || event_type AS url, epoch_us(ts) AS t, 100 + event_id * 37 % 900 AS size, user_id % 16 AS shard, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS n FROM events"
+
+
+@query(
+    f"""
+WITH RECURSIVE r AS MATERIALIZED ({_REQUESTS}),
+w AS (
+  SELECT shard, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, FALSE AS from_cache, CAST([] AS STRUCT(url VARCHAR, t BIGINT, size BIGINT)[]) AS st FROM (SELECT DISTINCT shard FROM r)
+  UNION ALL
+  SELECT shard, n, seq, hit, CASE WHEN hit THEN live ELSE list_append(list_slice(live, 1 + list_min(list_filter(range(len(live) + 1), lambda k: k = len(live) OR coalesce(list_sum(list_transform(list_slice(live, k + 1, len(live)), lambda e: e.size)), 0) + size <= 3000)), len(live)), struct_pack(url := url, t := t, size := size)) END
+  FROM (SELECT r.shard, r.n, r.seq, r.url, r.t, r.size, live, len(list_filter(live, lambda e: e.url = r.url)) > 0 AS hit
+        FROM (SELECT w.shard, w.n, r.n AS next, list_filter(w.st, lambda e: r.t - e.t <= 86400000000) AS live FROM w JOIN r ON r.shard = w.shard AND r.n = w.n + 1) l JOIN r ON r.shard = l.shard AND r.n = l.next)
+)
+SELECT seq, from_cache, CAST(len(st) AS BIGINT) AS n_held, CAST(coalesce(list_sum(list_transform(st, lambda e: e.size)), 0) AS BIGINT) AS held FROM w WHERE n > 0
+"""
+)
+def cache_stream(spark, d):
+    """The result cache as stream state over requests made of events: which are answered, and what each shard then holds."""
+    requests = J.read_table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("https://h/"), "user_id", F.lit("/"), "event_type").alias("url"), F.col("ts").cast("timestamp").alias("at"), (100 + F.col("event_id") * 37 % 900).alias("size"), "user_id")
+    out = CS.run_available(requests, A.scratch(spark, "cache"), ttl_seconds=86400, max_size=48000, shards=16, shard=F.col("user_id") % 16)
+    return out.select("seq", "from_cache", "n_held", "held")
+
+
+def _sq_runs(runs: int) -> str:
+    """The runs of a tracker, one after the other, 40 days apart: a run reports what the state doesn't hold, and prunes then."""
+    parts = [f"m AS MATERIALIZED ({_NAMED})", "s0 AS (SELECT entity, doc_id, 0 AS day FROM m WHERE false)"]
+    for k in range(runs):
+        parts.append(f"n{k} AS MATERIALIZED (SELECT DISTINCT entity, doc_id // 2 AS doc_id FROM m WHERE (doc_id % 2 = 0 AND doc_id // 2 % {runs} = {k}) OR (doc_id % 2 = 1 AND {k} IN (1, 4) AND doc_id // 2 % {runs} = 0) EXCEPT SELECT entity, doc_id FROM s{k})")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT * FROM (SELECT * FROM s{k} UNION ALL SELECT *, {40 * k} FROM n{k}) WHERE day >= {40 * k} - 90)")
+    rows = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS run, entity, (SELECT count(*) FROM n{k} WHERE n{k}.entity = w.entity) AS n_new, (SELECT count(*) FROM s{k + 1} WHERE s{k + 1}.entity = w.entity) AS total_known FROM w" for k in range(runs))
+    return f"WITH {', '.join(parts)}, w AS ({_WATCHED}) {rows}"
+
+
+@query(_sq_runs(5))
+def track_stream(spark, d):
+    """The tracker as a stream of five runs, 40 days apart, on versioned state, started again from its checkpoint for each.
+
+    A url stands for two documents: the even one in a run of its own, the odd one, where it is the first run's, in the second and the last too.
+    """
+    at, runs = A.scratch(spark, "track-stream"), 5
+    docs = _read(spark, d, "documents").withColumn("k", F.floor(F.col("doc_id") / 2))
+    own = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("k") % runs)).otherwise(F.when(F.col("k") % runs == 0, F.array(F.lit(1).cast("long"), F.lit(4).cast("long"))).otherwise(F.array().cast("array<long>")))
+    items = docs.withColumn("run", F.explode(own)).select("run", F.concat(F.lit("T "), "doc_id").alias("title"), F.col("text").alias("snippet"), F.concat(F.lit("https://x.org/"), "k", F.lit("/?q=1")).alias("url"), F.lit("seen").alias("source"), F.col("doc_id").alias("ord"))
+    items = A.settle(items.withColumn("seen", F.timestamp_add("DAY", F.col("run") * 40, F.lit("2024-01-01").cast("timestamp"))), "track-items")
+    stream = spark.readStream.schema(items.drop("run").schema).parquet(f"{at}/items/run-*")
+    for k in range(runs):
+        items.where(F.col("run") == k).drop("run").write.parquet(f"{at}/items/run-{k}")
+        TS.track_stream(stream, WATCH, f"{at}/state").awaitTermination()
+    return TS.runs(spark, f"{at}/state").select("run", "entity", "n_new", "total_known")
+
+
+@query(
+    f"""
+WITH RECURSIVE {_GRAPH},
+r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 7)
+SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1
+"""
+)
+def crawl_stream(spark, d):
+    """A crawl by micro-batches, seven deep, stopped after three waves and taken up again from its checkpoint."""
+    docs = _read(spark, d, "documents")
+    pages = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("content_hash"))
+    at, edges = A.scratch(spark, "crawl-stream"), _graph(docs)
+    CR.crawl_stream(pages, edges, 0, at, max_waves=3, max_pages=1_000_000, max_depth=7)
+    return CR.crawl_stream(pages, edges, 0, at, max_pages=1_000_000, max_depth=7).pages.select("id", F.col("depth").cast("long").alias("depth"))
+
+
 @query()
 def readable_extract(spark, d):
     """The article of each page by density."""

@@ -37,22 +37,41 @@ def _there(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_state(spark: SparkSession, path: str, schema: str = MENTIONS) -> DataFrame:
-    """The newest version of a state table, empty where there is none."""
+def read_state(spark: SparkSession, path: str, schema: str = MENTIONS, upto: int | None = None) -> DataFrame:
+    """The newest version of a state table (of those up to a number, where one is given), empty where there is none."""
     found = spark.read.schema(f"{schema}, version long").parquet(path) if _there(spark, path) else None
+    if found is not None and upto is not None:
+        found = found.where(F.col("version") <= upto)
     last = found.agg(F.max("version")).first()[0] if found is not None else None
     if last is None:
         return spark.createDataFrame([], schema)
     return found.where(F.col("version") == last).drop("version")
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    """Adds a version beside the one that is read, so that a run can read, prune and write one table; earlier ones stay until removed."""
+def write_state(state: DataFrame, path: str, version: int | None = None) -> None:
+    """Adds a version beside the one that is read, so that a run can read, prune and write one table; earlier ones stay until removed.
+
+    A numbered version replaces what a run that failed has left of it.
+    """
     spark = state.sparkSession
+    if version is not None:
+        state.write.mode("overwrite").parquet(f"{path}/version={version}")
+        return
     last = spark.read.parquet(path).agg(F.max("version")).first()[0] if _there(spark, path) else None
     state.write.mode("errorifexists").parquet(f"{path}/version={0 if last is None else last + 1}")
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder was written to its end."""
+    return _there(spark, f"{path}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def watchlist(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(name, type, aliases, domains) as stored, the default entities where nothing is."""
     stored = read_state(spark, path, _WATCH) if path else spark.createDataFrame([], _WATCH)
