@@ -118,3 +118,26 @@ def test_video_odd_shapes():
     assert [c["time"] for c in got["chapters"]] == [None, 61.0, 0.0, None, None] and "**1:01** — one" in got["markdown"]
     odd = {"lockupViewModel": {"contentId": "c", "metadata": {"lockupMetadataViewModel": {"title": {"content": {"a": 1}}, "metadata": {"contentMetadataViewModel": {"metadataRows": {"metadataParts": 3}}}}}}}
     assert video.extract("<script>var ytInitialData = " + json.dumps(odd) + ";</script>", "v")["videos"][0] == {"title": "", "video_id": "c", "views": "", "duration": "", "published": ""}
+
+
+def test_a_site_is_parsed_once(spark):
+    """A crawl's waves read what was parsed from a table: no plan after it runs Python."""
+    from weftlake.operators import site
+
+    pages = spark.createDataFrame([(f"https://h.org/{i}", f"<p>page {i}</p><a href='/{i + 1}'>n</a>") for i in range(5)], "url string, html string")
+    for df in site.site_tables(pages):
+        assert "MapInArrow" not in df._jdf.queryExecution().toString()
+    assert site.crawl_site(pages, "https://h.org/0").pages.count() == 5
+
+
+def test_adaptive_compiles(spark):
+    """Every stage of the query's plan compiles to code that a method can hold."""
+    import os
+
+    from weftlake.plans import registry
+
+    data = os.environ.get("WEFTLAKE_TESTDATA", "/root/testdata/sf0.001")
+    plan = registry.queries()["adaptive_fetch"](spark, data)._jdf.queryExecution()
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan.executedPlan())
+    for i in range(stages.size()):
+        assert stages.apply(i)._3().maxMethodCodeSize() != -1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import constants as C
 from .text import left16, len16, prose, squeeze
@@ -78,17 +78,33 @@ def tier_before(url: Column) -> Column:
     return _tier(s + F.when(starts, 0.2).otherwise(0.0))
 
 
-def tier_after(html: Column, content_type: Column | None = None) -> Column:
+def shown(html: Column) -> Column:
+    """The length of what a page shows without its scripts and marks, blanks counted once."""
+    return len16(squeeze(F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", ""), "<[^>]+>", " ")))
+
+
+def after_score(html: Column, n: Column, content_type: Column | None = None) -> Column:
+    """The score of a fetched page, of which n characters are shown, for a tier that renders."""
     yes = lambda pattern: F.rlike(html, F.lit(pattern))
     plus = lambda cond, n: F.when(cond, n).otherwise(0.0)
-    body = squeeze(F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", ""), "<[^>]+>", " "))
-    n, scripts, inline = len16(body), F.regexp_count(html, F.lit("(?i)<script")), yes(C.INLINE_LOGIC)
+    scripts, inline = F.regexp_count(html, F.lit("(?i)<script")), yes(C.INLINE_LOGIC)
     s = plus(yes(C.EMPTY_ROOT), 0.35) + plus(yes(C.NOSCRIPT), 0.3) + plus(yes(C.FRAMEWORKS), 0.2)
     s = s + F.when((n < 200) & ((scripts >= 1) | inline), 0.6).when((n < 600) & ((scripts > 2) | inline), 0.3).otherwise(0.0)
     s = s - plus(yes(C.SUBSTANTIAL), 0.4) - plus(n > 2000, 0.4) - plus(n > 500, 0.2)
     if content_type is not None:
         s = s - plus(F.contains(content_type, F.lit("text/html")) & (n > 1000), 0.2)
-    return _tier(F.greatest(s, F.lit(0.0)))
+    return F.greatest(s, F.lit(0.0))
+
+
+def tier_after(html: Column, content_type: Column | None = None) -> Column:
+    return _tier(after_score(html, shown(html), content_type))
+
+
+def with_tier_after(d: DataFrame, name: str, html: Column, content_type: Column | None = None) -> DataFrame:
+    """d with tier_after as a column. Length and score are columns of their own on the way: each is read several times, and one expression of all would outgrow a method's code."""
+    d = d.withColumn("_shown", shown(html))
+    d = d.withColumn("_score", after_score(html, F.col("_shown"), content_type)).drop("_shown")
+    return d.withColumn(name, _tier(F.col("_score"))).drop("_score")
 
 
 def page_class(title: Column, markdown: Column, captcha: Column | None = None, min_prose: int = 200) -> Column:

@@ -30,13 +30,6 @@ def js_round(c: Column) -> Column:
     return F.floor(c + F.lit(0.5))
 
 
-def post_clean(md: Column) -> Column:
-    """Three or more line ends become two, lines lose trailing blanks, both ends are trimmed; in that order."""
-    c = F.regexp_replace(md, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, r"[ \t]+(?=\n|$)", "")
-    return F.regexp_replace(c, f"^{C.JS_SPACE}+|{C.JS_SPACE}+$", "")
-
-
 def plain_text(md: Column) -> Column:
     c = F.regexp_replace(md, r"(?s)```.*?```", "")
     return squeeze(F.regexp_replace(c, r"[#*_`\[\]()>|-]", ""))

@@ -45,15 +45,18 @@ def adaptive(requests: DataFrame, snapshots: DataFrame, memory: DataFrame | None
     by = one.groupBy(F.col("url").alias("_u")).agg(F.map_from_entries(F.collect_list(F.struct("tier", "page"))).alias("_by"))  # three tiers at most
     d = d.join(by, F.col("url") == F.col("_u"), "left").withColumn("_by", F.coalesce("_by", F.create_map().cast(by.schema["_by"].dataType)))
     here = F.map_contains_key("_by", F.col("predicted"))
-    after = S.tier_after(_at("http")["html"], F.coalesce(_at("http")["content_type"], F.lit("")))["tier"]
-    wanted = F.when((F.col("predicted") == "http") & here, after)
+    d = d.withColumn("_here", here)
+    asks = F.when((F.col("predicted") == "http") & F.col("_here"), _at("http")["html"])  # only a page that was read by http can ask for more
+    d = S.with_tier_after(d.withColumn("_html", asks).withColumn("_type", F.coalesce(_at("http")["content_type"], F.lit(""))), "_after", F.col("_html"), F.col("_type"))
+    here, wanted = F.col("_here"), F.when(F.col("_html").isNotNull(), F.col("_after.tier"))
     climbed = F.lit(None).cast("string")
     for k in range(len(TIERS) - 1, -1, -1):
         higher = F.coalesce(*[F.when(F.map_contains_key("_by", F.lit(t)), t) for t in TIERS[k + 1 :]], F.lit(None).cast("string"))
         climbed = F.when(F.col("predicted") == TIERS[k], higher).otherwise(climbed)
     if forced is None:
-        up = F.coalesce((wanted != "http") & F.map_contains_key("_by", wanted), F.lit(False))
-        tier = F.when(up, wanted).when(here, F.col("predicted")).otherwise(climbed)
+        d = d.withColumn("_wanted", wanted)
+        up = F.coalesce((F.col("_wanted") != "http") & F.map_contains_key("_by", F.col("_wanted")), F.lit(False))
+        tier = F.when(up, F.col("_wanted")).when(here, F.col("predicted")).otherwise(climbed)
     else:
         tier = F.when(here, F.col("predicted"))
     d = d.withColumn("_tier", tier)

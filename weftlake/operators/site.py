@@ -50,11 +50,13 @@ def site_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pages(url, html; tier if there) as crawl's tables, one parse a page: pages (id, content_hash, tier, url), edges (src, dst, pos, url, parent_url) of inner links.
 
     Ids are urls without hash and trailing slashes; of several pages of one id the first url counts. Content is told apart by 256 bits.
+    What was parsed is written, as a crawl reads both tables in each of its waves.
     """
     tier = F.col("tier") if "tier" in pages.columns else F.lit("http")
     d = P.parse(pages.select("url", tier.alias("tier"), "html").where("url is not null"), ("links", "markdown"))
     d = d.select(U.frontier_key(F.col("url")).alias("id"), "url", "tier", T.content_key(F.col("markdown")).alias("content_hash"), "links")
     d = d.groupBy("id").agg(F.min_by(F.struct("url", "tier", "content_hash", "links"), "url").alias("x")).select("id", "x.*")
+    d = A.settle(d, "site")
     edges = d.select(F.col("id").alias("src"), F.col("url").alias("parent_url"), F.posexplode("links").alias("pos", "x")).where("x.is_internal")
     edges = edges.select("src", U.frontier_key(F.col("x.url")).alias("dst"), "pos", F.col("x.url").alias("url"), "parent_url")
     return d.select("id", "content_hash", "tier", "url"), edges

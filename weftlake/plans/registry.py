@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scoring as S, text as T, urls as U
 from ..operators import adaptive as N, browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M, watch as WL
@@ -543,9 +543,11 @@ def transcript_parse(spark, d):
     return x.select("conv_id", F.size("seg").cast("long").alias("segments"), F.sha2(B.render_transcript(F.col("seg")), 256).alias("rendered"))
 
 
-@query("SELECT CAST(9 - i AS BIGINT) AS ord, strftime(DATE '2024-02-21' + CAST(i AS INT), '%Y-%m-%d') AS date FROM range(10) t(i)")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, 'Portal:Current_events/' || year(ts) || '_' || strftime(ts, '%B') || '_' || day(ts) AS page, count(*) AS n FROM events GROUP BY 1, 2")
 def day_pages(spark, d):
-    return B.day_pages(spark, 10, "2024-03-01").select("ord", "date")
+    """The day pages that a reader of the events would open, and how many events fall on each."""
+    days = _read(spark, d, "events").select(F.col("ts").cast("date").alias("day")).groupBy("day").agg(F.count("*").alias("n"))
+    return B.page_names(days).select("date", "page", "n")
 
 
 @query("SELECT doc_id, category, CAST(pos AS BIGINT) AS pos, text FROM (SELECT doc_id, 'Sports' AS category, 0 AS pos, 'first item ' || doc_id || ' of the day' AS text FROM documents UNION ALL SELECT doc_id, 'Law and crime', 0, 'a linked item ' || doc_id || ' here' FROM documents)")
@@ -731,17 +733,29 @@ def plugin_chain(spark, d):
     return out.select("page_id", F.col("extracted")["lang"].alias("lang"), F.col("extracted")["mark"].alias("mark"))
 
 
+#: The registry's feeds, and what their snapshots hold here: a document is a fetch of the feed that its id falls to.
+_N_FEEDS = sum(map(len, C.DOMAIN_FEEDS.values()))
+_FEEDS = "[" + ", ".join(f"'{x}'" for x, feeds in C.DOMAIN_FEEDS.items() for _ in feeds) + "]"
+_FETCHES = f"f AS (SELECT doc_id % {_N_FEEDS} AS i, max(doc_id) AS id FROM documents GROUP BY 1), g AS (SELECT r.i, f.id, list_extract({_FEEDS}, CAST(r.i + 1 AS BIGINT)) AS domain FROM range({_N_FEEDS}) r(i) LEFT JOIN f ON f.i = r.i)"
+
+
+def _fetches(spark, d, bad: int, items: Column) -> DataFrame:
+    """The last fetch of each feed of the registry; one document in `bad` is a failed one. items: an array of the fetch's items."""
+    name = F.element_at(F.array(*[F.lit(f) for feeds in C.DOMAIN_FEEDS.values() for f in feeds]), (F.col("doc_id") % _N_FEEDS + 1).cast("int"))
+    docs = _read(spark, d, "documents").select(name.alias("feed"), F.when(F.col("doc_id") % bad == bad - 1, 500).otherwise(200).alias("status"), F.array_join(items, "").alias("xml"), F.col("doc_id").alias("fetched_at"))
+    return E.latest(docs)
+
+
 @query(
-    """
-WITH f AS (SELECT unnest(range(13)) AS i), t AS (SELECT i, CASE WHEN i < 4 THEN 'ai' WHEN i < 7 THEN 'markets' WHEN i < 10 THEN 'youtube' ELSE 'crypto' END AS domain, CASE WHEN k = 0 THEN 'https://x.org/shared' ELSE 'https://x.org/' || i || '-' || k END AS url FROM f, unnest(range(3)) AS r(k) WHERE i % 5 <> 4)
+    f"""
+WITH {_FETCHES}, t AS (SELECT i, domain, CASE WHEN k = 0 THEN 'https://x.org/shared' ELSE 'https://x.org/' || id || '-' || k END AS url FROM g, unnest(range(3)) AS r(k) WHERE id % 5 <> 4)
 SELECT domain, url FROM (SELECT domain, url, row_number() OVER (PARTITION BY url ORDER BY i) AS n FROM t) WHERE n = 1
 """
 )
 def discover_feeds(spark, d):
-    """The known feeds' items (a failed feed among each five), each url once."""
-    item = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("<item><title>t</title><link>https://x.org/"), F.when(k == 0, "shared").otherwise(F.concat(F.col("feed_ord").cast("string"), F.lit("-"), k.cast("string"))), F.lit("</link></item>")))
-    feeds = E.feed_registry(spark).select("feed", F.when(F.col("feed_ord") % 5 == 4, 500).otherwise(200).alias("status"), F.array_join(item, "").alias("xml"))
-    return E.discover_domains(spark, feeds, "2024-01-02")[0].select("domain", "url")
+    """The known feeds' items from the last of their fetches (some failed), each url once."""
+    item = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("<item><title>t</title><link>https://x.org/"), F.when(k == 0, "shared").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("-"), k.cast("string"))), F.lit("</link></item>")))
+    return E.discover_domains(spark, _fetches(spark, d, 5, item), "2024-01-02")[0].select("domain", "url")
 
 
 def linked_pages(docs: DataFrame) -> DataFrame:
@@ -830,10 +844,10 @@ def extract_many(spark, d):
     return P.extract_many(asked, snapshots).select("page_id", F.regexp_extract("title", "^(T [0-9]+|)", 1).alias("title"), (F.col("extracted_via") != "none").alias("found"))
 
 
-@query("SELECT doc_id, length(text) >= 200 AND doc_id % 3 <> 0 AS ok, CASE WHEN length(text) >= 200 AND doc_id % 3 <> 0 THEN CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT) END AS approx_tokens FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, coalesce(length(text) >= 200 AND doc_id % 3 <> 0, FALSE) AS ok, CASE WHEN length(text) >= 200 AND doc_id % 3 <> 0 THEN CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT) END AS approx_tokens FROM documents")
 def reader_pages(spark, d):
     """A reader proxy's texts: those of status 200 and 200 characters or more."""
-    t = _read(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("https://x.org/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 3 == 0, 403).otherwise(200).alias("status"), F.col("text").alias("body"))
+    t = _read(spark, d, "documents").select("doc_id", F.concat(F.lit("https://x.org/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 3 == 0, 403).otherwise(200).alias("status"), F.col("text").alias("body"))
     return E.reader(t).select("doc_id", "ok", "approx_tokens")
 
 
@@ -888,20 +902,19 @@ def results_files(spark, d):
 
 
 @query(
-    """
-WITH f AS (SELECT unnest(range(13)) AS i),
-t AS (SELECT i, k, CASE WHEN i < 4 THEN 'ai' WHEN i < 7 THEN 'markets' WHEN i < 10 THEN 'youtube' ELSE 'crypto' END AS domain, CASE k WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2023-11-01' ELSE 'soon' END AS date FROM f, unnest(range(3)) AS r(k) WHERE i % 4 <> 3)
-SELECT domain, 'https://x.org/' || i || '-' || k AS url, date, (SELECT count(*) FROM f WHERE i % 4 <> 3) AS feeds_read, (SELECT count(*) FROM f WHERE i % 4 = 3) AS feeds_failed FROM t WHERE date <> '2023-11-01'
+    f"""
+WITH {_FETCHES},
+t AS (SELECT i, id, k, domain, CASE k WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2023-11-01' ELSE 'soon' END AS date FROM g, unnest(range(3)) AS r(k) WHERE id % 4 <> 3)
+SELECT domain, 'https://x.org/' || id || '-' || k AS url, date, (SELECT count(*) FROM g WHERE id % 4 <> 3) AS feeds_read, (SELECT count(*) FROM g WHERE id IS NULL OR id % 4 = 3) AS feeds_failed FROM t WHERE date <> '2023-11-01'
 """
 )
 def discover_recent(spark, d):
-    """The feeds' items of the last 30 days and those without a readable date, with the counts of feeds read and failed."""
+    """The items of the feeds' last fetches of the last 30 days and those without a readable date, with the counts of feeds read and failed."""
     day = lambda k: F.when(k == 0, "2024-01-05").when(k == 1, "2023-11-01").otherwise("soon")
-    item = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("<item><title>t</title><link>https://x.org/"), F.col("feed_ord").cast("string"), F.lit("-"), k.cast("string"), F.lit("</link><pubDate>"), day(k), F.lit("</pubDate></item>")))
-    feeds = E.feed_registry(spark).select("feed", F.when(F.col("feed_ord") % 4 == 3, 404).otherwise(200).alias("status"), F.array_join(item, "").alias("xml"))
-    items, counts = E.discover_domains(spark, feeds, "2024-01-10", max_age_days=30)
+    item = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("<item><title>t</title><link>https://x.org/"), F.col("doc_id").cast("string"), F.lit("-"), k.cast("string"), F.lit("</link><pubDate>"), day(k), F.lit("</pubDate></item>")))
+    items, counts = E.discover_domains(spark, _fetches(spark, d, 4, item), "2024-01-10", max_age_days=30)
     n = counts.first()  # two numbers
-    return items.select("domain", "url", "date", F.lit(n["feeds_read"]).alias("feeds_read"), F.lit(n["feeds_failed"]).alias("feeds_failed"))
+    return items.select("domain", "url", "date", F.lit(n["feeds_read"]).cast("long").alias("feeds_read"), F.lit(n["feeds_failed"]).cast("long").alias("feeds_failed"))
 
 
 @query("SELECT doc_id, category, place FROM (SELECT doc_id, 'Sports' AS category, 1::BIGINT AS place FROM documents) WHERE doc_id < 60 UNION ALL SELECT -1, 'Sports', 61 WHERE false")

@@ -9,16 +9,6 @@ from ..functions.text import squeeze
 from ..functions.urls import item_key
 
 
-def snapshots(spark, path: str) -> DataFrame:
-    """The snapshot table (url, fetched_at, status, headers, html, tier) that stands in for live fetching."""
-    return spark.read.parquet(path)
-
-
-def events(spark, sf_dir: str) -> DataFrame:
-    """The events table with ts as a timestamp (UTC sessions), as watermarks need."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def sitemap_urls(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit("(?i)<loc>(.*?)</loc>"), F.lit(1))
 
@@ -52,8 +42,13 @@ def first_of_key(items: DataFrame, *order: str) -> DataFrame:
 
 def day_pages(spark, days: int, today: str) -> DataFrame:
     """(ord, date, page) of the last days, newest first."""
-    d = spark.range(days).select(F.col("id").alias("ord"), F.date_sub(F.lit(today).cast("date"), F.col("id").cast("int")).alias("d"))
-    return d.select("ord", F.date_format("d", "yyyy-MM-dd").alias("date"), F.concat(F.lit("Portal:Current_events/"), F.year("d"), F.lit("_"), F.date_format("d", "MMMM"), F.lit("_"), F.dayofmonth("d")).alias("page"))
+    return page_names(spark.range(days).select(F.col("id").alias("ord"), F.date_sub(F.lit(today).cast("date"), F.col("id").cast("int")).alias("day"))).select("ord", "date", "page")
+
+
+def page_names(days: DataFrame, day: str = "day") -> DataFrame:
+    """days(day date, ...) with date and page, the name of the portal's page of that day."""
+    d = F.col(day)
+    return days.withColumn("date", F.date_format(d, "yyyy-MM-dd")).withColumn("page", F.concat(F.lit("Portal:Current_events/"), F.year(d), F.lit("_"), F.date_format(d, "MMMM"), F.lit("_"), F.dayofmonth(d)))
 
 
 def day_events(days: DataFrame) -> DataFrame:
@@ -107,8 +102,3 @@ def duration(seconds: Column) -> Column:
 def views(n: Column) -> Column:
     c = F.when(n >= 1_000_000_000, F.concat(F.format_string("%.1f", n / 1e9), F.lit("B"))).when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1e6), F.lit("M")))
     return c.when(n >= 1_000, F.concat(F.format_string("%.1f", n / 1e3), F.lit("K"))).otherwise(n.cast("string"))
-
-
-def embedded_json(html: Column, name: str) -> Column:
-    """The JSON of `var <name> = {...};` in a page, as a variant; null where it doesn't parse."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(html, rf"(?s)var {name}\s*=\s*(\{{.*?\}});", 1), F.lit("")))

@@ -75,6 +75,12 @@ def sweep_queries(spark: SparkSession, today: str, domains: Sequence[str] | None
     return d.withColumn("query", F.replace(F.replace("query", F.lit("{M}"), F.date_format(t, "MMMM")), F.lit("{Y}"), F.date_format(t, "yyyy")))
 
 
+def latest(snapshots: DataFrame, by: str = "fetched_at") -> DataFrame:
+    """snapshots(feed, status, xml, by, ...), a row a fetch: the last fetch of each feed (nulls are no time). Maxima are combined before the shuffle."""
+    rest = [c for c in snapshots.columns if c not in ("feed", by)]
+    return snapshots.where(F.col(by).isNotNull()).groupBy("feed").agg(F.max_by(F.struct(*rest), by).alias("_x")).select("feed", "_x.*")
+
+
 def discover_domains(spark: SparkSession, feeds: DataFrame, today: str, swept: DataFrame | None = None, domains: Sequence[str] | None = None, per_feed: int = 12, max_age_days: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(items: domain, feed, title, url, date, one row a url key; counts: feeds_read, feeds_failed).
 
