@@ -494,8 +494,43 @@ def test_vectors_of_many_cells(spark, small):
         if (new == least).all():
             break
         least = new
-    if (mine == want).all():
-        assert [got[i][1] for i in range(len(x))] == least.tolist()
+    named = np.array([got[i][1] for i in range(len(x))])
+    assert (least[named] == least).all() and (named == least).mean() >= 0.97  # never joined wrongly; apart only where a link was missed
+
+
+@pytest.mark.parametrize("pivot_bytes", [64 << 20, 2000])
+def test_every_split_label_is_audited(spark, monkeypatch, pivot_bytes):
+    """40 labels of several cells: each is measured, and each reaches the recall, with pivots for all of them and for few (a second level of pivots then)."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PIVOT_BYTES", pivot_bytes)
+    again = []
+    plain = vectors._assign_again
+
+    def counted(cells, *rest):
+        out = plain(cells, *rest)
+        again.append(out is not cells)
+        return out
+
+    monkeypatch.setattr(vectors, "_assign_again", counted)
+    r = np.random.default_rng(8)
+    each = 200 if pivot_bytes == 2000 else 60
+    x = np.concatenate([np.repeat(r.normal(size=(each // 4, 24)), 4, axis=0) + 0.08 * r.normal(size=(each, 24)) for _ in range(40)])
+    label = np.repeat(np.arange(40), each)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    out, audit = vectors.near_vectors(spark.createDataFrame([(i, int(label[i]), v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>"), cell=32, shard=16, block=64)
+    mine = np.zeros(len(x), int)
+    for row in out.collect():
+        mine[row["vec_id"]] = row["n_links"]
+    told = [row for row in audit.collect() if row["scope"] == "label"]
+    assert len(told) == 40 and all(row["asked"] >= 60 for row in told)
+    assert again == [pivot_bytes == 2000]
+    want = near.sum(axis=1)
+    assert want.sum() > 1000 and (mine <= want).all()
+    for k in range(40):
+        assert mine[label == k].sum() >= 0.97 * want[label == k].sum()
 
 
 def test_vectors_compared_whole(spark):
@@ -520,3 +555,14 @@ def test_vectors_compared_whole(spark):
     assert count.tolist() == near.sum(axis=1).tolist()
     assert all(find(i) == find(j) for i, j in zip(*np.nonzero(near), strict=True))
     assert len({find(i) for i in range(300)}) >= 2
+
+
+def test_clashing_names_stay(spark):
+    """Columns called as the operators call theirs inside come back as they were."""
+    d = spark.createDataFrame([(1, "one two three " * 9, "h", 7, "x"), (2, None, None, 8, "y")], "doc_id long, text string, source string, `_bad` int, `_bad_host` string")
+    out = {r["doc_id"]: r for r in quality.judge(d).collect()}
+    assert [(out[i]["_bad"], out[i]["_bad_host"]) for i in (1, 2)] == [(7, "x"), (8, "y")]
+    u = spark.createDataFrame([("a.example.com", "/en/x", "mine", "p", 5), (None, None, "m2", None, 6)], "host string, path string, `_host` string, `_path` string, `_x` int")
+    rules = spark.createDataFrame(list(urls.RULES), "rule_host string, rule_path string, rule_verdict string")
+    for got in (urls.match_rules(u), urls.match_rules_joined(u, rules)):
+        assert sorted((r["host"] or "", r["_host"], r["_path"], r["_x"], r["verdict"]) for r in got.collect()) == [("", "m2", None, 6, "allow"), ("a.example.com", "mine", "p", 5, "block")]

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def unused(columns, *names: str) -> list[str]:
+    """The names, lengthened until none of columns is called so (case aside, as Spark resolves)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 #: Paths of the work tables that this driver has written and not deleted.
 made: list[str] = []
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, trimmed
+from .common import table, trimmed, unused
 
 #: Rules of a document beside the base ones: symbols by word and repeated lines by line.
 SOFT_SYMBOLS, SOFT_LINES = 0.1, 0.3
@@ -113,8 +113,9 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, ho
     d = d.withColumn("base_failed", base).withColumn("soft_failed", soft)
     d = table(d if with_text else d.drop(text), "measured")
     bad = bad_hosts(host_rates(d.select(F.col(host).alias("_host"), F.col("soft_failed").alias("failed")), "_host"), odds)
-    bad = table(bad.select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad")), "bad-hosts")
-    d = d.join(bad, d[host].eqNullSafe(bad["_bad_host"]), "left").withColumn("host_bad", F.coalesce("_bad", F.lit(False))).drop("_bad_host", "_bad")
+    named, is_bad = unused(d.columns, "_bad_host", "_bad")
+    bad = table(bad.select(F.col("host").alias(named), F.lit(True).alias(is_bad)), "bad-hosts")
+    d = d.join(bad, d[host].eqNullSafe(bad[named]), "left").withColumn("host_bad", F.coalesce(is_bad, F.lit(False))).drop(named, is_bad)
     return d.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed")))
 
 

@@ -16,6 +16,8 @@ from collections.abc import Iterator, Sequence
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import unused
+
 #: The rules of the query: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Beyond this many bytes of rules the array isn't sent to the executors; the rules are joined instead, with the same result.
@@ -152,15 +154,18 @@ def match_rules_joined(urls: DataFrame, rules: DataFrame, default: str = "allow"
     """
     urls = urls.drop("rule", "verdict")
     r = rules.groupBy(F.concat("rule_host", "rule_path").alias("_rule")).agg(F.max("rule_verdict").alias("_v")).withColumn("_h", F.xxhash64("_rule"))
-    lengths = rules.select(F.length("rule_path").alias("_n")).distinct()
+    lengths = rules.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("n")).first()["n"]  # path lengths: a few hundred at most
     labels = F.split("_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
     p = urls.where("host <> '' and path is not null").select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
-    p = p.select("_host", "_path", F.explode(suffixes).alias("_suffix")).join(F.broadcast(lengths), F.col("_n") <= F.length("_path"))  # path lengths: a few hundred at most
+    fit = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_path"))
+    p = p.select("_host", "_path", F.explode(suffixes).alias("_suffix"), fit.alias("_fit")).select("_host", "_path", "_suffix", F.explode("_fit").alias("_n"))
     p = p.select("_host", "_path", F.length("_suffix").alias("_s"), F.expr("concat(_suffix, left(_path, _n))").alias("_probe")).withColumn("_g", F.xxhash64("_probe"))
     hits = p.join(r, (p["_g"] == r["_h"]) & (p["_probe"] == r["_rule"])).groupBy("_host", "_path").agg(F.max_by(F.struct("_rule", "_v"), F.struct(F.length("_rule"), "_s")).alias("_x"))
-    out = urls.join(hits, (urls["host"] == hits["_host"]) & (urls["path"] == hits["_path"]), "left")
-    return out.withColumn("rule", F.col("_x._rule")).withColumn("verdict", F.coalesce("_x._v", F.lit(default))).drop("_x", "_host", "_path")
+    host, path, best = unused(urls.columns, "_host", "_path", "_x")
+    hits = hits.toDF(host, path, best)
+    out = urls.join(hits, (urls["host"] == hits[host]) & (urls["path"] == hits[path]), "left")
+    return out.withColumn("rule", F.col(best)["_rule"]).withColumn("verdict", F.coalesce(F.col(best)["_v"], F.lit(default))).drop(best, host, path)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ from .common import components, table
 CELL, SHARD, BLOCK = 16384, 1024, 4096
 #: Lists' length, candidates of the pruning, its slack, the beam, and the hits from which a query's range is read off the cell whole.
 DEGREE, CANDIDATES, SLACK, BEAM, DENSE = 24, 64, 1.2, 32, 128
-#: Bytes of pivots, and of sampled rows, that driver and broadcast hold at most (float32); queries that each task holds against brute force; what they must reach.
-PIVOT_BYTES, SAMPLE_BYTES, AUDIT, RECALL = 64 << 20, 16 << 20, 64, 0.97
+#: Bytes of pivots that driver and broadcast hold at most (float32); queries that each task holds against brute force; what they must reach.
+PIVOT_BYTES, AUDIT, RECALL = 64 << 20, 64, 0.97
 #: The widest beam; a task that doesn't reach RECALL with it reads all its ranges off the cell.
 MAX_BEAM = 256
 
@@ -160,7 +160,7 @@ def _assign(rows: DataFrame, cell: int, overlap: int) -> DataFrame:
     """rows(grp string, rep, embedding, ...): adds cells, the numbers of the nearest pivots of the row's group ([0] where it has none).
 
     A group of more than cell // 2 rows has a pivot for each so many. Past PIVOT_BYTES of pivots all groups have fewer, larger
-    cells, and a cell past 4 * cell rows is dealt by hash (what that loses is found by the audit across cells).
+    cells, and those past 4 * cell rows are assigned once more, to pivots of their own.
     """
     n = table(rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > cell // 2).select(F.col("grp").alias("g"), "n"), "group-sizes")
     found = _drawn(rows.join(n, F.col("grp") == F.col("g")).withColumn("share", F.lit(2.0 / cell)), 11, PIVOT_BYTES)
@@ -182,9 +182,48 @@ def _assign(rows: DataFrame, cell: int, overlap: int) -> DataFrame:
                     near = np.argpartition(-(_unit(batch.take(pa.array(of)), "embedding") @ units[g].T), k - 1, axis=1)[:, :k]
                     for i, v in zip(of, np.sort(near, axis=1), strict=True):
                         out[i] = v.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
 
-    return rows.mapInArrow(run, f"{fields}, cells array<int>")
+    return rows.mapInArrow(run, f"{fields}, cells array<long>")
+
+
+def _assign_again(cells: DataFrame, cell: int, overlap: int, block: int) -> DataFrame:
+    """cells(grp string, rep, n, embedding, cells array<long>, own, cell long): cells past 4 * cell rows split by pivots of their own, cell * 2**20 + 1 and up; `cells` follows.
+
+    A task holds a block of a large cell's rows and that cell's pivots, one for each cell // 2 rows: no pivots are collected. A split cell of more than 2**20 - 1 pivots has that many.
+    """
+    n = table(cells.groupBy("own", "cell").agg(F.count("*").alias("many")).where(F.col("many") > 4 * cell).select(F.col("own").alias("o"), F.col("cell").alias("c"), "many"), "large-cells")
+    if n.isEmpty():
+        return cells
+    named = (F.col("own") == F.col("o")) & (F.col("cell") == F.col("c"))
+    large = cells.join(n, named).drop("o", "c").withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
+    drawn = F.pmod(F.xxhash64(F.lit(12), "rep"), F.lit(1 << 30)) < F.least(F.lit(2.0 / cell), F.lit(float(1 << 19)) / F.col("many")) * (1 << 30)
+    pivots = large.where(drawn).select("own", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "embedding", F.lit(True).alias("pivot"))
+    every = large.select("own", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "embedding", F.lit(False).alias("pivot"))
+
+    def place(t):
+        import numpy as np
+        import pyarrow as pa
+
+        t = t.combine_chunks()
+        x, reps, pivot = _unit(t, "embedding"), t.column("rep").to_numpy(), t.column("pivot").to_numpy(zero_copy_only=False)
+        p, of = np.nonzero(pivot)[0], np.nonzero(~pivot)[0]
+        p = p[np.argsort(reps[p])]  # the same numbers in each block
+        k = min(overlap, len(p))
+        near = [np.argpartition(-(x[of[lo : lo + 4096]] @ x[p].T), k - 1, axis=1)[:, :k] for lo in range(0, len(of), 4096)] if k else []
+        near = np.concatenate(near) + 1 if near else np.zeros((len(of), 1), "i8")
+        cell = t.column("cell")[0].as_py()
+        new = (near.astype("i8") + (cell << 20)).tolist()
+        return pa.table({"o": pa.array([t.column("own")[0].as_py()] * len(of), pa.string()), "c": pa.array([cell] * len(of), pa.int64()), "r": pa.array(reps[of]), "new": pa.array(new, pa.list_(pa.int64()))})
+
+    new = table(every.unionByName(pivots).groupBy("own", "cell", "block").applyInArrow(place, "o string, c long, r long, new array<long>"), "second-cells")
+    # of a row: all its cells, those that were split by what they were split to
+    of = new.groupBy("o", "r").agg(F.flatten(F.collect_list("new")).alias("fresh"), F.collect_set("c").alias("old"))
+    mine = cells.select("own", "rep", "cells").distinct().join(of, (F.col("own") == F.col("o")) & (F.col("rep") == F.col("r")))
+    mine = table(mine.select(F.col("own").alias("o"), F.col("rep").alias("r"), F.array_sort(F.concat(F.array_except("cells", "old"), "fresh")).alias("all")), "all-cells")
+    out = cells.join(mine, (F.col("own") == F.col("o")) & (F.col("rep") == F.col("r")), "left").withColumn("cells", F.coalesce("all", "cells")).drop("o", "r", "all")
+    out = out.dropDuplicates(["own", "rep"]).withColumn("cell", F.explode("cells"))
+    return out.withColumn("grp", F.concat_ws("/", "own", F.col("cell").cast("string")))
 
 
 def _shards(x, shard: int, overlap: int = 2):
@@ -205,34 +244,35 @@ def _shards(x, shard: int, overlap: int = 2):
     return out
 
 
-def _across(rows: DataFrame, links: DataFrame, cell: int, limit: float) -> tuple[list[str], DataFrame]:
-    """rows(grp, rep, n, embedding) and what was found (r, links): the groups of several cells that miss RECALL against brute force, and (grp, asked, found, there)."""
+def _across(rows: DataFrame, links: DataFrame, cell: int, limit: float, block: int) -> tuple[list[str], DataFrame]:
+    """rows(grp, rep, n, embedding) and what was found (r, links): the groups of several cells that miss RECALL against brute force, and (grp, asked, found, there).
+
+    Every such group is measured, by 4 * AUDIT of its rows on average (all, where it has fewer) against the whole group: a task holds a block of a
+    group's rows and the group's sample, so nothing is collected or broadcast however many groups there are.
+    """
     n = table(rows.groupBy("grp").agg(F.count("*").alias("many")).where(F.col("many") > cell // 2).select(F.col("grp").alias("g"), "many"), "split-groups")
-    split = rows.join(n, F.col("grp") == F.col("g")).drop("g")
-    sample = _drawn(split.withColumn("share", F.least(F.lit(4.0 * AUDIT) / F.col("many"), F.lit(1.0))), 13, SAMPLE_BYTES)
-    sent = rows.sparkSession.sparkContext.broadcast(sample)
+    split = rows.join(n, F.col("grp") == F.col("g")).drop("g").withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
+    drawn = F.pmod(F.xxhash64(F.lit(13), "rep"), F.lit(1 << 30)) < F.least(F.lit(4.0 * AUDIT) / F.col("many"), F.lit(1.0)) * (1 << 30)
+    asks = split.where(drawn).select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "embedding", F.lit(True).alias("asks"))
+    every = split.select("grp", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "n", "embedding", F.lit(False).alias("asks"))
 
-    def compare(batches: Iterator) -> Iterator:
+    def compare(t):
         import numpy as np
         import pyarrow as pa
 
-        units = {g: (reps, p / np.linalg.norm(p.astype("f8"), axis=1, keepdims=True)) for g, (reps, p) in sent.value.items()}
-        total = {g: np.zeros(len(reps), "i8") for g, (reps, _) in units.items()}
-        for batch in batches:
-            groups = np.array(batch.column("grp").to_pylist(), dtype=object)
-            own, weight = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
-            for g in set(groups) & set(units):
-                of = np.nonzero(groups == g)[0]
-                reps, p = units[g]
-                near = (p @ _unit(batch.take(pa.array(of)), "embedding").T >= limit) & (reps[:, None] != own[None, of])
-                total[g] += near @ weight[of]
-        for g, (reps, _) in units.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g] * len(reps), pa.string()), pa.array(reps), pa.array(total[g])], ["grp", "rep", "there"])
-
-    there = split.select("grp", "rep", "n", "embedding").mapInArrow(compare, "grp string, rep long, there long").groupBy("grp", "rep").agg(F.sum("there").alias("there"))
+        t = t.combine_chunks()
+        x, reps, weight, asks = _unit(t, "embedding"), t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
+        q, of = np.nonzero(asks)[0], np.nonzero(~asks)[0]
+        there = np.zeros(len(q), "i8")
+        for lo in range(0, len(q), 512):
+            some = q[lo : lo + 512]
+            there[lo : lo + 512] = ((x[some] @ x[of].T >= limit) & (reps[some][:, None] != reps[of][None, :])) @ weight[of]
+        return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(q), pa.string()), "rep": pa.array(reps[q]), "there": pa.array(there)})
+
+    there = every.unionByName(asks).groupBy("grp", "block").applyInArrow(compare, "grp string, rep long, there long").groupBy("grp", "rep").agg(F.sum("there").alias("there"))
     told = there.join(links, F.col("rep") == F.col("r"), "left").groupBy("grp").agg(F.count("*").alias("asked"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("there"))).alias("found"), F.sum("there").alias("there"))
     told = table(told, "across")
-    return [r["grp"] for r in told.where(F.col("found") < RECALL * F.col("there")).select("grp").collect()], told  # split groups with a sample: fewer than its rows
+    return [r["grp"] for r in told.where(F.col("found") < RECALL * F.col("there")).select("grp").collect()], told  # groups of more than half a cell that missed it
 
 
 def _whole(rows: DataFrame, block: int, limit: float) -> DataFrame:
@@ -298,8 +338,9 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
     uniq = table(v.where("grp is not null and id is not null").groupBy("grp", "h", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "unique")
     rows = uniq.select("grp", "rep", "n", "embedding")
     cells = _assign(rows, cell, 3).withColumn("cell", F.explode("cells"))
-    cells = table(cells.withColumn("own", F.col("grp")).withColumn("grp", F.concat_ws("/", "grp", F.col("cell").cast("string"))).drop("cell"), "cells")
-    size = table(cells.groupBy("grp").agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("parts")).where("parts > 1").select(F.col("grp").alias("g"), "parts"), "large-cells")
+    cells = table(cells.withColumn("own", F.col("grp")).withColumn("grp", F.concat_ws("/", "grp", F.col("cell").cast("string"))), "cells")
+    cells = table(_assign_again(cells, cell, 3, block).drop("cell"), "all-cells")
+    size = table(cells.groupBy("grp").agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("parts")).where("parts > 1").select(F.col("grp").alias("g"), "parts"), "crowded-cells")
     part = F.pmod(F.xxhash64(F.lit(14), "rep"), F.col("parts")).cast("int")
     cells = cells.join(size, F.col("grp") == F.col("g"), "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("g", "parts")
 
@@ -396,7 +437,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
 
     found = table(graph.groupBy("grp", "part", "block").applyInArrow(hunt, "own string, kind string, a long, b long, c long"), "found")
     counts = found.where("kind = 'links'").groupBy(F.col("a").alias("r")).agg(F.sum("b").alias("links"))
-    missed, across = _across(rows, counts, cell, limit)
+    missed, across = _across(rows, counts, cell, limit, block)
     audit = found.where("kind = 'audit'").select(F.lit("cell").alias("scope"), F.col("a").alias("asked"), F.col("b").alias("found"), F.col("c").alias("there"))
     audit = audit.union(across.select(F.lit("label"), "asked", "found", "there"))
     if missed:
