@@ -107,7 +107,7 @@ def _number(x) -> int | None:
 def _seconds(millis) -> float | None:
     """None for what is no number, 0 for what is missing or empty."""
     try:
-        t = float(millis or 0) / 1000 if isinstance(millis, str | int | float | None) else math.nan
+        t = float(millis or 0) / 1000 if isinstance(millis, str | int | float | None) and not isinstance(millis, bool) else math.nan
     except (ValueError, OverflowError):
         return None
     return t if math.isfinite(t) else None

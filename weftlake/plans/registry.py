@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scoring as S, text as T, urls as U
 from ..operators import adaptive as N, browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M, watch as WL
-from ..sources import feeds as B, results as E, state as A
+from ..sources import feeds as B, results as E, state as A, variants as EV
 from ..streaming import cache as CS, crawler as CR, jobs as J, tracker as TS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -695,6 +695,14 @@ def video_page(spark, d):
     return v.select("doc_id", "video.video_id", "video.title", "video.views", "video.duration", "video.image", F.sha2("video.markdown", 256).alias("rendered"))
 
 
+@query("SELECT doc_id, 'T ' || doc_id AS title, lang AS author, doc_id * 1000 AS views, doc_id + 60 AS duration, 'about' AS description, 2::BIGINT AS keywords, FALSE AS is_live, 'i2' AS image, 'one' AS chapter, 65.0::DOUBLE AS at FROM documents")
+def video_variant(spark, d):
+    """The records of video_page read as VARIANT: fields by paths, chapters by their key at any depth."""
+    p = _read(spark, d, "documents").select("doc_id", F.expr(_VIDEO).alias("html"))
+    v = EV.video_records(p, "doc_id")
+    return v.select("doc_id", "title", "author", "views", "duration", "description", F.size("keywords").cast("long").alias("keywords"), "is_live", "image", F.col("chapters")[0]["title"].alias("chapter"), F.col("chapters")[0]["time"].alias("at"))
+
+
 @query("SELECT url, 'https://web.archive.org/web/2024' || page_id || 'id_/' || url AS raw, regexp_replace(regexp_replace(url, 'https?://', ''), '[^a-zA-Z0-9]', '_', 'g')[:100] || '.md' AS file_name FROM pages")
 def url_files(spark, d):
     """Raw captures and file names of urls."""
