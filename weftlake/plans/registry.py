@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import constants as C, scoring as S, text as T, urls as U
+from ..functions import constants as C, scoring as S, tables as TF, text as T, urls as U
 from ..operators import adaptive as N, browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M, watch as WL
 from ..sources import feeds as B, results as E, state as A, variants as EV
 from ..streaming import cache as CS, crawler as CR, jobs as J, tracker as TS
@@ -338,6 +338,14 @@ def sitemap_scan(spark, d):
     return x.select("page_id", F.explode(B.sitemap_urls(F.col("xml"))).alias("url"))
 
 
+def _feeds(spark, d) -> DataFrame:
+    """(feed, xml) of documents, half of the items as those of Atom."""
+    item = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<item><title><![CDATA[T "), "doc_id", F.lit("]]></title><link>https://x.org/"), "doc_id", F.lit("</link><pubDate>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</pubDate></item>")))
+    item = item.otherwise(F.concat(F.lit('<entry><title>T <b>'), "doc_id", F.lit("</b></title><link href='https://x.org/"), "doc_id", F.lit("'/><updated>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</updated></entry>")))
+    # feeds of up to 20 documents, of which the operator reads the first 12
+    return _read(spark, d, "documents").groupBy(F.concat("source", F.lit("-"), F.expr("doc_id div 20")).alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]), "\n"), F.lit("</rss>")).alias("xml"))
+
+
 @query(
     """
 WITH t AS (SELECT source || '-' || doc_id // 20 AS feed, doc_id, row_number() OVER (PARTITION BY source, doc_id // 20 ORDER BY doc_id) - 1 AS ord FROM documents)
@@ -345,11 +353,7 @@ SELECT feed, CAST(ord AS BIGINT) AS ord, 'T ' || doc_id AS title, 'https://x.org
 """
 )
 def feed_parse(spark, d):
-    item = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<item><title><![CDATA[T "), "doc_id", F.lit("]]></title><link>https://x.org/"), "doc_id", F.lit("</link><pubDate>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</pubDate></item>")))
-    item = item.otherwise(F.concat(F.lit('<entry><title>T <b>'), "doc_id", F.lit("</b></title><link href='https://x.org/"), "doc_id", F.lit("'/><updated>2024-01-"), F.lit(10) + F.col("doc_id") % 10, F.lit("</updated></entry>")))
-    # feeds of up to 20 documents, of which the operator reads the first 12
-    f = _read(spark, d, "documents").groupBy(F.concat("source", F.lit("-"), F.expr("doc_id div 20")).alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]), "\n"), F.lit("</rss>")).alias("xml"))
-    return B.feed_items(f).withColumn("ord", F.col("ord").cast("long"))
+    return B.feed_items(_feeds(spark, d)).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query(
@@ -830,6 +834,45 @@ def chunk_cover(spark, d):
     return K.chunk(t, 300).select("doc_id", F.sha2(F.regexp_replace(joined, WS + "+", ""), 256).alias("letters"))
 
 
+def _view(df: DataFrame, name: str) -> str:
+    df.createOrReplaceTempView(name)
+    return name
+
+
+@query(f"WITH t AS (SELECT doc_id, {_HEADED} AS md FROM documents) SELECT doc_id, sha256(regexp_replace(md, '{WS}+', '', 'g')) AS letters, TRUE AS in_order, TRUE AS bounded FROM t WHERE regexp_matches(md, '[^{WS[1:-1]}]')")
+def sql_chunks(spark, d):
+    """Chunks by a table function in SQL: joined again they are the text, their offsets follow one another, and those of several paragraphs keep the size."""
+    TF.register(spark)
+    t = _view(_read(spark, d, "documents").select("doc_id", F.expr(_HEADED).alias("md")), "weftlake_texts")
+    rows = spark.sql(f"SELECT doc_id, c.* FROM {t}, LATERAL page_chunks(md, 300, 0) c")
+    ordered = F.array_sort(F.collect_list(F.struct("index", "content", "tokens", "start_offset", "end_offset")))
+    g = rows.groupBy("doc_id").agg(ordered.alias("c"))
+    follow = F.forall(F.sequence(F.lit(1), F.size("c")), lambda k: (k == 1) | (F.element_at("c", k)["start_offset"] == F.get("c", k - 2)["end_offset"]))
+    small = F.forall("c", lambda c: (c["tokens"] <= 300) | ~F.contains(c["content"], F.lit("\n\n")))
+    return g.select("doc_id", F.sha2(F.regexp_replace(F.array_join(F.transform("c", lambda c: c["content"]), ""), WS + "+", ""), 256).alias("letters"), follow.alias("in_order"), small.alias("bounded"))
+
+
+@query("SELECT doc_id, 0 AS table_index, 0 AS row_index, 'a,b' AS headers, doc_id || ',' || lang AS cells FROM documents")
+def sql_tables(spark, d):
+    """The tables of pages by a table function in SQL."""
+    TF.register(spark)
+    t = _view(_read(spark, d, "documents").select("doc_id", F.expr(_EXTRA.format(s="string")).alias("html")), "weftlake_pages")
+    return spark.sql(f"SELECT doc_id, t.table_index, t.row_index, array_join(t.headers, ',') AS headers, array_join(t.cells, ',') AS cells FROM {t}, LATERAL page_tables(html) t")
+
+
+@query(
+    """
+WITH t AS (SELECT source || '-' || doc_id // 20 AS feed, doc_id, row_number() OVER (PARTITION BY source, doc_id // 20 ORDER BY doc_id) - 1 AS ord FROM documents)
+SELECT feed, CAST(ord AS BIGINT) AS ord, 'T ' || doc_id AS title, 'https://x.org/' || doc_id AS url, '2024-01-' || (10 + doc_id % 10) AS date FROM t WHERE ord < 12
+"""
+)
+def sql_feed_items(spark, d):
+    """Feeds' items by a table function in SQL."""
+    TF.register(spark)
+    t = _view(_feeds(spark, d), "weftlake_feeds")
+    return spark.sql(f"SELECT feed, CAST(i.ord AS LONG) AS ord, i.title, i.link AS url, i.date FROM {t}, LATERAL feed_entries(xml, 12) i")
+
+
 @query("""SELECT page_id, CAST(len(list_distinct(list_filter(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1), lambda x: x <> ''))) AS BIGINT) AS links FROM pages""")
 def page_agent_links(spark, d):
     """The absolute links that a reader of a page sees, each address once."""
