@@ -5,11 +5,11 @@ from weftlake.functions import tables
 
 def test_lateral(spark):
     tables.register(spark)
-    spark.createDataFrame([(1, "# A\n\nx y\n\n# B\nz", 5), (2, None, 5), (3, "", 5), (4, "one two", None), (5, "# A\r\n# B # C", 1)], "id int, md string, n int").createOrReplaceTempView("weftlake_test_md")
+    spark.createDataFrame([(1, "# A\n\nx y\n\n# B\nz", 9), (2, None, 5), (3, "", 5), (4, "one two", None), (5, "# A\r\n# B\u2028# C", 1)], "id int, md string, n int").createOrReplaceTempView("weftlake_test_md")
     got = {}
     for r in spark.sql("SELECT id, c.* FROM weftlake_test_md, LATERAL page_chunks(md, n, null) c ORDER BY id, index").collect():
         got.setdefault(r["id"], []).append(r["content"])
-    assert got == {1: ["# A\n\nx y", "# B\nz"], 4: ["one two"], 5: ["# A\r\n", "# B ", "# C"]}
+    assert got == {1: ["# A\n\nx y\n\n", "# B\nz"], 4: ["one two"], 5: ["# A\r\n", "# B\u2028", "# C"]}
     html = "<a href='/x'>X</a><table><tr><th>h</th></tr><tr><td>1</td></tr><tr><td>2</td></tr></table><table><tr><td>3"
     spark.createDataFrame([(1, html, "https://a.org/p"), (2, None, None)], "id int, html string, url string").createOrReplaceTempView("weftlake_test_html")
     rows = spark.sql("SELECT t.* FROM weftlake_test_html, LATERAL page_tables(html) t ORDER BY 1, 2").collect()

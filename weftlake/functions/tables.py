@@ -9,7 +9,7 @@ from pyspark.sql.functions import udtf
 
 from . import dom
 
-_HEADING = r"(?:\A|(?<=[\n\r  ]))(?=#{1,6}[" + dom.SPACE + "])"
+_HEADING = "(?:\\A|(?<=[\n\r\u2028\u2029]))(?=#{1,6}[" + dom.SPACE + "])"
 _ITEM = re.compile(r"<(?:item|entry).*?</(?:item|entry)>", re.I | re.S)
 _CDATA, _MARK = re.compile(r"<!\[CDATA\[|\]\]>"), re.compile("<[^>]+>")
 _HREF = re.compile(r"""<link[^>]*href=["']([^"']+)["']""", re.I)
