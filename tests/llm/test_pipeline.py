@@ -56,6 +56,34 @@ def test_near_dedup(spark):
     assert c.near_dedup(spark, d.limit(0), "").count() == 0
 
 
+def test_near_groups_of_chains_and_crowded_keys(spark, monkeypatch):
+    """Texts that keys chain together without a link, and templates that crowd keys: groups are brute force's, and what is compared follows the keys, not their chain."""
+    r = random.Random(11)
+    words = [f"w{r.randrange(10**6)}" for _ in range(5000)]
+    chain = [" ".join(words[k * 24 : k * 24 + 200]) for k in range(150)]  # neighbours at 0.78, below the bound: linked to nobody
+    tight = [" ".join(words[4000 + k * 12 : 4000 + k * 12 + 200]) for k in range(60)]  # at 0.88: one group, its ends far apart
+    head = [f"h{i}" for i in range(110)]
+    forms = [" ".join(head + [f"f{r.randrange(10**6)}" for _ in range(60)]) for _ in range(60)]  # one template, no two near
+    forms += [f + " more" for f in forms[:20]]
+    texts = chain + tight + forms
+    want = groups(texts)
+    compared = []
+    plain = simhash.table
+
+    def counted(df, tag, *rest):
+        if tag == "linked-in-keys":
+            compared.append(df._jdf.queryExecution())
+        return plain(df, tag, *rest)
+
+    monkeypatch.setattr(simhash, "table", counted)
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    for block in (4, 256):
+        got = {x["doc_id"]: x["near_group"] for x in simhash.near_groups(d, block=block).collect()}
+        assert len(set(got.values())) == len(set(zip(got.values(), (want[i] for i in got)))) == len(set(want))
+    assert len(compared) == 2
+    assert len({want[i] for i in range(150)}) == 150 and len({want[i] for i in range(150, 210)}) == 1
+
+
 def test_near_in_ranges(monkeypatch):
     sets = [minhash.shingles(t) for t in near_copies(n=3) if t and t.strip()]
     want = minhash.near(sets).tolist()

@@ -197,12 +197,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
 def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS, similarity: float = minhash.SIMILARITY, block: int = minhash.BLOCK, group: int = GROUP) -> DataFrame:
     """docs with row (long, one value a row) and near_group: equal where texts are joined by links of at least that Jaccard similarity of their sets of word shingles.
 
-    Rows of equal shingle sets are one node from the start. Golay keys propose the pairs of nodes whose fingerprints (of the
-    sets, as above) differ in at most 2 bits. At a similarity of 0.8 a bit differs with odds of about 0.15, so fingerprints of
-    64 bits differ in 10, out of reach of any such key; those pairs are proposed by MinHash bands: a node's 120 minima
-    make 24 keys, and two sets of similarity J share one with odds 1-(1-J^5)^24, 0.9999 at 0.8 and more above. Nodes that keys chain
-    together are a candidate group; in it all pairs are compared by their whole sets, in blocks of nodes, so what the keys
-    propose is decided exactly and no pair is ever a row. Null and wordless texts are one group; repeated rows are in one
+    Rows of equal shingle sets are one node from the start. Golay keys propose the nodes whose fingerprints (of the sets, as above) are linked at 2
+    bits. At a similarity of 0.8 a bit differs with odds of about 0.15, so fingerprints of 64 bits differ in 10, out of reach of any
+    such key; those pairs are proposed by MinHash bands: a node's 120 minima make 24 keys, and two sets of similarity J share one with odds
+    1-(1-J^5)^24, 0.9999 at 0.8 and more above. Whole sets decide what is linked, key by key: first each node of a key against its least
+    one; then, in keys whose nodes are not all in one group by that, those outside the key's largest group against all of the key, in blocks of
+    nodes. So nodes that keys only chain together are never compared, copies of one text cost a comparison a key, and no pair is
+    ever a row but that of a node with a key's least. Null and wordless texts are one group; repeated rows are in one
     group; an empty table gives an empty result; columns of docs named row or near_group are replaced.
     """
     columns = [c for c in docs.columns if c not in ("row", "near_group")]
@@ -242,12 +243,16 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS,
         import pyarrow as pa
 
         t = pdf.combine_chunks()
-        t = t.take(pa.array(np.argsort(t.column("node").to_numpy())))  # rows come in any order
-        nodes = t.column("node").to_numpy()
-        link = minhash.near([x.values.to_numpy().view("u8") for x in t.column("shingles")], similarity)
-        least = np.arange(len(nodes))
+        nodes, at = np.unique(t.column("node").to_numpy(), return_index=True)  # rows come in any order; a node may ask and be asked
+        shingles = t.column("shingles")
+        link = minhash.near([shingles[int(i)].values.to_numpy().view("u8") for i in at], similarity)
+        asks = np.isin(nodes, t.column("node").filter(t.column("asks")).to_numpy())
+        a, b = np.nonzero(link & asks[:, None] & (nodes[:, None] != nodes[None, :]))
+        least = np.arange(len(nodes))  # enough links to connect what is linked
         while True:
-            new = np.where(link, least[None, :], len(nodes)).min(axis=1)
+            new = least.copy()
+            np.minimum.at(new, a, least[b])
+            np.minimum.at(new, b, least[a])
             new = np.minimum(new, new[new])
             if (new == least).all():
                 break
@@ -258,32 +263,48 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = minhash.WORDS,
     # written once, so that row is settled; later steps read only the columns they need
     rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     signed = table(rows.select("row", text).mapInArrow(lambda batches: trimmed(sign(batches)), "row long, node long, keys array<long>, fp long"), "signed")
-    keys = table(signed.select("node", F.explode("keys").alias("key")).distinct(), "band-keys")
-    shared = table(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "shared-bands")
     prints = table(signed.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
-    same = signed.select("fp", "node").distinct().join(prints.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    star = keys.join(shared.hint("merge"), keys.key == shared.k).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    star = star.union(same).union(links(prints, group))
-    group = components(star).select(F.col("node").alias("g_node"), F.col("component").alias("g"))
-    blocks = group.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("g", "g2")
-    group = table(group.join(blocks, F.col("g") == F.col("g2")).select("g_node", "g", "blocks"), "candidate-blocks")
-    drop(keys, shared, prints)
-    first = table(signed.groupBy("node").agg(F.min("row").alias("first")).join(group, F.col("node") == F.col("g_node")).select("first", "node", "g", "blocks"), "candidate-rows")
-    texts = table(rows.select("row", text).join(first.hint("merge"), F.col("row") == F.col("first")).select("node", text, "g", "blocks"), "candidate-texts")
-    sets = table(texts.select("node", text).mapInArrow(lambda batches: trimmed(cut(batches)), "node long, shingles array<long>"), "shingle-sets")
+    linked = components(links(prints, group)).withColumnsRenamed({"node": "l_node", "component": "l"})
+    prints = table(prints.join(linked, F.col("rep") == F.col("l_node"), "left").select(F.col("fp").alias("f"), F.xxhash64(F.lit("fp"), F.coalesce("l", "rep")).alias("key")), "print-keys")
+    keys = signed.select("node", F.explode("keys").alias("key")).union(signed.select("node", "fp").join(prints, F.col("fp") == F.col("f")).select("node", "key"))
+    keys = table(keys.distinct(), "keys-of-nodes")
+    shared = table(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k"), "shared-keys")
+    members = table(keys.join(shared.hint("merge"), keys.key == shared.k).select("key", "node", "least", "n"), "members")
+    drop(keys, prints, shared)
+    first = signed.groupBy("node").agg(F.min("row").alias("first")).join(members.select(F.col("node").alias("m_node")).distinct(), F.col("node") == F.col("m_node"), "left_semi")
+    first = table(first, "candidate-rows")
+    texts = rows.select("row", text).join(first.hint("merge"), F.col("row") == F.col("first")).select("node", text)
+    sets = table(texts.mapInArrow(lambda batches: trimmed(cut(batches)), "node long, shingles array<long>"), "shingle-sets")
+    drop(first)
     free_shuffles(docs.sparkSession)
-    # each pair of blocks of a group is one task's work; a node goes to the pairs that its own block is in
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = texts.select("node", "g", "blocks").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(F.col("node").alias("s_node"), "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    tasks = table(sets.join(spread.hint("merge"), F.col("node") == F.col("s_node")).select("g", "i", "j", "node", "shingles"), "compared")
-    drop(group, first, texts, sets)
-    found = components(tasks.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long"))
+    # each node against the least one of its keys
+    pairs = table(members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
+    of = lambda c: sets.select(F.col("node").alias(f"{c}_node"), F.col("shingles").alias(f"s{c}"))
+    pairs = pairs.join(of("a").hint("merge"), F.col("a") == F.col("a_node")).join(of("b").hint("merge"), F.col("b") == F.col("b_node"))
+    both, common = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    close = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * similarity - 1e-9  # else no intersection is large enough
+    star = table(pairs.where(close & (common >= similarity * (both - common) - 1e-9)).select("a", "b"), "linked-to-least")
+    free_shuffles(docs.sparkSession)
+    # keys of several groups: those outside the largest one against all of the key
+    joined = components(star).select(F.col("node").alias("j_node"), F.col("component").alias("j"))
+    several = members.where("n > 2").join(joined.hint("merge"), F.col("node") == F.col("j_node"), "left").select("key", "node", "n", F.coalesce("j", "node").alias("j"))
+    several = table(several, "members-joined")
+    most = several.groupBy("key", "j").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("j", F.struct("m", "j")).alias("most"), F.sum("m").alias("n"), F.max("m").alias("m"))
+    most = most.where("parts > 1").select(F.col("key").alias("k"), "most", F.ceil(F.col("n") / block).cast("int").alias("bn"), F.ceil((F.col("n") - F.col("m")) / block).cast("int").alias("br"))
+    open_ = several.join(table(most, "open-keys").hint("merge"), F.col("key") == F.col("k")).select("key", "node", (F.col("j") != F.col("most")).alias("outside"), "bn", "br")
+    i, j = (F.pmod(F.xxhash64(F.lit(n), "node"), F.col(c)).cast("int") for n, c in ((1, "bn"), (2, "br")))
+    span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    spread = open_.select("key", "node", i.alias("i"), F.explode(span("br")).alias("j"), F.lit(False).alias("asks"))
+    spread = spread.union(open_.where("outside").select("key", "node", F.explode(span("bn")).alias("i"), j.alias("j"), F.lit(True)))
+    tasks = sets.join(spread.withColumnRenamed("node", "s_node").hint("merge"), F.col("node") == F.col("s_node")).select("key", "i", "j", "asks", "node", "shingles")
+    more = table(tasks.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "linked-in-keys")
+    found = components(star.union(more))
+    drop(members, sets, star, several, more)
     free_shuffles(docs.sparkSession)
     found = table(found.select(F.col("node").alias("f_node"), "component"), "near-groups")
     out = signed.select("row", "node").join(found.hint("merge"), F.col("node") == F.col("f_node"), "left")
     out = table(out.select(F.col("row").alias("r"), F.coalesce("component", "node").alias("near_group")), "grouped")
-    drop(tasks, signed, found)
+    drop(signed, found)
     return rows.join(out.hint("merge"), F.col("row") == F.col("r")).drop("r").toDF(*columns, "row", "near_group")
 
 
