@@ -124,3 +124,37 @@ def test_crawl_stream_is_the_batch_crawl(spark, tmp_path, how):
     assert [r["id"] for r in got.pages.orderBy("depth", "ord").collect()] == [r["id"] for r in want.pages.orderBy("depth", "ord").collect()]
     same = crawler.crawl_stream(pages, edges, 0, f"{tmp_path}/c", **how)  # nothing is left to read
     assert sorted(same.pages.collect()) == sorted(got.pages.collect())
+
+
+def test_progress_of_waves_and_batches(spark, tmp_path):
+    """What waves tell as they end equals the final tables, with repeats, failures and a budget; a stream's batches are rows too."""
+    pages = spark.range(60).where("id % 11 <> 10").select("id", F.least("id", F.lit(50)).alias("content_hash"), (F.col("id") + 1).alias("tokens"))
+    edges = spark.range(60).select(F.col("id").alias("src"), F.posexplode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("pos", "dst"))
+    w = X.Waves(f"{tmp_path}/w", pages, edges, max_pages=40)
+    w.start(0)
+    depth, told = 0, []
+    while True:
+        more = w.step(depth)
+        told.append({r["wave"] for r in w.progress().collect()})
+        depth += 1
+        if more < 0:
+            break
+    assert told == [set(range(k + 1)) for k in range(depth)]  # each wave's row is there when it has ended
+    rows = w.progress().collect()
+    out = w.result()
+    assert sum(r["pages"] for r in rows) == out.tiers.agg(F.sum("n")).first()[0] == w.every("read").count() == 40
+    assert sum(r["new"] for r in rows) == out.pages.count() and sum(r["failures"] for r in rows) == out.errors.count()
+    assert sum(r["tokens"] for r in rows) == out.pages.join(pages, "id").agg(F.sum("tokens")).first()[0]
+
+    from weftlake.streaming import progress
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 5 + k).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = progress.observed(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), "ids", n=F.count(F.lit(1)), most=F.max("id"))
+    log = progress.Batches(spark, f"{tmp_path}/log")
+    q = stream.writeStream.queryName("ids").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    log.stop()
+    got = progress.batches(spark, f"{tmp_path}/log").orderBy("batch").collect()
+    assert [(r["name"], r["rows"], r["observed"]["ids.n"]) for r in got] == [("ids", 5, "5"), ("ids", 6, "6"), ("ids", 7, "7")]
+    assert max(int(r["observed"]["ids.most"]) for r in got) == 26 and sum(r["rows"] for r in got) == spark.read.parquet(f"{tmp_path}/out").count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..sources.state import scratch
 from . import plugins as G, ranking as R
@@ -29,20 +29,26 @@ def links_followed(edges: DataFrame, include: Sequence[str] = (), exclude: Seque
     return d.where(G.allowed(plugins, url, parent)) if plugins else d
 
 
+#: A wave's progress: urls in the frontier, pages read, of those new, urls without a page (of the whole frontier), tokens of the new pages.
+PROGRESS = "frontier long, pages long, new long, failures long, tokens long, wave int"
+
+
 class Waves:
     """A crawl's state in a folder, a wave for each depth: what the frontier holds, what was read of it, what was new.
 
     step(depth) reads the waves before it and writes its own, over what a step that failed has left, so that it can be run again.
+    A wave that has ended leaves a row of PROGRESS, counted while its tables are written, which progress() shows to anyone while the crawl goes on.
     """
 
     def __init__(self, at: str, pages: DataFrame, edges: DataFrame, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()):
         self.at, self.spark, self.max_pages, self.max_depth = at, pages.sparkSession, max_pages, max_depth
         kind = pages.schema["id"].dataType.simpleString()
         tier = F.col("tier") if "tier" in pages.columns else F.lit(None).cast("string")
-        self.pages = pages.select("id", F.col("content_hash").cast("string").alias("content_hash"), tier.alias("tier"))
+        tokens = F.col("tokens") if "tokens" in pages.columns else F.lit(None)
+        self.pages = pages.select("id", F.col("content_hash").cast("string").alias("content_hash"), tier.alias("tier"), tokens.cast("long").alias("tokens"))
         self.edges = links_followed(edges, include, exclude, plugins).select("src", "dst", "pos")
         self.first = f"id {kind}, ord long"
-        self.schemas = {"wave": f"id {kind}, ord long, depth int", "read": f"id {kind}, ord long, content_hash string, tier string, depth int"}
+        self.schemas = {"wave": f"id {kind}, ord long, depth int", "read": f"id {kind}, ord long, content_hash string, tier string, tokens long, depth int"}
         self.schemas["new"] = self.schemas["read"]
 
     def _put(self, df: DataFrame, name: str, depth: int) -> DataFrame:
@@ -63,12 +69,19 @@ class Waves:
         """Reads the wave of a depth, `used` pages of the budget being spent (counted where not given), and writes the next one; pages read, negative where the crawl ends here."""
         if used is None:
             used = self.every("read", depth - 1).count() if depth else 0
-        got = self._put(self._of("wave", depth).drop("depth").join(self.pages, "id").orderBy("ord").limit(self.max_pages - used).select("id", "ord", "content_hash", "tier"), "read", depth)
+        wave, seen = self._of("wave", depth).drop("depth"), Observation()
+        here = wave.join(self.pages.withColumn("there", F.lit(True)), "id", "left").observe(seen, F.count("*").alias("frontier"), F.count_if(F.col("there").isNull()).alias("failures"))
+        got = self._put(here.where("there").orderBy("ord").limit(self.max_pages - used).select("id", "ord", "content_hash", "tier", "tokens"), "read", depth)
         n = got.count()
         new = got.join(got.groupBy("content_hash").agg(F.min("ord").alias("ord")), ["content_hash", "ord"], "left_semi")
         if depth:
             new = new.join(self.every("new", depth - 1).select("content_hash"), "content_hash", "left_anti")
-        new = self._put(new.select("id", "ord", "content_hash", "tier"), "new", depth)
+        fresh = Observation()
+        new = new.select("id", "ord", "content_hash", "tier", "tokens").observe(fresh, F.count("*").alias("new"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+        new = self._put(new, "new", depth)
+        told = seen.get | fresh.get
+        row = [(told["frontier"], n, told["new"], told["failures"], told["tokens"])]
+        self.spark.createDataFrame(row, PROGRESS.rpartition(",")[0]).coalesce(1).write.mode("overwrite").parquet(f"{self.at}/progress/wave={depth}")
         if not n or used + n >= self.max_pages or depth >= self.max_depth:
             return -n - 1
         found = self.edges.join(new.select(F.col("id").alias("src"), F.col("ord").alias("parent")), "src")
@@ -76,6 +89,10 @@ class Waves:
         self._put(found.orderBy("at").select("id", F.monotonically_increasing_id().alias("ord")), "wave", depth + 1)
         return n
 
+    def progress(self) -> DataFrame:
+        """A row of PROGRESS for each wave that has ended."""
+        return self.spark.read.schema(PROGRESS).parquet(f"{self.at}/progress")
+
     def result(self) -> Crawl:
         none = self.spark.createDataFrame([(t, 0) for t in TIERS], "tier string, n long")
         tiers = self.every("read").groupBy("tier").agg(F.count("*").alias("n")).union(none).groupBy("tier").agg(F.sum("n").alias("n"))

@@ -642,6 +642,28 @@ def crawl_stream(spark, d):
     return CR.crawl_stream(pages, edges, 0, at, max_pages=1_000_000, max_depth=7).pages.select("id", F.col("depth").cast("long").alias("depth"))
 
 
+@query(
+    f"""
+WITH RECURSIVE {_GRAPH},
+r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < 6 AND r.id % 9 <> 4),
+w AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1)
+SELECT w.depth AS wave, count(*) AS frontier, count(*) FILTER (WHERE id % 9 <> 4) AS pages, count(*) FILTER (WHERE id % 9 <> 4) AS new, count(*) FILTER (WHERE id % 9 = 4) AS failures,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE id % 9 <> 4), 0) AS BIGINT) AS tokens
+FROM w JOIN documents d ON d.doc_id = w.id GROUP BY 1
+"""
+)
+def crawl_progress(spark, d):
+    """What a crawl tells of each wave while it goes on: urls, pages, failures (ids without a page) and size."""
+    docs = _read(spark, d, "documents")
+    pages = docs.where("doc_id % 9 <> 4").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("content_hash"), F.coalesce(F.length("text"), F.lit(0)).alias("tokens"))
+    waves = X.Waves(A.scratch(spark, "crawl-progress"), pages, _graph(docs), 1_000_000, 6)
+    waves.start(0)
+    depth = 0
+    while waves.step(depth) >= 0:
+        depth += 1
+    return waves.progress()
+
+
 @query()
 def readable_extract(spark, d):
     """The article of each page by density."""
