@@ -133,3 +133,31 @@ def extract_many(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     d = requests.join(got, F.col("url") == F.col("_u"), "left")
     empty = {"title": F.lit(""), "markdown": F.lit(""), "approx_tokens": F.lit(0).cast("long"), "captcha": F.lit(False), "extracted_via": F.lit("none")}
     return d.select(*requests.columns, *[F.coalesce(F.col(c), empty[c]).alias(c) if c in empty else F.col(c) for c in ("title", "markdown", "approx_tokens", "captcha", "publish_date", "extracted_via")])
+
+
+#: What resolve() adds.
+URL = "struct<href:string,scheme:string,host:string,port:int,path:string,query:string,fragment:string>"
+
+
+def resolve(df: DataFrame, url: str = "url", base: str | None = None, name: str = "parsed") -> DataFrame:
+    """df with the url's parts by the URL standard (URL), resolved against the column base where one is named; null for what is no url. A port is null where it is the scheme's own."""
+    kept = [f for f in df.schema.fields if f.name != name]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{name}` {URL}"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from ..functions import whatwg as H
+
+        kind = pa.struct([(c, pa.int32() if c == "port" else pa.string()) for c in ("href", "scheme", "host", "port", "path", "query", "fragment")])
+        for batch in batches:
+            out, known = [], {}
+            bases = batch.column(base).to_pylist() if base else [None] * batch.num_rows
+            for u, b in zip(batch.column(url).to_pylist(), bases, strict=True):
+                if b is not None and b not in known:
+                    known[b] = H.parse(b)
+                x = H.parse(u, known.get(b)) if u is not None else None
+                out.append(x and {"href": x.href(), "scheme": x.scheme, "host": x.host, "port": x.port, "path": x.path if isinstance(x.path, str) else "".join("/" + s for s in x.path), "query": x.query, "fragment": x.fragment})
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(out, kind)], [*(f.name for f in kept), name])
+
+    return df.mapInArrow(run, schema)

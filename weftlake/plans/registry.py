@@ -202,6 +202,22 @@ def url_normalize(spark, d):
     return _read(spark, d, "pages").select("page_id", U.search_key(c).alias("search_key"), U.frontier_key(c).alias("frontier_key"), U.item_key(c).alias("item_key"), U.mention_key(c).alias("mention_key"))
 
 
+@query(
+    r"""
+WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, scheme, host, CASE WHEN path = '' THEN '/' ELSE path END AS path, scheme || '://' || host || regexp_replace(regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', ''), '[^/]+/$', '') || 'a/%C3%BC?q=%27#x%20y' AS moved FROM u
+"""
+)
+def url_resolve(spark, d):
+    """Pages' urls by the URL standard, and a relative link resolved against each: dots, encodings, default ports and backslashes."""
+    p = _read(spark, d, "pages")
+    at, rest = F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.regexp_extract("url", "^https?://[^/?#]*(.*)$", 1)
+    odd = F.when(F.startswith("url", F.lit("https")), F.concat(F.lit(" HTTPS:\\\\"), at, F.lit(":443"))).otherwise(F.concat(F.lit("http://"), at, F.lit(":80")))
+    p = p.select("page_id", F.concat(odd, rest).alias("url"), F.lit("\t..\\./b/../a/%2e/\u00fc?q='#x y").alias("link"))
+    both = P.resolve(P.resolve(p), "link", "url", "moved")
+    return both.select("page_id", "parsed.scheme", "parsed.host", "parsed.path", F.col("moved.href").alias("moved"))
+
+
 @query(
     """
 WITH t AS (SELECT page_id, url, url LIKE 'https://%' AS s, encode(url) AS raw FROM pages)
