@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import constants as C, scoring as S, tables as TF, text as T, urls as U
 from ..operators import adaptive as N, browse as W, chunk as K, crawl as X, page as P, plugins as G, ranking as R, track as M, watch as WL
-from ..sources import feeds as B, results as E, state as A, variants as EV
+from ..sources import captures as EC, feeds as B, results as E, state as A, variants as EV
 from ..streaming import cache as CS, crawler as CR, jobs as J, tracker as TS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -745,6 +745,25 @@ def video_variant(spark, d):
     return v.select("doc_id", "title", "author", "views", "duration", "description", F.size("keywords").cast("long").alias("keywords"), "is_live", "image", F.col("chapters")[0]["title"].alias("chapter"), F.col("chapters")[0]["time"].alias("at"))
 
 
+@query(
+    """
+WITH t AS (SELECT doc_id, doc_id - CASE WHEN doc_id % 4 IN (1, 2) THEN doc_id % 4 ELSE 0 END AS t, n_chars FROM documents),
+r AS (SELECT t.doc_id, t.t, CASE WHEN t.t % 20 = 0 OR d.doc_id IS NULL THEN 'missing' WHEN t.t % 16 = 8 THEN 'redirects' END AS error, t.doc_id - t.t AS hops FROM t LEFT JOIN documents d ON d.doc_id = t.t)
+SELECT doc_id, CASE WHEN error IS NULL THEN CASE WHEN t % 4 = 3 THEN 404 ELSE 200 END END AS status, CASE WHEN error = 'redirects' THEN 5 ELSE hops END AS hops, error, 'https://h' || t // 4 % 7 || '.org/p/' || t AS final_url FROM r
+"""
+)
+def fetch_captures(spark, d):
+    """Documents as archived responses: statuses, relative and absolute redirects, circles, and captures that are missing."""
+    docs, at = _read(spark, d, "documents"), A.scratch(spark, "captures")
+    url = lambda i: F.concat(F.lit("https://h"), F.expr("doc_id div 4") % 7, F.lit(".org/p/"), i)
+    i = F.col("doc_id")
+    to = F.when(i % 4 == 1, F.concat(F.lit("./"), i - 1)).when(i % 4 == 2, url(i - 1)).when(i % 16 == 8, F.concat(F.lit("/p/"), i))
+    status = F.when(i % 4 == 3, 404).when(to.isNotNull(), 302).otherwise(200)
+    rows = docs.where("doc_id % 20 <> 0").select(url(i).alias("url"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), status.alias("status"), F.create_map(F.lit("Location"), to).alias("headers"), F.col("text").alias("html"))
+    EC.write(rows, at)
+    return EC.fetch(docs.select("doc_id", url(i).alias("url")), EC.read(spark, at), max_redirects=5).select("doc_id", "status", F.col("hops").cast("long").alias("hops"), "error", "final_url")
+
+
 @query("SELECT url, 'https://web.archive.org/web/2024' || page_id || 'id_/' || url AS raw, regexp_replace(regexp_replace(url, 'https?://', ''), '[^a-zA-Z0-9]', '_', 'g')[:100] || '.md' AS file_name FROM pages")
 def url_files(spark, d):
     """Raw captures and file names of urls."""
