@@ -108,14 +108,168 @@ def parse(html: str) -> Node:
     return b.root
 
 
-_STEP = re.compile(r"""([A-Za-z][\w-]*|\*)?((?:\#[\w-]+|\.[\w-]+|\[[^\]]+\])*)\s*(>|\s|,|$)\s*""")
-_TEST = re.compile(r"""\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([*^$~|]?=)\s*["']?(.*?)["']?\s*)?\]""")
+_NAME = r"(?:[\w-]|[^\x00-\x7F]|\\.)+"
+_SIMPLE = re.compile(rf"""\#({_NAME})|\.({_NAME})|\[\s*([\w:-]+)\s*(?:([*^$~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:([\w-]+)(\()?""")
+_TAG, _BETWEEN = re.compile(rf"{_NAME}|\*"), re.compile(r"\s*([>+~,])\s*|\s+|$")
+#: Pseudo-classes that count elements: from which end, and whether of one tag only.
+_NTH = {"nth-child": (0, False), "nth-last-child": (1, False), "nth-of-type": (0, True), "nth-last-of-type": (1, True)}
+_FIXED = {"first-child": [("nth-child", (0, 1))], "last-child": [("nth-last-child", (0, 1))], "first-of-type": [("nth-of-type", (0, 1))], "last-of-type": [("nth-last-of-type", (0, 1))], "only-child": [("nth-child", (0, 1)), ("nth-last-child", (0, 1))], "only-of-type": [("nth-of-type", (0, 1)), ("nth-last-of-type", (0, 1))]}
+
+
+def _formula(text: str) -> tuple[int, int]:
+    """(a, b) of an+b, odd, even."""
+    t = re.sub(r"\s+", "", text.lower())
+    t = {"odd": "2n+1", "even": "2n"}.get(t, t)
+    m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", t)
+    if not t or not m:
+        raise ValueError(f"not a formula: {text!r}")
+    a = 0 if m[1] is None else int(m[1] + "1") if m[1] in ("", "+", "-") else int(m[1])
+    return a, int(m[2] or 0)
+
+
+def _closing(css: str, at: int) -> int:
+    """The place of the bracket that closes the one before at; quoted brackets don't count."""
+    depth, quote = 1, ""
+    for i in range(at, len(css)):
+        c = css[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return i
+    raise ValueError(f"selector not understood: {css!r}")
 
 
-def _fits(n: Node, tag: str, tests: list) -> bool:
+def compile_selector(css: str) -> list[list[tuple]]:
+    """Alternatives, each a list of (combinator before, tag, tests).
+
+    Tags, #id, .class, attributes; descendants, children (>), next (+) and later (~) siblings; :not, :is, :nth-child and its kin, :empty, :contains.
+    A ValueError where it isn't understood.
+    """
+    css = css.strip()
+    out, steps, before, at = [], [], " ", 0
+    if not css:
+        raise ValueError("an empty selector")
+    while at < len(css):
+        m = _TAG.match(css, at)
+        tag, tests, start = (m[0] if m else ""), [], at
+        at = m.end() if m else at
+        while m := _SIMPLE.match(css, at):
+            at = m.end()
+            name, inside = m[8], None
+            if m[9]:
+                end = _closing(css, at)
+                inside, at = css[at:end], end + 1
+            if name is None:
+                value = next((v for v in m.group(5, 6, 7) if v is not None), "")
+                tests.append((m[1] or "", m[2] or "", m[3] or "", m[4] or "", value))
+            elif name in _NTH and inside is not None:
+                tests.append(("", "", ":", name, _formula(inside)))
+            elif name in _FIXED and inside is None:
+                tests += [("", "", ":", kind, formula) for kind, formula in _FIXED[name]]
+            elif name in ("not", "is", "where", "matches") and inside is not None:
+                tests.append(("", "", ":", "not" if name == "not" else "is", compile_selector(inside)))
+            elif name == "contains" and inside is not None:
+                tests.append(("", "", ":", name, inside.strip().strip("\"'")))
+            elif name in ("empty", "root") and inside is None:
+                tests.append(("", "", ":", name, None))
+            else:
+                raise ValueError(f"selector not understood: {css!r}")
+        m = _BETWEEN.match(css, at)
+        if at == start or not m:
+            raise ValueError(f"selector not understood: {css!r}")
+        steps.append((before, tag, tests))
+        at, before = m.end(), m[1] or " "
+        if before == "," or at >= len(css):
+            if at >= len(css) and m[1]:
+                raise ValueError(f"selector not understood: {css!r}")
+            out.append(steps)
+            steps, before = [], " "
+    return out
+
+
+class _Matcher:
+    """Selectors against one tree, from the right to the left. Each element is tried once a step, and children are listed once a parent, so that no nesting or width squares."""
+
+    def __init__(self):
+        self.known: dict[tuple, bool] = {}
+        self.kids: dict[int, tuple[list[Node], dict[int, int]]] = {}
+        self.places: dict[tuple, dict[int, int]] = {}
+        self.first: dict[tuple, int] = {}
+
+    def of(self, parent: Node) -> tuple[list[Node], dict[int, int]]:
+        if id(parent) not in self.kids:
+            own = [c for c in parent.children if isinstance(c, Node)]
+            self.kids[id(parent)] = own, {id(c): i for i, c in enumerate(own)}
+        return self.kids[id(parent)]
+
+    def place(self, n: Node, kind: str) -> int:
+        """From 1: n's place among its siblings (of its tag, from the end)."""
+        back, typed = _NTH[kind]
+        key = (id(n.parent), kind)
+        if key not in self.places:
+            own, count, out = self.of(n.parent)[0], {}, {}
+            for c in reversed(own) if back else own:
+                t = c.tag if typed else ""
+                count[t] = out[id(c)] = count.get(t, 0) + 1
+            self.places[key] = out
+        return self.places[key][id(n)]
+
+    def pseudo(self, n: Node, kind: str, value) -> bool:
+        if kind in _NTH:
+            (a, b), k = value, self.place(n, kind)
+            return k == b if not a else (k - b) % a == 0 and (k - b) // a >= 0
+        if kind in ("not", "is"):
+            return any(self.fits(n, w) for w in value) == (kind == "is")
+        if kind == "contains":
+            return value in n.text()
+        return not n.children if kind == "empty" else n.tag == "html"
+
+    def fits(self, n: Node, steps: list[tuple], k: int | None = None) -> bool:
+        """Whether n fits the steps up to the k-th, the last by default."""
+        k = len(steps) - 1 if k is None else k
+        key = (id(n), id(steps), k)
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = self.try_(n, steps, k)
+        return got
+
+    def try_(self, n: Node, steps: list[tuple], k: int) -> bool:
+        before, tag, tests = steps[k]
+        if not _fits(n, tag, tests, self):
+            return False
+        if not k:
+            return True
+        p = n.parent
+        if before in "+~":
+            own, at = self.of(p)
+            i = at[id(n)]
+            if before == "+":
+                return i > 0 and self.fits(own[i - 1], steps, k - 1)
+            first = (id(p), id(steps), k)
+            if first not in self.first:
+                self.first[first] = next((i for i, c in enumerate(own) if self.fits(c, steps, k - 1)), len(own))
+            return self.first[first] < i
+        while p is not None and p.tag != "#root":
+            if self.fits(p, steps, k - 1):
+                return True
+            if before == ">":
+                return False
+            p = p.parent
+        return False
+
+
+def _fits(n: Node, tag: str, tests: list, matcher: _Matcher | None = None) -> bool:
     if tag not in ("", "*") and n.tag != tag.lower():
         return False
     for ident, cls, name, op, value in tests:
+        if name == ":":
+            if not matcher.pseudo(n, op, value):
+                return False
+            continue
         if ident and n.attrs.get("id") != ident or cls and cls not in n.attrs.get("class", "").split():
             return False
         if name:
@@ -127,44 +281,13 @@ def _fits(n: Node, tag: str, tests: list) -> bool:
     return True
 
 
-def compile_selector(css: str) -> list[list[tuple]]:
-    """Alternatives, each a list of (combinator before, tag, tests). Tags, #id, .class, attributes, descendants and children."""
-    out, steps, before, at = [], [], " ", 0
-    css = css.strip()
-    while at < len(css):
-        m = _STEP.match(css, at)
-        if not m or m.end() == at:
-            raise ValueError(f"selector not understood: {css!r}")
-        steps.append((before, m[1] or "", _TEST.findall(m[2])))
-        at, before = m.end(), ">" if m[3] == ">" else " "
-        if m[3] == "," or at >= len(css):
-            out.append(steps)
-            steps, before = [], " "
-    return out
-
-
-def _matches(n: Node, steps: list[tuple]) -> bool:
-    before, tag, tests = steps[-1]
-    if not _fits(n, tag, tests):
-        return False
-    if len(steps) == 1:
-        return True
-    p = n.parent
-    while p is not None and p.tag != "#root":
-        if _matches(p, steps[:-1]):
-            return True
-        if before == ">":
-            return False
-        p = p.parent
-    return False
-
-
 _compiled: dict[str, list] = {}
 
 
 def select(root: Node, css: str) -> list[Node]:
     ways = _compiled.get(css) or _compiled.setdefault(css, compile_selector(css))
-    return [n for n in root.walk() if n.tag != "#root" and any(_matches(n, w) for w in ways)]
+    matcher = _Matcher()
+    return [n for n in root.walk() if n.tag != "#root" and any(matcher.fits(n, w) for w in ways)]
 
 
 def _html(n: Node | str) -> str:
