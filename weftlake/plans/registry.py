@@ -737,6 +737,29 @@ def video_page(spark, d):
     return v.select("doc_id", "video.video_id", "video.title", "video.views", "video.duration", "video.image", F.sha2("video.markdown", 256).alias("rendered"))
 
 
+_CHANNEL = """concat('<script>var ytInitialData = {"metadata":{"channelMetadataRenderer":{"title":"C ', doc_id, '","description":"about ', lang, '","vanityChannelUrl":"http://y.org/@h', doc_id, '","avatar":{"thumbnails":[{"url":"s"},{"url":"l"}]}}},"header":{"c4TabbedHeaderRenderer":{"subscriberCountText":{"simpleText":"', doc_id, ' subscribers"},"banner":{"thumbnails":[{"url":"b"}]}}},"items":[', array_join(transform(sequence(0, doc_id % 40), k -> concat(CASE WHEN doc_id % 3 = 0 THEN '{"lockupViewModel":{"contentId":"v' WHEN doc_id % 3 = 1 THEN '{"gridVideoRenderer":{"videoId":"v' ELSE '{"richItemRenderer":{"content":{"videoRenderer":{"videoId":"v' END, k, CASE WHEN doc_id % 3 = 0 THEN '"}}' WHEN doc_id % 3 = 1 THEN '","publishedTimeText":{"simpleText":"1 day ago"}}}' ELSE '","lengthText":{"simpleText":"3:05"}}}}}' END)), ','), ']};</script>')"""
+
+
+@query(
+    """
+SELECT doc_id, 'channel' AS type, 'C ' || doc_id AS title, 'h' || doc_id AS handle, 'about ' || lang AS description, doc_id || ' subscribers' AS subscribers, 'l' AS image, 'b' AS banner, least(30, doc_id % 40 + 1) AS n,
+       'v' || (least(30, doc_id % 40 + 1) - 1) AS last, CASE doc_id % 3 WHEN 1 THEN '1 day ago' ELSE '' END AS published, CASE doc_id % 3 WHEN 2 THEN '3:05' ELSE '' END AS duration FROM documents
+"""
+)
+def channel_page(spark, d):
+    """Channel records of pages in three layouts: header, and the first 30 videos."""
+    p = _read(spark, d, "documents").select("doc_id", F.expr(_CHANNEL).alias("html"), F.lit("https://www.youtube.com/watch?v=x").alias("url"))
+    v = E.video_pages(p)
+    last = F.element_at("video.videos", -1)
+    return v.select("doc_id", "video.type", "video.title", F.regexp_replace("video.handle", "^@", "").alias("handle"), "video.description", "video.subscribers", "video.image", "video.banner", F.size("video.videos").cast("long").alias("n"), last["video_id"].alias("last"), last["published"].alias("published"), last["duration"].alias("duration"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN n_chars > 0 THEN floor((1 - (doc_id * 7 % 900) / CAST(n_chars AS DOUBLE)) * 100 + 0.5) ELSE 0 END AS BIGINT) AS reduction FROM documents")
+def token_reduction(spark, d):
+    """The share of tokens saved, in percent; halves are rounded up, no tokens at all are no saving."""
+    return _read(spark, d, "documents").select("doc_id", T.reduction(F.col("doc_id") * 7 % 900, F.col("n_chars")).alias("reduction"))
+
+
 @query("SELECT doc_id, 'T ' || doc_id AS title, lang AS author, doc_id * 1000 AS views, doc_id + 60 AS duration, 'about' AS description, 2::BIGINT AS keywords, FALSE AS is_live, 'i2' AS image, 'one' AS chapter, 65.0::DOUBLE AS at FROM documents")
 def video_variant(spark, d):
     """The records of video_page read as VARIANT: fields by paths, chapters by their key at any depth."""
