@@ -77,11 +77,11 @@ def drop(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def delete_made(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
-    """Deletes the work tables made since (a length of `made` then), but one."""
-    keep = getattr(but, "_weftlake_path", None)
+def delete_made(spark: SparkSession, since: int = 0, *but: DataFrame) -> None:
+    """Deletes the work tables made since (a length of `made` then), but those."""
+    keep = {getattr(df, "_weftlake_path", None) for df in but}
     for path in made[since:]:
-        if path != keep:
+        if path not in keep:
             _delete(spark, path)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import minhash
-from .common import components, drop, free_shuffles, table, trimmed
+from .common import components, delete_made, drop, free_shuffles, made, table, trimmed
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xAE3  # fixed: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -186,10 +186,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     0 and are linked like any other; repeated keys share a class; null keys give a null class unless another row of
     the class has a key; an empty table gives an empty result; other columns are ignored.
     """
+    since = len(made)
     d = table(fingerprints(docs, key, text), "fingerprints")
     prints = table(d.groupBy("fp").agg(F.min(key).alias("rep")).where("rep is not null"), "prints")
     found = components(links(prints, group))
     named = table(prints.join(found, prints.rep == found.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id")), "classes")
+    delete_made(docs.sparkSession, since, d, named)
     free_shuffles(docs.sparkSession)
     return d.join(named, d.fp == named.f, "left").select(F.col(key), "fp", "component_id")
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, table
+from .common import components, delete_made, made, table
 
 CELL, SHARD, BLOCK = 16384, 1024, 4096
 #: Lists' length, candidates of the pruning, its slack, the beam, and the hits from which a query's range is read off the cell whole.
@@ -334,6 +334,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = fine & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("grp", F.when(fine, F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string")))).withColumn("h", F.when(fine, F.xxhash64("grp", "embedding")))
+    since = len(made)
     v = table(v.drop("label"), "vectors")
     uniq = table(v.where("grp is not null and id is not null").groupBy("grp", "h", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "unique")
     rows = uniq.select("grp", "rep", "n", "embedding")
@@ -439,7 +440,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
     counts = found.where("kind = 'links'").groupBy(F.col("a").alias("r")).agg(F.sum("b").alias("links"))
     missed, across = _across(rows, counts, cell, limit, block)
     audit = found.where("kind = 'audit'").select(F.lit("cell").alias("scope"), F.col("a").alias("asked"), F.col("b").alias("found"), F.col("c").alias("there"))
-    audit = audit.union(across.select(F.lit("label"), "asked", "found", "there"))
+    audit = table(audit.union(across.select(F.lit("label"), "asked", "found", "there")), "audit")
     if missed:
         again = table(_whole(rows.where(F.col("grp").isin(missed)), block, limit), "whole")
         found = found.where(~F.col("own").isin(missed)).drop("own").unionByName(again)
@@ -447,6 +448,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id", l
     parts = components(found.where("kind = 'edge'").select("a", "b"))
     judged = uniq.join(links, F.col("rep") == F.col("r"), "left").join(parts, F.col("rep") == F.col("node"), "left")
     judged = table(judged.select(F.col("grp").alias("g2"), F.col("h").alias("h2"), F.col("embedding").alias("e2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "judged")
+    delete_made(vectors.sparkSession, since, v, judged, audit)
     out = v.join(judged, (F.col("h") == F.col("h2")) & (F.col("grp") == F.col("g2")) & (F.col("embedding") == F.col("e2")), "left")
     out = out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(key) == F.col("component_id")), audit
