@@ -18,6 +18,31 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 ANSWERS = "seq long, url string, at timestamp, from_cache boolean, fetched_at timestamp, n_held long, held long"
 
 
+class _View:
+    """A map state during one call: each key is read once, and what has changed is written at the end."""
+
+    def __init__(self, state):
+        self.state, self.held, self.changed = state, {}, set()
+
+    def get(self, key):
+        if key not in self.held:
+            self.held[key] = tuple(self.state.getValue((key,))) if self.state.containsKey((key,)) else None
+        return self.held[key]
+
+    def put(self, key, value) -> None:
+        """None takes the key away."""
+        self.held[key] = value
+        self.changed.add(key)
+
+    def write(self) -> None:
+        for key in self.changed:
+            if self.held[key] is not None:
+                self.state.updateValue((key,), self.held[key])
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+        self.changed.clear()
+
+
 class Cache(StatefulProcessor):
     """A shard: requests (seq, url, at, size) in the order of (at, seq) within a batch; a miss fetches and stores its page."""
 
@@ -30,24 +55,36 @@ class Cache(StatefulProcessor):
         self.queue = handle.getMapState("queue", "place long", "url string")
         self.ends = handle.getValueState("ends", "first long, next long, held long, n long")
 
+    def _open(self) -> list:
+        self.by_url, self.by_place = _View(self.entries), _View(self.queue)
+        return list(self.ends.get()) if self.ends.exists() else [0, 0, 0, 0]
+
+    def _close(self, e: list) -> None:
+        self._wake(e)
+        self.by_url.write()
+        self.by_place.write()
+        self.ends.update(tuple(e))
+
+    def _first(self, e: list):
+        """(url, its entry) at the queue's head; no entry where the url has since been stored again."""
+        (url,) = self.by_place.get(e[0])
+        entry = self.by_url.get(url)
+        return url, entry if entry is not None and entry[0] == e[0] else None
+
     def _drop_first(self, e: list) -> None:
-        """Takes the place at the queue's head; it holds no entry if its url has since been stored again."""
-        first = (e[0],)
-        url = self.queue.getValue(first)[0]
-        self.queue.removeKey(first)
+        url, entry = self._first(e)
+        self.by_place.put(e[0], None)
         e[0] += 1
-        entry = self.entries.getValue((url,)) if self.entries.containsKey((url,)) else None
-        if entry is not None and entry[0] == e[0] - 1:
-            self.entries.removeKey((url,))
+        if entry is not None:
+            self.by_url.put(url, None)
             e[2] -= entry[2]
             e[3] -= 1
 
     def _age(self, e: list, now: int) -> None:
         """Drops what is too old at a time: the queue is in the order of fetching."""
         while e[0] < e[1]:
-            url = self.queue.getValue((e[0],))[0]
-            entry = self.entries.getValue((url,)) if self.entries.containsKey((url,)) else None
-            if entry is not None and entry[0] == e[0] and now - entry[1] <= self.ttl:
+            entry = self._first(e)[1]
+            if entry is not None and now - entry[1] <= self.ttl:
                 return
             self._drop_first(e)
 
@@ -55,29 +92,26 @@ class Cache(StatefulProcessor):
         """One timer a shard, for its oldest entry."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        if e[0] < e[1]:
-            url = self.queue.getValue((e[0],))[0]
-            if self.entries.containsKey((url,)):
-                self.handle.registerTimer((self.entries.getValue((url,))[1] + self.ttl) // 1000 + 1)
+        entry = self._first(e)[1] if e[0] < e[1] else None
+        if entry is not None:
+            self.handle.registerTimer((entry[1] + self.ttl) // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
         d = pd.concat(list(rows)).sort_values(["at", "seq"])
-        e = list(self.ends.get()) if self.ends.exists() else [0, 0, 0, 0]
-        out = []
+        e, out = self._open(), []
         for seq, url, at, size in zip(d["seq"].tolist(), d["url"].tolist(), d["at"].dt.as_unit("us").astype("int64").tolist(), d["size"].tolist(), strict=True):
             self._age(e, at)
-            entry = self.entries.getValue((url,)) if self.entries.containsKey((url,)) else None
+            entry = self.by_url.get(url)
             if entry is None:
                 while e[0] < e[1] and e[2] + size > self.most:
                     self._drop_first(e)
-                self.entries.updateValue((url,), (e[1], at, size))
-                self.queue.updateValue((e[1],), (url,))
+                self.by_url.put(url, (e[1], at, size))
+                self.by_place.put(e[1], (url,))
                 e = [e[0], e[1] + 1, e[2] + size, e[3] + 1]
             out.append((seq, url, at, entry is not None, entry[1] if entry is not None else at, e[3], e[2]))
-        self.ends.update(tuple(e))
-        self._wake(e)
+        self._close(e)
         got = pd.DataFrame(out, columns=["seq", "url", "at", "from_cache", "fetched_at", "n_held", "held"])
         for c in ("at", "fetched_at"):
             got[c] = pd.to_datetime(got[c], unit="us")
@@ -86,11 +120,9 @@ class Cache(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        if self.ends.exists():
-            e = list(self.ends.get())
-            self._age(e, expiredTimerInfo.getExpiryTimeInMs() * 1000)
-            self.ends.update(tuple(e))
-            self._wake(e)
+        e = self._open()
+        self._age(e, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        self._close(e)
         yield pd.DataFrame()
 
     def close(self) -> None:
