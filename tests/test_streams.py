@@ -130,7 +130,7 @@ def test_progress_of_waves_and_batches(spark, tmp_path):
     """What waves tell as they end equals the final tables, with repeats, failures and a budget; a stream's batches are rows too."""
     pages = spark.range(60).where("id % 11 <> 10").select("id", F.least("id", F.lit(50)).alias("content_hash"), (F.col("id") + 1).alias("tokens"))
     edges = spark.range(60).select(F.col("id").alias("src"), F.posexplode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("pos", "dst"))
-    w = X.Waves(f"{tmp_path}/w", pages, edges, max_pages=40)
+    w = X.Waves(f"{tmp_path}/w", pages, edges, max_pages=40, tell=True)
     w.start(0)
     depth, told = 0, []
     while True:

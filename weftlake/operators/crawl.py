@@ -37,10 +37,11 @@ class Waves:
     """A crawl's state in a folder, a wave for each depth: what the frontier holds, what was read of it, what was new.
 
     step(depth) reads the waves before it and writes its own, over what a step that failed has left, so that it can be run again.
-    A wave that has ended leaves a row of PROGRESS, counted while its tables are written, which progress() shows to anyone while the crawl goes on.
+    Where tell is set, a wave that has ended leaves a row of PROGRESS, counted while its tables are written, which progress() shows to anyone while the crawl goes on.
     """
 
-    def __init__(self, at: str, pages: DataFrame, edges: DataFrame, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = ()):
+    def __init__(self, at: str, pages: DataFrame, edges: DataFrame, max_pages: int = 50, max_depth: int = 10, include: Sequence[str] = (), exclude: Sequence[str] = (), plugins: Sequence[G.Plugin] = (), tell: bool = False):
+        self.tell = tell
         self.at, self.spark, self.max_pages, self.max_depth = at, pages.sparkSession, max_pages, max_depth
         kind = pages.schema["id"].dataType.simpleString()
         tier = F.col("tier") if "tier" in pages.columns else F.lit(None).cast("string")
@@ -69,19 +70,22 @@ class Waves:
         """Reads the wave of a depth, `used` pages of the budget being spent (counted where not given), and writes the next one; pages read, negative where the crawl ends here."""
         if used is None:
             used = self.every("read", depth - 1).count() if depth else 0
-        wave, seen = self._of("wave", depth).drop("depth"), Observation()
-        here = wave.join(self.pages.withColumn("there", F.lit(True)), "id", "left").observe(seen, F.count("*").alias("frontier"), F.count_if(F.col("there").isNull()).alias("failures"))
-        got = self._put(here.where("there").orderBy("ord").limit(self.max_pages - used).select("id", "ord", "content_hash", "tier", "tokens"), "read", depth)
-        n = got.count()
+        wave, seen, read, fresh = self._of("wave", depth).drop("depth"), Observation(), Observation(), Observation()
+        here = wave.join(self.pages.withColumn("there", F.lit(True)), "id", "left" if self.tell else "inner")
+        if self.tell:
+            here = here.observe(seen, F.count("*").alias("frontier"), F.count_if(F.col("there").isNull()).alias("failures"))
+        got = here.where("there").orderBy("ord").limit(self.max_pages - used).select("id", "ord", "content_hash", "tier", "tokens")
+        got = self._put(got.observe(read, F.count("*").alias("n")), "read", depth)
+        n = read.get["n"]
         new = got.join(got.groupBy("content_hash").agg(F.min("ord").alias("ord")), ["content_hash", "ord"], "left_semi")
         if depth:
             new = new.join(self.every("new", depth - 1).select("content_hash"), "content_hash", "left_anti")
-        fresh = Observation()
         new = new.select("id", "ord", "content_hash", "tier", "tokens").observe(fresh, F.count("*").alias("new"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
         new = self._put(new, "new", depth)
-        told = seen.get | fresh.get
-        row = [(told["frontier"], n, told["new"], told["failures"], told["tokens"])]
-        self.spark.createDataFrame(row, PROGRESS.rpartition(",")[0]).coalesce(1).write.mode("overwrite").parquet(f"{self.at}/progress/wave={depth}")
+        if self.tell:
+            told = seen.get | fresh.get
+            row = [(told["frontier"], n, told["new"], told["failures"], told["tokens"])]
+            self.spark.createDataFrame(row, PROGRESS.rpartition(",")[0]).coalesce(1).write.mode("overwrite").parquet(f"{self.at}/progress/wave={depth}")
         if not n or used + n >= self.max_pages or depth >= self.max_depth:
             return -n - 1
         found = self.edges.join(new.select(F.col("id").alias("src"), F.col("ord").alias("parent")), "src")

@@ -672,7 +672,7 @@ def crawl_progress(spark, d):
     """What a crawl tells of each wave while it goes on: urls, pages, failures (ids without a page) and size."""
     docs = _read(spark, d, "documents")
     pages = docs.where("doc_id % 9 <> 4").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("content_hash"), F.coalesce(F.length("text"), F.lit(0)).alias("tokens"))
-    waves = X.Waves(A.scratch(spark, "crawl-progress"), pages, _graph(docs), 1_000_000, 6)
+    waves = X.Waves(A.scratch(spark, "crawl-progress"), pages, _graph(docs), 1_000_000, 6, tell=True)
     waves.start(0)
     depth = 0
     while waves.step(depth) >= 0:

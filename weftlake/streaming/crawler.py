@@ -16,7 +16,7 @@ def crawl_stream(pages: DataFrame, edges: DataFrame, seed, at: str, max_waves: i
     same folder; a batch that is played again overwrites what it wrote.
     """
     spark = pages.sparkSession
-    waves, frontier, done = Waves(f"{at}/crawl", pages, edges, **how), f"{at}/frontier", []
+    waves, frontier, done = Waves(f"{at}/crawl", pages, edges, tell=True, **how), f"{at}/frontier", []
 
     def add(depth: int) -> None:
         if not written(spark, f"{frontier}/wave-{depth}"):
