@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dom, text as T
 
@@ -94,9 +94,16 @@ def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_htm
     return pages.mapInArrow(run, schema)
 
 
-def scrape(pages: DataFrame) -> DataFrame:
-    """The whole page record: metadata, markdown, text, links, token counts, reduction and content hash."""
+def closed_references(html: Column) -> Column:
+    """html that reads a reference without its semicolon as text, as XML and plain replacements do; by the HTML standard, and without this, `&amp` is an ampersand too."""
+    return F.regexp_replace(html, "&(?!#?[A-Za-z0-9]+;)", "&amp;")
+
+
+def scrape(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """The whole page record: metadata, markdown, text, links, token counts, reduction and content hash. closed: see closed_references; tokens are those of the html as given."""
     d = pages.withColumn("html_tokens", T.token_estimate(F.coalesce("html", F.lit(""))))
+    if closed:
+        d = d.withColumn("html", closed_references(F.col("html")))
     return finish(parse(d, ("meta", "links", "markdown", "parse_error")))
 
 
