@@ -52,14 +52,15 @@ def _without(old: Column, new: Column) -> Column:
     return F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
 
 
-def scrape(requests: DataFrame, snapshots: DataFrame, plugins: Sequence[Plugin] = ()) -> DataFrame:
+def scrape(requests: DataFrame, snapshots: DataFrame, plugins: Sequence[Plugin] = (), on: Sequence[str] = ("url",)) -> DataFrame:
     """requests(url) read from snapshots(url, html, ...): the page records with `extracted`, all hooks applied.
 
+    Several snapshots of an asked url are read all; `on` names further columns of both sides that tell them apart.
     Metadata and markdown see the html after before_process; html tokens and links that before it.
     """
     for p in plugins:
         requests = p.before_fetch(requests) if p.before_fetch else requests
-    pages = snapshots.join(requests.select(F.col("url").alias("_r")).distinct(), F.col("url") == F.col("_r"), "left_semi")
+    pages = snapshots.join(requests.select(*on).distinct(), list(on), "left_semi")
     for p in plugins:
         pages = p.after_fetch(pages) if p.after_fetch else pages
     if any(p.before_process for p in plugins):
