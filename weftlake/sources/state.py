@@ -88,13 +88,13 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def write_results(pages: DataFrame, path: str, form: str = "markdown") -> None:
-    """Page records as one of markdown, html, text (parquet of url, file_name, content) or json (lines)."""
+def write_results(pages: DataFrame, path: str, form: str = "markdown", more: Sequence[str] = ()) -> None:
+    """Page records as one of markdown, html, text (parquet of url, file_name, content and the columns named by `more`) or json (lines)."""
     if form == "json":
         pages.write.json(path)
         return
     content = {"markdown": "markdown", "html": "html", "text": "text"}[form]
-    pages.select("url", U.file_name(F.col("url")).alias("file_name"), F.col(content).alias("content")).write.parquet(path)
+    pages.select("url", U.file_name(F.col("url")).alias("file_name"), F.col(content).alias("content"), *more).write.parquet(path)
 
 
 def lookup(urls: DataFrame, cache: DataFrame, as_of, ttl_seconds: int = 3600) -> DataFrame:
