@@ -26,8 +26,9 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of them: a pattern names either, where a plain path must be a folder and a filter of names sees files only."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def window_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
