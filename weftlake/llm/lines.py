@@ -22,12 +22,16 @@ from .common import WORD, drop, table
 
 
 def _named(names: DataFrame, by: list[str], tag: str) -> DataFrame:
-    """The places (doc, i) whose run repeats, with the first place of that run (fd, fi). Minima are combined before the shuffle."""
+    """The places (doc, i) whose run repeats, with the first place of that run (fd, fi). Minima are combined before the shuffle.
+
+    Joins here and below are merges at every size: a work table's files are a small part of what its rows take in memory, so one
+    that looks small enough to broadcast by its files could fill the driver.
+    """
     firsts = names.groupBy(*by).agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in by], "first")
     firsts = table(firsts, f"{tag}-first")
     on = functools.reduce(lambda a, b: a & b, [names[c] == firsts[f"_{c}"] for c in by])
     keep = [c for c in names.columns if c in ("k", "length", "words")]
-    out = table(names.join(firsts, on).select("doc", "i", *keep, F.col("first.doc").alias("fd"), F.col("first.i").alias("fi")), tag)
+    out = table(names.join(firsts.hint("merge"), on).select("doc", "i", *keep, F.col("first.doc").alias("fd"), F.col("first.i").alias("fi")), tag)
     drop(firsts)
     return out
 
@@ -69,18 +73,18 @@ def longest_earlier(lines: DataFrame) -> DataFrame:
         asks = bounds.where("low < high").select(F.col("doc").alias("d"), F.col("i").alias("p"), F.col("k").alias("ak"), (end - F.col("i")).alias("length"))
         if asks.isEmpty():
             break
-        named = every.join(asks, (every.doc == asks.d) & (every.i == asks.p) & (every.k == asks.ak))
+        named = every.join(asks.hint("merge"), (every.doc == asks.d) & (every.i == asks.p) & (every.k == asks.ak))
         asked = named.select(F.col("k").alias("ak"), F.col("fd").alias("ad"), F.col("fi").alias("ai"), "length").distinct()
-        heads = every.join(asked, (every.k == asked.ak) & (every.fd == asked.ad) & (every.fi == asked.ai)).select("doc", "i", "k", "length", "fd", "fi")
+        heads = every.join(asked.hint("merge"), (every.k == asked.ak) & (every.fd == asked.ad) & (every.fi == asked.ai)).select("doc", "i", "k", "length", "fd", "fi")
         heads = heads.withColumn("at", F.col("i") + F.col("length") - F.expr("shiftleft(1, k)"))
         tails = every.select(F.col("doc").alias("d2"), F.col("i").alias("i2"), F.col("k").alias("k2"), F.col("fd").alias("fd2"), F.col("fi").alias("fi2"))
-        runs = heads.join(tails, (F.col("doc") == F.col("d2")) & (F.col("at") == F.col("i2")) & (F.col("k") == F.col("k2"))).select("doc", "i", "k", "length", "fd", "fi", "fd2", "fi2")
+        runs = heads.join(tails.hint("merge"), (F.col("doc") == F.col("d2")) & (F.col("at") == F.col("i2")) & (F.col("k") == F.col("k2"))).select("doc", "i", "k", "length", "fd", "fi", "fd2", "fi2")
         runs = table(runs, "asked-runs")
         found = _named(runs, ["k", "length", "fd", "fi", "fd2", "fi2"], "asked")
         yes = found.where(_later()).select(F.col("doc").alias("d"), F.col("i").alias("p"), F.col("length").alias("holds"))
         # only what is open meets the answers
         told = bounds.where("low < high").withColumn("asked", end - F.col("i"))
-        told = told.join(yes, (told.doc == yes.d) & (told.i == yes.p) & (told.asked == yes.holds), "left")
+        told = told.join(yes.hint("merge"), (told.doc == yes.d) & (told.i == yes.p) & (told.asked == yes.holds), "left")
         low = F.when(F.col("holds").isNotNull(), F.col("i") + F.col("holds")).otherwise(F.col("low"))
         high = F.when(F.col("holds").isNull(), F.col("i") + F.col("asked") - 1).otherwise(F.col("high"))
         told = told.select("doc", "i", "k", low.alias("low"), high.alias("high")).union(bounds.where("low >= high").select("doc", "i", "k", "low", "high"))
@@ -88,7 +92,7 @@ def longest_earlier(lines: DataFrame) -> DataFrame:
         drop(runs, found, bounds)
         bounds, first = new, False
     words = levels[0].select(F.col("doc").alias("d"), F.col("i").alias("p"), "words")
-    out = table(bounds.join(words, (bounds.doc == words.d) & (bounds.i == words.p)).select("doc", "i", F.col("low").alias("end"), "words"), "longest")
+    out = table(bounds.join(words.hint("merge"), (bounds.doc == words.d) & (bounds.i == words.p)).select("doc", "i", F.col("low").alias("end"), "words"), "longest")
     drop(bounds, *levels)
     return out
 
