@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
+from ..functions.batches import pieces
 
 CHUNK = "array<struct<index:int,content:string,tokens:int,start_offset:int,end_offset:int>>"
 _FENCE, _INLINE = re.compile(r"```.*?```", re.S), re.compile(r"`[^`]+`")
@@ -99,7 +100,7 @@ def chunk(df: DataFrame, limit: int, overlap: int = 0, md: str = "markdown") ->
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("index", pa.int32()), ("content", pa.string()), ("tokens", pa.int32()), ("start_offset", pa.int32()), ("end_offset", pa.int32())]))
-        for b in batches:
+        for b in pieces(batches):
             rows = [pack_sections(p.as_py() or [], m.as_py() or "", limit, overlap) for p, m in zip(b.column("_parts"), b.column(md), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(rows, kind)], [*(f.name for f in kept), "chunks"])
 
