@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dom, text as T
+from ..functions.batches import pieces
 
 #: What parse() can add, and its type. Only what is asked for is worked out.
 FIELDS = {
@@ -72,7 +73,7 @@ def parse(pages: DataFrame, fields: Sequence[str] = ("meta", "links", "clean_htm
                     row["markdown"] = dom.markdown(main)
             return row
 
-        for batch in batches:
+        for batch in pieces(batches):
             out: dict[str, list] = {f: [] for f in fields}
             for page, at in zip(batch.column(html), batch.column(url), strict=True):
                 why = None
@@ -157,7 +158,7 @@ def resolve(df: DataFrame, url: str = "url", base: str | None = None, name: str
         from ..functions import whatwg as H
 
         kind = pa.struct([(c, pa.int32() if c == "port" else pa.string()) for c in ("href", "scheme", "host", "port", "path", "query", "fragment")])
-        for batch in batches:
+        for batch in pieces(batches):
             out, known = [], {}
             bases = batch.column(base).to_pylist() if base else [None] * batch.num_rows
             for u, b in zip(batch.column(url).to_pylist(), bases, strict=True):
