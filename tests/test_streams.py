@@ -158,3 +158,75 @@ def test_progress_of_waves_and_batches(spark, tmp_path):
     got = progress.batches(spark, f"{tmp_path}/log").orderBy("batch").collect()
     assert [(r["name"], r["rows"], r["observed"]["ids.n"]) for r in got] == [("ids", 5, "5"), ("ids", 6, "6"), ("ids", 7, "7")]
     assert max(int(r["observed"]["ids.most"]) for r in got) == 26 and sum(r["rows"] for r in got) == spark.read.parquet(f"{tmp_path}/out").count()
+
+
+class Kept:
+    """A map or value state, in memory; what is asked of it is counted."""
+
+    def __init__(self):
+        self.rows, self.asked = {}, 0
+
+    def containsKey(self, k):
+        self.asked += 1
+        return k in self.rows
+
+    def getValue(self, k):
+        return self.rows[k]
+
+    def updateValue(self, k, v):
+        self.rows[k] = v
+
+    def removeKey(self, k):
+        del self.rows[k]
+
+    def exists(self):
+        return () in self.rows
+
+    def get(self):
+        return self.rows[()]
+
+    def update(self, v):
+        self.rows[()] = v
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getMapState
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        pass
+
+
+@pytest.mark.parametrize("most", [2000, 40_000])
+def test_cache_holds_a_bounded_part_of_a_call(monkeypatch, most):
+    """A call's answers come in slices, its views stay small and the state isn't asked for what it can't hold; a second call goes on from the state of the first."""
+    import pandas as pd
+
+    monkeypatch.setattr(cache, "MOST", 30, raising=False)
+    rng = random.Random(3)
+    requests = [(i, f"https://h/{rng.randrange(300)}0", DAY + dt.timedelta(seconds=i // 3), rng.choice([0, 10, 200, 900, 5000])) for i in range(25_000)]
+    want, handle, got, sizes, held = replay(requests, dt.timedelta(seconds=600), most), Handle(), {}, [], []
+    for part in (requests[:24_000], requests[24_000:]):
+        c = cache.Cache(600, most)
+        c.init(handle)
+        part = rng.sample(part, len(part))
+        frames = [pd.DataFrame(part[k : k + 7000], columns=["seq", "url", "at", "size"]) for k in range(0, len(part), 7000)]
+        for f in c.handleInputRows((0,), iter(frames), None):
+            sizes.append(len(f))
+            held.append(max(len(c.by_url.held), len(c.by_place.held)))
+            got |= {r.seq: (r.from_cache, r.fetched_at, r.n_held, r.held) for r in f.itertuples()}
+        if most == 2000 and len(got) == 24_000:
+            asked = handle.states["entries"].asked
+    assert got == want and max(sizes) <= 10_000
+    assert max(held) <= 31
+    n = handle.states["ends"].get()[3]
+    assert len(handle.states["entries"].rows) == len(handle.states["queue"].rows) == n == want[24_999][2]
+    assert most != 2000 or asked < 24_000

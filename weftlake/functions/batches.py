@@ -11,16 +11,21 @@ ROWS, BYTES = 256, 2_000_000
 def pieces(batches: Iterator, rows: int = ROWS, size: int = BYTES) -> Iterator:
     """The batches cut into pieces of so many rows and about so many bytes at most (a row is never cut), without copies.
 
-    A worker gives free memory back at the end: idle ones stay, with all that their last task took.
+    A worker gives free memory back at the end.
     """
-    import ctypes
-
-    import pyarrow as pa
-
     for batch in batches:
         n = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, n):
             yield batch.slice(at, n)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory to the system: idle workers stay, with all that their last task took."""
+    import ctypes
+
+    import pyarrow as pa
+
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -13,38 +13,89 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.batches import give_back
+
 #: The state store that keeps maps on disk; a session needs it before the stream starts.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Requests of a call that are Python objects at a time, and keys of a state that a call holds at most.
+SLICE, MOST = 10_000, 100_000
 ANSWERS = "seq long, url string, at timestamp, from_cache boolean, fetched_at timestamp, n_held long, held long"
 
 
 class _View:
-    """A map state during one call: each key is read once, and what has changed is written at the end."""
+    """A map state during one call: keys are read once while they are held, and what has changed is written at the end.
+
+    n is how many keys the state has; once all of these have been read, it is asked no more. A key that came and went without being in the
+    state is forgotten, and beyond MOST keys what has changed is written and all are let go, so that memory doesn't grow with the requests.
+    """
 
-    def __init__(self, state):
-        self.state, self.held, self.changed = state, {}, set()
+    def __init__(self, state, n: int):
+        self.state, self.n = state, n
+        self._let_go()
+
+    def _let_go(self) -> None:
+        self.held, self.changed, self.stored, self.unread = {}, set(), set(), self.n
 
     def get(self, key):
-        if key not in self.held:
-            self.held[key] = tuple(self.state.getValue((key,))) if self.state.containsKey((key,)) else None
+        if key in self.held:
+            return self.held[key]
+        if not self.unread or not self.state.containsKey((key,)):
+            return None
+        self._bound()
+        self.unread -= 1
+        self.stored.add(key)
+        self.held[key] = tuple(self.state.getValue((key,)))
         return self.held[key]
 
     def put(self, key, value) -> None:
-        """None takes the key away."""
+        """None takes the key away. What is put has been asked for by get before, or is known to be new."""
+        if value is None and key not in self.stored:
+            self.held.pop(key, None)
+            self.changed.discard(key)
+            return
         self.held[key] = value
         self.changed.add(key)
+        self._bound()
+
+    def _bound(self) -> None:
+        if len(self.held) > MOST:
+            self.write()
+            self._let_go()
 
     def write(self) -> None:
         for key in self.changed:
             if self.held[key] is not None:
                 self.state.updateValue((key,), self.held[key])
-            elif self.state.containsKey((key,)):
+                self.n += key not in self.stored
+                self.stored.add(key)
+            else:
                 self.state.removeKey((key,))
+                self.n -= 1
+                self.stored.discard(key)
+                del self.held[key]
         self.changed.clear()
 
 
+def _ordered(rows: Iterator) -> Iterator[tuple[list, list, list, list]]:
+    """A call's requests in the order of (at, seq), SLICE of them at a time: seq, url, at in microseconds, size. All wait in Arrow's columns."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = {"seq": pa.int64(), "url": pa.large_string(), "at": pa.int64(), "size": pa.int64()}
+    parts: dict[str, list] = {c: [] for c in kinds}
+    for d in rows:
+        for c, kind in kinds.items():
+            values = d["at"].dt.as_unit("us").astype("int64") if c == "at" else d[c]
+            parts[c].append(pa.array(values, kind, from_pandas=True))
+    t = pa.table({c: pa.concat_arrays(parts.pop(c)) for c in kinds})
+    order = pc.sort_indices(t, sort_keys=[("at", "ascending"), ("seq", "ascending")])
+    for lo in range(0, len(order), SLICE):
+        some = t.take(order.slice(lo, SLICE))
+        yield tuple(some[c].to_pylist() for c in kinds)
+
+
 class Cache(StatefulProcessor):
-    """A shard: requests (seq, url, at, size) in the order of (at, seq) within a batch; a miss fetches and stores its page."""
+    """A shard: requests (seq, url, at, size) in the order of (at, seq) within a batch, for which they wait in Arrow's columns; a miss fetches and stores its page."""
 
     def __init__(self, ttl_seconds: int, max_size: int):
         self.ttl, self.most = ttl_seconds * 1_000_000, max_size
@@ -56,8 +107,9 @@ class Cache(StatefulProcessor):
         self.ends = handle.getValueState("ends", "first long, next long, held long, n long")
 
     def _open(self) -> list:
-        self.by_url, self.by_place = _View(self.entries), _View(self.queue)
-        return list(self.ends.get()) if self.ends.exists() else [0, 0, 0, 0]
+        e = list(self.ends.get()) if self.ends.exists() else [0, 0, 0, 0]
+        self.by_url, self.by_place = _View(self.entries, e[3]), _View(self.queue, e[1] - e[0])
+        return e
 
     def _close(self, e: list) -> None:
         self._wake(e)
@@ -99,23 +151,25 @@ class Cache(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        d = pd.concat(list(rows)).sort_values(["at", "seq"])
-        e, out = self._open(), []
-        for seq, url, at, size in zip(d["seq"].tolist(), d["url"].tolist(), d["at"].dt.as_unit("us").astype("int64").tolist(), d["size"].tolist(), strict=True):
-            self._age(e, at)
-            entry = self.by_url.get(url)
-            if entry is None:
-                while e[0] < e[1] and e[2] + size > self.most:
-                    self._drop_first(e)
-                self.by_url.put(url, (e[1], at, size))
-                self.by_place.put(e[1], (url,))
-                e = [e[0], e[1] + 1, e[2] + size, e[3] + 1]
-            out.append((seq, url, at, entry is not None, entry[1] if entry is not None else at, e[3], e[2]))
+        e = self._open()
+        for requests in _ordered(rows):
+            out = []
+            for seq, url, at, size in zip(*requests, strict=True):
+                self._age(e, at)
+                entry = self.by_url.get(url)
+                if entry is None:
+                    while e[0] < e[1] and e[2] + size > self.most:
+                        self._drop_first(e)
+                    self.by_url.put(url, (e[1], at, size))
+                    self.by_place.put(e[1], (url,))
+                    e = [e[0], e[1] + 1, e[2] + size, e[3] + 1]
+                out.append((seq, url, at, entry is not None, entry[1] if entry is not None else at, e[3], e[2]))
+            got = pd.DataFrame(out, columns=["seq", "url", "at", "from_cache", "fetched_at", "n_held", "held"])
+            for c in ("at", "fetched_at"):
+                got[c] = pd.to_datetime(got[c], unit="us")
+            yield got
         self._close(e)
-        got = pd.DataFrame(out, columns=["seq", "url", "at", "from_cache", "fetched_at", "n_held", "held"])
-        for c in ("at", "fetched_at"):
-            got[c] = pd.to_datetime(got[c], unit="us")
-        yield got
+        give_back()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
