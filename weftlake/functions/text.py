@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
@@ -11,7 +13,18 @@ from . import constants as C
 
 def squeeze(c: Column) -> Column:
     """White-space runs to one space, both ends trimmed."""
-    return F.regexp_replace(F.regexp_replace(c, C.JS_SPACE + "+", " "), "^ | $", "")
+    # runs of one blank stay as they are
+    return F.trim(F.regexp_replace(c, r"\x20" + C.JS_SPACE_FAST + r"++|[[^\x20]&&" + C.JS_SPACE_FAST + "]" + C.JS_SPACE_FAST + "*+", " "))
+
+
+def _words(c: Column) -> Column:
+    """How many words, by one pass that keeps a letter for each; a word goes before, so that none is led by white space."""
+    return F.length(F.regexp_replace(F.concat(F.lit("w "), c), C.JS_WORD_FAST + C.JS_SPACE_FAST + "*+", "w")) - 1
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def len16(c: Column) -> Column:
@@ -42,16 +55,21 @@ def prose(md: Column) -> Column:
 def token_estimate(c: Column) -> Column:
     """Code at 3.5 UTF-16 units a token, CJK at 1.5 tokens a character, words at 1.33; at least 1, and 0 for the empty text."""
     fenced, inline = r"(?s)```.*?```", r"`[^`]+`"
-    one = F.regexp_replace(c, fenced, " CODE_BLOCK ")
-    two = F.regexp_replace(one, inline, " INLINE_CODE ")
-    code = F.concat(F.regexp_extract_all(c, F.lit(fenced), F.lit(0)), F.regexp_extract_all(one, F.lit(inline), F.lit(0)))
-    code_tokens = F.aggregate(code, F.lit(0.0), lambda a, x: a + F.ceil(len16(x) / F.lit(3.5)))
-    cjk = F.regexp_count(two, F.lit(C.CJK))
-    words = F.regexp_count(F.regexp_replace(two, C.CJK, " "), F.lit("[^" + C.JS_SPACE[1:-1] + "]+"))
-    whole = F.greatest(F.lit(1), code_tokens + F.ceil(cjk * F.lit(1.5)) + F.ceil(words * F.lit(1.33)))
+
+    def rest(two: Column) -> Column:
+        spaced = F.regexp_replace(two, C.CJK_FAST, " ")
+        cjk = F.length(two) - F.length(F.regexp_replace(two, C.CJK_FAST, ""))
+        return F.ceil(cjk * F.lit(1.5)) + F.ceil(_words(spaced) * F.lit(1.33))
+
+    def unfenced(one: Column) -> Column:
+        code = F.concat(F.regexp_extract_all(c, F.lit(fenced), F.lit(0)), F.regexp_extract_all(one, F.lit(inline), F.lit(0)))
+        code_tokens = F.aggregate(code, F.lit(0.0), lambda a, x: a + F.ceil(len16(x) / F.lit(3.5)))
+        return code_tokens + _once(F.regexp_replace(one, inline, " INLINE_CODE "), rest)
+
+    whole = F.greatest(F.lit(1), _once(F.regexp_replace(c, fenced, " CODE_BLOCK "), unfenced))
     # without a backtick and such characters, as most texts are, only words count: one pass
-    plain = F.greatest(F.lit(1), F.ceil(F.regexp_count(c, F.lit("[^" + C.JS_SPACE[1:-1] + "]+")) * F.lit(1.33)))
-    return F.when(c == "", F.lit(0)).when(~F.contains(c, F.lit("`")) & ~F.rlike(c, F.lit(C.CJK)), plain).otherwise(whole).cast("long")
+    plain = F.greatest(F.lit(1), F.ceil(_words(c) * F.lit(1.33)))
+    return F.when(c == "", F.lit(0)).when(~F.contains(c, F.lit("`")) & ~F.rlike(c, F.lit(C.CJK_FAST)), plain).otherwise(whole).cast("long")
 
 
 def reduction(markdown_tokens: Column, html_tokens: Column) -> Column:
@@ -59,11 +77,11 @@ def reduction(markdown_tokens: Column, html_tokens: Column) -> Column:
 
 
 def dated_strings(md: Column) -> Column:
-    return F.slice(F.regexp_extract_all(md, F.lit(C.DATED), F.lit(0)), 1, 5)
+    return F.slice(F.regexp_extract_all(md, F.lit(C.DATED_FAST), F.lit(0)), 1, 5)
 
 
 def first_date(md: Column) -> Column:
-    return F.nullif(F.regexp_extract(md, C.FIRST_DATE, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(md, C.FIRST_DATE_FAST, 0), F.lit(""))
 
 
 def snippet(md: Column, n: int = 600) -> Column:
