@@ -42,3 +42,23 @@ def test_a_host_skips_folders(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters")[1][:120] and "In(host" in plan
     read = some._jdf.queryExecution().executedPlan()
     assert len(files) >= 2 and C.read(spark, f"{tmp_path}/a", [], buckets=16).count() == 0 and read is not None
+
+
+def test_hops_carry_no_html(spark, tmp_path):
+    """Neither the walk nor an answer without html reads the pages; captures alike in time and status are told by their html."""
+    rows = [
+        ("https://a.org/1", T[0], 302, {"location": "/3"}, "b"), ("https://a.org/1", T[0], 302, {"location": "/2"}, "a"), ("https://a.org/2", T[1], 200, {"k": "2"}, "z" * 50), ("https://a.org/2", T[1], 200, {"k": "1"}, "y" * 50),
+        ("https://a.org/3", None, 200, {}, "no time"), ("https://a.org/3", T[0], 404, {}, None), ("https://a.org/3", T[0], 404, {"k": "n"}, "x"), ("https://a.org/4", T[0], 200, {}, "v"),
+    ]
+    d = spark.createDataFrame([(f"https://a.org/{i}", i) for i in (1, 2, 3, 4)], "url string, i int")
+    known = spark.createDataFrame(rows, C.SCHEMA)
+    out = C.fetch(d, known)
+    got = {r["i"]: (r["status"], r["headers"], r["html"], r["final_url"], r["hops"]) for r in out.collect()}
+    assert got == {1: (200, {"k": "1"}, "y" * 50, "https://a.org/2", 1), 2: (200, {"k": "1"}, "y" * 50, "https://a.org/2", 0), 3: (404, {}, None, "https://a.org/3", 0), 4: (200, {}, "v", "https://a.org/4", 0)}
+
+    one = "url <> 'https://a.org/3' and not (status = 302 and html = 'b') and coalesce(headers['k'], '') <> '2'"
+    known.where(one).write.parquet(f"{tmp_path}/c")
+    single = spark.read.parquet(f"{tmp_path}/c")
+    out = C.fetch(d, single).select("i", "status", "final_url")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan and sorted(out.collect()) == [(1, 200, "https://a.org/2"), (2, 200, "https://a.org/2"), (3, None, "https://a.org/3"), (4, 200, "https://a.org/4")]
