@@ -20,3 +20,32 @@ def test_lateral(spark):
     xml = "<item><title>a</title><link>http://x/1</link></item><item><title></title><link>http://x/2</link></item><entry><title>b</title><link href='http://x/3'/><updated>d</updated></entry>"
     assert [tuple(r) for r in spark.sql(f"SELECT * FROM feed_entries(\"{xml}\", 5)").collect()] == [(0, "a", "http://x/1", None), (1, "b", "http://x/3", "d")]
     assert spark.sql(f"SELECT * FROM feed_entries(\"{xml}\", 1)").count() == 1 and spark.sql("SELECT * FROM feed_entries(null, null)").count() == 0
+
+
+def test_plain_texts_need_no_patterns(monkeypatch):
+    """Tokens of plain texts are counted without patterns; of odd texts as the patterns say. Sections are cut where lines begin with a heading."""
+    import random
+    import re
+
+    from weftlake.functions import dom
+    from weftlake.operators import chunk
+
+    def slow(s):
+        if not s:
+            return 0
+        code = chunk._FENCE.findall(s)
+        s = chunk._FENCE.sub(" CODE_BLOCK ", s)
+        code += chunk._INLINE.findall(s)
+        s = chunk._INLINE.sub(" INLINE_CODE ", s)
+        words = len(chunk._WORD.findall(chunk._CJK.sub(" ", s)))
+        return max(1, sum(chunk.math.ceil(len(x.encode("utf-16-le")) / 2 / 3.5) for x in code) + chunk.math.ceil(len(chunk._CJK.findall(s)) * 1.5) + chunk.math.ceil(words * 1.33))
+
+    heading = "(?:\\A|(?<=[\n\r  ]))(?=#{1,6}[" + dom.SPACE + "])"
+    rng, parts = random.Random(7), ["a", "Zé", " ", "\n", "\r", " ", "#", "##", "######", "\t", "\x1c", "\x85", "﻿", "　", "中", "\U0001f600", "`", "```", "\n# "]
+    for _ in range(20_000):
+        s = "".join(rng.choices(parts, k=rng.randrange(12)))
+        assert chunk.tokens(s) == slow(s)
+        assert tables.sections(s) == [x for x in re.split(heading, s) if x.strip(dom.SPACE)]
+    for name in ("_FENCE", "_INLINE", "_CJK", "_WORD"):
+        monkeypatch.setattr(chunk, name, None)
+    assert chunk.tokens("one two\n\nthree ") == 4

@@ -21,20 +21,28 @@ def _python(pattern: str) -> str:
 
 
 _CJK, _WORD = re.compile(_python(C.CJK)), re.compile("[^" + _python(C.JS_SPACE)[1:-1] + "]+")
-_units = lambda s: len(s.encode("utf-16-le", "surrogatepass")) // 2
+#: Where Python's white space and ECMAScript's differ.
+_ODD = "\x1c\x1d\x1e\x1f\x85\ufeff"
+_units = lambda s: len(s) if s.isascii() else len(s.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def _words(s: str) -> int:
+    return len(_WORD.findall(s)) if any(c in s for c in _ODD) else len(s.split())
 
 
 def tokens(s: str) -> int:
-    """As functions.text.token_estimate."""
+    """As functions.text.token_estimate; what a text doesn't hold isn't looked for by patterns."""
     if not s:
         return 0
-    code = _FENCE.findall(s)
-    s = _FENCE.sub(" CODE_BLOCK ", s)
-    code += _INLINE.findall(s)
-    s = _INLINE.sub(" INLINE_CODE ", s)
-    cjk = len(_CJK.findall(s))
-    words = len(_WORD.findall(_CJK.sub(" ", s)))
-    return max(1, sum(math.ceil(_units(x) / 3.5) for x in code) + math.ceil(cjk * 1.5) + math.ceil(words * 1.33))
+    code, cjk = [], 0
+    if "`" in s:
+        code = _FENCE.findall(s)
+        s = _FENCE.sub(" CODE_BLOCK ", s)
+        code += _INLINE.findall(s)
+        s = _INLINE.sub(" INLINE_CODE ", s)
+    if not s.isascii():
+        s, cjk = _CJK.subn(" ", s)
+    return max(1, sum(math.ceil(_units(x) / 3.5) for x in code) + math.ceil(cjk * 1.5) + math.ceil(_words(s) * 1.33))
 
 
 def sections(md: Column) -> Column:
@@ -53,8 +61,8 @@ def _tail(s: str, overlap: int) -> str:
 def pack_sections(parts: list[str], whole: str, limit: int, overlap: int = 0) -> list[dict]:
     if not whole:
         return []
-    if tokens(whole) <= limit:
-        return [{"index": 0, "content": whole, "tokens": tokens(whole), "start_offset": 0, "end_offset": _units(whole)}]
+    if (n := tokens(whole)) <= limit:
+        return [{"index": 0, "content": whole, "tokens": n, "start_offset": 0, "end_offset": _units(whole)}]
     out: list[dict] = []
     at = 0
 
