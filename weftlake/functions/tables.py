@@ -82,6 +82,6 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the table functions known to the session's SQL, under the names of FUNCTIONS; inputs and rows travel in Arrow batches."""
+    """Makes the table functions known to the session's SQL, under the names of FUNCTIONS. Rows are pickled in batches: by Arrow each call's rows would be a batch of their own."""
     for name, (handler, schema) in FUNCTIONS.items():
-        spark.udtf.register(name, udtf(handler, returnType=schema, useArrow=True))
+        spark.udtf.register(name, udtf(handler, returnType=schema, useArrow=False))
